@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ DISTANCE = 2
 SEED = 42
 #: Fingerprints up to this number are cut into 4 partitions of 16 bits, more into 3 of 21 or 22.
 WIDE_FROM = 1 << 25
+#: A partition's threshold is at most this, which bounds a ball's probes.
+RADIUS = 2
 #: What a probe costs, in candidates.
 PROBE_COST = 2.0
 
@@ -188,19 +191,21 @@ def _index(distinct: DataFrame, groups: list[list[int]]) -> DataFrame:
 
 
 def _probes(distinct: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int) -> DataFrame:
-    balls = [[sum((1 << b for b in flips), 0) for r in range(distance + 1) for flips in combinations(range(len(g)), r)] for g in groups]
-    sizes = [[sum(1 for _ in combinations(range(len(g)), r)) for r in range(distance + 1)] for g in groups]
+    radius = min(distance, RADIUS)
+    balls = [[sum((1 << b for b in flips), 0) for r in range(radius + 1) for flips in combinations(range(len(g)), r)] for g in groups]
+    sizes = [[comb(len(g), r) for r in range(radius + 1)] for g in groups]
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.asarray(batch.column(0)).view(np.uint64)
             values = [part_values(fps, g) for g in groups]
-            costs = np.zeros((len(groups), distance + 2, len(fps)))
+            costs = np.full((len(groups), distance + 2, len(fps)), np.inf)
+            costs[:, 0] = 0
             for i, v in enumerate(values):
-                for r in range(distance + 1):
+                for r in range(radius + 1):
                     costs[i, r + 1] = PROBE_COST * sum(sizes[i][: r + 1]) + counts[i][r][v]
             for i, thresholds in enumerate(allocate(costs)):
-                for r in range(distance + 1):
+                for r in range(radius + 1):
                     at = np.flatnonzero(thresholds == r)
                     if len(at):
                         ball = np.array(balls[i][: sum(sizes[i][: r + 1])], np.int64)
@@ -214,8 +219,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = Non
     products, n = bit_products(distinct)
     if n < 2:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
-    groups = group_bits(products, n, parts or (4 if n < WIDE_FROM else 3))
-    counts = [ball_counts(h, distance) for h in histograms(distinct, groups)]
+    parts = parts or (4 if n < WIDE_FROM or distance >= 3 * (RADIUS + 1) else 3)
+    if distance >= parts * (RADIUS + 1):
+        raise ValueError("too many bits for the partitions' thresholds")
+    groups = group_bits(products, n, parts)
+    counts = [ball_counts(h, min(distance, RADIUS)) for h in histograms(distinct, groups)]
     near = (F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= distance)
     index, probes = _index(distinct, groups), _probes(distinct, groups, counts, distance)
     return probes.join(index, (probes["part"] == index["part"]) & (probes["value"] == index["value"]) & near).select(F.col("fp").alias("u"), F.col("probe").alias("v"))

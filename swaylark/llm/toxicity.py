@@ -184,6 +184,7 @@ def keep_civil(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
     """The rows of ``docs`` that score below ``threshold``, with all their columns and in one pass."""
     C.small_batches(docs.sparkSession)
     weights, bias = model
+    names = docs.columns
 
     def civil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -191,6 +192,6 @@ def keep_civil(docs: DataFrame, model: tuple[np.ndarray, float], threshold: floa
             data, at = C.binaries(batch, "_body")
             sums = np.asarray([float(weights[features(data[at[i] : at[i + 1]])].sum(dtype=np.float64)) + bias for i in range(batch.num_rows)])
             fine = 1 / (1 + np.exp(-np.clip(sums, -30, 30))) < threshold
-            yield batch.filter(pa.array(fine)).select(docs.columns)
+            yield batch.filter(pa.array(fine)).select(names)
 
     return docs.withColumn("_body", C.body("text")).mapInArrow(civil, docs.schema)
