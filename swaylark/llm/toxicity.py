@@ -24,7 +24,7 @@ SAMPLE = 3000
 #: Texts by which the counts of a bucket are smoothed.
 SMOOTH = 150.0
 #: Buckets whose ratio is nearer to 0 than this tell the classes apart too little to keep.
-LEAST_RATIO = 0.05
+LEAST_RATIO = 0.02
 THRESHOLD = 0.7
 
 
@@ -152,14 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
         for batch in batches:
             data, at = C.binaries(batch, "body")
             found = [features(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_pydict({"label": batch.column(batch.schema.get_field_index("label")), "buckets": pa.array([x[useful[x]].astype(np.int32) for x in found], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"buckets": pa.array([x[useful[x]].astype(np.int32).tobytes() for x in found], pa.binary())})
 
     samples, marked = [], []
     for y in (0, 1):
         part = labelled.where(F.col("label") == y).orderBy("at", F.octet_length("body"), "body").limit(sample)
-        for row in part.select("label", "body").mapInArrow(sampled, "label int, buckets array<int>").collect():
-            samples.append(np.asarray(row["buckets"], np.int64))
-            marked.append(row["label"])
+        found = [np.frombuffer(x.as_buffer(), np.int32) for x in part.select("body").mapInArrow(sampled, "buckets binary").toArrow().column("buckets")]
+        samples += found
+        marked += [y] * len(found)
     weights, bias = fit(samples, np.asarray(marked), ratios)
     return weights.astype(np.float32), float(bias)
 
