@@ -245,8 +245,135 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, all columns."""
-    found = near_groups(docs, key, text, words, distance)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+def _balls(distinct: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int) -> DataFrame:
+    """Each fingerprint under all partition values in a ball around its own, with radii of its own choice.
+
+    Two fingerprints meet in partition i if they differ in at most the sum of their radii there. Of two that
+    differ in at most t bits some partition does so whenever for both the 2 r_i + 1 sum to t + 1 at least.
+    """
+    radii = (0, 1, 2)
+    balls = [[np.array([sum((1 << b for b in flips), 0) for k in range(r + 1) for flips in combinations(range(len(g)), k)], np.int64) for r in radii] for g in groups]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.asarray(batch.column(0)).view(np.uint64)
+            values = [part_values(fps, g) for g in groups]
+            costs = np.full((len(groups), distance + 2, len(fps)), np.inf)
+            for i, v in enumerate(values):
+                for r in radii:
+                    if 2 * r + 1 <= distance + 1:
+                        costs[i, 2 * r + 1] = PROBE_COST * len(balls[i][r]) + counts[i][r + 1][v]
+            for i, s in enumerate(allocate(costs) + 1):
+                for r in radii:
+                    at = np.flatnonzero(s == 2 * r + 1)
+                    if len(at):
+                        near = (values[i][at][:, None] ^ balls[i][r]).ravel() | i << 32
+                        yield pa.RecordBatch.from_pydict({"place": pa.array(near), "fp": pa.array(np.repeat(fps[at], len(balls[i][r])).view(np.int64))})
+
+    return distinct.select("fp").mapInArrow(dealt, "place long, fp long")
+
+
+def nearest_before(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct fingerprints that meet: pairs (i, j), where j is the nearest leader within ``distance`` of i.
+
+    A fingerprint that has no leader near becomes one, so a large group of near copies is compared with its few
+    leaders only.
+    """
+    if len(fps) <= block:
+        d = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.int16)
+        d[np.triu_indices(len(fps))] = 99
+        i = np.flatnonzero(d.min(1) <= distance)
+        return i, d[i].argmin(1)
+    leaders, left, right = np.zeros(0, np.int64), [], []
+    for a in range(0, len(fps), block):
+        own = np.arange(a, min(a + block, len(fps)))
+        if len(leaders):
+            d = np.bitwise_count(fps[own][:, None] ^ fps[leaders][None, :])
+            near = d.min(1) <= distance
+            left.append(own[near])
+            right.append(leaders[d[near].argmin(1)])
+            own = own[~near]
+        i, j = nearest_before(fps[own], distance, block)
+        left.append(own[i])
+        right.append(own[j])
+        leaders = np.concatenate([leaders, np.delete(own, i)])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(distinct: DataFrame, distance: int, parts: int = 4) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints (column fp) within ``distance`` bits: in every place that a fingerprint shares with others, its nearest leader."""
+    products, n = bit_products(distinct)
+    if n < 2:
+        return distinct.sparkSession.createDataFrame([], "u long, v long")
+    if distance + 1 > 5 * parts or (distance + 1 - parts) % 2:
+        raise ValueError("the partitions' radii cannot sum to this distance")
+    groups = group_bits(products, n, parts)
+    counts = [ball_counts(h, 3) for h in histograms(distinct, groups)]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_place, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def pairs(place: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            ends = np.append(starts[1:], len(place))
+            u, v = [], []
+            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                i, j = nearest_before(fps[a:b], distance)
+                if len(i):
+                    u.append(fps[a:b][i])
+                    v.append(fps[a:b][j])
+            if u:
+                return pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
+            return None
+
+        for batch in batches:
+            place, fps = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            place, fps = np.concatenate([held_place, place]), np.concatenate([held_fps, fps])
+            last = int(np.searchsorted(place, place[-1], "left")) if len(place) else 0
+            held_place, held_fps = place[last:], fps[last:]
+            if last and (out := pairs(place[:last], fps[:last])):
+                yield out
+        if len(held_place) and (out := pairs(held_place, held_fps)):
+            yield out
+
+    n_tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
+    dealt = _balls(distinct, groups, counts, distance).repartition(n_tasks, "place").sortWithinPartitions("place", "fp")
+    return dealt.mapInArrow(met, "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Of pairs of documents (a, b, u, v) those whose sets of word shingles have a Jaccard similarity of ``least``: u, v. ``docs``: id, body."""
+    one, two = docs.select(F.col("id").alias("a"), F.col("body").alias("body_a")), docs.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(C.values(batch, "body_a"), C.values(batch, "body_b"), strict=True):
+                s, t = set(shingle_hashes(x, words)), set(shingle_hashes(y, words))
+                keep.append(len(s & t) >= least * len(s | t))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    return pairs.join(one, "a").join(two, "b").select("u", "v", "body_a", "body_b").mapInArrow(judged, "u long, v long")
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 11, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: one document of each group stays, with all its columns.
+
+    Documents are near duplicates if their fingerprints over shingles of ``words`` words differ in at most
+    ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more; texts of one
+    fingerprint are judged by the text of the least id among them. Groups are what such links connect; the
+    least id stays. Texts without a word are one group. Ids should be unique and not null. An empty table
+    stays empty.
+    """
+    C.small_batches(docs.sparkSession)
+    prints = C.staged(fingerprints(docs, key, text, words), "simhash-prints")
+    distinct = C.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    close = C.staged(candidates(distinct, distance), "simhash-candidates")
+    named = lambda side, doc: distinct.select(F.col("fp").alias(side), F.col("least").alias(doc))
+    pairs = close.join(named("u", "a"), "u").join(named("v", "b"), "v")
+    bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
+    found = components(similar(pairs, bodies, words, least))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("stays"))
+    gone = prints.join(rooted.join(names, "root").select("fp", "stays"), "fp").where("doc_id <> stays").select(F.col("doc_id").alias("_gone"))
+    return docs.join(C.staged(gone, "simhash-gone"), docs[key] == F.col("_gone"), "left_anti")
