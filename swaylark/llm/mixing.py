@@ -61,17 +61,17 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
 
     The draw depends on seed and id only, so it holds on any cluster and after any retry. Rows that repeat an
     id are repeated alike; a null id draws as the word null. Null sources are one source. Texts are not
-    looked at: null, empty and very long ones pass as they are. An empty table stays empty. With
-    ``with_order`` the columns copy_no (from 0) and order_key, by which the result is sorted, follow.
+    looked at: null, empty and very long ones pass as they are. An empty table stays empty. Names that begin
+    with an underscore are ours: _source, _steps, _u, _count, _copy, _order. With ``with_order`` the columns
+    copy_no (from 0) and order_key, by which the result is sorted, follow.
     """
     rates = source_rates(docs, source, weights, temperature, size)
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select("_source", "steps")
+    rates = rates.select("_source", F.col("steps").alias("_steps"))
     names = docs.columns
     joined = docs.join(F.broadcast(rates) if small else rates, docs[source].eqNullSafe(rates["_source"]), "inner")
     drawn = joined.withColumn("_u", uniform(seed, F.col(key)))
-    count = F.size(F.filter("steps", lambda x: x <= F.col("_u")))
-    out = drawn.withColumn("_count", count).where("_count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    out = out.withColumn("order_key", uniform(seed + 1, F.col(key), F.col("copy_no"))).select(*[F.col(x) for x in names], "copy_no", "order_key")
-    out = out.orderBy("order_key", key, "copy_no")
-    return out if with_order else out.select(*names)
+    count = F.size(F.filter("_steps", lambda x: x <= F.col("_u")))
+    out = drawn.withColumn("_count", count).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    out = out.withColumn("_order", uniform(seed + 1, F.col(key), F.col("_copy"))).orderBy("_order", key, "_copy")
+    return out.select(*names, F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key")) if with_order else out.select(*names)
