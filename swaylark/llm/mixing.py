@@ -50,9 +50,9 @@ def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, flo
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         raw = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col(source), F.lit(""))), F.lit(0.0)) if pairs else F.lit(0.0)
     counts = counts.withColumn("raw", raw)
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("n").alias("all_n"))
-    weighted = counts.crossJoin(F.broadcast(totals)).withColumn("weight", F.try_divide("raw", F.col("all_raw")))  # totals is one row
-    rate = F.col("weight") * F.col("all_n") * F.lit(float(size)) / F.col("n")
+    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("n").alias("all_n")).first()
+    weighted = counts.withColumn("weight", F.try_divide("raw", F.lit(totals["all_raw"] or 0.0)))
+    rate = F.col("weight") * F.lit(totals["all_n"] or 0.0) * F.lit(float(size)) / F.col("n")
     return weighted.withColumn("mean_repeats", F.coalesce(rate, F.lit(0.0))).select(F.col(source).alias("_source"), "n", "weight", "mean_repeats", poisson_steps(F.col("mean_repeats")).alias("steps"))
 
 
