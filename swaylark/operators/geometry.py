@@ -120,6 +120,7 @@ def quality_gate(fits: DataFrame, least_tracks: int = 10, least_inlier_ratio: fl
     """
     c = F.col
     none = F.lit(None).cast("string")
+    # The names of the reasons and their order.
     missing = lambda x: x.isNull() | F.isnan(x)
     invalid = [
         F.when(c("n") < least_tracks, "insufficient_tracks").otherwise(none),

@@ -195,6 +195,7 @@ def bootstrap_mae(df: DataFrame, draws: int, seed: int = 0, truth: str = "target
     A resample repeats each row by a Poisson number of mean 1 drawn from a hash of seed, row and draw, which
     needs no shuffle of rows: draws are summed side by side in one pass.
     """
+    # The cumulative Poisson distribution of mean 1.
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
     drawn = df.select(key, F.abs(F.col(estimate) - F.col(truth)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     u = hashed_integer(F.lit(seed), F.col(key), F.col("b")) / F.lit(float(1 << 32))
