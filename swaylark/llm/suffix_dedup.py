@@ -9,7 +9,7 @@ that spans several splitters is dealt further by its second token, so equal suff
 number. A bucket sorts its suffixes token by token and compares neighbours; as splitters are whole keys, no
 run of equal suffixes crosses a bucket's boundary.
 
-Documents are grouped in chunks by a hash of their content; a chunk hands on each distinct suffix once, with
+Documents are grouped in chunks by a hash of their id; a chunk hands on each distinct suffix once, with
 a mark if it has it more often. Copies of whole texts are found by SHA-256 first and stand for one.
 """
 
@@ -142,8 +142,8 @@ def bucket_of(lead: np.ndarray, rest: np.ndarray, splitters: np.ndarray) -> np.n
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Per document: size, SHA-256, anchors' hashes and sampled leading tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("anchors", pa.list_(pa.int64())), ("sample", pa.list_(pa.int64()))])
+    """Per document: size, SHA-256, its anchors' hashes, those that it has more than once, and sampled leading tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("anchors", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("sample", pa.list_(pa.int64()))])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length)
@@ -152,21 +152,22 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 texts = C.values(part, "body")
                 scanner.lay(texts)
-                found, sampled = [[] for _ in texts], [[] for _ in texts]
+                found, own, sampled = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
                 if scanner.windows:
                     at = np.flatnonzero(scanner.anchors())
                     owner = np.searchsorted(scanner.offsets, at, "right") - 1
                     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
                     values = scanner.grams[at].view(np.int64)
-                    found = [values[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                    counted = [np.unique(values[x:y], return_counts=True) for x, y in zip(cuts, cuts[1:], strict=False)]
+                    found, own = [x for x, _ in counted], [x[n > 1] for x, n in counted]
                     at = np.flatnonzero((scanner.grams >> np.uint64(64 - SAMPLE_BITS) == 0)[: scanner.windows] & scanner.whole)
                     owner = np.searchsorted(scanner.offsets, at, "right") - 1
                     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
                     values = (leads(scanner.data)[at] ^ np.uint64(1 << 63)).view(np.int64) if len(at) else np.zeros(0, np.int64)
                     sampled = [values[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-                yield C.batch_of(schema, C.values(part, "doc_id"), [len(x) for x in texts], [hashlib.sha256(x).digest() for x in texts], found, sampled)
+                yield C.batch_of(schema, C.values(part, "doc_id"), [len(x) for x in texts], [hashlib.sha256(x).digest() for x in texts], found, own, sampled)
 
-    return docs.mapInArrow(scanned, "doc_id long, n_bytes long, sha binary, anchors array<long>, sample array<long>")
+    return docs.mapInArrow(scanned, "doc_id long, n_bytes long, sha binary, anchors array<long>, own array<long>, sample array<long>")
 
 
 def _windows(scanner: Scanner, texts: list[bytes], anchors: list[np.ndarray]) -> np.ndarray:
@@ -284,9 +285,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     splitters = np.array(found, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
     # Copies of whole texts: one stands for all.
-    copies = scanned.groupBy("sha").agg(F.min(F.struct("doc_id")).alias("least"), F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"))
-    copies = C.staged(copies.select("sha", "n", "n_bytes", F.col("least.doc_id").alias("doc_id"), "anchors"), "suffix-texts")
-    seen = copies.select(F.xxhash64("sha").alias("text_id"), F.explode("anchors").alias("anchor"))
+    copies = scanned.groupBy("sha").agg(F.min(F.struct("doc_id")).alias("least"), F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
+    copies = C.staged(copies.select("sha", "n", "n_bytes", F.col("least.doc_id").alias("doc_id"), "anchors", "own"), "suffix-texts")
+    seen = copies.select(F.explode(F.concat("anchors", "own")).alias("anchor"))
     repeated = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
     own = copies.select("doc_id", "n", F.explode("anchors").alias("anchor")).join(repeated, "anchor").groupBy("doc_id", "n").agg(F.collect_set("anchor").alias("anchors"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))
