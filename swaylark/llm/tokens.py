@@ -8,6 +8,9 @@ beside them.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +28,13 @@ from . import huffman
 
 #: Ids in a block, but for a single document of more.
 BLOCK_IDS = 1 << 17
-#: Words whose ids a task keeps.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a worker keeps, and letter runs of which words consist.
+KEPT_WORDS, KEPT_RUNS = 800_000, 600_000
+#: Letters for which composition changes nothing and lower case is a letter for a letter, then marks that are one piece.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: The normalizer and the pattern of the tokenizer for which a plain word is its letter run, lower-cased, and its marks.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,10 +47,20 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never joins what white space parts, so the ids of each word between white space are kept."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.runs: dict[str, list[int]] = {}
+        self.bare = None  # the same model without the patterns that a letter run does not need
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        if kinds == NORMALIZERS and split.get("pattern", {}).get("Regex") == PATTERN:
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
         self.places: dict[str, int] = {}
         self._clear()
 
@@ -53,8 +71,26 @@ class WordEncoder:
         self.pool = np.zeros(1 << 14, np.uint32)
         self.filled = 0
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word: of plain ones those of its letter run and of its marks."""
+        encode = lambda by, x: [e.ids for e in by.encode_batch_fast(x, add_special_tokens=False)] if x else []
+        if self.bare is None:
+            return encode(self.tokenizer, words)
+        if len(self.runs) > KEPT_RUNS:
+            self.runs = {}
+        runs, odd, parts = self.runs, [], []
+        for w in words:
+            m = PLAIN.fullmatch(w)
+            parts.append((m[1].lower(), m[2]) if m else None)
+            if not m:
+                odd.append(w)
+        new = list(dict.fromkeys(x for p in parts if p for x in p if x and x not in runs))
+        runs.update(zip(new, encode(self.bare, new), strict=True))
+        others = iter(encode(self.tokenizer, odd))
+        return [next(others) if p is None else runs[p[0]] + runs[p[1]] if p[1] else runs[p[0]] for p in parts]
+
     def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = self._ids(words)
         n = len(self.places)
         while n + len(words) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
@@ -107,7 +143,7 @@ def encoder_of(path: str, end_id: int) -> WordEncoder:
 
 def pack(ids: np.ndarray) -> bytes:
     """Ids as compressed byte planes, for the pass between."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
