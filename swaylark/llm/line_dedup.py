@@ -117,7 +117,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     seen = texts.mapInArrow(occurrences, "doc long, place int, sha binary")
     later = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_place")))
     gone = C.staged(seen.join(repeated, "sha").where(later).select("doc", "place"), "line-gone")
-    places = gone.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places")).select(F.col("doc").alias("_doc"), "places")
+    places = gone.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places")).select(F.col("doc").alias("_doc"), "places").hint("merge")  # by shuffle at any size
     joined = texts.join(places, texts["doc"].eqNullSafe(places["_doc"]), "left").select("doc", "body", "places")
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64()), ("text", pa.string())])
 
