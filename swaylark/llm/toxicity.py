@@ -19,12 +19,12 @@ from . import common as C
 
 ORDERS = (4, 5, 6)
 BITS = 18
-#: Labelled texts of each class that the regression is fitted on, at most: those of the least hashes.
+#: Labelled texts of each class that the regression is fitted on, about: those of the least hashes.
 SAMPLE = 3000
 #: Texts by which the counts of a bucket are smoothed.
 SMOOTH = 150.0
 #: Buckets whose ratio is nearer to 0 than this tell the classes apart too little to keep.
-LEAST_RATIO = 0.02
+LEAST_RATIO = 0.3
 THRESHOLD = 0.7
 
 
@@ -133,13 +133,13 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, epoch
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Weights and bias from the texts of ``docs`` that ``labels`` marks 0 or 1.
 
-    Ratios count every labelled text; the regression is fitted on the ``sample`` texts of each class whose ids
-    hash least. Rows without a label, and labels without a row, are not looked at; a document marked both
+    Ratios count every labelled text; the regression is fitted on about ``sample`` texts of each class, those
+    whose ids hash below a bound. Rows without a label, and labels without a row, are not looked at; a document marked both
     ways counts as 1. Null texts count as empty. Without any label every score is 0.5.
     """
     C.small_batches(docs.sparkSession)
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("label"))
-    labelled = C.staged(_texts(docs.join(marks, docs[key] == marks["_key"]), F.xxhash64(docs[key]).alias("at"), "label"), "toxicity-labelled")
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("label")).hint("merge")  # by shuffle at any size
+    labelled = C.staged(_texts(docs.join(marks, docs[key] == marks["_key"]), F.coalesce(F.xxhash64(docs[key]), F.lit(0)).alias("at"), "label"), "toxicity-labelled")
     have, total = document_counts(labelled)
     if not total.sum():
         return np.zeros(1 << BITS, np.float32), 0.0
@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
     samples, marked = [], []
     for y in (0, 1):
-        part = labelled.where(F.col("label") == y).orderBy("at", F.octet_length("body"), "body").limit(sample)
+        share = F.shiftrightunsigned("at", 11) / F.lit(float(1 << 53))
+        part = labelled.where((F.col("label") == y) & (share < sample / max(total[y], 1)))
         found = [np.frombuffer(x.as_buffer(), np.int32) for x in part.select("body").mapInArrow(sampled, "buckets binary").toArrow().column("buckets")]
         samples += found
         marked += [y] * len(found)
