@@ -353,7 +353,7 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Data
                 keep.append(len(s & t) >= least * len(s | t))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    return pairs.join(one, "a").join(two, "b").select("u", "v", "body_a", "body_b").mapInArrow(judged, "u long, v long")
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("u", "v", "body_a", "body_b").mapInArrow(judged, "u long, v long")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 11, least: float = 0.8) -> DataFrame:
@@ -376,4 +376,4 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("stays"))
     gone = prints.join(rooted.join(names, "root").select("fp", "stays"), "fp").where("doc_id <> stays").select(F.col("doc_id").alias("_gone"))
-    return docs.join(C.staged(gone, "simhash-gone"), docs[key] == F.col("_gone"), "left_anti")
+    return docs.join(C.staged(gone, "simhash-gone").hint("merge"), docs[key] == F.col("_gone"), "left_anti")
