@@ -29,7 +29,7 @@ from . import huffman
 #: Ids in a block, but for a single document of more.
 BLOCK_IDS = 1 << 17
 #: Words whose ids a worker keeps, and letter runs of which words consist.
-KEPT_WORDS, KEPT_RUNS = 800_000, 600_000
+KEPT_WORDS, KEPT_RUNS = 250_000, 200_000
 #: Letters for which composition changes nothing and lower case is a letter for a letter, then marks that are one piece.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 #: The normalizer and the pattern of the tokenizer for which a plain word is its letter run, lower-cased, and its marks.
