@@ -4,6 +4,10 @@ Each line has a hash; a rolling hash over the last few lines ends a chunk where
 that lines put in or left out move the boundaries near them only. Chunks of several lines that occur more
 than once in all documents are removed but for their first occurrence (the least id, then place). Occurrences
 are grouped by the chunks' bytes, combined within each task first; only what repeats is joined back.
+
+Chunks alone miss repeated passages in which no whole chunk falls. With ``pairs`` every two adjacent lines are
+units too, by their SHA-256, so that of each run of two or more lines that occurs elsewhere all copies but the
+first go. What is removed is the union of both.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bytes of chunks that a task combines before it hands them on.
 COMBINE = 24 << 20
+#: Places from here on are those of pairs: this and the first line's number.
+PAIR = 1 << 30
 
 
 def chunks(text: bytes) -> list[tuple[int, int, int]]:
@@ -55,28 +61,51 @@ def _trimmed(chunk: bytes) -> bytes:
     return chunk[:-1] if chunk.endswith(b"\n") else chunk
 
 
-def _many(docs: DataFrame) -> DataFrame:
-    """Each task's distinct chunks of several lines: bytes, occurrences, and the first of them."""
+def units(text: bytes, pairs: bool) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+    """(place, chunk, none) of each chunk of several lines, then (place, none, SHA-256) of each two adjacent lines."""
+    for place, (a, b, lines) in enumerate(chunks(text)):
+        if lines >= LEAST_LINES:
+            yield place, _trimmed(text[a:b]), None
+    if pairs:
+        lines = text.split(b"\n")
+        for i in range(len(lines) - 1):
+            yield PAIR + i, None, hashlib.sha256(lines[i] + b"\n" + lines[i + 1]).digest()
+
+
+def lines_gone(lines: list[bytes], found: list[tuple[int, int, int]], gone: set[int]) -> set[int]:
+    """The numbers of the lines that go with the units at these places."""
+    out, start = set(), 0
+    for place, (_, _, n) in enumerate(found):
+        if place in gone:
+            out.update(range(start, start + n))
+        start += n
+    for i in (x - PAIR for x in gone if x >= PAIR):
+        # of equal lines in a row the first two stay: a later pair may begin within the first one
+        if not (i and PAIR + i - 1 not in gone and lines[i - 1] == lines[i] == lines[i + 1]):
+            out.add(i)
+        out.add(i + 1)
+    return out
+
+
+def _many(docs: DataFrame, pairs: bool) -> DataFrame:
+    """Each task's distinct units: the chunks' bytes or the pairs' SHA-256, occurrences, and the first of them."""
     schema = pa.schema([("sha", pa.binary()), ("chunk", pa.binary()), ("doc", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
         found = list(held.items())
         for i in range(0, len(found), 4096):
             part = found[i : i + 4096]
-            yield C.batch_of(schema, [hashlib.sha256(x).digest()[:16] for x, _ in part], [x for x, _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part])
+            yield C.batch_of(schema, [sha or hashlib.sha256(x).digest()[:16] for (x, sha), _ in part], [x for (x, _), _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part])
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
+        held: dict[tuple, list] = {}
         size = 0
         for batch in batches:
             for doc, text in zip(C.values(batch, "doc"), C.values(batch, "body"), strict=True):
-                for place, (a, b, lines) in enumerate(chunks(text)):
-                    if lines < LEAST_LINES:
-                        continue
-                    chunk = _trimmed(text[a:b])
-                    if (got := held.get(chunk)) is None:
-                        held[chunk] = [doc, place, 1]
-                        size += len(chunk)
+                for place, *unit in units(text, pairs):
+                    if (got := held.get(unit := tuple(unit))) is None:
+                        held[unit] = [doc, place, 1]
+                        size += len(unit[0] or unit[1] or b"")
                     else:
                         got[2] += 1
                         if (doc is None, doc or 0, place) < (got[0] is None, got[0] or 0, got[1]):
@@ -90,14 +119,16 @@ def _many(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(many: DataFrame) -> DataFrame:
-    """Chunks that occur more than once, by their bytes: sha, and the first occurrence."""
+    """Units that occur more than once, chunks by their bytes: sha, and the first occurrence."""
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place")).alias("first")
     return many.groupBy("sha", "chunk").agg(F.sum("n").alias("n"), first).where("n > 1").select("sha", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", pairs: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what stays).
 
+    With ``pairs`` every two adjacent lines are looked at besides the chunks. A line's first occurrence of all
+    then stays always, and of equal lines in a row two. n_chunks_removed counts chunks that repeat as a whole.
     Null texts count as empty, which is one line; they stay empty. Rows that repeat an id and a text hold
     their chunks at the same place of the same id, so both keep a first occurrence. Null ids come last. Empty
     tables give no rows.
@@ -105,12 +136,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     C.small_batches(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc"), C.body(text).alias("body"))
-    repeated = C.staged(_repeated(_many(texts)), "line-repeats")
+    repeated = C.staged(_repeated(_many(texts, pairs)), "line-repeats")
     schema = pa.schema([("doc", pa.int64()), ("place", pa.int32()), ("sha", pa.binary())])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, place, hashlib.sha256(_trimmed(t[a:b])).digest()[:16]) for doc, t in zip(C.values(batch, "doc"), C.values(batch, "body"), strict=True) for place, (a, b, lines) in enumerate(chunks(t)) if lines >= LEAST_LINES]
+            rows = [(doc, place, sha or hashlib.sha256(chunk).digest()[:16]) for doc, t in zip(C.values(batch, "doc"), C.values(batch, "body"), strict=True) for place, chunk, sha in units(t, pairs)]
             if rows:
                 yield C.batch_of(schema, *map(list, zip(*rows, strict=True)))
 
@@ -128,12 +159,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 if not drop:
                     rows.append((doc, t.count(b"\n") + 1, 0, 0, t.decode()))
                     continue
-                gone, found = set(drop), chunks(t)
-                kept = b"".join(t[a:b] for place, (a, b, _) in enumerate(found) if place not in gone)
-                removed = [found[place] for place in gone]
-                if len(found) - 1 in gone and kept.endswith(b"\n"):
-                    kept = kept[:-1]  # the break before a last chunk that goes
-                rows.append((doc, sum(x[2] for x in found), sum(x[2] for x in removed), len(removed), kept.decode()))
+                gone, found, lines = set(drop), chunks(t), t.split(b"\n")
+                out = lines_gone(lines, found, gone)
+                kept = b"\n".join(x for i, x in enumerate(lines) if i not in out)
+                rows.append((doc, len(lines), len(out), sum(place < PAIR for place in gone), kept.decode()))
             yield C.batch_of(out_schema, *map(list, zip(*rows, strict=True)))
 
     return joined.mapInArrow(rebuilt, "doc_id long, n_lines long, n_removed long, n_chunks_removed long, text string")

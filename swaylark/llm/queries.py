@@ -50,7 +50,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), pairs=True)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,6 +446,42 @@ def test_chunks_join_to_the_text_and_follow_content():
     assert len({text[a:b] for a, b, _ in cut} & again) >= len({text[a:b] for a, b, _ in cut}) - 2
 
 
+def brute_pairs(rows):
+    """Lines that stay, by id, when all but the first of each two adjacent lines go; of equal lines in a row two stay."""
+    seen, out = set(), {}
+    for i, x in sorted(rows):
+        lines = x.split("\n")
+        gone, later = set(), set()
+        for k in range(len(lines) - 1):
+            pair = tuple(lines[k : k + 2])
+            if pair in seen:
+                later.add(k)
+                gone |= {k + 1} if k and k - 1 not in later and lines[k - 1] == lines[k] == lines[k + 1] else {k, k + 1}
+            seen.add(pair)
+        out[i] = [y for k, y in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    rng = np.random.default_rng(13)
+    runs = [[f"run {r} line {k} {rng.integers(1 << 30)}" for k in range(r % 6 + 2)] for r in range(30)]
+    rows = []
+    for i in range(80):
+        parts = [[f"own {i} {k}"] + runs[rng.integers(30)] for k in range(3)]
+        rows.append((i, "\n".join(str(x) for p in parts for x in p) + "\nsame" * (i % 5)))
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), pairs=True).collect()}
+    want = brute_pairs(rows)
+    assert {i: r["text"] for i, r in got.items()} == {i: "\n".join(x) for i, x in want.items()}
+    assert all(r["n_lines"] - r["n_removed"] == len(want[i]) for i, r in got.items())
+    left = Counter(x for r in got.values() for x in r["text"].split("\n"))
+    assert all(left[x] == 1 for r in runs for x in r if x in "\n".join(t for _, t in rows).split("\n"))
+
+
+def test_line_dedup_query_leaves_no_repeated_run(spark, docs):
+    got = {r["doc_id"]: r["text"] for r in queries.queries()["op8_line_dedup"](spark, SF).collect()}
+    assert got == {i: "\n".join(x) for i, x in brute_pairs([(r["doc_id"], r["text"]) for r in docs.collect()]).items()}
+
+
 def test_line_dedup_of_odd_rows(odd):
     got = line_dedup.line_dedup(odd)
     assert got.count() == len(ROWS) and got.where("doc_id = 7").agg(F.sum("n_removed")).first()[0] == 0
