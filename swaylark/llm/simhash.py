@@ -34,6 +34,10 @@ WIDE_FROM = 1 << 25
 RADIUS = 2
 #: What a probe costs, in candidates.
 PROBE_COST = 2.0
+#: What of fingerprints may meet in a place before the place is dealt over several.
+MOST = 1 << 16
+#: Odd factors that mix a hash's bits.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
@@ -245,20 +249,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _balls(distinct: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int) -> DataFrame:
-    """Each fingerprint under all partition values in a ball around its own, with radii of its own choice.
+def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int, most: int) -> DataFrame:
+    """Each node (fp, node, root) under all partition values in a ball around its own, with radii of its own choice.
 
     Two fingerprints meet in partition i if they differ in at most the sum of their radii there. Of two that
     differ in at most t bits some partition does so whenever for both the 2 r_i + 1 sum to t + 1 at least.
+    Where more than ``most`` may meet, nodes are in blocks by a hash and every two blocks have a place.
     """
     radii = (0, 1, 2)
     balls = [[np.array([sum((1 << b for b in flips), 0) for k in range(r + 1) for flips in combinations(range(len(g)), k)], np.int64) for r in radii] for g in groups]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.asarray(batch.column(0)).view(np.uint64)
+            fps, node, root = (np.asarray(batch.column(k)) for k in range(3))
+            fps = fps.view(np.uint64)
+            block_of = (node.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(33)).astype(np.int64)
             values = [part_values(fps, g) for g in groups]
             costs = np.full((len(groups), distance + 2, len(fps)), np.inf)
+            costs[:, 0] = 0
             for i, v in enumerate(values):
                 for r in radii:
                     if 2 * r + 1 <= distance + 1:
@@ -266,11 +274,18 @@ def _balls(distinct: DataFrame, groups: list[list[int]], counts: list[list[np.nd
             for i, s in enumerate(allocate(costs) + 1):
                 for r in radii:
                     at = np.flatnonzero(s == 2 * r + 1)
-                    if len(at):
-                        near = (values[i][at][:, None] ^ balls[i][r]).ravel() | i << 32
-                        yield pa.RecordBatch.from_pydict({"place": pa.array(near), "fp": pa.array(np.repeat(fps[at], len(balls[i][r])).view(np.int64))})
+                    if not len(at):
+                        continue
+                    near = (values[i][at][:, None] ^ balls[i][r]).ravel()
+                    who = np.repeat(at, len(balls[i][r]))
+                    blocks = 1 + counts[i][radii[-1]][near] // most  # of at most so many that can meet there
+                    near, who, of = np.repeat(near, blocks), np.repeat(who, blocks), np.repeat(blocks, blocks)
+                    other = np.arange(len(near)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    own = block_of[who] % of
+                    place = near | i << 60 | np.minimum(own, other) << 46 | np.maximum(own, other) << 32
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(place), "fp": pa.array(fps[who].view(np.int64)), "node": pa.array(node[who]), "root": pa.array(root[who])})
 
-    return distinct.select("fp").mapInArrow(dealt, "place long, fp long")
+    return nodes.select("fp", "node", "root").mapInArrow(dealt, "place long, fp long, node long, root long")
 
 
 def nearest_before(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -300,8 +315,23 @@ def nearest_before(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates(distinct: DataFrame, distance: int, parts: int = 4) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints (column fp) within ``distance`` bits: in every place that a fingerprint shares with others, its nearest leader."""
+def all_near(fps: np.ndarray, roots: np.ndarray, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of fingerprints that meet: all pairs (i, j), j < i, within ``distance`` and of different roots, by blocks."""
+    for a in range(0, len(fps), block):
+        for c in range(0, a + 1, block):
+            near = np.bitwise_count(fps[a : a + block, None] ^ fps[None, c : c + block]) <= distance
+            near &= roots[a : a + block, None] != roots[None, c : c + block]
+            i, j = np.nonzero(np.tril(near, -1) if a == c else near)
+            if len(i):
+                yield i + a, j + c
+
+
+def candidates(distinct: DataFrame, distance: int, parts: int = 4, leaders: bool = False, most: int = MOST) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are within ``distance`` bits and whose roots differ: all of them.
+
+    ``distinct`` has fp, a long node (its fp where it is missing) and a root (its node where it is missing): nodes of one root are linked already.
+    With ``leaders`` only the nearest leader of each node in every place, which is enough to link most of a large group.
+    """
     products, n = bit_products(distinct)
     if n < 2:
         return distinct.sparkSession.createDataFrame([], "u long, v long")
@@ -311,49 +341,62 @@ def candidates(distinct: DataFrame, distance: int, parts: int = 4) -> DataFrame:
     counts = [ball_counts(h, 3) for h in histograms(distinct, groups)]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_place, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int64)] * 4
 
-        def pairs(place: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+        def pairs(place: np.ndarray, fps: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             ends = np.append(starts[1:], len(place))
-            u, v = [], []
+            u, v, size = [], [], 0
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                i, j = nearest_before(fps[a:b], distance)
-                if len(i):
-                    u.append(fps[a:b][i])
-                    v.append(fps[a:b][j])
-            if u:
-                return pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u).view(np.int64)), "v": pa.array(np.concatenate(v).view(np.int64))})
-            return None
+                own = fps[a:b].view(np.uint64)
+                for i, j in [nearest_before(own, distance)] if leaders else all_near(own, root[a:b], distance):
+                    u.append(node[a:b][i])
+                    v.append(node[a:b][j])
+                    size += len(i)
+                    if size > 1 << 18:
+                        yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+                        u, v, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
 
         for batch in batches:
-            place, fps = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
-            place, fps = np.concatenate([held_place, place]), np.concatenate([held_fps, fps])
-            last = int(np.searchsorted(place, place[-1], "left")) if len(place) else 0
-            held_place, held_fps = place[last:], fps[last:]
-            if last and (out := pairs(place[:last], fps[:last])):
-                yield out
-        if len(held_place) and (out := pairs(held_place, held_fps)):
-            yield out
-
+            held = [np.concatenate([x, np.asarray(y)]) for x, y in zip(held, batch.columns, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
+            if last:
+                yield from pairs(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield from pairs(*held)
+
+    node = F.col("node") if "node" in distinct.columns else F.col("fp")
+    nodes = distinct.select("fp", node.alias("node"), (F.col("root") if "root" in distinct.columns else node).alias("root"))
     n_tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
-    dealt = _balls(distinct, groups, counts, distance).repartition(n_tasks, "place").sortWithinPartitions("place", "fp")
-    return dealt.mapInArrow(met, "u long, v long").distinct()
+    dealt = _balls(nodes, groups, counts, distance, most).repartition(n_tasks, "place").sortWithinPartitions("place", "fp", "node")
+    return dealt.mapInArrow(met, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def similar(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Of pairs of documents (a, b, u, v) those whose sets of word shingles have a Jaccard similarity of ``least``: u, v. ``docs``: id, body."""
-    one, two = docs.select(F.col("id").alias("a"), F.col("body").alias("body_a")), docs.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+    """Of pairs of documents (u, v) those whose sets of word shingles have a Jaccard similarity of ``least``. ``docs``: id, body."""
+    one, two = docs.select(F.col("id").alias("u"), F.col("body").alias("body_u")), docs.select(F.col("id").alias("v"), F.col("body").alias("body_v"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[bytes, set[int]] = {}  # of the last few texts, as pairs of one document follow each other
+
+        def shingles(x: bytes) -> set[int]:
+            if x not in sets:
+                if len(sets) > 7:
+                    del sets[next(iter(sets))]
+                sets[x] = set(shingle_hashes(x, words))
+            return sets[x]
+
         for batch in batches:
             keep = []
-            for x, y in zip(C.values(batch, "body_a"), C.values(batch, "body_b"), strict=True):
-                s, t = set(shingle_hashes(x, words)), set(shingle_hashes(y, words))
+            for x, y in zip(C.values(batch, "body_u"), C.values(batch, "body_v"), strict=True):
+                s, t = shingles(x), shingles(y)
                 keep.append(len(s & t) >= least * len(s | t))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("u", "v", "body_a", "body_b").mapInArrow(judged, "u long, v long")
+    return pairs.hint("merge").join(one, "u").hint("merge").join(two, "v").select("u", "v", "body_u", "body_v").mapInArrow(judged, "u long, v long")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 11, least: float = 0.8) -> DataFrame:
@@ -362,18 +405,18 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Documents are near duplicates if their fingerprints over shingles of ``words`` words differ in at most
     ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more; texts of one
     fingerprint are judged by the text of the least id among them. Groups are what such links connect; the
-    least id stays. Texts without a word are one group. Ids should be unique and not null. An empty table
-    stays empty.
+    least id stays. First each is compared with its nearest leaders, then all pairs within the distance that
+    the links so far do not connect. Texts without a word are one group. Ids should be unique and not null.
+    An empty table stays empty.
     """
     C.small_batches(docs.sparkSession)
     prints = C.staged(fingerprints(docs, key, text, words), "simhash-prints")
-    distinct = C.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    close = C.staged(candidates(distinct, distance), "simhash-candidates")
-    named = lambda side, doc: distinct.select(F.col("fp").alias(side), F.col("least").alias(doc))
-    pairs = close.join(named("u", "a"), "u").join(named("v", "b"), "v")
+    nodes = C.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
     bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
-    found = components(similar(pairs, bodies, words, least))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("stays"))
-    gone = prints.join(rooted.join(names, "root").select("fp", "stays"), "fp").where("doc_id <> stays").select(F.col("doc_id").alias("_gone"))
+    first = C.staged(similar(candidates(nodes, distance, leaders=True), bodies, words, least), "simhash-first")
+    linked = C.staged(nodes.join(components(first).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-linked")
+    close = C.staged(candidates(linked, distance), "simhash-candidates")
+    found = components(first.unionAll(similar(close, bodies, words, least)))
+    rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    gone = prints.join(rooted.hint("merge"), "fp").where("doc_id <> root").select(F.col("doc_id").alias("_gone"))
     return docs.join(C.staged(gone, "simhash-gone").hint("merge"), docs[key] == F.col("_gone"), "left_anti")

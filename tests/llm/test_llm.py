@@ -235,6 +235,36 @@ def test_candidates_connect_what_is_near(spark):
     assert {signed(f) for f in fps if any(0 < (f ^ g).bit_count() <= 3 for g in fps)} <= near
 
 
+@pytest.mark.parametrize("most", [simhash.MOST, 40])
+def test_candidates_are_all_pairs_of_different_roots(spark, most):
+    fps = planted_prints()
+    df = spark.createDataFrame([(signed(f), k, k // 7) for k, f in enumerate(fps)], "fp long, node long, root long")
+    got = [tuple(r) for r in simhash.candidates(df, 11, most=most).collect()]
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 11 and i // 7 != j // 7}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_dedup_links_past_a_nearer_template(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 30, 300)]
+        one, two = list(base), list(base)
+        for at in range(3, 300, 38):
+            one[at] = two[at] = f"own{g}{at}"
+        for at in range(8, 300, 100):
+            two[at] = f"two{g}{at}"
+        rows += [" ".join(x) for x in (base, one, two)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(x.encode(), 5)) for x in rows]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(x.encode(), 5)) for x in rows]
+    like = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    kept = {r["doc_id"] for r in simhash.near_dedup(df).collect()}
+    for g in range(0, 120, 3):
+        assert not like(g, g + 1) and like(g + 1, g + 2) and g in kept
+        assert (fps[g + 1] ^ fps[g + 2]).bit_count() > 11 or g + 2 not in kept
+
+
 def test_thresholds_sum_to_what_the_principle_asks():
     costs = np.random.default_rng(5).uniform(0, 10, (4, 4, 50))
     costs[:, 0] = 0
