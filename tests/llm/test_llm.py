@@ -244,6 +244,34 @@ def test_candidates_are_all_pairs_of_different_roots(spark, most):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_dedup_finds_pairs_little_over_its_similarity(spark):
+    rng, rows = np.random.default_rng(9), []
+    for g in range(200):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 30, 300)]
+        copy = list(base)
+        for at in range(10, 300, 50):
+            copy[at] = f"copy{g}{at}"
+        rows += [" ".join(base), " ".join(copy)]
+    sets = [set(simhash.shingle_hashes(x.encode(), 5)) for x in rows]
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.82 for i in range(0, 400, 2))
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert set(range(0, 400, 2)) <= kept and sum(i + 1 not in kept for i in range(0, 400, 2)) >= 196
+
+
+def test_near_dedup_stage_against_all_similar_pairs(spark, docs):
+    import corpus_pipeline as P
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert {r["doc_id"] for r in P.near_duplicates_out(spark, docs, SF).collect()} == set(root.values())
+
+
 def test_near_dedup_links_past_a_nearer_template(spark):
     rng = np.random.default_rng(8)
     rows = []
