@@ -12,6 +12,7 @@ Only distinct fingerprints are joined; documents come back to them at the end.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -38,7 +39,7 @@ PROBE_COST = 2.0
 #: What of fingerprints may meet in a place before the place is dealt over several.
 MOST = 1 << 16
 #: Fingerprints of a document in ``near_dedup``. Sets of Jaccard similarity 0.8 and like size differ in a bit with probability 0.151,
-#: so in at most 11 of 64 with 0.74 (seldom less for more similar ones): four independent ones lose 1 pair in 220.
+#: so in at most 11 of 64 with 0.74 (seldom less for more similar ones): four independent ones lose 1 pair in 230.
 PRINTS = 4
 #: Odd factors that mix a hash's bits.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -89,20 +90,24 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def several_prints(docs: DataFrame, key: str, text: str, words: int, n: int = PRINTS) -> DataFrame:
-    """Per row: doc_id and fp0, fp1, ..., fingerprints over independent hashes of the shingles."""
+    """Per row: doc_id, sha (32 bytes) of the set of shingles, and fp0, fp1, ..., its fingerprints over independent hashes.
+
+    A shingle that repeats counts once, so that none outweighs the rest of the set.
+    """
     C.small_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(n)]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
+            fps, shas = [], []
             for x in C.values(batch, "body"):
-                hashes = np.array(shingle_hashes(x, words), np.uint64)
+                hashes = np.unique(np.array(shingle_hashes(x, words), np.uint64))
+                shas.append(hashlib.sha256(hashes.tobytes()).digest())
                 fps.append([fingerprint(mixed(hashes, k)) for k in range(n)])
             fps = np.array(fps, np.uint64).reshape(-1, n).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id"))} | {name: pa.array(fps[:, k]) for k, name in enumerate(names)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "sha": pa.array(shas, pa.binary())} | {name: pa.array(fps[:, k]) for k, name in enumerate(names)})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), C.body(text).alias("body")).mapInArrow(printed, "doc_id long" + "".join(f", {x} long" for x in names))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), C.body(text).alias("body")).mapInArrow(printed, "doc_id long, sha binary" + "".join(f", {x} long" for x in names))
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -434,8 +439,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """The rows of ``docs`` but for near duplicates: one document of each group stays, with all its columns.
 
     Documents are near duplicates if one of their PRINTS fingerprints over shingles of ``words`` words differs
-    in at most ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more; texts
-    of the same fingerprints are judged by the text of the least id among them. Groups are what such links connect; the
+    in at most ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more.
+    Each distinct set of shingles is a node, named by its least id. Groups are what such links connect; the
     least id stays. First each is compared with its nearest leaders by one fingerprint, then all pairs within the
     distance that the links so far do not connect. Texts without a word are one group. Ids should be unique and
     not null. An empty table stays empty.
@@ -443,12 +448,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     names = [f"fp{k}" for k in range(PRINTS)]
     by = lambda table, name: table.withColumnRenamed(name, "fp")
     prints = C.staged(several_prints(docs, key, text, words), "simhash-prints")
-    nodes = C.staged(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
+    nodes = C.staged(prints.groupBy("sha", *names).agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
     bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
     first = C.staged(similar(candidates(by(nodes, names[0]), distance, leaders=True), bodies, words, least), "simhash-first")
     linked = C.staged(nodes.join(components(first).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-linked")
     close = [C.staged(candidates(by(linked, x), distance), "simhash-candidates") for x in names]
     found = components(first.unionAll(similar(reduce(DataFrame.unionAll, close).distinct(), bodies, words, least)))
     rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    gone = prints.join(rooted.hint("merge"), names).where("doc_id <> root").select(F.col("doc_id").alias("_gone"))
+    gone = prints.join(rooted.select("sha", "root").hint("merge"), "sha").where("doc_id <> root").select(F.col("doc_id").alias("_gone"))
     return docs.join(C.staged(gone, "simhash-gone").hint("merge"), docs[key] == F.col("_gone"), "left_anti")

@@ -272,6 +272,14 @@ def test_near_dedup_stage_against_all_similar_pairs(spark, docs):
     assert {r["doc_id"] for r in P.near_duplicates_out(spark, docs, SF).collect()} == set(root.values())
 
 
+def test_near_dedup_keeps_clean_documents_that_share_a_filler(spark):
+    rows = ["0 " * 200 + " ".join(f"word{g}x{k}" for k in range(60)) for g in range(20)]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(x.encode(), 5)) for x in rows}) == 1
+    rows += [rows[3] + " more", rows[3].upper(), rows[5].replace("0 ", "0  ")]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == set(range(20))
+
+
 def test_near_dedup_links_past_a_nearer_template(spark):
     rng = np.random.default_rng(8)
     rows = []
