@@ -32,6 +32,9 @@ BLOCK_IDS = 1 << 17
 KEPT_WORDS, KEPT_RUNS = 250_000, 200_000
 #: Letters for which composition changes nothing and lower case is a letter for a letter, then marks that are one piece.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: White space of str.split that the tokenizer keeps, and what white space is to both.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The normalizer and the pattern of the tokenizer for which a plain word is its letter run, lower-cased, and its marks.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,6 +46,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def words_of(text: str) -> list[str]:
+    """What the tokenizer's white space parts."""
+    if any(x in text for x in SEPARATORS):
+        return [w for w in SPACE.split(text) if w]
+    return text.split()
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins what white space parts, so the ids of each word between white space are kept."""
 
@@ -106,7 +116,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id; and each one's number of ids."""
-        lists = list(map(str.split, texts))
+        lists = list(map(words_of, texts))
         words = list(chain.from_iterable(lists))
         if len(self.places) > KEPT_WORDS:
             self._clear()

@@ -474,6 +474,18 @@ def test_token_files_against_the_tokenizer(spark, odd):
     assert tokens.token_files(df.limit(0)).count() == 0
 
 
+def test_words_part_where_the_tokenizer_parts():
+    from tokenizers import Tokenizer
+
+    odd = [*map(chr, range(0xA1)), "\u1680", "\u180e", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", "\u202f", "\u205f", "\u2060", "\u3000", "\ufeff"]
+    texts = [x for c in odd for x in (f"a{c}b", c, f"{c}\x1d", f"one {c} two", f"Ab,{c}{c}é.")] + ["".join(odd)]
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    flat, sizes = tokens.WordEncoder(tokens.tokenizer_path(), 1)(texts)
+    ends = np.cumsum(sizes)
+    for x, end, n in zip(texts, ends, sizes, strict=True):
+        assert flat[end - n : end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+
+
 # 8
 
 
