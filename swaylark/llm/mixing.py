@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_SOURCES = 10_000
 #: Hex digits of a hash that make a uniform number: 13 digits are 52 bits.
 DIGITS = 13
+#: A larger mean is drawn as the sum of draws of equal means up to this, for exp(-mean) is 0 beyond 745.
+LARGEST_MEAN = 500.0
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -37,7 +39,7 @@ def poisson_steps(mean: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, size: float = 1.0) -> DataFrame:
-    """Per source: documents, target weight, mean repetition and its Poisson steps.
+    """Per source: documents, target weight, mean repetition, of how many draws it is the sum, and the Poisson steps of each.
 
     ``weights`` names target weights by source; sources that it leaves out weigh 0. Without it a source of n
     documents weighs n ** temperature. Weights are scaled to a sum of 1; the mix has about ``size`` times as
@@ -53,7 +55,8 @@ def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, flo
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("n").alias("all_n")).first()
     weighted = counts.withColumn("weight", F.try_divide("raw", F.lit(totals["all_raw"] or 0.0)))
     rate = F.col("weight") * F.lit(totals["all_n"] or 0.0) * F.lit(float(size)) / F.col("n")
-    return weighted.withColumn("mean_repeats", F.coalesce(rate, F.lit(0.0))).select(F.col(source).alias("_source"), "n", "weight", "mean_repeats", poisson_steps(F.col("mean_repeats")).alias("steps"))
+    drawn = weighted.withColumn("mean_repeats", F.coalesce(rate, F.lit(0.0))).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean_repeats") / LARGEST_MEAN).cast("int")))
+    return drawn.select(F.col(source).alias("_source"), "n", "weight", "mean_repeats", "draws", poisson_steps(F.col("mean_repeats") / F.col("draws")).alias("steps"))
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict[str, float] | None = None, temperature: float = 0.5, size: float = 1.0, seed: int = 17, with_order: bool = False) -> DataFrame:
@@ -62,16 +65,18 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     The draw depends on seed and id only, so it holds on any cluster and after any retry. Rows that repeat an
     id are repeated alike; a null id draws as the word null. Null sources are one source. Texts are not
     looked at: null, empty and very long ones pass as they are. An empty table stays empty. Names that begin
-    with an underscore are ours: _source, _steps, _u, _count, _copy, _order. With ``with_order`` the columns
+    with an underscore are ours: _source, _draws, _steps, _u, _count, _copy, _order. With ``with_order`` the columns
     copy_no (from 0) and order_key, by which the result is sorted, follow.
     """
     rates = source_rates(docs, source, weights, temperature, size)
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select("_source", F.col("steps").alias("_steps"))
+    rates = rates.select("_source", F.col("draws").alias("_draws"), F.col("steps").alias("_steps"))
     names = docs.columns
     joined = docs.join(F.broadcast(rates) if small else rates, docs[source].eqNullSafe(rates["_source"]), "inner")
     drawn = joined.withColumn("_u", uniform(seed, F.col(key)))
-    count = F.size(F.filter("_steps", lambda x: x <= F.col("_u")))
+    reached = lambda u: F.size(F.filter("_steps", lambda x: x <= u))
+    further = F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda held, k: held + reached(uniform(seed, F.col(key), k)))
+    count = reached(F.col("_u")) + F.when(F.col("_draws") > 1, further).otherwise(0)
     out = drawn.withColumn("_count", count).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
     out = out.withColumn("_order", uniform(seed + 1, F.col(key), F.col("_copy"))).orderBy("_order", key, "_copy")
     return out.select(*names, F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key")) if with_order else out.select(*names)

@@ -577,6 +577,12 @@ def test_mixing_meets_its_weights(spark):
     assert "big" not in {r["source"] for r in mixing.mix(df, weights={"mid": 1.0}).select("source").distinct().collect()}
 
 
+def test_mixing_of_large_means(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "small").otherwise("big").alias("source"))
+    got = [r["count"] for r in mixing.mix(df, weights={"small": 1.0}, size=1000.0).groupBy("doc_id").count().collect()]
+    assert len(got) == 100 and np.mean(got) == pytest.approx(2000, abs=20) and 30 < np.std(got) < 60
+
+
 def test_mixing_of_odd_rows_repeats_exactly(odd):
     a, b = (mixing.mix(x, with_order=True) for x in (odd, odd.repartition(5)))
     key = lambda d: [(r["order_key"], r["doc_id"], r["copy_no"]) for r in d.collect()]
