@@ -107,33 +107,75 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_suffix_dedup_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, {"unit": 90}), (2, {"most": 1}), (3, {"most": 2, "unit": 150, "bucket": 40})])
+def test_suffix_dedup_against_brute_force(spark, seed, options):
     rng = np.random.default_rng(seed)
     shared = ["".join(rng.choice(list("abcd é"), n)) for n in (25, 60, 200)]
     texts = []
     for _ in range(60):
         parts = ["".join(rng.choice(list("abcdefgh ijklé"), rng.integers(0, 80))), shared[rng.integers(3)] if rng.random() < 0.5 else "", "ab" * int(rng.integers(0, 40))]
         texts.append("".join(parts))
-    texts += [texts[0], texts[0], "", "x" * 20, "x" * 19, "z" * 300]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffix_dedup.suffix_dedup(df, length=20, chunk=800, bucket=500).orderBy("doc_id").collect()
-    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_suffix([t.encode() for t in texts], 20)
+    texts += [texts[0], texts[0], "", "x" * 20, "x" * 19, "z" * 300, None]
+    ids = [None if i % 17 == 3 else i // 3 for i in range(len(texts))]  # ids repeat and are null
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = suffix_dedup.suffix_dedup(df, length=20, **options).collect()
+    want = [(i, *x) for i, x in zip(ids, brute_suffix([(t or "").encode() for t in texts], 20), strict=True)]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 2])
+def test_suffix_dedup_of_crowded_edges(spark, most):
+    rng = np.random.default_rng(20)
+    word = lambda n: "".join(rng.choice(list("abcdefghij klmnop"), n))
+    passages = [word(n) for n in (120, 260)]
+    texts = [word(rng.integers(0, 90)) + passages[i % 2][rng.integers(0, 9) * (i % 3 == 0) :] + word(rng.integers(0, 90)) for i in range(80)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=100, most=most, unit=1000).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_suffix([t.encode() for t in texts], 100)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(1 << n))
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 2])
+def test_suffix_dedup_compares_bytes(spark, most):
+    rng = np.random.default_rng(21)
+    one, two = ("x" * 100 + thue_morse(7, *pair) + "x" * 44 for pair in (("Ko", "qQ"), ("qQ", "Ko")))
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 60))
+    texts = ["1" + one + "q", "2" + two + "w"] + [word() + (one, two)[i % 2][1:399] + word() for i in range(12)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=most).orderBy("doc_id").collect()
+    want = brute_suffix([t.encode() for t in texts], 400)
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == want and all(x[1] == 0 for x in want[:2])
 
 
 def test_suffix_dedup_of_odd_rows(odd):
-    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(odd.where("doc_id <> 7")).collect()}
-    assert got[5]["n_removed"] == len(LONG) == got[6]["n_removed"] and got[3]["n_bytes"] == 0 and got[1]["n_removed"] == 0
+    got = suffix_dedup.suffix_dedup(odd).collect()
+    want = brute_suffix([(r[1] or "").encode() for r in ROWS], 400)
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((r[0], *x) for r, x in zip(ROWS, want, strict=True)), key=key)
     assert suffix_dedup.suffix_dedup(odd.limit(0)).count() == 0
     kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.suffix_dedup(odd.where("doc_id in (1, 5, 6)"), with_text=True).collect()}
     assert kept[5] == b"" and kept[1] == ROWS[0][1].encode()
 
 
-def test_multikey_order():
+def test_suffix_dedup_query_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in queries.queries()["op2_suffix_dedup"](spark, SF).collect()}
+    assert got == {i: x for (i, _), x in zip(rows, brute_suffix([t for _, t in rows], 400), strict=True)}
+
+
+def test_multikey_sort():
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 5, 200).astype(np.uint64), rng.integers(0, 50, 200).astype(np.uint64)
-    o = suffix_dedup.multikey_order(a, b)
-    assert sorted(zip(a.tolist(), b.tolist())) == list(zip(a[o].tolist(), b[o].tolist()))
+    rows = rng.integers(0, 3, (300, 20)).astype(np.uint8)
+    rows[100:200, :15] = rows[:100, :15]
+    rows[200:250] = rows[50:100]
+    order, common = suffix_dedup.multikey_sort(suffix_dedup.tokens(rows))
+    sorted_rows = [rows[i].tobytes() for i in order]
+    assert sorted_rows == sorted(r.tobytes() for r in rows)
+    for a, b, n in zip(sorted_rows, sorted_rows[1:], common[1:], strict=False):
+        want = next((k for k in range(20) if a[k] != b[k]), 24)
+        assert n == want
 
 
 # 3
