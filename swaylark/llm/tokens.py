@@ -1,9 +1,9 @@
 """Token ids in Huffman-coded files.
 
 Texts are put in order of doc_id, encoded and kept as blocks of packed ids; a canonical length-limited code
-follows from the global counts of ids. Then the blocks are written as shards: each block holds whole documents, their ids as one bit string, bit-offset checkpoints and the documents'
-lengths. Shards are Parquet files in the shared folder with a row for each block; the code is a small table
-beside them.
+follows from the global counts of ids. Then the blocks are written as shards: each block holds whole documents,
+their ids as one bit string, bit-offset checkpoints and the documents' lengths. Shards are Parquet files in the
+shared folder with a row for each block; the code is a small table beside them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,19 @@ from . import huffman
 
 #: Ids in a block, but for a single document of more.
 BLOCK_IDS = 1 << 17
-#: Words whose ids a worker keeps, and letter runs of which words consist.
-KEPT_WORDS, KEPT_RUNS = 250_000, 200_000
-#: Letters for which composition changes nothing and lower case is a letter for a letter, then marks that are one piece.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Pieces whose ids a worker keeps; beyond that, those that were met least lately go.
+KEPT_PIECES = 400_000
+#: Bytes of text in a shard, about, where there are more than shuffle partitions ask for.
+SHARD = 128 << 20
+#: Letters for which composition changes nothing and lower case is a letter for a letter, in lower case.
+LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"
+#: What texts of such letters and ASCII alone do not have; and the pieces of such texts in lower case, by the pattern below.
+ODD = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
 #: White space of str.split that the tokenizer keeps, and what white space is to both.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: The normalizer and the pattern of the tokenizer for which a plain word is its letter run, lower-cased, and its marks.
+#: The normalizer and the pattern of the tokenizer whose pieces those are.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -53,8 +58,12 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer that never joins what white space parts, so the ids of each word between white space are kept."""
+class PieceEncoder:
+    """Encodes texts with a tokenizer that never joins its pieces, so the ids of each piece are kept.
+
+    Texts of ASCII and common Latin letters are cut by the tokenizer's own pattern; others into words at white
+    space, which the tokenizer encodes itself.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
@@ -62,72 +71,71 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.runs: dict[str, list[int]] = {}
-        self.bare = None  # the same model without the patterns that a letter run does not need
+        self.bare = None  # the same model for pieces that are cut and in lower case already
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         if kinds == NORMALIZERS and split.get("pattern", {}).get("Regex") == PATTERN:
             spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
             self.bare = Tokenizer.from_str(json.dumps(spec))
+        self.turn = 0
         self.places: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places = {}
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.sizes = np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.pool = np.zeros(1 << 14, np.uint32)
         self.filled = 0
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word: of plain ones those of its letter run and of its marks."""
-        encode = lambda by, x: [e.ids for e in by.encode_batch_fast(x, add_special_tokens=False)] if x else []
-        if self.bare is None:
-            return encode(self.tokenizer, words)
-        if len(self.runs) > KEPT_RUNS:
-            self.runs = {}
-        runs, odd, parts = self.runs, [], []
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            parts.append((m[1].lower(), m[2]) if m else None)
-            if not m:
-                odd.append(w)
-        new = list(dict.fromkeys(x for p in parts if p for x in p if x and x not in runs))
-        runs.update(zip(new, encode(self.bare, new), strict=True))
-        others = iter(encode(self.tokenizer, odd))
-        return [next(others) if p is None else runs[p[0]] + runs[p[1]] if p[1] else runs[p[0]] for p in parts]
-
-    def _learn(self, words: list[str]) -> None:
-        found = self._ids(words)
-        n = len(self.places)
-        while n + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for j, (word, ids) in enumerate(zip(words, found, strict=True), n):
-            self.places[word], self.sizes[j] = j, len(ids)
-        sizes = self.sizes[n : n + len(words)]
+    def _trim(self) -> None:
+        """Only pieces met in the later turns stay, about half."""
+        pieces = list(self.places)
+        n = len(pieces)
+        keep = np.flatnonzero(self.met[:n] > np.median(self.met[:n]))
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.pool = self.pool[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.filled, self.starts, self.sizes, self.met = len(self.pool), ends - sizes, sizes, self.met[keep]
+        self.places = {pieces[i]: j for j, i in enumerate(keep.tolist())}
+
+    def _learn(self, pieces: list[str], encoder) -> None:
+        found = [e.ids for e in encoder.encode_batch_fast(pieces, add_special_tokens=False)]
+        n, m = len(self.places), len(pieces)
+        if n + m > len(self.starts):
+            self.starts, self.sizes, self.met = (np.concatenate([x[:n], np.zeros(2 * m + n, np.int64)]) for x in (self.starts, self.sizes, self.met))
+        self.places.update(zip(pieces, range(n, n + m), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, m)
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        while self.filled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.starts[n : n + len(words)] = self.filled + np.cumsum(sizes) - sizes
+        if self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(2 * len(flat) + self.filled, np.uint32)])
+        self.sizes[n : n + m] = sizes
+        self.starts[n : n + m] = self.filled + np.cumsum(sizes) - sizes
         self.pool[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
 
+    def _placed(self, pieces: list[str], encoder) -> np.ndarray:
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)), encoder)
+            at[missing] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+        return at
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id; and each one's number of ids."""
-        lists = list(map(words_of, texts))
-        words = list(chain.from_iterable(lists))
-        if len(self.places) > KEPT_WORDS:
-            self._clear()
-        found = list(map(self.places.get, words))
-        new = list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None))
-        if new:
-            self._learn(new)
-            found = list(map(self.places.get, words))
-        at = np.array(found, np.int64)
-        sizes, starts = self.sizes[at], self.starts[at]
+        self.turn += 1
+        if len(self.places) > KEPT_PIECES:
+            self._trim()
+        plain = np.array([self.bare is not None and not ODD.search(x) and not any(y in x for y in self.special) for x in texts], bool)
+        lists = [PIECES.findall(x.lower()) if p else words_of(x) for x, p in zip(texts, plain.tolist(), strict=True)]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.empty(int(counts.sum()), np.int64)
+        of = np.repeat(plain, counts)
+        for kind, encoder in ((True, self.bare), (False, self.tokenizer)):
+            if (plain == kind).any():
+                at[of == kind] = self._placed(list(chain.from_iterable(x for x, p in zip(lists, plain.tolist(), strict=True) if p == kind)), encoder)
+        self.met[at] = self.turn
+        sizes, starts = self.sizes[at], self.starts[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
         flat = self.pool[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
@@ -146,9 +154,9 @@ def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end_id: int) -> WordEncoder:
-    """One for each Python worker, so that tasks after the first find its words."""
-    return WordEncoder(path, end_id)
+def encoder_of(path: str, end_id: int) -> PieceEncoder:
+    """One for each Python worker, so that tasks after the first find its pieces."""
+    return PieceEncoder(path, end_id)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -192,7 +200,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str =
             yield full()
 
     named = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), C.total_bytes(docs, text) // SHARD)
     ordered = named.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     return ordered.mapInArrow(encoded, "shard int, block int, start long, n_ids long, keys array<long>, sizes array<long>, packed binary")
 

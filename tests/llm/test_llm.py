@@ -522,12 +522,28 @@ def test_words_part_where_the_tokenizer_parts():
     odd = [*map(chr, range(0xA1)), "\u1680", "\u180e", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", "\u202f", "\u205f", "\u2060", "\u3000", "\ufeff"]
     texts = [x for c in odd for x in (f"a{c}b", c, f"{c}\x1d", f"one {c} two", f"Ab,{c}{c}é.")] + ["".join(odd)]
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    flat, sizes = tokens.WordEncoder(tokens.tokenizer_path(), 1)(texts)
+    flat, sizes = tokens.PieceEncoder(tokens.tokenizer_path(), 1)(texts)
     ends = np.cumsum(sizes)
     for x, end, n in zip(texts, ends, sizes, strict=True):
         assert flat[end - n : end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
 
 
+def test_pieces_after_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    rng = np.random.default_rng(14)
+    kinds = ["It's", "don't", "'sun", "l'\u00e9t\u00e9", "3.14", "\u00df\u00d8", "a\u0301", "\u4e2d\u6587", "<|endoftext|>", "...'ll", "x\x00y", "\u00aa1\u00b2", "\u0130", "tab\tx", "WE'RE", "\u00d7\u00f7"]
+    texts = [" ".join(str(x) for x in rng.choice([*kinds, *("".join(rng.choice(list("abCDé'. "), 6)) for _ in range(20))], 12)) for _ in range(150)]
+    t, encoder = Tokenizer.from_file(tokens.tokenizer_path()), tokens.PieceEncoder(tokens.tokenizer_path(), 1)
+    for a in range(0, 150, 10):
+        flat, sizes = encoder(texts[a : a + 10])
+        ends = np.cumsum(sizes)
+        for x, end, n in zip(texts[a : a + 10], ends, sizes, strict=True):
+            assert flat[end - n : end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+    assert len(encoder.places) < 2000
+
+
 # 8
 
 
