@@ -33,7 +33,7 @@ KEPT_PIECES = 400_000
 #: Bytes of text in a shard, about, where there are more than shuffle partitions ask for.
 SHARD = 128 << 20
 #: Letters for which composition changes nothing and lower case is a letter for a letter, in lower case.
-LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 #: What texts of such letters and ASCII alone do not have; and the pieces of such texts in lower case, by the pattern below.
 ODD = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
