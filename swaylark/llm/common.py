@@ -16,9 +16,11 @@ BATCH_ROWS = 4000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, in local mode only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -57,7 +59,7 @@ def values(batch: pa.RecordBatch, name: str) -> list:
 
 
 def binaries(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's bytes end to end, and its offsets from the first byte."""
+    """The bytes of a binary or string column end to end, and its offsets from the first byte."""
     column = batch.column(batch.schema.get_field_index(name))
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)

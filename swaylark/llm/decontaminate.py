@@ -154,7 +154,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, key
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, with all their columns."""
+    """The rows of ``docs`` in which no item occurs, with all their columns.
+
+    Null and empty texts hold nothing and stay; texts of any length are searched whole; rows that repeat stay or
+    go alike, whatever their ids. Null and empty items occur nowhere. Columns may have any names. Empty tables
+    stay empty; without items all rows stay.
+    """
     C.small_batches(docs.sparkSession)
     out = docs
     for block in _blocks(benchmark, "item_id", "text"):

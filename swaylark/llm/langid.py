@@ -26,7 +26,7 @@ STEPS = 260
 BATCH = 160
 #: A place past the end of a text: its update gate keeps the state as it is.
 PAD = 256
-#: Languages that can be told apart.
+#: Languages that are learned: the most frequent ones. A bound of the classifier; texts of others get one of these.
 MOST_LANGUAGES = 256
 
 
@@ -217,21 +217,20 @@ def _uniform(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """From rows whose language is not null: about ``sample`` documents of each language, those whose ids hash least.
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Network | None:
+    """From rows whose language is not null: about ``sample`` documents of each of the ``most`` most frequent languages, those whose ids hash least.
 
-    Two windows of each, at places drawn from its length, come to the driver. None without any language.
+    Two windows of each, at places drawn from its length, come to the driver. Null and empty texts teach nothing;
+    rows that repeat an id are chosen alike. None without any language.
     """
     C.small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(lang).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError("too many languages")
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
     if not counts:
         return None
     languages = sorted(counts)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, sample / n)])
-    chosen = known.where(_uniform(F.col(key)) < share[F.col(lang)])
+    chosen = known.where(F.col(lang).isin(languages) & (_uniform(F.col(key)) < F.try_element_at(share, F.col(lang))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +254,8 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
     """Per row of ``docs``: doc_id, lang_pred, score (the mean probability of that language).
 
     Null texts, empty ones and those without a letter are ``und`` with score 0, as is all text if nothing was
-    learned. Texts of any length are read whole.
+    learned. Texts of any length are read whole. Rows that repeat are rows of their own; null ids stay null; of
+    equal probabilities the first language by name counts. Empty tables give no rows.
     """
     C.small_batches(docs.sparkSession)
 
@@ -265,8 +265,8 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
             texts = C.values(batch, "text")
             letters = [net is not None and x is not None and any(map(str.isalpha, x)) for x in texts]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            data, offsets = C.binaries(batch, "body")
-            for a, b in C.blocks(batch, "body", 1 << 20):
+            data, offsets = C.binaries(batch, "text")
+            for a, b in C.blocks(batch, "text", 1 << 20):
                 if not any(letters[a:b]):
                     continue
                 p = reader.classify(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -276,4 +276,4 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
                         names[i], scores[i] = net.languages[best[i - a]], min(1.0, float(p[i - a, best[i - a]]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), C.body(text).alias("body")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")

@@ -2,8 +2,8 @@
 
 A source with n documents and target weight w is to give w x total documents, so each of its documents is
 repeated w x total / n times on average. How often a document is repeated is drawn from the Poisson
-distribution of that mean: a hash of seed, id and row content gives a number in [0, 1), and the count is how
-many steps of the cumulative distribution it reaches. Documents are then exploded by their counts and dealt
+distribution of that mean: a hash of seed and id gives a number in [0, 1), and the count is how many steps of
+the cumulative distribution it reaches; a large mean is a sum of such draws. Documents are then exploded by their counts and dealt
 to a global order by another hash.
 """
 

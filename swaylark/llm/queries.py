@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(modulus: int, rest: int, key: str = "doc_id") -> F.Column:
-    """Whether the CRC-32 of the id as text leaves this remainder."""
-    return F.crc32(F.col(key).cast("string")) % modulus == rest
+    """Whether the CRC-32 of the id as text leaves this remainder. A null id is held out: nothing is learned from its row."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == rest, F.lit(True))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +100,17 @@ GROUP BY ALL
 
 MIXING_SQL = """
 WITH sources AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
-rates AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM sources) * (SELECT sum(n) FROM sources) / n AS m FROM sources),
+means AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM sources) * (SELECT sum(n) FROM sources) / n AS mean FROM sources),
+rates AS (SELECT source, greatest(1, ceil(mean / 500)) AS draws, mean / draws AS m FROM means),
 steps AS (
   SELECT source, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
-  FROM rates, range(0, 400) r(k)
+  FROM rates, range(0, 800) r(k)
   WHERE k <= ceil(m + 12 * sqrt(m) + 20)),
-drawn AS (SELECT *, ('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(s.upto) AS c FROM drawn d JOIN steps s ON s.source = d.source AND s.upto <= d.u GROUP BY ALL)
+drawn AS (
+  SELECT doc_id, source, ('0x' || substr(md5('17:' || doc_id || CASE WHEN k > 0 THEN ':' || k ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT doc_id, source, unnest(range(0, draws::BIGINT)) AS k FROM documents JOIN rates USING (source))),
+counts AS (SELECT d.doc_id, count(s.upto) AS c FROM drawn d JOIN steps s ON s.source = d.source AND s.upto <= d.u GROUP BY 1),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c FROM documents d JOIN counts USING (doc_id))
 SELECT doc_id, text, lang, source, n_chars, k::INT AS copy_no,
        ('0x' || substr(md5('18:' || doc_id || ':' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS order_key
 FROM (SELECT *, unnest(range(0, c)) AS k FROM counted)

@@ -442,8 +442,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     in at most ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more.
     Each distinct set of shingles is a node, named by its least id. Groups are what such links connect; the
     least id stays. First each is compared with its nearest leaders by one fingerprint, then all pairs within the
-    distance that the links so far do not connect. Texts without a word are one group. Ids should be unique and
-    not null. An empty table stays empty.
+    distance that the links so far do not connect. Texts without a word, null ones too, are one group; texts of fewer
+    words than a shingle are one shingle. Texts of any length are read whole. Rows that repeat an id stay or go
+    together; rows of a null id stay and are never the one that stays for others. Columns may have any names. An
+    empty table stays empty.
     """
     names = [f"fp{k}" for k in range(PRINTS)]
     by = lambda table, name: table.withColumnRenamed(name, "fp")
@@ -455,5 +457,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     close = [C.staged(candidates(by(linked, x), distance), "simhash-candidates") for x in names]
     found = components(first.unionAll(similar(reduce(DataFrame.unionAll, close).distinct(), bodies, words, least)))
     rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    gone = prints.join(rooted.select("sha", "root").hint("merge"), "sha").where("doc_id <> root").select(F.col("doc_id").alias("_gone"))
-    return docs.join(C.staged(gone, "simhash-gone").hint("merge"), docs[key] == F.col("_gone"), "left_anti")
+    gone = C.staged(prints.join(rooted.select("sha", "root").hint("merge"), "sha").where("doc_id <> root").select("doc_id"), "simhash-gone").hint("merge")
+    return docs.join(gone, docs[key].cast("long") == gone["doc_id"], "left_anti")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -69,10 +69,6 @@ class Features:
         return h[self.last[h] == place]
 
 
-def _texts(df: DataFrame, *columns: Column | str) -> DataFrame:
-    return df.select(*columns, C.body("text").alias("body"))
-
-
 def document_counts(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Of all labelled texts (body, label): how many of each class have each bucket, and how many there are."""
 
@@ -130,16 +126,18 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, epoch
     return w * ratios, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Weights and bias from the texts of ``docs`` that ``labels`` marks 0 or 1.
 
     Ratios count every labelled text; the regression is fitted on about ``sample`` texts of each class, those
     whose ids hash below a bound. Rows without a label, and labels without a row, are not looked at; a document marked both
-    ways counts as 1. Null texts count as empty. Without any label every score is 0.5.
+    ways counts as 1. Null ids have no label. Null texts count as empty; rows that repeat an id count each. Without
+    any label every score is 0.5. Columns of any other names are not looked at.
     """
     C.small_batches(docs.sparkSession)
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("label")).hint("merge")  # by shuffle at any size
-    labelled = C.staged(_texts(docs.join(marks, docs[key] == marks["_key"]), F.coalesce(F.xxhash64(docs[key]), F.lit(0)).alias("at"), "label"), "toxicity-labelled")
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("marked")).agg(F.max(label).cast("int").alias("label")).hint("merge")  # by shuffle at any size
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(key).alias("at"), C.body(text).alias("body"))
+    labelled = C.staged(texts.join(marks, F.col("id") == F.col("marked")).select("at", "label", "body"), "toxicity-labelled")
     have, total = document_counts(labelled)
     if not total.sum():
         return np.zeros(1 << BITS, np.float32), 0.0
@@ -165,8 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     return weights.astype(np.float32), float(bias)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: doc_id and score, 0 to 1. Null and empty texts get the score of the bias alone."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id and score, 0 to 1. Null and empty texts get the score of the bias alone.
+
+    Texts of any length are read whole; rows that repeat are rows of their own and null ids stay null. Empty
+    tables give no rows.
+    """
     C.small_batches(docs.sparkSession)
     weights, bias = model
 
@@ -178,21 +180,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id")
             out = 1 / (1 + np.exp(-np.clip(np.asarray(sums), -30, 30)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "score": pa.array(out)})
 
-    return _texts(docs, F.col(key).cast("long").alias("doc_id")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), C.body(text).alias("body")).mapInArrow(scored, "doc_id long, score double")
+
 
+def keep_civil(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and in one pass.
 
-def keep_civil(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns and in one pass."""
+    Null and empty texts have the score of the bias alone and stay if that is below. Texts of any length are
+    scored whole; rows that repeat stay or go alike. Columns may have any names. An empty table stays empty.
+    """
     C.small_batches(docs.sparkSession)
     weights, bias = model
-    names = docs.columns
+    at = docs.columns.index(text)
 
     def civil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            data, at = C.binaries(batch, "_body")
-            sums = np.asarray([float(weights[features(data[at[i] : at[i + 1]])].sum(dtype=np.float64)) + bias for i in range(batch.num_rows)])
+            data, ends = C.binaries(batch, batch.schema.names[at])
+            sums = np.asarray([float(weights[features(data[a:b])].sum(dtype=np.float64)) + bias for a, b in zip(ends, ends[1:], strict=False)])
             fine = 1 / (1 + np.exp(-np.clip(sums, -30, 30))) < threshold
-            yield batch.filter(pa.array(fine)).select(names)
+            yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return docs.withColumn("_body", C.body("text")).mapInArrow(civil, docs.schema)
+    return docs.mapInArrow(civil, docs.schema)

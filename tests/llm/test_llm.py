@@ -20,7 +20,7 @@ ROWS = [
     (1, "Hello there WORLD again", "en", "a", 5, "x"), (2, "hello there world again", "en", "a", 5, None), (3, None, None, None, None, "y"), (4, "", "en", "b", 0, "z"), (5, LONG, "en", "b", 9, "z"), (6, LONG, "en", None, 9, "z"),
     (7, "un deux trois quatre cinq\nsix sept huit neuf dix", "fr", "a", 1, "k"), (7, "un deux trois quatre cinq\nsix sept huit neuf dix", "fr", "a", 1, "k"), (None, "null id", "en", "a", 1, "k"), (8, " \t\n", "en", "a", 3, "k"), (9, "éàü ÉÀÜ 日本 İ", "xx", "c", 3, "k"),
 ]
-NAMES = ["keep", "place", "fp", "sha", "u", "v", "n", "body", "steps", "doc", "id"]
+NAMES = ["keep", "place", "fp", "sha", "u", "v", "n", "body", "steps", "doc", "id", "label", "_body", "_gone", "_key", "marked", "at", "key", "unit", "root", "node", "_sha", "_doc"]
 
 
 @pytest.fixture(scope="module")
@@ -214,6 +214,21 @@ def test_matcher_against_brute_force():
         assert {(i, d) for i, d, _ in m.find(text)} == want
 
 
+def test_decontamination_query_against_every_item_in_every_text(spark, docs):
+    items = [(r["item_id"], decontaminate.normal(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    masks = {i: decontaminate.masks(x) for i, x in items}
+    want = {}
+    for r in docs.where("length(text) < 6000").collect():  # longer ones take the slow way too long
+        text = decontaminate.normal(r["text"])
+        for i, x in items:
+            d = 0 if x in text else decontaminate.least_distance(masks[i], len(x), text)[0]
+            if d <= int(len(x) * decontaminate.ERROR_RATE):
+                want[r["doc_id"], i] = d
+    short = {r["doc_id"] for r in docs.where("length(text) < 6000").collect()}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.queries()["op3_decontamination"](spark, SF).collect()}
+    assert want and {k: d for k, d in got.items() if k[0] in short} == want
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "HELLO   there world"), (2, None), (3, ""), (4, "hello there world")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, bench).collect()}
@@ -353,6 +368,25 @@ def test_thresholds_sum_to_what_the_principle_asks():
         assert sum(costs[i, t[i, q] + 1, q] for i in range(4)) == pytest.approx(best)
 
 
+def test_near_groups_query_against_all_pairs(spark, docs):
+    import re
+
+    import xxhash
+
+    prints = {}
+    for r in docs.collect():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), (r["text"] or "").encode()))
+        shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] if words else []
+        hashes = [xxhash.xxh64(x, seed=42).intdigest() for x in shingles]
+        prints[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    root = brute_links(sorted(set(prints.values())), 2)
+    least: dict = {}
+    for i, f in prints.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.queries()["op4_simhash"](spark, SF).collect()}
+    assert got == {i: (f"{f:016x}", least[root[f]]) for i, f in prints.items()}
+
+
 def test_near_groups_of_odd_rows(odd):
     got = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_groups(odd).collect()]
     by = {i: (f, c) for i, f, c in got}
@@ -366,6 +400,13 @@ def test_fingerprint_of_one_shingle_is_its_hash():
     assert simhash.fingerprint(simhash.shingle_hashes(b"One  two\nTHREE")) == xxhash.xxh64_intdigest(b"one two three", 42)
 
 
+def test_near_dedup_of_odd_rows(odd):
+    got = simhash.near_dedup(odd)
+    ids = Counter(r["doc_id"] for r in got.collect())
+    assert got.columns == odd.columns and ids == Counter({1: 1, 3: 1, 5: 1, 7: 2, 9: 1, None: 1})
+    assert simhash.near_dedup(odd.limit(0)).count() == 0
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
@@ -464,6 +505,17 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
 
 
+def test_most_frequent_languages_are_learned(odd):
+    net = langid.fit(odd, sample=50, most=2)
+    assert net.languages == ["en", "fr"]
+    assert {r["lang_pred"] for r in langid.predict(odd, net).collect()} <= {"en", "fr", "und"}
+
+
+def test_rows_without_an_id_are_held_out(odd):
+    got = odd.where("doc_id is null").select(queries.held_out(4, 2).alias("a"), queries.held_out(3, 1).alias("b")).first()
+    assert got["a"] and got["b"]
+
+
 def test_language_of_odd_rows(odd):
     net = langid.fit(odd, sample=50)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd, net).collect()}
@@ -641,6 +693,32 @@ def test_mixing_of_large_means(spark):
     assert len(got) == 100 and np.mean(got) == pytest.approx(2000, abs=20) and 30 < np.std(got) < 60
 
 
+@pytest.mark.parametrize("mean", [0, 1, 745, 746, 5000])
+def test_mixing_meets_any_mean(spark, mean):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "one").otherwise("other").alias("source"))
+    weights = {"one": mean / 10_000, "other": 1 - mean / 10_000}
+    got = {r["source"]: r["count"] for r in mixing.mix(df, weights=weights, size=5000.0).groupBy("source").count().collect()}
+    want = {x: 5000 * 400 * w for x, w in weights.items()}
+    for name, n in want.items():
+        assert got.get(name, 0) == pytest.approx(n, rel=0.03, abs=40)
+
+
+def test_mixing_sql_of_large_means(spark, tmp_path):
+    df = spark.range(3001).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, "one").otherwise("many").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.sql(queries.MIXING_SQL.replace("sqrt(n)", "pow(n, 0.0)")).fetchall()  # even weights: a mean of 1500
+    got = [tuple(r) for r in mixing.mix(spark.read.parquet(str(tmp_path / "d")), temperature=0.0, with_order=True).collect()]
+    assert sorted(got) == sorted(want) and sum(r[3] == "one" for r in got) == pytest.approx(1500, abs=200)
+
+
+def test_mixing_joins_many_sources_alike(odd, monkeypatch):
+    want = sorted((r["order_key"], r["copy_no"]) for r in mixing.mix(odd, with_order=True).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted((r["order_key"], r["copy_no"]) for r in mixing.mix(odd, with_order=True).collect()) == want
+
+
 def test_mixing_of_odd_rows_repeats_exactly(odd):
     a, b = (mixing.mix(x, with_order=True) for x in (odd, odd.repartition(5)))
     key = lambda d: [(r["order_key"], r["doc_id"], r["copy_no"]) for r in d.collect()]
@@ -703,3 +781,20 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     assert all(f.columns == docs.columns for f in (civil, one, clean, P.mixed(spark, docs, SF)))
     last = P.run(spark, SF)
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(1, 0), (5, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "un deux trois quatre cinq"), (2, None), (3, "")], "item_id long, text string")
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.where(F.lit(name == "odd")).write.parquet(f"{folder}/labels.parquet")
+        bench.where(F.lit(name == "odd")).write.parquet(f"{folder}/benchmark.parquet")
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, rows, folder)
+            assert out.columns == rows.columns and (out.count() > 0) == (name == "odd")
+        last = P.run(spark, folder).collect()
+        assert {r["doc_id"] for r in last} <= {r[0] for r in ROWS} and bool(last) == (name == "odd") and not any(r["doc_id"] == 7 for r in last)
