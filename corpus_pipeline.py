@@ -18,23 +18,28 @@ NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY = 5, 11, 0.8
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold of a classifier trained on labelled ones; without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_civil(docs, toxicity.train(docs.where(~held_out(3, 1)), labels))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the least id."""
     return simhash.near_dedup(docs, words=NEAR_WORDS, distance=NEAR_BITS, least=NEAR_SIMILARITY)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs, up to its share of errors."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document by its Poisson draw, towards weights of the square root of the sources' sizes; null is a source."""
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, as they read back: doc_id, start, n_tokens, ids_crc32."""
     return tokens.token_files(docs)
 
 
