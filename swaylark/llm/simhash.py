@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -38,6 +37,10 @@ RADIUS = 2
 PROBE_COST = 2.0
 #: What of fingerprints may meet in a place before the place is dealt over several.
 MOST = 1 << 16
+#: Pairs for each member of a group that meets in a place, beyond which the group is a crowd.
+DENSE = 4
+#: Documents, and bytes of their shingles' hashes, in a block of a region.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Fingerprints of a document in ``near_dedup``. Sets of Jaccard similarity 0.8 and like size differ in a bit with probability 0.151,
 #: so in at most 11 of 64 with 0.74 (seldom less for more similar ones): four independent ones lose 1 pair in 230.
 PRINTS = 4
@@ -194,6 +197,15 @@ def ball_counts(histogram: np.ndarray, radius: int) -> list[np.ndarray]:
     return list(np.cumsum(exact, axis=0))
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each, an eighth of a power of two apart and rounded up: what tasks hold of them is estimates."""
+    return np.ceil(8 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return np.exp2(codes / 8.0) - 1
+
+
 def allocate(costs: np.ndarray) -> np.ndarray:
     """Thresholds per fingerprint and partition. ``costs[i, s, q]``: of threshold s - 1 in partition i; the s sum to the last s.
 
@@ -243,7 +255,7 @@ def _probes(distinct: DataFrame, groups: list[list[int]], counts: list[list[np.n
             costs[:, 0] = 0
             for i, v in enumerate(values):
                 for r in range(radius + 1):
-                    costs[i, r + 1] = PROBE_COST * sum(sizes[i][: r + 1]) + counts[i][r][v]
+                    costs[i, r + 1] = PROBE_COST * sum(sizes[i][: r + 1]) + decoded(counts[i][r][v])
             for i, thresholds in enumerate(allocate(costs)):
                 for r in range(radius + 1):
                     at = np.flatnonzero(thresholds == r)
@@ -263,7 +275,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int | None = Non
     if distance >= parts * (RADIUS + 1):
         raise ValueError("too many bits for the partitions' thresholds")
     groups = group_bits(products, n, parts)
-    counts = [ball_counts(h, min(distance, RADIUS)) for h in histograms(distinct, groups)]
+    counts = [[coded(c) for c in ball_counts(h, min(distance, RADIUS))] for h in histograms(distinct, groups)]
     near = (F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= distance)
     index, probes = _index(distinct, groups), _probes(distinct, groups, counts, distance)
     return probes.join(index, (probes["part"] == index["part"]) & (probes["value"] == index["value"]) & near).select(F.col("fp").alias("u"), F.col("probe").alias("v"))
@@ -286,7 +298,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int, most: int) -> DataFrame:
-    """Each node (fp, node, root) under all partition values in a ball around its own, with radii of its own choice.
+    """Each node (fp, node, region) under all partition values in a ball around its own, with radii of its own choice.
 
     Two fingerprints meet in partition i if they differ in at most the sum of their radii there. Of two that
     differ in at most t bits some partition does so whenever for both the 2 r_i + 1 sum to t + 1 at least.
@@ -297,7 +309,7 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, node, root = (np.asarray(batch.column(k)) for k in range(3))
+            fps, node, region = (np.asarray(batch.column(k)) for k in range(3))
             fps = fps.view(np.uint64)
             block_of = (node.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(33)).astype(np.int64)
             values = [part_values(fps, g) for g in groups]
@@ -306,7 +318,7 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
             for i, v in enumerate(values):
                 for r in radii:
                     if 2 * r + 1 <= distance + 1:
-                        costs[i, 2 * r + 1] = PROBE_COST * len(balls[i][r]) + counts[i][r + 1][v]
+                        costs[i, 2 * r + 1] = PROBE_COST * len(balls[i][r]) + decoded(counts[i][r + 1][v])
             for i, s in enumerate(allocate(costs) + 1):
                 for r in radii:
                     at = np.flatnonzero(s == 2 * r + 1)
@@ -314,86 +326,119 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
                         continue
                     near = (values[i][at][:, None] ^ balls[i][r]).ravel()
                     who = np.repeat(at, len(balls[i][r]))
-                    blocks = 1 + counts[i][radii[-1]][near] // most  # of at most so many that can meet there
+                    blocks = 1 + (decoded(counts[i][radii[-1]][near]) // most).astype(np.int64)  # of at most so many that can meet there
                     near, who, of = np.repeat(near, blocks), np.repeat(who, blocks), np.repeat(blocks, blocks)
                     other = np.arange(len(near)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                     own = block_of[who] % of
                     place = near | i << 60 | np.minimum(own, other) << 46 | np.maximum(own, other) << 32
-                    yield pa.RecordBatch.from_pydict({"place": pa.array(place), "fp": pa.array(fps[who].view(np.int64)), "node": pa.array(node[who]), "root": pa.array(root[who])})
-
-    return nodes.select("fp", "node", "root").mapInArrow(dealt, "place long, fp long, node long, root long")
-
-
-def nearest_before(fps: np.ndarray, distance: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct fingerprints that meet: pairs (i, j), where j is the nearest leader within ``distance`` of i.
-
-    A fingerprint that has no leader near becomes one, so a large group of near copies is compared with its few
-    leaders only.
-    """
-    if len(fps) <= block:
-        d = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.int16)
-        d[np.triu_indices(len(fps))] = 99
-        i = np.flatnonzero(d.min(1) <= distance)
-        return i, d[i].argmin(1)
-    leaders, left, right = np.zeros(0, np.int64), [], []
-    for a in range(0, len(fps), block):
-        own = np.arange(a, min(a + block, len(fps)))
-        if len(leaders):
-            d = np.bitwise_count(fps[own][:, None] ^ fps[leaders][None, :])
-            near = d.min(1) <= distance
-            left.append(own[near])
-            right.append(leaders[d[near].argmin(1)])
-            own = own[~near]
-        i, j = nearest_before(fps[own], distance, block)
-        left.append(own[i])
-        right.append(own[j])
-        leaders = np.concatenate([leaders, np.delete(own, i)])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def all_near(fps: np.ndarray, roots: np.ndarray, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of fingerprints that meet: all pairs (i, j), j < i, within ``distance`` and of different roots, by blocks."""
-    for a in range(0, len(fps), block):
-        for c in range(0, a + 1, block):
-            near = np.bitwise_count(fps[a : a + block, None] ^ fps[None, c : c + block]) <= distance
-            near &= roots[a : a + block, None] != roots[None, c : c + block]
-            i, j = np.nonzero(np.tril(near, -1) if a == c else near)
-            if len(i):
-                yield i + a, j + c
-
-
-def candidates(distinct: DataFrame, distance: int, parts: int = 4, leaders: bool = False, most: int = MOST) -> DataFrame:
-    """Pairs (u, v) of nodes whose fingerprints are within ``distance`` bits and whose roots differ: all of them.
-
-    ``distinct`` has fp, a long node (its fp where it is missing) and a root (its node where it is missing): nodes of one root are linked already.
-    With ``leaders`` only the nearest leader of each node in every place, which is enough to link most of a large group.
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(place), "fp": pa.array(fps[who].view(np.int64)), "node": pa.array(node[who]), "region": pa.array(region[who])})
+
+    return nodes.select("fp", "node", "region").mapInArrow(dealt, "place long, fp long, node long, region long")
+
+
+class Sets:
+    """Disjoint sets of ids."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.above[y] = x
+        return x != y
+
+
+def near_rows(fps: np.ndarray, regions: np.ndarray, rows: np.ndarray, distance: int) -> np.ndarray:
+    """For each of the rows, which fingerprints are within ``distance`` and of another region."""
+    return (np.bitwise_count(fps[rows][:, None] ^ fps[None, :]) <= distance) & (regions[rows][:, None] != regions[None, :])
+
+
+def meetings(fps: np.ndarray, regions: np.ndarray, distance: int, dense: int = DENSE, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Of fingerprints that meet: pairs (i, j) within ``distance`` and of different regions, all of them; but of groups with more than
+    ``dense`` pairs for each member only a star of the members, marked so."""
+    n, held, count = len(fps), [], 0
+    for a in range(0, n, block):
+        rows = np.arange(a, min(a + block, n))
+        i, j = np.nonzero(np.triu(near_rows(fps, regions, rows, distance), a + 1))
+        count += len(i)
+        if count > dense * n:
+            break
+        held.append((i + a, j))
+    else:
+        if count:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), False
+        return
+    left = np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start] = False
+        group, pairs, at = [start], 0, 0
+        while at < len(group):
+            rows = np.array(group[at : at + block])
+            at += len(rows)
+            near = near_rows(fps, regions, rows, distance)
+            pairs += int(near.sum())
+            new = np.flatnonzero(near.any(0) & left)
+            left[new] = False
+            group += new.tolist()
+        if len(group) < 2:
+            continue
+        own = np.sort(np.array(group))
+        if pairs // 2 > dense * len(own):
+            yield np.full(len(own) - 1, own[0]), own[1:], True
+            continue
+        for a in range(0, len(own), block):
+            i, j = np.nonzero(np.triu(near_rows(fps[own], regions[own], np.arange(a, min(a + block, len(own))), distance), a + 1))
+            yield own[i + a], own[j], False
+
+
+def candidates(distinct: DataFrame, distance: int, parts: int = 4, most: int = MOST, dense: int = DENSE) -> DataFrame:
+    """Pairs (u, v, crowd) of nodes whose fingerprints are within ``distance`` bits and whose regions differ.
+
+    ``distinct`` has fp, a long node (its fp where it is missing) and a region (its node where it is missing). All pairs
+    are there but those of crowds, groups with more than ``dense`` pairs for each member where they meet: of a crowd only
+    enough pairs to make it one region.
     """
     products, n = bit_products(distinct)
     if n < 2:
-        return distinct.sparkSession.createDataFrame([], "u long, v long")
+        return distinct.sparkSession.createDataFrame([], "u long, v long, crowd boolean")
     if distance + 1 > 5 * parts or (distance + 1 - parts) % 2:
         raise ValueError("the partitions' radii cannot sum to this distance")
     groups = group_bits(products, n, parts)
-    counts = [ball_counts(h, 3) for h in histograms(distinct, groups)]
+    counts = [[coded(c) for c in ball_counts(h, 3)] for h in histograms(distinct, groups)]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
+        known = Sets()  # what this task has made one region
 
-        def pairs(place: np.ndarray, fps: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(place: np.ndarray, fps: np.ndarray, node: np.ndarray, region: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             ends = np.append(starts[1:], len(place))
-            u, v, size = [], [], 0
+            out, size = [], 0
+
+            def full() -> pa.RecordBatch:
+                u, v, crowd = (np.concatenate(x) for x in zip(*out, strict=True))
+                return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v), "crowd": pa.array(crowd)})
+
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                own = fps[a:b].view(np.uint64)
-                for i, j in [nearest_before(own, distance)] if leaders else all_near(own, root[a:b], distance):
-                    u.append(node[a:b][i])
-                    v.append(node[a:b][j])
+                for i, j, crowd in meetings(fps[a:b].view(np.uint64), region[a:b], distance, dense):
+                    if crowd:
+                        new = [known.join(x, y) for x, y in zip(region[a:b][i].tolist(), region[a:b][j].tolist(), strict=True)]
+                        i, j = i[new], j[new]
+                    out.append((node[a:b][i], node[a:b][j], np.full(len(i), crowd)))
                     size += len(i)
                     if size > 1 << 18:
-                        yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
-                        u, v, size = [], [], 0
+                        yield full()
+                        out, size = [], 0
             if size:
-                yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+                yield full()
 
         for batch in batches:
             held = [np.concatenate([x, np.asarray(y)]) for x, y in zip(held, batch.columns, strict=True)]
@@ -405,10 +450,94 @@ def candidates(distinct: DataFrame, distance: int, parts: int = 4, leaders: bool
             yield from pairs(*held)
 
     node = F.col("node") if "node" in distinct.columns else F.col("fp")
-    nodes = distinct.select("fp", node.alias("node"), (F.col("root") if "root" in distinct.columns else node).alias("root"))
+    nodes = distinct.select("fp", node.alias("node"), (F.col("region") if "region" in distinct.columns else node).alias("region"))
     n_tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 20_000)
     dealt = _balls(nodes, groups, counts, distance, most).repartition(n_tasks, "place").sortWithinPartitions("place", "fp", "node")
-    return dealt.mapInArrow(met, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = dealt.mapInArrow(met, "u long, v long, crowd boolean")
+    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("crowd").alias("crowd"))
+
+
+class Compared:
+    """Sets of shingle hashes side by side: how many any two have in common, from one bit for each hash that occurs twice."""
+
+    def __init__(self, sets: list[np.ndarray], most: int = 1 << 26):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
+        values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        width = int((times > 1).sum())
+        self.bits = None
+        if len(sets) * (width // 64 + 1) * 8 <= most:
+            self.bits = np.zeros((len(sets), width // 64 + 1), np.uint64)
+            ends = np.cumsum(self.sizes)
+            for i, (a, b) in enumerate(zip(ends - self.sizes, ends, strict=True)):
+                own = inverse[a:b]
+                row = np.zeros(self.bits.shape[1] * 64, np.uint8)
+                row[number[own[times[own] > 1]]] = 1
+                self.bits[i] = np.packbits(row).view(np.uint64)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in others.tolist()], np.int64)
+        return np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+
+
+def linked(sets: list[np.ndarray], fps: np.ndarray, first: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of which ``first`` has i and not j, or both everywhere if it is all true: enough similar ones to connect what similar ones connect.
+
+    Only pairs near in one of the fingerprints (columns of ``fps``) are compared.
+    """
+    compared, label, out = Compared(sets), np.arange(len(sets)), []
+    inside = first.all()
+    for i in np.flatnonzero(first).tolist():
+        others = np.arange(i + 1, len(sets)) if inside else np.flatnonzero(~first)
+        others = others[label[others] != label[i]]
+        n, m = compared.sizes[i], compared.sizes[others]
+        others = others[np.minimum(n, m) >= least * np.maximum(n, m)]
+        others = others[(np.bitwise_count(fps[others] ^ fps[i]) <= distance).any(1)]
+        if not len(others):
+            continue
+        common = compared.common(i, others)
+        hit = others[common >= least * (n + compared.sizes[others] - common)]
+        labels, at = np.unique(label[hit], return_index=True)
+        out += [(i, j) for j in hit[at].tolist()]
+        label[np.isin(label, labels)] = label[i]
+    return out
+
+
+def region_links(regions: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, distance: int, least: float, prints: list[str], count: int = BLOCK, size: int = BLOCK_BYTES) -> DataFrame:
+    """Links (u, v) of similar documents within regions: every pair near in a fingerprint is compared.
+
+    ``regions``: node, root; ``nodes``: node and its fingerprints; ``docs``: id, body. A region's documents are dealt to blocks
+    of about ``count`` documents and ``size`` bytes of hashes, and every two blocks meet in a task, so no task holds a large
+    region; only links that connect come out.
+    """
+    members = regions.select("node", F.col("root").alias("region")).join(nodes.select("node", *prints).hint("merge"), "node").join(docs.withColumnRenamed("id", "node").hint("merge"), "node")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).tobytes() for x in C.values(batch, "body")]
+            kept = batch.select(["region", "node", *prints])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=[*kept.schema.names, "hashes"])
+
+    kinds = "".join(f", {x} long" for x in prints)
+    held = C.staged(members.select("region", "node", *prints, "body").mapInArrow(hashed, f"region long, node long{kinds}, hashes binary"), "simhash-members")
+    total = held.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / count, F.sum(F.octet_length("hashes")) / size)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = held.join(total.hint("merge"), "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") == F.least("own", "other")).alias("first"), "node", *prints, "hashes")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        order = np.argsort(np.asarray(table.column("node")), kind="stable")
+        table = table.take(pa.array(order))
+        node, sets = np.asarray(table.column("node")), [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        fps = np.stack([np.asarray(table.column(x)) for x in prints], 1).view(np.uint64)
+        found = linked(sets, fps, np.asarray(table.column("first")), distance, least)
+        if found:
+            i, j = np.array(found).T
+            yield pa.RecordBatch.from_pydict({"u": pa.array(node[i]), "v": pa.array(node[j])})
+
+    return dealt.groupBy("region", "a", "b").applyInArrow(compared, "u long, v long")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -441,21 +570,33 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Documents are near duplicates if one of their PRINTS fingerprints over shingles of ``words`` words differs
     in at most ``distance`` bits and their sets of shingles have a Jaccard similarity of ``least`` or more.
     Each distinct set of shingles is a node, named by its least id. Groups are what such links connect; the
-    least id stays. First each is compared with its nearest leaders by one fingerprint, then all pairs within the
-    distance that the links so far do not connect. Texts without a word, null ones too, are one group; texts of fewer
+    least id stays. Pairs that meet are compared one by one; where many copies of one text crowd, they are a region,
+    whose documents are compared in blocks, so that no list of all pairs is made. Texts without a word, null ones too, are one group; texts of fewer
     words than a shingle are one shingle. Texts of any length are read whole. Rows that repeat an id stay or go
     together; rows of a null id stay and are never the one that stays for others. Columns may have any names. An
     empty table stays empty.
     """
+    made = len(C.MADE)
     names = [f"fp{k}" for k in range(PRINTS)]
-    by = lambda table, name: table.withColumnRenamed(name, "fp")
     prints = C.staged(several_prints(docs, key, text, words), "simhash-prints")
     nodes = C.staged(prints.groupBy("sha", *names).agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
     bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
-    first = C.staged(similar(candidates(by(nodes, names[0]), distance, leaders=True), bodies, words, least), "simhash-first")
-    linked = C.staged(nodes.join(components(first).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-linked")
-    close = [C.staged(candidates(by(linked, x), distance), "simhash-candidates") for x in names]
-    found = components(first.unionAll(similar(reduce(DataFrame.unionAll, close).distinct(), bodies, words, least)))
+    placed, regions, crowds, pairs = nodes.withColumn("region", F.col("node")), None, None, None
+    for name in names:
+        close = C.staged(candidates(placed.withColumnRenamed(name, "fp"), distance), "simhash-candidates")
+        pairs = close.where("not crowd") if pairs is None else pairs.unionAll(close.where("not crowd"))
+        new = close.where("crowd")
+        crowds = new if crowds is None else crowds.unionAll(new)
+        if not new.isEmpty():
+            regions = C.staged(components(crowds), "simhash-regions")
+            joined = nodes.join(regions.select("node", F.col("root").alias("region")).hint("merge"), "node", "left")
+            placed = C.staged(joined.withColumn("region", F.coalesce("region", "node")), "simhash-placed")
+    links = similar(pairs.select("u", "v").distinct(), bodies, words, least)
+    if regions is not None:
+        links = links.unionAll(region_links(regions, nodes, bodies, words, distance, least, names))
+    found = components(links)
     rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    gone = C.staged(prints.join(rooted.select("sha", "root").hint("merge"), "sha").where("doc_id <> root").select("doc_id"), "simhash-gone").hint("merge")
+    gone = C.staged(prints.join(rooted.select("sha", "root").hint("merge"), "sha").where("doc_id <> root").select("doc_id"), "simhash-gone")
+    kept, gone = C.MADE[-1], gone.hint("merge")
+    C.remove(docs.sparkSession, [x for x in C.MADE[made:] if x != kept])
     return docs.join(gone, docs[key].cast("long") == gone["doc_id"], "left_anti")

@@ -274,31 +274,85 @@ def signed(f):
     return f - (1 << 64) if f >> 63 else f
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 5])
-def test_links_are_complete(spark, distance):
+@pytest.mark.parametrize(("distance", "parts"), [(0, None), (1, None), (2, None), (5, None), (2, 3)])
+def test_links_are_complete(spark, distance, parts):
     fps = planted_prints()
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    got = {(r["u"], r["v"]) for r in simhash.links(df, distance).collect()}
+    got = {(r["u"], r["v"]) for r in simhash.links(df, distance, parts).collect()}
     want = {(min(signed(a), signed(b)), max(signed(a), signed(b))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= distance}
     assert {(min(p), max(p)) for p in got} == want
 
 
-def test_candidates_connect_what_is_near(spark):
-    fps = planted_prints()
-    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    for u, v in simhash.candidates(df, 11).collect():
-        assert ((u ^ v) & (1 << 64) - 1).bit_count() <= 11
-    near = {u for u, _ in simhash.candidates(df, 11).collect()} | {v for _, v in simhash.candidates(df, 11).collect()}
-    assert {signed(f) for f in fps if any(0 < (f ^ g).bit_count() <= 3 for g in fps)} <= near
-
-
 @pytest.mark.parametrize("most", [simhash.MOST, 40])
-def test_candidates_are_all_pairs_of_different_roots(spark, most):
+def test_candidates_are_all_pairs_of_different_regions(spark, most):
     fps = planted_prints()
-    df = spark.createDataFrame([(signed(f), k, k // 7) for k, f in enumerate(fps)], "fp long, node long, root long")
-    got = [tuple(r) for r in simhash.candidates(df, 11, most=most).collect()]
+    df = spark.createDataFrame([(signed(f), k, k // 7) for k, f in enumerate(fps)], "fp long, node long, region long")
+    got = [tuple(r) for r in simhash.candidates(df, 11, most=most, dense=1000).collect()]
     want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 11 and i // 7 != j // 7}
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(want) and {x[:2] for x in got} == want and not any(x[2] for x in got)
+
+
+def test_candidates_of_crowds_are_pairs_or_in_one_region(spark):
+    rng = np.random.default_rng(22)
+    base = int(rng.integers(0, 1 << 63))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, 6, replace=False)) for _ in range(900)} | set(planted_prints()))
+    df = spark.createDataFrame([(signed(f), k) for k, f in enumerate(fps)], "fp long, node long")
+    got = simhash.candidates(df, 11).collect()
+    region = simhash.Sets()
+    for r in got:
+        if r["crowd"]:
+            region.join(r["u"], r["v"])
+    pairs = {(r["u"], r["v"]) for r in got if not r["crowd"]}
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 11}
+    assert len(want) > 50_000 and len(got) < 30_000
+    assert all((i, j) in pairs or region.find(i) == region.find(j) for i, j in want)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_links_within_a_region_connect_what_is_similar(most, monkeypatch):
+    rng = np.random.default_rng(23)
+    monkeypatch.setattr(simhash.Compared.__init__, "__defaults__", (most,))
+    base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        x = base.copy()
+        x[rng.choice(100, rng.integers(0, 25), replace=False)] = rng.integers(0, 1 << 60, 1)[0]
+        sets.append(np.unique(x))
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    fps = np.zeros((120, 4), np.uint64)
+    for first in (np.ones(120, bool), np.arange(120) < 50):
+        want, got = simhash.Sets(), simhash.Sets()
+        for a in range(120):
+            for b in range(a):
+                if (first.all() or first[a] != first[b]) and like(a, b):
+                    want.join(a, b)
+        found = simhash.linked(sets, fps, first, 11, 0.8)
+        assert len(found) < 120 and all(like(a, b) for a, b in found)
+        for a, b in found:
+            got.join(a, b)
+        groups = lambda x: {frozenset(i for i in range(120) if x.find(i) == x.find(j)) for j in range(120)}
+        assert groups(got) == groups(want)
+
+
+def test_near_dedup_of_a_crowd_around_a_template(spark, monkeypatch):
+    monkeypatch.setattr(simhash.region_links, "__defaults__", (60, 1 << 16))
+    rng = np.random.default_rng(24)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 150)]
+    rows = []
+    for g in range(500):
+        text = list(base)
+        for at in rng.choice(30, rng.integers(1, 8), replace=False):
+            text[int(at) * 5] = f"own{g}x{at}"
+        rows.append(" ".join(text))
+    sets = [set(simhash.shingle_hashes(x.encode(), 5)) for x in rows]
+    want = simhash.Sets()
+    for i in range(500):
+        for j in range(i):
+            if want.find(i) != want.find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.join(*sorted((want.find(i), want.find(j))))
+    left = {want.find(i) for i in range(500)}
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert 5 < len(left) < 480 and left <= kept and len(kept) <= len(left) + 5
 
 
 def test_near_dedup_finds_pairs_little_over_its_similarity(spark):
