@@ -21,6 +21,8 @@ from . import common as C
 
 #: Turns in one rendered row; longer conversations have several.
 PART = 64
+#: Turns in a range, about, where there are more than shuffle partitions ask for.
+RANGE = 1 << 20
 
 
 def _present(name: str) -> list[Column]:
@@ -47,7 +49,7 @@ def _added(df: DataFrame, before: DataFrame) -> DataFrame:
 
 def prefix_hashes(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Per turn: part (its range), conv_id, position from 1, h1 and h2 (the rolling hash up to it), role, text."""
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), turns.count() // RANGE)
     order = [F.col(x).asc_nulls_first() for x in ("turn", "role", "text")]
     named = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ranged = C.staged(named.repartitionByRange(n, F.col("conv_id").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id()), "chat-ranges")

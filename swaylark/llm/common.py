@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
+#: Paths that this process has made in the shared folder, and the tables that are staged there.
+MADE: list[str] = []
+STAGED: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,14 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``staged`` that nothing reads any more."""
+    for df in tables:
+        if (path := STAGED.pop(id(df), (None, None))[1]) is not None:
+            remove(df.sparkSession, [path])
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    STAGED[id(table)] = (table, path)
+    return table
 
 
 def small_batches(spark: SparkSession) -> None:

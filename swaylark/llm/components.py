@@ -37,7 +37,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     links = C.staged(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "links")
     before = None
     for _ in range(most):
-        links = C.staged(_small_star(_large_star(links)), "links")
+        last, links = links, C.staged(_small_star(_large_star(links)), "links")
+        C.unstage(last)
         state = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         now = (state["n"], state["x"])
         if now == before or not state["n"]:

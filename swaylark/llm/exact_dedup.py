@@ -2,9 +2,10 @@
 
 Every text has a 64-bit address, the head of its SHA-256. A directory maps the leading bits of an
 address to a bucket; a bucket whose texts outgrow its capacity is split in two by one more bit, and the
-directory doubles whenever the bucket to split already uses all its bits. The buckets lie as files in the
-shared folder, one owner task per range of them. An owner walks its files in address order, chains the
-texts that share an address and compares their bytes.
+directory doubles whenever the bucket to split already uses all its bits. Each bucket is a range of addresses.
+The buckets lie as files in the shared folder, several for each owner task, dealt by a hash so that owners have
+like shares. An owner walks its ranges in address order, chains the texts that share an address and compares
+their bytes. Beyond 2 ** MAX_DEPTH buckets of CAPACITY bytes (4 TB) buckets grow instead.
 
 Copies are combined by bytes within each scan task before anything is shuffled, so that a text that fills
 a third of the table reaches its owner as a few rows per task.

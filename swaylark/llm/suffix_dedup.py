@@ -35,7 +35,7 @@ from . import common as C
 
 LENGTH = 400
 #: Bytes of text that are laid out at once.
-UNIT = 1 << 20
+UNIT = 1 << 19
 #: Bytes of text for each bucket of suffixes, about; and most buckets, beyond which a range is dealt further by k-grams.
 BUCKET, MOST_BUCKETS = 8 << 20, 4096
 #: Surroundings of a k-gram in one bucket.
@@ -553,7 +553,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     lined = marks.repartition("unit").sortWithinPartitions("unit", F.col("place").asc_nulls_last())
     gone = lined.mapInArrow(_covered(length), "sha binary, starts array<long>, ends array<long>")
     gone = gone.groupBy("sha").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("gone")).withColumnRenamed("sha", "_sha")
-    cut = _cut(named.join(C.staged(gone, "suffix-gone").hint("merge"), F.col("sha") == F.col("_sha")).select("sha", "body", "gone"), with_text)
+    stretches = C.staged(gone, "suffix-gone")
+    C.unstage(dealt)
+    cut = _cut(named.join(stretches.hint("merge"), F.col("sha") == F.col("_sha")).select("sha", "body", "gone"), with_text)
 
     nothing = F.lit("").cast("binary")
     twins = copies.where((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), *([nothing.alias("kept")] * with_text))

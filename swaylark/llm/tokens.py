@@ -242,6 +242,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: st
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([bits], pa.binary()), pa.array([checkpoints], pa.binary())], names=[*names, "bits", "checkpoints"])
 
     raw.mapInArrow(written, "shard int, block int, start long, n_ids long, keys array<long>, sizes array<long>, bits binary, checkpoints binary").write.parquet(f"{folder}/blocks")
+    C.unstage(raw)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
         found = [np.frombuffer(x.as_buffer(), np.int32) for x in part.select("body").mapInArrow(sampled, "buckets binary").toArrow().column("buckets")]
         samples += found
         marked += [y] * len(found)
+    C.unstage(labelled)
     weights, bias = fit(samples, np.asarray(marked), ratios)
     return weights.astype(np.float32), float(bias)
 
