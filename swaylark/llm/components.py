@@ -7,11 +7,49 @@ links are never gathered: a round joins them to the least neighbour, which is on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Links of which a task keeps those that join two of its trees.
+TREE_LINKS = 1 << 18
+
+
+class Sets:
+    """Disjoint sets of ids."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.above[y] = x
+        return x != y
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Fewer of the links that connect the same nodes: each task keeps what joins two trees of its share."""
+    parts = max(4, links.count() // TREE_LINKS)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
+        for batch in batches:
+            new = [sets.join(u, v) for u, v in zip(C.values(batch, "u"), C.values(batch, "v"), strict=True)]
+            yield batch.filter(pa.array(np.array(new, bool)))
+
+    return links.repartition(parts, F.xxhash64("u", "v")).mapInArrow(kept, links.schema)
+
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,6 +73,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Links may repeat and point either way; links of a node to itself and null ends are passed over.
     """
     links = C.staged(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "links")
+    links, whole = C.staged(forest(links), "links"), links
+    C.unstage(whole)
     before = None
     for _ in range(most):
         last, links = links, C.staged(_small_star(_large_star(links)), "links")

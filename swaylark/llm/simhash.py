@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import Sets, components
 
 WORDS = 3
 DISTANCE = 2
@@ -336,24 +336,6 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
     return nodes.select("fp", "node", "region").mapInArrow(dealt, "place long, fp long, node long, region long")
 
 
-class Sets:
-    """Disjoint sets of ids."""
-
-    def __init__(self):
-        self.above: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (up := self.above.get(x, x)) != x:
-            self.above[x] = x = self.above.get(up, up)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        """Whether they were apart."""
-        x, y = self.find(x), self.find(y)
-        self.above[y] = x
-        return x != y
-
-
 def near_rows(fps: np.ndarray, regions: np.ndarray, rows: np.ndarray, distance: int) -> np.ndarray:
     """For each of the rows, which fingerprints are within ``distance`` and of another region."""
     return (np.bitwise_count(fps[rows][:, None] ^ fps[None, :]) <= distance) & (regions[rows][:, None] != regions[None, :])
@@ -581,18 +563,19 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     prints = C.staged(several_prints(docs, key, text, words), "simhash-prints")
     nodes = C.staged(prints.groupBy("sha", *names).agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
     bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
-    placed, regions, crowds, pairs = nodes.withColumn("region", F.col("node")), None, None, None
+    placed, crowds, pairs = nodes.withColumn("region", F.col("node")), None, None
     for name in names:
         close = C.staged(candidates(placed.withColumnRenamed(name, "fp"), distance), "simhash-candidates")
         pairs = close.where("not crowd") if pairs is None else pairs.unionAll(close.where("not crowd"))
-        new = close.where("crowd")
-        crowds = new if crowds is None else crowds.unionAll(new)
-        if not new.isEmpty():
-            regions = C.staged(components(crowds), "simhash-regions")
-            joined = nodes.join(regions.select("node", F.col("root").alias("region")).hint("merge"), "node", "left")
-            placed = C.staged(joined.withColumn("region", F.coalesce("region", "node")), "simhash-placed")
+        if crowds is None:  # what meets in a region is not looked for by the other fingerprints
+            crowds = close.where("crowd")
+            regions = components(crowds).select("node", F.col("root").alias("region"))
+            placed = C.staged(nodes.join(regions.hint("merge"), "node", "left").withColumn("region", F.coalesce("region", "node")), "simhash-placed")
+        else:
+            crowds = crowds.unionAll(close.where("crowd"))
     links = similar(pairs.select("u", "v").distinct(), bodies, words, least)
-    if regions is not None:
+    if not crowds.isEmpty():
+        regions = C.staged(components(crowds), "simhash-regions")
         links = links.unionAll(region_links(regions, nodes, bodies, words, distance, least, names))
     found = components(links)
     rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
