@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import correlation
+from . import ranges
 from .spectral import phase_surrogate
 
 #: Samples that must overlap, and the share of the record.
@@ -64,6 +65,17 @@ def preferred_domain(acceleration: DataFrame, displacement: DataFrame, key: str
     return j.select(key, F.when(first, "acceleration").otherwise("displacement").alias("preferred_domain"), F.when(first, F.col("a_offset")).otherwise(F.col("d_offset")).alias("preferred_offset"), "acceleration_correlation", "displacement_correlation")
 
 
+def maximum_domain(grids: dict[str, DataFrame], key: str = "record_id", digits: int = 9) -> DataFrame:
+    """Per record the domain and place in its grid of greatest |corr|; of equals the first domain by name, then offset and channels."""
+    both = None
+    for name in sorted(grids):
+        part = grids[name].withColumn("domain", F.lit(name))
+        both = part if both is None else both.unionByName(part)
+    w = W.partitionBy(key).orderBy(F.round(F.abs("corr"), digits).desc(), "domain", "k", "channel", "sensor_channel")
+    top = both.withColumn("r", F.row_number().over(w)).where("r = 1")
+    return top.select(key, "domain", "offset", F.abs("corr").alias("correlation"), "channel", "sensor_channel", F.when(F.col("corr") >= 0, 1).otherwise(-1).alias("polarity"), F.col("n").alias("overlap"))
+
+
 def containment(visual: DataFrame, sensor: DataFrame, key: str = "record_id") -> DataFrame:
     """Range of offsets at which the sensor covers the whole record; a shorter sensor is marked."""
     v = visual.groupBy(key).agg(F.min("t").alias("v0"), F.max("t").alias("v1"))
@@ -91,14 +103,12 @@ def null_p_values(df: DataFrame, shifts: int, key: str = "record_id", digits: in
 
 
 def bh_q_values(df: DataFrame, p: str = "p_value", key: str = "record_id") -> DataFrame:
-    """Adds q_value by Benjamini and Hochberg over all rows.
-
-    The ranking is over the whole table: the number of tests is that of records, a row each.
-    """
-    m = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
-    ranked = df.withColumns({"_m": m, "_rank": F.row_number().over(W.partitionBy(F.lit(0)).orderBy(p, key))})
-    up = W.partitionBy(F.lit(0)).orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(up))).drop("_m", "_rank")
+    """Adds q_value by Benjamini and Hochberg over all rows; ranks go by ranges of p."""
+    placed = df.withColumns({"_part": F.coalesce(F.least(F.floor(F.col(p) * ranges.MOST_RANGES), F.lit(ranges.MOST_RANGES - 1)), F.lit(-1)), "_one": F.lit(1).cast("long")})
+    ranked = ranges.running_sum(placed, "_one", "_rank", [F.col(p), F.col(key)])
+    total = df.agg(F.count(F.lit(1)).alias("_m"))
+    raw = ranked.crossJoin(F.broadcast(total)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))  # total is one row
+    return ranges.least_from(raw, "_raw", "_least", "_rank").withColumn("q_value", F.least(F.lit(1.0), "_least")).select(*df.columns, "q_value")
 
 
 def search(t: np.ndarray, v: np.ndarray, st: np.ndarray, sv: np.ndarray, offsets: np.ndarray) -> tuple[float, float]:
@@ -118,12 +128,16 @@ def search(t: np.ndarray, v: np.ndarray, st: np.ndarray, sv: np.ndarray, offsets
     return best, where
 
 
-def null_test(pairs: DataFrame, iterations: int, offsets: list[float], seed: int = 0, key: str = "record_id") -> DataFrame:
-    """Phase surrogates that repeat the whole search: key, observed, offset, p_value.
+def null_test(pairs: DataFrame, iterations: int, offsets: list[float], seed: int = 0, key: str = "record_id", method: str = "phase") -> DataFrame:
+    """Surrogates that repeat the whole search: key, observed, offset, p_value.
+
+    ``method``: ``phase`` draws the record's phases anew, ``shift`` turns the sensor's samples round by a twentieth or more.
 
     ``pairs``: key, t, v (array of series), st, sv (array of series), a row per record. Records and blocks of
     iterations are exploded, so that tasks share one record's work.
     """
+    if method not in ("phase", "shift"):
+        raise ValueError(f"unknown method {method}")
     grid, block = np.asarray(offsets, float), 25
 
     def kernel(batches):
@@ -135,8 +149,11 @@ def null_test(pairs: DataFrame, iterations: int, offsets: list[float], seed: int
                 hits = 0
                 for it in range(r.first, r.first + r.n):
                     rng = np.random.default_rng([seed, int(r.salt), it])
-                    fake = np.stack([phase_surrogate(c, rng) for c in v.T]).T
-                    hits += search(t, fake, st, sv, grid)[0] >= observed
+                    if method == "shift":
+                        least = max(1, round(0.05 * len(sv)))
+                        hits += search(t, v, st, np.roll(sv, int(rng.integers(least, max(least + 1, len(sv)))), axis=0), grid)[0] >= observed
+                    else:
+                        hits += search(t, np.stack([phase_surrogate(c, rng) for c in v.T]).T, st, sv, grid)[0] >= observed
                 out.append((getattr(r, key), observed, where, hits, r.n))
             yield pd.DataFrame(out, columns=[key, "observed", "offset", "hits", "n"])
 

@@ -71,3 +71,31 @@ def bounded_queue(df: DataFrame, capacity: int, service: float, key: str = "reco
         return F.struct(F.when(ok, free).otherwise(h["free"]).alias("free"), (h["accepted"] + ok.cast("int")).alias("accepted"), (h["rejected"] + (~ok).cast("int")).alias("rejected"), F.greatest(h["deepest"], F.when(ok, waiting + 1).otherwise(waiting)).alias("deepest"))
 
     return rows.select(key, F.aggregate("rows", start, step).alias("h")).select(key, "h.accepted", "h.rejected", "h.deepest")
+
+
+def latencies(df: DataFrame) -> DataFrame:
+    """Adds, in milliseconds, what lies between a block's times (seconds): of capture, enqueue, tracker_start, tracker_end, motion_end, signal_end, pga_end, write_end."""
+    ms = lambda a, b: (F.col(b) - F.col(a)) * 1000
+    # The names of the parts.
+    return df.withColumns({
+        "capture_to_tracker_end": ms("capture", "tracker_end"), "capture_to_pga": ms("capture", "pga_end"), "queue_wait": ms("enqueue", "tracker_start"), "tracker_compute": ms("tracker_start", "tracker_end"),
+        "postprocess_compute": ms("tracker_end", "write_end"), "motion_fit_ms": ms("tracker_end", "motion_end"), "signal_ms": ms("motion_end", "signal_end"), "pga_ms": ms("signal_end", "pga_end"),
+        "total_pipeline_ms": ms("tracker_start", "write_end"), "end_to_end_latency_ms": ms("capture", "pga_end"),
+    })
+
+
+def reseed_status(df: DataFrame, key: str, ratio_column: str = "spike_ratio", most: float = 3.0) -> DataFrame:
+    """Per run of its reseed events: events, p95 and what may be said: one harmful boundary asks for a review, one harmless one proves nothing."""
+    g = df.groupBy(key).agg(F.count(ratio_column).alias("events"), F.percentile(ratio_column, F.lit(0.95)).alias("p95"))
+    # The names of the states.
+    state = F.when(F.col("p95").isNull(), "NOT_EVALUABLE").when(F.col("p95") > most, "FAIL_REVIEW_REQUIRED").when(F.col("events") < 2, "NOT_EVALUABLE_SINGLE_EVENT_BELOW_THRESHOLD").otherwise("PASS_P95_RATIO_LE_3")
+    return g.withColumn("status", state)
+
+
+def verdict_table(runs: DataFrame, *parts: tuple[str, DataFrame, str], key: str = "run") -> DataFrame:
+    """Long: run, criterion, verdict. ``parts``: criterion, table, its verdict column; a run that a table lacks was NOT_MEASURED."""
+    out = None
+    for name, table, column in parts:
+        part = runs.select(key).join(table.select(key, F.col(column).alias("verdict")), key, "left").select(key, F.lit(name).alias("criterion"), F.coalesce("verdict", F.lit("NOT_MEASURED")).alias("verdict"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import ordered, ratio
+from ..functions import finite, ordered, ratio
+from .spectral import correlation_lag
+from .timebase import with_steps
 
 
 def backward(df: DataFrame, value: str = "x", key: str = "record_id") -> DataFrame:
@@ -60,16 +62,27 @@ def _solve(m: list[list[Column]], v: list[Column]) -> list[Column]:
     return [ratio(det([[v[i] if k == j else x for k, x in enumerate(r)] for i, r in enumerate(m)]), whole) for j in range(len(v))]
 
 
-def local_polynomial(df: DataFrame, value: str = "x", window: int = 9, order: int = 2, key: str = "record_id") -> DataFrame:
-    """Adds velocity and acceleration of a polynomial fitted to the trailing ``window`` samples; none before there are that many.
+def local_polynomial(df: DataFrame, value: str = "x", window: int = 9, order: int = 2, key: str = "record_id", centred: bool = False, least: int | None = None) -> DataFrame:
+    """Adds velocity and acceleration of a polynomial fitted to ``window`` samples: the trailing ones, or, ``centred``, those around.
 
-    The normal equations' moments are window sums of powers of the time since the current sample, in units of
-    the window's length; orders 2 and 3 are solved by Cramer's rule.
+    A centred window moves inward at a record's ends, so that it has as many samples there too. Samples with fewer
+    than ``least`` in their window (all of it, or order + 1 when centred) have none. The normal equations' moments are sums of powers of
+    the time since the current sample, in units of the window's length, solved by Cramer's rule.
     """
-    w = ordered(key).rowsBetween(-(window - 1), 0)
-    gathered = df.withColumn("_w", F.collect_list(F.struct(F.col("t").alias("t"), F.col(value).alias("v"))).over(w))
-    scale = F.col("t") - F.element_at("_w", 1)["t"]
-    full = gathered.where(F.size("_w") == window).withColumn("_s", scale)
+    w = ordered(key)
+    sample = F.struct(F.col("t").alias("t"), F.col(value).alias("v"))
+    if centred:
+        whole, half = W.partitionBy(key), window // 2
+        placed = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole), "_near": F.collect_list(sample).over(w.rowsBetween(-(window - 1), window - 1))})
+        end = F.least(F.col("_n"), F.greatest(F.lit(0), F.col("_i") - half) + window)
+        start = F.greatest(F.lit(0), end - window)
+        first = F.greatest(F.lit(0), F.col("_i") - (window - 1))
+        gathered = placed.withColumn("_w", F.slice("_near", (start - first + 1).cast("int"), (end - start).cast("int"))).drop("_near", "_i", "_n")
+    else:
+        gathered = df.withColumn("_w", F.collect_list(sample).over(w.rowsBetween(-(window - 1), 0)))
+    least = least or (order + 1 if centred else window)
+    scale = F.element_at("_w", -1)["t"] - F.element_at("_w", 1)["t"]
+    full = gathered.where(F.size("_w") >= least).withColumn("_s", scale)
 
     def moment(p: int, q: int) -> Column:
         def add(total, row):
@@ -121,3 +134,22 @@ def running_peak(df: DataFrame, value: str = "acceleration", quality: str | None
 def reseed_boundary(reseed_id: Column, key: str = "record_id") -> Column:
     """Whether the id differs from that of the sample before; never at the first."""
     return F.coalesce(reseed_id != F.lag(reseed_id).over(ordered(key)), F.lit(False))
+
+
+def compare_signals(df: DataFrame, reference: str, candidate: str, most_lag: int, key: str = "record_id") -> DataFrame:
+    """Per record, of a candidate against a reference: amplitude_bias, rmse, lag_samples, lag, peak_timing_error, peak_error, reference_peak, candidate_peak.
+
+    The lag is of greatest correlation within ``most_lag`` samples; peaks are of absolute values, of equal ones the
+    first. Samples that miss either are left out. Needs t, seq and i.
+    """
+    both = df.where(finite(F.col(reference)).isNotNull() & finite(F.col(candidate)).isNotNull())
+    r, c = F.abs(reference), F.abs(candidate)
+    peak = lambda x: F.max(F.struct(x.alias("v"), (-F.col("i")).alias("i"), F.col("t").alias("t")))
+    sums = both.groupBy(key).agg(peak(r).alias("r"), peak(c).alias("c"), F.sqrt(F.avg((F.col(candidate) - F.col(reference)) ** 2)).alias("rmse"))
+    step = with_steps(both, key).groupBy(key).agg(F.percentile("dt", F.lit(0.5)).alias("step"))
+    lag = correlation_lag(both.select(key, "i", F.col(reference).alias("x"), F.col(candidate).alias("y")), most_lag, key)
+    d = F.col("c.v") - F.col("r.v")
+    return sums.join(step, key).join(lag, key).select(
+        key, (d / F.greatest("r.v", F.lit(1e-12))).alias("amplitude_bias"), "rmse", F.col("lag").alias("lag_samples"), (F.col("lag") * F.col("step")).alias("lag"),
+        (F.col("c.t") - F.col("r.t")).alias("peak_timing_error"), d.alias("peak_error"), F.col("r.v").alias("reference_peak"), F.col("c.v").alias("candidate_peak"),
+    )

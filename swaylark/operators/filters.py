@@ -1,13 +1,15 @@
 """Filters of record signals.
 
-Recursive filters need each sample's predecessor, so a record is filtered whole by a numpy kernel per record
-(one shuffle on the record); exponential smoothing, detrending and integration stay in SQL expressions.
+Recursive filters need each sample's predecessor, so a record is filtered whole (one shuffle on the record), the
+records of a batch side by side in numpy; detrending and integration stay in SQL expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,16 +64,67 @@ def run_sections(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None =
     return y, state
 
 
-def zero_phase(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward over an odd extension; needs more samples than the extension has."""
+def run_together(sections: np.ndarray, series: list[np.ndarray], states: np.ndarray | None = None) -> list[np.ndarray]:
+    """Every series filtered by itself, all of them side by side: one step for each sample of the longest."""
+    sizes = [len(x) for x in series]
+    y = np.zeros((max(sizes, default=0), len(series)))
+    for j, x in enumerate(series):
+        y[: sizes[j], j] = x
+    for i, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+        s0, s1 = (np.zeros(len(series)) if states is None else states[:, i, k].copy() for k in (0, 1))
+        for v in y:
+            w = b0 * v + s0
+            s0 = b1 * v - a1 * w + s1
+            s1 = b2 * v - a2 * w
+            v[:] = w
+    return [y[:n, j] for j, n in enumerate(sizes)]
+
+
+def zero_phase(sections: np.ndarray, series: list[np.ndarray]) -> list[np.ndarray | None]:
+    """Forward and backward over an odd extension; None for a series that has no more samples than the extension."""
     pad = 3 * (2 * len(sections) + 1)
-    if len(x) <= pad:
-        raise ValueError(f"zero-phase filtering needs more than {pad} samples")
-    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    fit = [j for j, x in enumerate(series) if len(x) > pad]
+    long = [np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) for x in (series[j] for j in fit)]
     zi = steady_state(sections)
-    ahead, _ = run_sections(sections, long, zi * long[0])
-    back, _ = run_sections(sections, ahead[::-1], zi * ahead[-1])
-    return back[::-1][pad:-pad]
+    states = lambda xs: np.stack([zi * x[0] for x in xs])
+    out: list[np.ndarray | None] = [None] * len(series)
+    if fit:
+        ahead = [x[::-1] for x in run_together(sections, long, states(long))]
+        for j, x in zip(fit, run_together(sections, ahead, states(ahead)), strict=True):
+            out[j] = x[::-1][pad:-pad]
+    return out
+
+
+#: Samples of records, padded to the longest, that are filtered side by side.
+TOGETHER = 1 << 21
+
+
+def _by_record(df: DataFrame, value: str, key: str, out: str, kernel: Callable[[list[np.ndarray]], list[np.ndarray | None]]) -> DataFrame:
+    """Per sample: key, seq, t and what the kernel makes of the record's values in order. A record is a row; rows of many records share a batch."""
+    kind = dict(df.dtypes)[key]
+    sample = F.struct("t", F.col("seq").cast("long").alias("seq"), F.col(value).cast("double").alias("v"))
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(sample)).alias("rows"))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(np.asarray(batch.column(1).offsets))
+            start = 0
+            while start < batch.num_rows:
+                end = start + 1
+                while end < batch.num_rows and (end + 1 - start) * sizes[start : end + 1].max() <= TOGETHER:
+                    end += 1
+                part = batch.slice(start, end - start)
+                flat = part.column(1).flatten()
+                cuts = np.cumsum(sizes[start:end])[:-1]
+                values = np.asarray(flat.field("v").fill_null(np.nan))
+                series = np.split(values, cuts)
+                got = [np.full(len(x), np.nan) if y is None else y for x, y in zip(series, kernel(series), strict=True)]
+                made = np.concatenate(got) if got else np.zeros(0)
+                names = pa.array(np.repeat(np.arange(end - start), sizes[start:end]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(names), flat.field("seq"), flat.field("t"), pa.array(made, mask=np.isnan(made))], names=[key, "seq", "t", out])
+                start = end
+
+    return rows.mapInArrow(filtered, f"{key} {kind}, seq long, t double, {out} double")
 
 
 def bandpass(df: DataFrame, low: float, high: float, rate: float, mode: str = "causal", value: str = "x", key: str = "record_id", order: int = 4) -> DataFrame:
@@ -80,31 +133,26 @@ def bandpass(df: DataFrame, low: float, high: float, rate: float, mode: str = "c
     Records too short for zero phase have nulls.
     """
     sections = butterworth_bandpass(low, high, rate, order)
+    zi = steady_state(sections)
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "seq"])
-        x = rows["v"].to_numpy(float)
+    def kernel(series: list[np.ndarray]) -> list[np.ndarray | None]:
         if mode == "zero_phase":
-            try:
-                y = zero_phase(sections, x)
-            except ValueError:
-                y = np.full(len(x), np.nan)
-        else:
-            y, _ = run_sections(sections, x, steady_state(sections) * x[0] if mode == "steady" else None)
-        return rows.assign(filtered=y)[[key, "seq", "t", "filtered"]]
+            return zero_phase(sections, series)
+        return run_together(sections, series, np.stack([zi * x[0] for x in series]) if mode == "steady" else None)
 
-    kind = dict(df.dtypes)[key]
-    out = df.select(key, "seq", "t", F.col(value).cast("double").alias("v")).groupBy(key).applyInPandas(kernel, f"{key} {kind}, seq long, t double, filtered double")
-    return out.withColumn("filtered", F.nanvl("filtered", F.lit(None).cast("double")))
+    return _by_record(df, value, key, "filtered", kernel)
 
 
 def smoothed(df: DataFrame, weight: float, value: str = "x", key: str = "record_id") -> DataFrame:
-    """Exponential smoothing s = s + weight (x - s), folded in order within each record: key, seq, t, value, smooth."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col(value).cast("double").alias("v")))).alias("rows"))
-    start = F.array().cast("array<double>")
-    fold = F.aggregate("rows", start, lambda s, r: F.concat(s, F.array(F.when(F.size(s) == 0, r["v"]).otherwise(F.element_at(s, -1) + weight * (r["v"] - F.element_at(s, -1))))))
-    fold = F.when(F.size("rows") > 0, fold).otherwise(start)
-    return rows.select(key, F.explode(F.arrays_zip("rows", fold.alias("smooth"))).alias("z")).select(key, F.col("z.rows.seq").alias("seq"), F.col("z.rows.t").alias("t"), F.col("z.rows.v").alias(value), F.col("z.smooth").alias("smooth"))
+    """Exponential smoothing s = s + weight (x - s) from a record's first value, in order: key, seq, t, value, smooth."""
+
+    def kernel(series: list[np.ndarray]) -> list[np.ndarray | None]:
+        # the section 1, 0, 0 over 1, weight - 1 with its input scaled, begun as if the first value had been held
+        section = np.array([[weight, 0.0, 0.0, 1.0, weight - 1.0, 0.0]])
+        return run_together(section, series, np.stack([[[(1 - weight) * x[0], 0.0]] for x in series]))
+
+    smooth = _by_record(df, value, key, "smooth", kernel)
+    return df.select(key, "seq", "t", F.col(value).cast("double").alias(value)).join(smooth.select(key, "seq", "smooth"), [key, "seq"])
 
 
 def detrend(df: DataFrame, value: str = "x", key: str = "record_id") -> DataFrame:
@@ -129,25 +177,18 @@ def _line_out(x: np.ndarray) -> np.ndarray:
     return x - np.polyval(np.polyfit(i, x, 1), i) if len(x) > 1 else x - x
 
 
-def displacement(t: np.ndarray, a: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
-    """Displacement of an acceleration: detrend, filter, integrate twice with detrending between, filter."""
+def displacements(series: list[np.ndarray], low: float, high: float, rate: float) -> list[np.ndarray | None]:
+    """Displacement of accelerations: detrend, filter, integrate twice with detrending between, filter. None for series too short."""
     sections = butterworth_bandpass(low, min(high, 0.95 * rate / 2), rate)
-    integral = lambda v: np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 2 * np.diff(t))])
-    v = integral(zero_phase(sections, _line_out(a)))
-    return zero_phase(sections, _line_out(integral(_line_out(v))))
+    integral = lambda v: np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 2 / rate)])
+    first = zero_phase(sections, [_line_out(a) for a in series])
+    fit = [j for j, v in enumerate(first) if v is not None]
+    out: list[np.ndarray | None] = [None] * len(series)
+    for j, y in zip(fit, zero_phase(sections, [_line_out(integral(_line_out(integral(first[j])))) for j in fit]), strict=True):
+        out[j] = y
+    return out
 
 
 def acceleration_to_displacement(df: DataFrame, low: float, high: float, rate: float, value: str = "x", key: str = "record_id") -> DataFrame:
     """Per sample: key, seq, t, displacement; null for records too short to filter. Time between samples is 1 / rate."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "seq"])
-        try:
-            y = displacement(np.arange(len(rows)) / rate, rows["v"].to_numpy(float), low, high, rate)
-        except ValueError:
-            y = np.full(len(rows), np.nan)
-        return rows.assign(displacement=y)[[key, "seq", "t", "displacement"]]
-
-    kind = dict(df.dtypes)[key]
-    out = df.select(key, "seq", "t", F.col(value).cast("double").alias("v")).groupBy(key).applyInPandas(kernel, f"{key} {kind}, seq long, t double, displacement double")
-    return out.withColumn("displacement", F.nanvl("displacement", F.lit(None).cast("double")))
+    return _by_record(df, value, key, "displacement", lambda series: displacements(series, low, high, rate))

@@ -1,22 +1,25 @@
 """Motion common to a frame's points, what is left over, and how good the fit is.
 
 Closed forms of least squares are ratios of sums over the points of a frame, so fits are one aggregate per
-frame with the reference points broadcast (a fixed grid). Robust fits of three or more parameters run a numpy
-kernel per frame.
+frame with the reference points broadcast (a fixed grid). Robust fits judge all least subsets of a frame's
+points at once in numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb, radians
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import norm, ratio
+from .ranges import last_before
 
 #: Points that a model needs.
 LEAST_POINTS = {"translation": 1, "similarity": 2, "affine": 3, "homography": 4}
@@ -116,7 +119,7 @@ def quality_gate(fits: DataFrame, least_tracks: int = 10, least_inlier_ratio: fl
     """Adds quality (GOOD, DEGRADED, INVALID) and reasons (bar-joined, invalid ones first).
 
     Jumps are against the last frame before that is not INVALID. Needs n, n_inliers, inlier_ratio, fit_rmse,
-    condition, coverage, tx, ty, rotation. ``key`` parts the frames into records.
+    condition, coverage, tx, ty, rotation; a null tx is a fit that failed. ``key`` parts the frames into records.
     """
     c = F.col
     none = F.lit(None).cast("string")
@@ -130,108 +133,179 @@ def quality_gate(fits: DataFrame, least_tracks: int = 10, least_inlier_ratio: fl
         F.when(missing(c("condition")) | (c("condition") > most_condition), "ill_conditioned_transform").otherwise(none),
     ]
     named = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    marked = fits.withColumn("_invalid", named(invalid))
-    w = (W.partitionBy(key) if key else W.partitionBy(F.lit(0))).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
-    sound = lambda x: F.last(F.when(F.size("_invalid") == 0, c(x)), ignorenulls=True).over(w)
-    marked = marked.withColumns({"_tx": sound("tx"), "_ty": sound("ty"), "_rot": sound("rotation")})
+    failed = missing(c("tx"))
+    marked = fits.withColumn("_invalid", F.when(failed, F.array(F.lit("transform_fit_failed"))).otherwise(named(invalid)))
+    sound = F.when(F.size("_invalid") == 0, F.struct("tx", "ty", "rotation"))
+    marked = last_before(marked.withColumn("_now", sound), "_now", "_sound", by, key)
+    marked = marked.withColumns({"_tx": c("_sound.tx"), "_ty": c("_sound.ty"), "_rot": c("_sound.rotation")})
     degraded = [
         F.when(c("coverage") < least_coverage, "poor_spatial_coverage").otherwise(none),
         F.when(norm(c("tx") - c("_tx"), c("ty") - c("_ty")) > most_shift, "translation_jump").otherwise(none),
         F.when(F.abs(c("rotation") - c("_rot")) > most_turn, "rotation_jump").otherwise(none),
     ]
-    marked = marked.withColumn("_degraded", named(degraded))
+    marked = marked.withColumn("_degraded", F.when(failed, F.array().cast("array<string>")).otherwise(named(degraded)))
     quality = F.when(F.size("_invalid") > 0, "INVALID").when(F.size("_degraded") > 0, "DEGRADED").otherwise("GOOD")
-    return marked.withColumns({"quality": quality, "reasons": F.array_join(F.concat("_invalid", "_degraded"), "|")}).drop("_invalid", "_degraded", "_tx", "_ty", "_rot")
+    return marked.withColumns({"quality": quality, "reasons": F.array_join(F.concat("_invalid", "_degraded"), "|")}).drop("_invalid", "_degraded", "_tx", "_ty", "_rot", "_now", "_sound")
 
 
-def fit_matrix(model: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least-squares matrix that takes points a to b (N x 2)."""
-    n, one, zero = len(a), np.ones(len(a)), np.zeros(len(a))
-    if model == "translation":
-        m = np.eye(3)
-        m[:2, 2] = (b - a).mean(0)
-        return m
+def weighted_fits(model: str, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares matrices that take points a to b (N x 2), one for each row of weights (B x N), and the condition of each system of equations.
+
+    Rows whose points do not fix a transform have NaN.
+    """
+    n = w.sum(1)
+    out = np.full((len(w), 3, 3), np.nan)
     if model == "homography":
         x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
-        rows = np.concatenate([np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 1)])
-        h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
-        if abs(h[2, 2]) < 1e-12:
-            raise np.linalg.LinAlgError("degenerate homography")
-        return h / h[2, 2]
-    if model == "similarity":
-        rows = np.concatenate([np.stack([a[:, 0], -a[:, 1], one, zero], 1), np.stack([a[:, 1], a[:, 0], zero, one], 1)])
+        one, zero = np.ones(len(a)), np.zeros(len(a))
+        rows = np.stack([np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 1)], 1)
+        _, values, vectors = np.linalg.svd((w[:, :, None, None] * rows).reshape(len(w), -1, 9), full_matrices=True)
+        h, least = vectors[:, -1].reshape(-1, 3, 3), values[:, min(values.shape[1], 9) - 1]
+        sound = (np.abs(h[:, 2, 2]) > np.finfo(float).eps) & (n >= LEAST_POINTS[model])
+        out[sound] = h[sound] / h[sound][:, 2:, 2:]
+        return out, values[:, 0] / np.maximum(least, np.finfo(float).eps)
+    out[:, 2] = [0, 0, 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_a, mean_b = w @ a / n[:, None], w @ b / n[:, None]
+        if model == "translation":
+            out[:, :2, :2], out[:, :2, 2] = np.eye(2), mean_b - mean_a
+            return out, np.ones(len(w))
+        p = a[None] - mean_a[:, None]
+        cov = np.einsum("bn,bni,bnj->bij", w, p, p)  # of the places, and of places with what they go to
+        both = np.einsum("bn,bni,nj->bij", w, p, b)
+        if model == "similarity":
+            size = cov[:, 0, 0] + cov[:, 1, 1]
+            c, s = (both[:, 0, 0] + both[:, 1, 1]) / size, (both[:, 0, 1] - both[:, 1, 0]) / size
+            linear = np.stack([np.stack([c, -s], -1), np.stack([s, c], -1)], -2)
+            fixed = size > 1e-12 * n * (1 + (mean_a**2).sum(1))
+            gram = np.zeros((len(w), 3, 3))  # has the extreme eigenvalues of the system's 4 x 4 products
+            gram[:, 0, 0], gram[:, 1, 1], gram[:, 2, 2] = w @ (a * a).sum(1), n, n
+            gram[:, 0, 1] = gram[:, 1, 0] = w @ a[:, 0]
+            gram[:, 0, 2] = gram[:, 2, 0] = w @ a[:, 1]
+        else:
+            det = cov[:, 0, 0] * cov[:, 1, 1] - cov[:, 0, 1] ** 2
+            inverse = np.stack([np.stack([cov[:, 1, 1], -cov[:, 0, 1]], -1), np.stack([-cov[:, 0, 1], cov[:, 0, 0]], -1)], -2) / det[:, None, None]
+            linear = (inverse @ both).transpose(0, 2, 1)
+            fixed = det > 1e-12 * (cov[:, 0, 0] * cov[:, 1, 1] + 1e-300)
+            full = np.c_[a, np.ones(len(a))]
+            gram = np.einsum("bn,ni,nj->bij", w, full, full)
+        fixed &= n >= LEAST_POINTS[model]
+        out[:, :2, :2], out[:, :2, 2] = linear, mean_b - np.einsum("bij,bj->bi", linear, mean_a)
+        out[~fixed] = np.nan
+        values = np.linalg.eigvalsh(gram)
+        return out, np.sqrt(values[:, -1] / np.maximum(values[:, 0], 1e-300))
+
+
+def distances(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far from b the points a end under each of the matrices (B x N)."""
+    to = np.c_[a, np.ones(len(a))] @ m.transpose(0, 2, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        depth = np.where(np.abs(to[..., 2:]) > np.finfo(float).eps, to[..., 2:], np.nan)
+        return np.linalg.norm(to[..., :2] / depth - b, axis=-1)
+
+
+def least_subsets(n: int, k: int, tries: int, seed: int) -> np.ndarray:
+    """Subsets of k of n as rows of zeros and ones: all of them, in order, if there are at most ``tries``, else that many, drawn by hashes of seed, try and point."""
+    if comb(n, k) <= tries:
+        chosen = np.array(list(combinations(range(n), k)), np.int64)
     else:
-        rows = np.stack([a[:, 0], a[:, 1], one], 1)
-    target = np.concatenate([b[:, 0], b[:, 1]]) if model == "similarity" else b
-    got, _, rank, _ = np.linalg.lstsq(rows, target, rcond=None)
-    if rank < rows.shape[1] or n < LEAST_POINTS[model]:
-        raise np.linalg.LinAlgError("points do not fix the transform")
-    if model == "similarity":
-        p, q, tx, ty = got
-        return np.array([[p, -q, tx], [q, p, ty], [0, 0, 1]])
-    return np.vstack([got.T, [0, 0, 1]])
-
+        with np.errstate(over="ignore"):
+            x = (np.arange(tries, dtype=np.uint64)[:, None] + np.uint64(seed % (1 << 32)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(n, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+            for shift in (30, 27, 31):
+                x = (x ^ x >> np.uint64(shift)) * np.uint64(0xD6E8FEB86659FD93)
+        chosen = np.argpartition(x, k - 1, axis=1)[:, :k]
+    w = np.zeros((len(chosen), n))
+    np.put_along_axis(w, chosen, 1.0, 1)
+    return w
 
-def move(m: np.ndarray, a: np.ndarray) -> np.ndarray:
-    out = np.c_[a, np.ones(len(a))] @ m.T
-    w = np.where(np.abs(out[:, 2]) > 1e-12, out[:, 2], np.nan)
-    return out[:, :2] / w[:, None]
 
+def consensus(model: str, a: np.ndarray, b: np.ndarray, threshold: float = 1.5, tries: int = 128, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Matrix, inliers and condition of the transform that most points agree with; None where nothing fits.
 
-def robust_fit(model: str, a: np.ndarray, b: np.ndarray, threshold: float = 1.5, tries: int = 128, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix and inliers by random sample consensus: all least subsets if few, else random ones; one refit on the inliers and one more if they change."""
+    All least subsets are fitted and judged at once: most points within ``threshold``, then the least median error
+    of these (to nine digits), then the first. The fit to its inliers, and to those of that fit if they are others, is the result.
+    """
     k, n = LEAST_POINTS[model], len(a)
     if n < k:
-        raise ValueError("too few points")
+        return None
     keep = np.ones(n, bool)
     if n > k:
-        if comb(n, k) <= tries:
-            subsets = list(combinations(range(n), k))
-        else:
-            rng, found = np.random.default_rng(seed), {}
-            while len(found) < tries:
-                found[tuple(sorted(rng.choice(n, k, replace=False).tolist()))] = None
-            subsets = list(found)
-        best = (-1, 0.0)
-        for s in subsets:
-            try:
-                err = np.linalg.norm(move(fit_matrix(model, a[list(s)], b[list(s)]), a) - b, axis=1)
-            except np.linalg.LinAlgError:
-                continue
-            near = err <= threshold
-            score = (int(near.sum()), -float(np.median(err[near])) if near.any() else -np.inf)
-            if score > best:
-                best, keep = score, near
-    if keep.sum() < k:
-        keep = np.ones(n, bool)
-    m = fit_matrix(model, a[keep], b[keep])
-    near = np.linalg.norm(move(m, a) - b, axis=1) <= threshold
+        m, _ = weighted_fits(model, a, b, least_subsets(n, k, tries, seed))
+        error = distances(m, a, b)
+        near = error <= threshold  # NaN is not
+        count = near.sum(1)
+        best = np.flatnonzero((count == count.max()) & ~np.isnan(m[:, 0, 0]))
+        if len(best) and count.max() >= k:
+            keep = near[best[np.argmin(np.round(np.nanmedian(np.where(near[best], error[best], np.nan), axis=1), 9))]]
+    m, condition = weighted_fits(model, a, b, keep[None].astype(float))
+    near = distances(m, a, b)[0] <= threshold
     if near.sum() >= k and (near != keep).any():
-        m, keep = fit_matrix(model, a[near], b[near]), near
-    return m, keep
+        keep = near
+        m, condition = weighted_fits(model, a, b, keep[None].astype(float))
+    if np.isnan(m).any():
+        return None
+    return m[0], keep, float(max(condition[0], np.linalg.cond(m[0][:2, :2])))
 
 
-def robust_motion(points: DataFrame, model: str = "similarity", threshold: float = 1.5, width: float = 1.0, height: float = 1.0, seed: int = 0, key: str = "frame") -> DataFrame:
-    """Per frame, by consensus: n, n_inliers, inlier_ratio, fit_rmse, tx, ty, rotation, scale, shear, condition, coverage. A frame that no transform fits has nulls."""
-    names = ["n_inliers", "inlier_ratio", "fit_rmse", "tx", "ty", "rotation", "scale", "shear", "condition", "coverage"]
+MATRIX = [f"m{i}{j}" for i in range(3) for j in range(3)]
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        a, b = rows[["x0", "y0"]].to_numpy(float), rows[["x", "y"]].to_numpy(float)
-        frame = rows[key].iloc[0]
-        out = {key: [frame], "n": [len(rows)]}
-        try:
-            m, keep = robust_fit(model, a, b, threshold, seed=seed + int(frame))
-            err = np.linalg.norm(move(m, a) - b, axis=1)
-            s0, s1 = np.hypot(m[0, 0], m[1, 0]), np.hypot(m[0, 1], m[1, 1])
-            box = np.ptp(a[keep], axis=0).prod() / max(width * height, 1.0) if keep.sum() > 1 else 0.0
-            values = [keep.sum(), keep.mean(), np.sqrt((err[keep] ** 2).mean()), m[0, 2], m[1, 2], np.arctan2(m[1, 0], m[0, 0]), np.sqrt(s0 * s1), (m[0, 0] * m[0, 1] + m[1, 0] * m[1, 1]) / (s0 * s1), np.linalg.cond(m[:2, :2]), min(max(box, 0), 1)]
-        except (ValueError, np.linalg.LinAlgError):
-            values = [0] + [np.nan] * 9
-        return pd.DataFrame(out | {k: [float(v)] for k, v in zip(names, values, strict=True)})
-
-    kind = dict(points.dtypes)[key]
-    return points.groupBy(key).applyInPandas(kernel, f"{key} {kind}, n long, " + ", ".join(f"{x} double" for x in names))
+
+def robust_motion(points: DataFrame, model: str = "similarity", threshold: float = 1.5, width: float = 1.0, height: float = 1.0, seed: int = 0, key: str = "frame", tries: int = 128) -> DataFrame:
+    """Per frame, by consensus: n, n_inliers, inlier_ratio, fit_rmse, tx, ty, rotation, scale, shear, condition, coverage, the matrix m00 to m22, and the inliers' point_ids.
+
+    A frame that no transform fits has nulls. The points of a frame are one row for a numpy kernel; rows of many
+    frames share an Arrow batch.
+    """
+    names = ["inlier_ratio", "fit_rmse", "tx", "ty", "rotation", "scale", "shear", "condition", "coverage", *MATRIX]
+    kinds = dict(points.dtypes)
+
+    def of_frame(a: np.ndarray, b: np.ndarray, frame: int) -> tuple[np.ndarray, list[float]] | None:
+        found = consensus(model, a, b, threshold, tries, seed + frame)
+        if found is None:
+            return None
+        m, keep, condition = found
+        error = distances(m[None], a, b)[0]
+        s0, s1 = np.hypot(m[0, 0], m[1, 0]), np.hypot(m[0, 1], m[1, 1])
+        box = np.ptp(a[keep], axis=0).prod() / max(width * height, 1.0) if keep.sum() > 1 else 0.0
+        shear = (m[0, 0] * m[0, 1] + m[1, 0] * m[1, 1]) / max(s0 * s1, np.finfo(float).eps)
+        return keep, [keep.mean(), np.sqrt((error[keep] ** 2).mean()), m[0, 2], m[1, 2], np.arctan2(m[1, 0], m[0, 0]), np.sqrt(s0 * s1), shear, condition, min(max(box, 0.0), 1.0), *m.ravel()]
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames, lists = batch.column(0), batch.column(1)
+            offsets = np.asarray(lists.offsets)
+            xy = {c: np.asarray(lists.values.field(c)) for c in ("point_id", "x0", "y0", "x", "y")}
+            n, n_in, inliers, values = [], [], [], []
+            for frame, i, j in zip(frames.to_pylist(), offsets, offsets[1:], strict=False):
+                a, b = np.c_[xy["x0"][i:j], xy["y0"][i:j]], np.c_[xy["x"][i:j], xy["y"][i:j]]
+                got = of_frame(a, b, int(frame or 0))
+                n.append(j - i)
+                n_in.append(int(got[0].sum()) if got else 0)
+                inliers.append(xy["point_id"][i:j][got[0]] if got else [])
+                values.append(got[1] if got else [None] * len(names))
+            columns = [frames, pa.array(n, pa.int64()), pa.array(n_in, pa.int64()), pa.array(inliers, pa.list_(lists.values.field("point_id").type)), *[pa.array(x, pa.float64()) for x in zip(*values, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "n_inliers", "inliers", *names])
+
+    fields = [F.col("point_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x", "y")]]
+    rows = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("points"))
+    return rows.mapInArrow(fitted, f"{key} {kinds[key]}, n long, n_inliers long, inliers array<{kinds['point_id']}>, " + ", ".join(f"{x} double" for x in names))
+
+
+def decompose_tracks(tracks: DataFrame, reference: DataFrame, model: str = "similarity", threshold: float = 1.5, width: float = 1.0, height: float = 1.0, seed: int = 0, tries: int = 128, record: str | None = None, **gate) -> tuple[DataFrame, DataFrame]:
+    """Common motion by robust fits, what it leaves of every visible point, and the frames' quality.
+
+    Returns frames (``robust_motion`` with quality and reasons; a frame without a fit is INVALID for
+    ``transform_fit_failed``) and points (frame, point_id, rx, ry, residual, inlier; null where the frame has no fit).
+    ``gate``: thresholds of ``quality_gate``; its jumps are within a ``record`` where that is given.
+    """
+    points = matched(tracks, reference)
+    frames = robust_motion(points, model, threshold, width, height, seed, tries=tries)
+    every = tracks.select("frame", *([record] if record else [])).distinct().join(frames, "frame", "left")
+    judged = quality_gate(every.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "n_inliers")}), key=record, **gate)
+    moved = points.join(frames.select("frame", "inliers", *MATRIX), "frame")
+    px, py = apply_transform([F.col(c) for c in MATRIX], F.col("x0"), F.col("y0"))
+    moved = moved.withColumns({"rx": F.col("x") - px, "ry": F.col("y") - py})
+    return judged, moved.select("frame", "point_id", "rx", "ry", norm(F.col("rx"), F.col("ry")).alias("residual"), F.array_contains("inliers", F.col("point_id")).alias("inlier"))
 
 
 def per_cell_top(points: DataFrame, cell: float, quota: int, strength: str = "response") -> DataFrame:

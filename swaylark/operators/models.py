@@ -10,19 +10,25 @@ import json
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashed_integer, ratio
+from . import ranges
 
 TINY = 1e-12
 
 
 def group_folds(df: DataFrame, folds: int, group: str = "grp", seed: int = 7) -> DataFrame:
     """Adds fold: groups in order of a hash of seed and name, dealt into near equal runs; a group is never split."""
-    groups = df.select(group).distinct()
-    order = W.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))))
-    dealt = groups.withColumn("fold", F.ntile(folds).over(order) - 1)  # a row per group
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
+    groups = df.select(group).distinct().withColumns({"_mark": mark, "_one": F.lit(1).cast("long"), "_part": F.conv(F.substring(mark, 1, 2), 16, 10).cast("int")})
+    placed = ranges.running_sum(groups, "_one", "_place", [F.col("_mark")])
+    total = groups.agg(F.count(F.lit(1)).alias("_n"))
+    less = F.floor(F.col("_n") / folds)
+    longer = (F.col("_n") % folds) * (less + 1)  # groups in the runs that have one more
+    at = F.col("_place") - 1
+    fold = F.when(at < longer, F.floor(at / (less + 1))).otherwise(F.col("_n") % folds + F.floor(F.try_divide(at - longer, less)))
+    dealt = placed.crossJoin(F.broadcast(total)).select(group, fold.cast("int").alias("fold"))  # total is one row
     return df.join(dealt, group)
 
 
@@ -31,24 +37,34 @@ def train_rows(df: DataFrame, folds: int) -> DataFrame:
     return df.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("test_fold <> fold")
 
 
-def _others(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Per fold: sums over all other folds."""
-    own = df.groupBy("fold").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    whole = own.agg(*[F.sum(k).alias(f"_{k}") for k in sums])
-    return own.crossJoin(F.broadcast(whole)).select("fold", *[(F.col(f"_{k}") - F.col(k)).alias(k) for k in sums])  # whole is one row
+def _others(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Per fold (of a group): sums over all other folds."""
+    by = by or []
+    own = df.groupBy(*by, "fold").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    whole = own.groupBy(*by).agg(*[F.sum(k).alias(f"_{k}") for k in sums])
+    joined = own.join(F.broadcast(whole), by) if by else own.crossJoin(F.broadcast(whole))  # whole is a row per group
+    return joined.select(*by, "fold", *[(F.col(f"_{k}") - F.col(k)).alias(k) for k in sums])
 
 
-def median_baseline(df: DataFrame, folds: int, target: str = "target") -> DataFrame:
+def median_baseline(df: DataFrame, folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
     """Adds predicted: the median target of the other folds."""
-    medians = train_rows(df, folds).groupBy("test_fold").agg(F.percentile(target, F.lit(0.5)).alias("predicted"))
-    return df.join(F.broadcast(medians.withColumnRenamed("test_fold", "fold")), "fold")  # a row per fold
+    by = by or []
+    medians = train_rows(df, folds).groupBy(*by, "test_fold").agg(F.percentile(target, F.lit(0.5)).alias("predicted"))
+    return df.join(F.broadcast(medians.withColumnRenamed("test_fold", "fold")), [*by, "fold"])  # a row per fold
 
 
-def single_coefficient(df: DataFrame, feature: str = "f1", target: str = "target") -> DataFrame:
+def single_coefficient(df: DataFrame, feature: str = "f1", target: str = "target", by: list[str] | None = None) -> DataFrame:
     """Adds predicted: a line through the origin fitted to the other folds."""
-    p = _others(df, {"xy": F.col(feature) * F.col(target), "xx": F.col(feature) * F.col(feature)})
-    p = p.select("fold", (F.col("xy") / F.greatest("xx", F.lit(TINY))).alias("coefficient"))
-    return df.join(F.broadcast(p), "fold").withColumn("predicted", F.greatest(F.col("coefficient") * F.col(feature), F.lit(0.0)))
+    by = by or []
+    p = _others(df, {"xy": F.col(feature) * F.col(target), "xx": F.col(feature) * F.col(feature)}, by)
+    p = p.select(*by, "fold", (F.col("xy") / F.greatest("xx", F.lit(TINY))).alias("coefficient"))
+    return df.join(F.broadcast(p), [*by, "fold"]).withColumn("predicted", F.greatest(F.col("coefficient") * F.col(feature), F.lit(0.0)))
+
+
+def whole_coefficient(df: DataFrame, feature: str = "f1", target: str = "target") -> DataFrame:
+    """The line through the origin of all rows: n, coefficient. One row, the model that is kept."""
+    x, y = F.col(feature), F.col(target)
+    return df.agg(F.count(F.lit(1)).cast("double").alias("n"), (F.sum(x * y) / F.greatest(F.sum(x * x), F.lit(TINY))).alias("coefficient"))
 
 
 def ridge_1d(df: DataFrame, feature: str = "f1", target: str = "target", alpha: float = 1.0) -> DataFrame:
@@ -63,62 +79,107 @@ def ridge_1d(df: DataFrame, feature: str = "f1", target: str = "target", alpha:
     return df.join(F.broadcast(p), "fold").withColumn("predicted", F.exp(c("level") + c("slope") * (x - c("mean")) / c("sd")))
 
 
-def gram(df: DataFrame, features: list[str], target: str = "target", weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """X'WX and X'Wy with an intercept column first, and the number of rows: one aggregate, a row to the driver."""
+def gram(df: DataFrame, features: list[str], target: str, by: list[str], weight: str | None = None) -> dict[tuple, tuple[np.ndarray, np.ndarray, float]]:
+    """By group: X'WX and X'Wy with an intercept column first, and the number of rows. One aggregate; a row per group comes to the driver."""
     cols = [F.lit(1.0)] + [F.col(f) for f in features]
     w = F.col(weight) if weight else F.lit(1.0)
     k = len(cols)
     sums = {f"g{i}_{j}": w * cols[i] * cols[j] for i in range(k) for j in range(i, k)} | {f"y{i}": w * cols[i] * F.col(target) for i in range(k)}
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(name) for name, v in sums.items()]).first()
-    g, y = np.zeros((k, k)), np.zeros(k)
-    for i in range(k):
-        y[i] = row[f"y{i}"] or 0
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0
-    return g, y, row["n"]
+    out = {}
+    for row in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(name) for name, v in sums.items()]).collect():
+        g, y = np.zeros((k, k)), np.array([row[f"y{i}"] or 0.0 for i in range(k)])
+        for i in range(k):
+            g[i, i:] = g[i:, i] = [row[f"g{i}_{j}"] or 0.0 for j in range(i, k)]
+        out[tuple(row[x] for x in by)] = (g, y, row["n"])
+    return out
+
 
+def standardized(g: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of raw sums: mean and population deviation of the features (nearly 0 counts as 1), and the sums over standardized ones."""
+    n = g[0, 0]
+    mean = g[0, 1:] / n
+    sd = np.sqrt(np.maximum(np.diag(g)[1:] / n - mean * mean, 0.0))
+    sd = np.where(sd < TINY, 1.0, sd)
+    move = np.eye(len(g))
+    move[1:, 0] = -mean
+    move[1:] /= sd[:, None]
+    return mean, sd, move @ g @ move.T, move @ y
 
-def standardizer(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each feature; a deviation of nearly 0 counts as 1."""
-    row = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    return {f: (row[f"m_{f}"], row[f"s_{f}"] if (row[f"s_{f}"] or 0) >= TINY else 1.0) for f in features}
 
+def solved(g: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Least squares from sums; the intercept is not penalized."""
+    return np.linalg.lstsq(g + np.diag([0.0] + [penalty] * (len(g) - 1)), y, rcond=None)[0]
 
-def scaled(df: DataFrame, features: list[str], by: dict[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({f: (F.col(f) - by[f][0]) / by[f][1] for f in features})
 
+LINEAR = ("log_linear", "ridge", "huber")
+ALGORITHMS = ("median", "single_coefficient", *LINEAR)
+
+
+def _line(beta: list[str], mean: list[str], sd: list[str], features: list[str]) -> Column:
+    out = F.col(beta[0])
+    for b, m, s, f in zip(beta[1:], mean, sd, features, strict=True):
+        out = out + F.col(b) * (F.col(f) - F.col(m)) / F.col(s)
+    return out
 
-def fit(df: DataFrame, algorithm: str, features: list[str], target: str = "target", alpha: float = 1.0, rounds: int = 30, k: float = 1.345) -> dict:
-    """Parameters of log_linear, ridge or huber on ln target: a small dict that to_json keeps.
 
-    Huber reweights by residuals over 1.4826 times their median distance from their median; each round is one
-    aggregate over the rows, and only sums come to the driver.
+def _by_group(values: dict[tuple, float], by: list[str]) -> Column:
+    """The number of a row's group; there are a few groups."""
+    out = F.lit(None).cast("double")
+    for name, v in values.items():
+        same = F.lit(True)
+        for c, x in zip(by, name, strict=True):
+            same = same & F.col(c).eqNullSafe(F.lit(x))
+        out = F.when(same, F.lit(float(v))).otherwise(out)
+    return out
+
+
+def group_models(train: DataFrame, algorithm: str, features: list[str], by: list[str], target: str = "target", alpha: float = 1.0, rounds: int = 30, k: float = 1.345, sums: dict | None = None) -> dict[tuple, dict]:
+    """By group of ``train``: the parameters of log_linear, ridge or huber on ln target, as a small dict that to_json keeps.
+
+    Huber reweights by residuals over 1.4826 times their median distance from their median. All groups take a
+    round together: two aggregates for the medians and one for the sums, and a row per group comes to the driver.
+    ``sums``: those of ``gram`` where they are known.
     """
-    if algorithm not in ("log_linear", "ridge", "huber"):
+    if algorithm not in LINEAR:
         raise ValueError(f"unknown algorithm {algorithm}")
-    by = standardizer(df, features)
-    z = scaled(df.where(F.col(target) > 0), features, by).select(*features, F.ln(target).alias("_y"))
-    penalty = np.diag([0.0] + [0.0 if algorithm == "log_linear" else alpha] * len(features))
-    solve = lambda g, y: np.linalg.lstsq(g + penalty, y, rcond=None)[0]
-    g, y, _ = gram(z, features, "_y")
-    beta = solve(g, y)
-    if algorithm == "huber":
-        z = z.persist()  # every round reads it
+    rows = train.where(F.col(target) > 0).select(*by, *features, F.ln(target).alias("_y"))
+    sums = sums if sums is not None else gram(rows, features, "_y", by)
+    scale, betas = {}, {}
+    for name, (g, y, _) in sums.items():
+        mean, sd, zg, zy = standardized(g, y)
+        scale[name], betas[name] = (mean, sd), solved(zg, zy, 0.0 if algorithm == "log_linear" else alpha)
+    if algorithm == "huber" and sums:
+        names = lambda x: [f"_{x}{i}" for i in range(len(features) + (x == "b"))]
+        kinds = ", ".join(f"{x} {dict(train.dtypes)[x]}" for x in by)
+        spark = train.sparkSession
+        rows = rows.persist()  # every round reads them
         for _ in range(rounds):
-            line = F.lit(float(beta[0]))
-            for b, f in zip(beta[1:], features, strict=True):
-                line = line + float(b) * F.col(f)
-            r = z.withColumn("_r", F.col("_y") - line)
-            centre = r.agg(F.percentile("_r", F.lit(0.5))).first()[0] or 0.0
-            spread = max(1.4826 * (r.agg(F.percentile(F.abs(F.col("_r") - F.lit(centre)), F.lit(0.5))).first()[0] or 0.0), TINY)
-            weighted = r.withColumn("_w", F.least(F.lit(1.0), k * spread / F.greatest(F.abs("_r"), F.lit(TINY))))
-            g, y, _ = gram(weighted, features, "_y", "_w")
-            new = solve(g, y)
-            done, beta = np.abs(new - beta).max() < 1e-8, new
+            table = [(*name, *map(float, betas[name]), *map(float, scale[name][0]), *map(float, scale[name][1])) for name in betas]
+            now = spark.createDataFrame(table, ", ".join([kinds] * bool(by) + [f"{x} double" for x in names("b") + names("m") + names("s")]))
+            joined = rows.join(F.broadcast(now), by) if by else rows.crossJoin(F.broadcast(now))  # a row per group
+            r = joined.withColumns({f: (F.col(f) - F.col(m)) / F.col(s) for f, m, s in zip(features, names("m"), names("s"), strict=True)})
+            line = F.col("_b0")
+            for b, f in zip(names("b")[1:], features, strict=True):
+                line = line + F.col(b) * F.col(f)
+            r = r.withColumn("_r", F.col("_y") - line)
+            def medians(c: Column) -> dict[tuple, float]:
+                return {tuple(x[:-1]): x[-1] or 0.0 for x in r.groupBy(*by).agg(F.percentile(c, F.lit(0.5)).alias("_p")).select(*by, "_p").collect()}  # noqa: B023
+
+            centre = _by_group(medians(F.col("_r")), by)
+            spread = {name: max(1.4826 * v, TINY) for name, v in medians(F.abs(F.col("_r") - centre)).items()}
+            weighted = r.withColumn("_w", F.least(F.lit(1.0), k * _by_group(spread, by) / F.greatest(F.abs("_r"), F.lit(TINY))))
+            new = {name: solved(g, y, alpha) for name, (g, y, _) in gram(weighted, features, "_y", by, "_w").items()}
+            done = max(np.abs(new[name] - betas[name]).max() for name in betas) < 1e-8
+            betas = new
             if done:
                 break
-        z.unpersist()
-    return {"algorithm": algorithm, "features": features, "scale": {f: list(by[f]) for f in features}, "beta": beta.tolist()}
+        rows.unpersist()
+    return {name: {"algorithm": algorithm, "features": features, "scale": {f: [float(m), float(d)] for f, m, d in zip(features, *scale[name], strict=True)}, "beta": betas[name].tolist()} for name in betas}
+
+
+def fit(df: DataFrame, algorithm: str, features: list[str], target: str = "target", **options) -> dict:
+    """The model of all rows of ``df``."""
+    return group_models(df, algorithm, features, [], target, **options)[()]
 
 
 def predict(df: DataFrame, model: dict, scale_valid: bool = True) -> DataFrame:
@@ -140,23 +201,68 @@ def from_json(text: str) -> dict:
     return json.loads(text)
 
 
-def cross_validated(df: DataFrame, algorithm: str, features: list[str], folds: int, target: str = "target") -> DataFrame:
-    """Adds predicted by a model of the other folds; the number of folds is a small parameter."""
+def cross_validated(df: DataFrame, algorithm: str, features: list[str], folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
+    """Adds predicted by a model of the other folds, within each group of ``by``.
+
+    Closed forms come from sums by fold: those of the others are the whole's less the fold's own.
+    """
+    by = by or []
+    sums = gram(df.where(F.col(target) > 0).withColumn("_y", F.ln(target)), features, "_y", [*by, "fold"])
+    others = {}
+    for name in sums:
+        rest = [v for other, v in sums.items() if other[:-1] == name[:-1] and other[-1] != name[-1]]
+        if rest:
+            others[name] = tuple(sum(x[i] for x in rest) for i in range(3))
+    if algorithm == "huber":
+        found = group_models(train_rows(df, folds), algorithm, features, [*by, "test_fold"], target, sums=others)
+    else:
+        found = group_models(df, algorithm, features, [*by, "fold"], target, sums=others)
+    kinds = dict(df.dtypes)
+    names = [[f"_{x}{i}" for i in range(len(features) + (x == "b"))] for x in "bms"]
+    table = [(*name, *m["beta"], *[m["scale"][f][0] for f in features], *[m["scale"][f][1] for f in features]) for name, m in found.items()]
+    kept = df.sparkSession.createDataFrame(table, ", ".join([f"{x} {kinds[x]}" for x in [*by, "fold"]] + [f"{x} double" for x in sum(names, [])]))
+    line = _line(*names, features)
+    return df.join(F.broadcast(kept), [*by, "fold"], "left").withColumn("predicted", F.greatest(F.exp(line), F.lit(0.0))).drop(*sum(names, []))  # a row per fold
+
+
+def subset_predictions(df: DataFrame, subsets: dict[str, str], features: list[str], folds: int, single: str, target: str = "target", algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
+    """Long: subset, algorithm, and the row with predicted, for rows whose flag of the subset is true. ``subsets``: flag column by name.
+
+    A row is exploded by its subsets once; every algorithm's parameters are a row per subset and fold.
+    """
+    labels = F.filter(F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in subsets.items()]), lambda x: x.isNotNull())
+    rows = df.withColumn("subset", F.explode(labels)).withColumn("fold", F.col("fold").cast("int"))
     out = None
-    for fold in range(folds):
-        part = predict(df.where(F.col("fold") == fold), fit(df.where(F.col("fold") != fold), algorithm, features, target))
+    for algorithm in algorithms:
+        if algorithm == "median":
+            part = median_baseline(rows, folds, target, ["subset"])
+        elif algorithm == "single_coefficient":
+            part = single_coefficient(rows, single, target, ["subset"])
+        else:
+            part = cross_validated(rows, algorithm, features, folds, target, ["subset"])
+        part = part.select(*rows.columns, "predicted", F.lit(algorithm).alias("algorithm"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds the average rank of each value among ``keys``. Counts by value first, so the running sum is over distinct values."""
+def checked_inputs(df: DataFrame, version: str, version_column: str = "feature_version", causal_column: str = "causal") -> str:
+    """PASS if all rows are causal, else FAIL; rows of another feature version are an error. A row comes to the driver."""
+    seen = df.agg(*[F.slice(F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(missing)))), 1, 100).alias(c) for c, missing in ((version_column, "MISSING"), (causal_column, "UNKNOWN"))]).first()
+    if seen[version_column] != [version]:
+        raise ValueError(f"feature versions are {seen[version_column]}, not {version}")
+    return "PASS" if seen[causal_column] in (["1"], ["true"]) else "FAIL"
+
+
+def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None, edges: list[float] | None = None) -> DataFrame:
+    """Adds the average rank of each value among ``keys``.
+
+    Counts by value first; the running count over distinct values goes by ranges between ``edges``.
+    """
     keys = keys or []
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranks = counts.withColumn(out, upto - (F.col("_c") - 1) / 2).drop("_c")
-    return df.join(ranks, [*keys, value])
+    edges = ranges.bounds(df, value)[0] if edges is None else edges
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_part", ranges.range_of(F.col(value), edges))
+    ranked = ranges.running_sum(counts, "_c", "_upto", [F.col(value)], keys)
+    return df.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*keys, value])
 
 
 def metrics(df: DataFrame, keys: list[str] | None = None, truth: str = "target", estimate: str = "predicted") -> DataFrame:
@@ -166,7 +272,8 @@ def metrics(df: DataFrame, keys: list[str] | None = None, truth: str = "target",
     safe = F.greatest(e, F.lit(TINY))
     factor = F.greatest(safe / t, t / safe)
     pearson = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    ranked = average_ranks(average_ranks(df, truth, "_rt", keys), estimate, "_re", keys)
+    edges = ranges.bounds(df, truth, estimate)
+    ranked = average_ranks(average_ranks(df, truth, "_rt", keys, edges[0]), estimate, "_re", keys, edges[1])
     aggs = [
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e - t)).alias("mae"), F.sqrt(F.avg((e - t) * (e - t))).alias("rmse"),
         F.avg(F.abs(F.ln(safe) - F.ln(t))).alias("log_mae"), F.percentile(factor, F.lit(0.5)).alias("median_factor"),
@@ -189,16 +296,17 @@ def confusion(df: DataFrame, edges: list[float], truth: str = "target", estimate
     return cells.join(F.broadcast(counts), ["true_bin", "estimated_bin"], "left").select("true_bin", "estimated_bin", F.coalesce("n", F.lit(0)).alias("n"))  # k squared rows
 
 
-def bootstrap_mae(df: DataFrame, draws: int, seed: int = 0, truth: str = "target", estimate: str = "predicted", key: str = "record_id") -> DataFrame:
-    """2.5th, 50th and 97.5th percentile of the MAE over resamples.
+def bootstrap_mae(df: DataFrame, draws: int, seed: int = 0, truth: str = "target", estimate: str = "predicted", key: str = "record_id", by: list[str] | None = None) -> DataFrame:
+    """2.5th, 50th and 97.5th percentile of the MAE over resamples, of each group of ``by``.
 
     A resample repeats each row by a Poisson number of mean 1 drawn from a hash of seed, row and draw, which
     needs no shuffle of rows: draws are summed side by side in one pass.
     """
     # The cumulative Poisson distribution of mean 1.
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
-    drawn = df.select(key, F.abs(F.col(estimate) - F.col(truth)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    by = by or []
+    drawn = df.select(*by, key, F.abs(F.col(estimate) - F.col(truth)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     u = hashed_integer(F.lit(seed), F.col(key), F.col("b")) / F.lit(float(1 << 32))
     count = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
-    sums = drawn.withColumn("c", count).groupBy("b").agg((F.sum(F.col("c") * F.col("e")) / F.sum("c")).alias("mae"))
-    return sums.agg(*[F.percentile("mae", F.lit(p)).alias(n) for n, p in (("lower_95", 0.025), ("median", 0.5), ("upper_95", 0.975))])
+    sums = drawn.withColumn("c", count).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("c") * F.col("e")), F.sum("c")).alias("mae"))
+    return sums.groupBy(*by).agg(*[F.percentile("mae", F.lit(p)).alias(n) for n, p in (("lower_95", 0.025), ("median", 0.5), ("upper_95", 0.975))])

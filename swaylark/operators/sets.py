@@ -32,3 +32,14 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def concatenated_tracks(parts: list[DataFrame]) -> DataFrame:
+    """Track batches (frame, point_id, ..., reseed_id) as one, with the greatest reseed_id of all; batches of other points are an error."""
+    if not parts:
+        raise ValueError("at least one batch is needed")
+    both = stacked([p.withColumn("_batch", F.lit(i)) for i, p in enumerate(parts)])
+    if not both.groupBy("point_id").agg(F.count_distinct("_batch").alias("n")).where(F.col("n") < len(parts)).isEmpty():
+        raise ValueError("batches have different points")
+    most = both.agg(F.max("reseed_id").alias("reseed_id"))
+    return both.drop("_batch", "reseed_id").crossJoin(F.broadcast(most))  # one row

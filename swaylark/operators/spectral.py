@@ -40,6 +40,27 @@ def band_energy(spectrum: DataFrame, rate: float, bands: tuple[tuple[float, floa
     return spectrum.groupBy(key).agg(*[F.sum(F.when((hz >= a) & (hz < b), share).otherwise(0.0)).alias(f"band_{j}") for j, (a, b) in enumerate(bands)])
 
 
+def spectrum_features(df: DataFrame, value: str = "x", rate: str = "rate", bands: tuple[tuple[float, float], ...] = ((0.3, 1.0), (1.0, 3.0), (3.0, 8.0)), key: str = "record_id", digits: int = 6) -> DataFrame:
+    """Per record by one FFT of its samples in order: dominant_hz and band_0, band_1, ...; null for records with a missing value or of fewer than four samples.
+
+    ``rate``: the column with the record's rate. Of frequencies of equal amplitude (to ``digits``) the lowest.
+    """
+    names = ["dominant_hz", *[f"band_{j}" for j in range(len(bands))]]
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "seq"])
+        x, hz = rows["v"].to_numpy(float), float(rows["rate"].iloc[0])
+        out = [np.nan] * len(names)
+        if len(x) >= 4 and np.isfinite(x).all() and np.isfinite(hz):
+            at, power = np.fft.rfftfreq(len(x), 1 / hz), np.abs(np.fft.rfft(x - x.mean())) ** 2
+            out = [at[1:][np.argmax(np.round(np.sqrt(power[1:]), digits))]] + [power[(at >= a) & (at < b)].sum() / len(x) ** 2 for a, b in bands]
+        return pd.DataFrame({key: [rows[key].iloc[0]]} | {n: [v] for n, v in zip(names, out, strict=True)})
+
+    kind = dict(df.dtypes)[key]
+    got = df.select(key, "t", "seq", F.col(value).cast("double").alias("v"), F.col(rate).cast("double").alias("rate")).groupBy(key).applyInPandas(kernel, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+    return got.select(key, *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
+
+
 def correlation_lag(df: DataFrame, most: int, key: str = "record_id", digits: int = 6) -> DataFrame:
     """The lag of y against x, in samples, at which the sum of their products is greatest; of equal sums the least lag. Needs i."""
     w = W.partitionBy(key)
@@ -79,10 +100,10 @@ def surrogates(df: DataFrame, count: int, seed: int = 0, value: str = "x", key:
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i")
-        name, it = rows[key].iloc[0], int(rows["iteration"].iloc[0])
-        rng = np.random.default_rng([seed, abs(hash(name)) % (1 << 31), it])
+        it = int(rows["iteration"].iloc[0])
+        rng = np.random.default_rng([seed, int(rows["salt"].iloc[0]), it])
         return rows.assign(v=phase_surrogate(rows["v"].to_numpy(float), rng))[[key, "iteration", "i", "v"]]
 
     kind = dict(df.dtypes)[key]
-    many = df.select(key, F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("iteration"))
+    many = df.select(key, F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("v"), F.pmod(F.xxhash64(key), F.lit(1 << 31)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("iteration"))
     return many.groupBy(key, "iteration").applyInPandas(kernel, f"{key} {kind}, iteration int, i long, v double").withColumnRenamed("v", value)

@@ -49,20 +49,21 @@ def resample(df: DataFrame, step: float, columns: tuple[str, ...] = ("x",), key:
     return points.select(key, "k", at.alias("t"), *[(F.col(c) + share * (F.coalesce(F.col(f"{c}_1"), F.col(c)) - F.col(c))).alias(c) for c in columns])
 
 
-def decimate(df: DataFrame, target_step: float, key: str = "record_id") -> DataFrame:
-    """Samples that a capture at a target rate would emit: the first at or after each emission time, never twice.
+def decimate(df: DataFrame, target_step: float, source_step: float = 0.0, key: str = "record_id") -> DataFrame:
+    """Samples that a capture at a target rate emits, with their number (emitted) and even time (at).
 
-    The next emission time depends on all before, so each record's samples, in order, are folded.
+    A sample is emitted if the next emission time, emissions so far times ``target_step``, is no more than half a
+    ``source_step`` ahead, and never twice. Emissions up to a sample are one more than up to the sample before
+    or as many as are due, whichever is less; so they are the place plus the least of what is due less the
+    place, over all samples so far: a running minimum.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "seq"))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<struct<t:double,seq:bigint,emitted:bigint>>").alias("out"))
-
-    def step(held, row):
-        emit = row["t"] >= held["next"]
-        new = F.array(F.struct(row["t"].alias("t"), row["seq"].alias("seq"), F.size(held["out"]).cast("long").alias("emitted")))
-        return F.struct(F.when(emit, held["next"] + target_step).otherwise(held["next"]).alias("next"), F.when(emit, F.concat(held["out"], new)).otherwise(held["out"]).alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("rows", start, step, lambda held: held["out"])).alias("r")).select(key, "r.t", "r.seq", "r.emitted")
+    w = ordered(key)
+    placed = df.withColumn("_i", F.row_number().over(w) - 1)
+    due = F.floor((F.col("t") + source_step / 2) / target_step) + 1
+    upto = F.col("_i") + F.least(F.lit(1), F.min(due - F.col("_i")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    counted = placed.withColumn("_upto", F.greatest(upto, F.lit(0)))
+    rows = counted.withColumn("_before", F.coalesce(F.lag("_upto").over(w), F.lit(0))).where("_upto > _before")
+    return rows.select(key, "t", "seq", F.col("_before").cast("long").alias("emitted"), (F.col("_before") * F.lit(float(target_step))).alias("at"))
 
 
 def hopping_blocks(df: DataFrame, width: int, hop: int, key: str = "record_id") -> DataFrame:
@@ -78,3 +79,22 @@ def finalized(blocks: DataFrame, hop: int, width: int, key: str = "record_id") -
     """The samples that each block finalizes: its first ``hop``; a record's last block finalizes all it has."""
     marked = blocks.withColumn("_last", F.max("block").over(W.partitionBy(key)))
     return marked.where((F.col("place") < hop) | (F.col("block") == F.col("_last"))).drop("_last").withColumn("reseed_id", F.floor(F.col("block") / 64))
+
+
+def padded_blocks(df: DataFrame, width: int, hop: int, key: str = "record_id") -> DataFrame:
+    """As ``hopping_blocks``, with one more block for samples after the last full one, filled up by repeats of the last sample.
+
+    Adds padded; a repeat's time goes on by the record's median step. A record shorter than a block has one block.
+    """
+    i, n = F.col("i"), F.col("_n")
+    sized = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key)))
+    blocks = F.when(n <= width, F.lit(1)).otherwise(F.ceil((n - width) / hop) + 1)
+    first, last = F.greatest(F.lit(0), F.ceil((i - width + 1) / hop)), F.least(F.floor(i / hop), blocks - 1)
+    rows = sized.where(first <= last).withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    rows = rows.withColumns({"place": F.col("i") - F.col("block") * hop, "padded": F.lit(False)}).drop("_n")
+    nominal = with_steps(df, key).groupBy(key).agg(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(0.0)).alias("_step"))
+    ends = sized.where(i == n - 1).withColumns({"block": (blocks - 1).cast("long")}).join(nominal, key)
+    short = (F.col("block") * hop + width - n).cast("long")
+    repeats = ends.where(short > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), short)))
+    repeats = repeats.withColumns({"t": F.col("t") + F.col("_k") * F.col("_step"), "place": F.col("i") + F.col("_k") - F.col("block") * hop, "padded": F.lit(True)}).drop("_n", "_k", "_step")
+    return rows.unionByName(repeats)

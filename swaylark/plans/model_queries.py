@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tidy
-from ..operators import audit, models, quality, sets
+from ..operators import audit, features, models, quality, sets
 from ..sources import adapters as A
 from ..sources import records
 from .registry import query
@@ -58,10 +58,21 @@ def _cv(algorithm):
     return run
 
 
-for _name in ("log_linear", "ridge", "huber"):
+def _linear_sql(alpha: float, source: str = "f", by: str = "") -> str:
+    """CTEs up to lin: rows with predicted by a line on three standardized features of ln target, fitted to the other folds (three equations, by determinants)."""
+    lead, same = (f"{by}, ", f"{source}.{by} = k.{by} AND ") if by else ("", "")
+    return f"""ls AS (SELECT {f"k.{by}, " if by else ""}k.fold, count(*) + {alpha}::DOUBLE AS d, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, stddev_pop(f1) AS s1, stddev_pop(f2) AS s2, stddev_pop(f3) AS s3, avg(ln(target)) AS level,
+  count(*) * corr(f1, f2) AS c12, count(*) * corr(f1, f3) AS c13, count(*) * corr(f2, f3) AS c23, count(*) * covar_pop(f1, ln(target)) / stddev_pop(f1) AS b1, count(*) * covar_pop(f2, ln(target)) / stddev_pop(f2) AS b2, count(*) * covar_pop(f3, ln(target)) / stddev_pop(f3) AS b3
+  FROM {source} JOIN (SELECT DISTINCT {lead}fold FROM {source}) k ON {same}{source}.fold <> k.fold GROUP BY ALL),
+lb AS (SELECT *, d * (d * d - c23 * c23) - c12 * (c12 * d - c23 * c13) + c13 * (c12 * c23 - d * c13) AS det, b1 * (d * d - c23 * c23) - c12 * (b2 * d - c23 * b3) + c13 * (b2 * c23 - d * b3) AS n1,
+  d * (b2 * d - c23 * b3) - b1 * (c12 * d - c23 * c13) + c13 * (c12 * b3 - b2 * c13) AS n2, d * (d * b3 - b2 * c23) - c12 * (c12 * b3 - b2 * c13) + b1 * (c12 * c23 - d * c13) AS n3 FROM ls),
+lin AS (SELECT {source}.*, exp(level + n1 / det * (f1 - m1) / s1 + n2 / det * (f2 - m2) / s2 + n3 / det * (f3 - m3) / s3) AS predicted FROM {source} JOIN lb USING ({lead}fold))"""
+
+
+for _name, _sql in (("log_linear", f"{FOLDED}, {_linear_sql(0)} SELECT record_id, round(predicted, 2) AS predicted FROM lin"), ("ridge", f"{FOLDED}, {_linear_sql(1)} SELECT record_id, round(predicted, 2) AS predicted FROM lin"), ("huber", None)):
     _f = _cv(_name)
     _f.__name__ = f"cv_{_name}"
-    query()(_f)
+    query(_sql)(_f)
 
 
 def _metrics_sql(source: str, keys: str = "") -> str:
@@ -99,12 +110,12 @@ def confusion_matrix(spark, sf_dir):
 STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
 
 
-@query(f"""{FOLDED}, {SINGLE}, d AS (SELECT b, abs(predicted - target) AS e, ('0x' || substr(md5('0|' || record_id || '|' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(0, 20) r(b)),
+@query(f"""{FOLDED}, {SINGLE}, d AS (SELECT b, abs(predicted - target) AS e, ('0x' || substr(md5('0|' || record_id || '|' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(0, 2000) r(b)),
 w AS (SELECT b, e, len(list_filter({STEPS}::DOUBLE[], lambda s: s <= u)) AS c FROM d), m AS (SELECT b, sum(c * e) / sum(c) AS mae FROM w GROUP BY 1)
 SELECT round(quantile_cont(mae, 0.025), 3) AS lower_95, round(quantile_cont(mae, 0.5), 3) AS median, round(quantile_cont(mae, 0.975), 3) AS upper_95 FROM m""")
 def bootstrap_ci(spark, sf_dir):
     p = models.single_coefficient(_folded(spark, sf_dir))
-    return rounded(models.bootstrap_mae(p, 20), ["lower_95", "median", "upper_95"], 3)
+    return rounded(models.bootstrap_mae(p, 2000), ["lower_95", "median", "upper_95"], 3)
 
 
 def _rows(spark, sf_dir):
@@ -142,17 +153,46 @@ def exclusion_reasons(spark, sf_dir):
     return quality.exclusions(_judged(spark, sf_dir))
 
 
-@query(f"""{QUALITY}, s AS (SELECT unnest([CASE WHEN in_all THEN 'all' END, CASE WHEN in_video THEN 'video_quality' END, CASE WHEN in_posthoc THEN 'posthoc_aligned' END]) AS subset, grp, f1, target FROM y),
+@query(f"""{QUALITY}, s AS (SELECT unnest([CASE WHEN in_all THEN 'all' END, CASE WHEN in_video THEN 'video_quality' END, CASE WHEN in_posthoc THEN 'posthoc_aligned' END]) AS subset, grp, f1, f2, f3, target FROM y),
 g AS (SELECT grp, ntile({FOLDS}) OVER (ORDER BY md5('7|' || grp)) - 1 AS fold FROM (SELECT DISTINCT grp FROM feats)), h AS (SELECT * FROM s JOIN g USING (grp) WHERE subset IS NOT NULL),
-c AS (SELECT h.subset, k.fold, sum(f1 * target) / greatest(sum(f1 * f1), 1e-12) AS coefficient FROM h JOIN (SELECT DISTINCT fold FROM h) k ON h.fold <> k.fold GROUP BY 1, 2),
-p AS (SELECT h.subset, target, greatest(coefficient * f1, 0) AS predicted FROM h JOIN c ON c.subset = h.subset AND c.fold = h.fold), {_metrics_sql('p', 'subset')}""")
+k AS (SELECT DISTINCT subset, fold FROM h), c AS (SELECT k.subset, k.fold, sum(f1 * target) / greatest(sum(f1 * f1), 1e-12) AS coefficient, quantile_cont(target, 0.5) AS middle FROM h JOIN k ON h.subset = k.subset AND h.fold <> k.fold GROUP BY 1, 2),
+{_linear_sql(0, 'h', 'subset')}, {_linear_sql(1, 'h', 'subset').replace('ls AS', 'rs AS').replace('FROM ls', 'FROM rs').replace('lb AS', 'rb AS').replace('JOIN lb', 'JOIN rb').replace('lin AS', 'ridge AS')},
+e AS (SELECT h.subset, 'median' AS algorithm, target, middle AS predicted FROM h JOIN c USING (subset, fold) UNION ALL SELECT h.subset, 'single_coefficient', target, greatest(coefficient * f1, 0) FROM h JOIN c USING (subset, fold)
+      UNION ALL SELECT subset, 'log_linear', target, predicted FROM lin UNION ALL SELECT subset, 'ridge', target, predicted FROM ridge),
+p AS (SELECT subset, algorithm, target, round(predicted, 6) AS predicted FROM e), {_metrics_sql('p', 'subset, algorithm')}""")
 def evaluate_subsets(spark, sf_dir):
-    j = models.group_folds(_judged(spark, sf_dir), FOLDS)
-    out = None
-    for name, flag in (("all", "in_all"), ("video_quality", "in_video_quality"), ("posthoc_aligned", "in_posthoc")):
-        part = models.single_coefficient(j.where(flag)).select(F.lit(name).alias("subset"), "target", "predicted")
-        out = part if out is None else out.unionByName(part)
-    return rounded(rounded(models.metrics(out, ["subset"]), ["mae", "rmse"], 3), METRIC_COLUMNS)
+    return _evaluated(spark, sf_dir, ("median", "single_coefficient", "log_linear", "ridge"))
+
+
+@query()
+def evaluate_huber(spark, sf_dir):
+    return _evaluated(spark, sf_dir, ("huber",))
+
+
+def _predicted(spark, sf_dir, algorithms):
+    judged = _judged(spark, sf_dir).withColumns({"feature_version": F.lit(features.VERSION), "causal": F.lit(1)})
+    models.checked_inputs(judged, features.VERSION)
+    subsets = {"all": "in_all", "video_quality": "in_video_quality", "posthoc_aligned": "in_posthoc"}
+    return models.subset_predictions(models.group_folds(judged, FOLDS), subsets, FEATURES, FOLDS, "f1", algorithms=algorithms)
+
+
+def _evaluated(spark, sf_dir, algorithms):
+    p = rounded(_predicted(spark, sf_dir, algorithms).select("subset", "algorithm", "target", "predicted"), ["predicted"])
+    return rounded(rounded(models.metrics(p, ["subset", "algorithm"]), ["mae", "rmse"], 3), METRIC_COLUMNS)
+
+
+@query(f"""{QUALITY}, m AS (SELECT count(*)::DOUBLE AS n, sum(f1 * target) / greatest(sum(f1 * f1), 1e-12) AS coefficient FROM y WHERE in_video)
+SELECT n, round(coefficient, 6) AS coefficient FROM m""")
+def final_model(spark, sf_dir):
+    kept = _judged(spark, sf_dir).where("in_video_quality")
+    return rounded(models.whole_coefficient(kept), ["coefficient"])
+
+
+@query(f"""{FOLDED}, {SINGLE}, b AS (SELECT *, len(list_filter({EDGES[1:-1]}::DOUBLE[], lambda e: e <= target)) AS bin, 'single_coefficient' AS algorithm FROM p), {_metrics_sql('b', 'algorithm, bin, grp')}""")
+def metrics_by_bin(spark, sf_dir):
+    p = models.single_coefficient(_folded(spark, sf_dir)).withColumns({"bin": models.binned(F.col("target"), EDGES).cast("long"), "algorithm": F.lit("single_coefficient")})
+    m = models.metrics(p, ["algorithm", "bin", "grp"])
+    return rounded(rounded(m, ["mae", "rmse"], 3), METRIC_COLUMNS)
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing_left' WHEN l.doc_id IS NULL THEN 'missing_right' ELSE 'paired' END AS status FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
@@ -237,3 +277,28 @@ SELECT user_id AS record_id, event_type AS status, NULL AS attempt_utc FROM even
 def failure_history(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), F.col("event_type").alias("status"))
     return records.add_failures(e.withColumn("attempt_utc", F.lit(None).cast("string")), e.withColumn("attempt_utc", F.when(F.col("record_id") % 2 == 0, "now")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber % 4 <> 0 THEN l_discount END, 'inf'::DOUBLE) >= 0.05 AND NOT contains(l_returnflag || '|' || l_linestatus, 'R') AS accepted FROM lineitem""")
+def correlation_filter(spark, sf_dir):
+    i = A.table(spark, sf_dir, "lineitem").withColumns({"alignment_correlation": F.when(F.col("l_linenumber") % 4 != 0, F.col("l_discount")), "quality_flags": F.concat_ws("|", "l_returnflag", "l_linestatus")})
+    return quality.correlation_filter(i, 0.05, ("R",)).select("l_orderkey", "l_linenumber", "accepted")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS record_id, arg_max(l_extendedprice, (l_linenumber, l_extendedprice)) AS causal FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), o AS (SELECT l_orderkey AS record_id, arg_max(l_extendedprice, (l_linenumber, l_extendedprice)) AS offline FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT record_id, round(causal, 4) AS causal, round(offline, 4) AS offline FROM c JOIN o USING (record_id)""")
+def causal_and_offline(spark, sf_dir):
+    i = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_extendedprice").alias("predicted"), F.struct("l_linenumber", "l_extendedprice").alias("row"), "l_linestatus", "l_returnflag")
+    pairs = quality.paired_predictions(i.withColumn("included", F.col("l_linestatus") == "F"), i.withColumn("included", F.col("l_returnflag") != "N"))
+    return rounded(pairs, ["causal", "offline"], 4)
+
+
+@query("""
+SELECT c_custkey AS record_id, CASE WHEN o_custkey IS NOT NULL THEN top ELSE c_acctbal END AS alignment_correlation, CASE WHEN o_custkey IS NOT NULL THEN 'NEW' ELSE c_mktsegment END AS alignment_status
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS top FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) ON o_custkey = c_custkey""")
+def updated_alignments(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_acctbal").alias("alignment_correlation"), F.col("c_mktsegment").alias("alignment_status"))
+    new = A.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("record_id")).agg(F.max("o_totalprice").alias("alignment_correlation")).withColumn("alignment_status", F.lit("NEW"))
+    return quality.with_alignments(rows, new)

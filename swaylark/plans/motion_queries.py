@@ -139,19 +139,68 @@ def motion_quality_gate(spark, sf_dir):
     return geometry.quality_gate(_gated(spark, sf_dir), least_inlier_ratio=0.5, most_rmse=14.0, most_shift=5.0).select("frame", "quality", "reasons")
 
 
+ROBUST = ["inlier_ratio", "fit_rmse", "tx", "ty", "rotation", "scale", "shear", "coverage"]
+TRIES = 512  # more than all pairs of 32 points, so that SQL can go through all of them too
+
+
 def _robust(model):
     def run(spark, sf_dir):
         points = _points(spark, sf_dir)[1]
-        r = geometry.robust_motion(points, model, 10.0, 100.0, 50.0)
-        return rounded(r, ["inlier_ratio", "fit_rmse", "tx", "ty", "rotation", "scale", "shear", "coverage"]).drop("condition")
+        r = geometry.robust_motion(points, model, 10.0, 100.0, 50.0, tries=TRIES)
+        return rounded(r, ROBUST).select("frame", "n", "n_inliers", *ROBUST)
 
+    run.__name__ = f"robust_{model}"
     return run
 
 
-for _model in ("similarity", "affine", "homography"):
-    _f = _robust(_model)
-    _f.__name__ = f"robust_{_model}"
-    query()(_f)
+def _refit_sql(out: str, source: str) -> str:
+    """The similarity of the rows of ``source`` by frame, and all of a frame's points with their errors under it."""
+    return f"""{out}_s AS (SELECT frame, avg(x0) AS mx0, avg(y0) AS my0, avg(x) AS mx, avg(y) AS my, var_pop(x0) + var_pop(y0) AS d, covar_pop(x0, x) + covar_pop(y0, y) AS p, covar_pop(x0, y) - covar_pop(y0, x) AS q FROM {source} GROUP BY 1),
+{out}_t AS (SELECT frame, p / d AS a, q / d AS b, mx - p / d * mx0 + q / d * my0 AS tx, my - q / d * mx0 - p / d * my0 AS ty FROM {out}_s),
+{out} AS (SELECT m.*, a, b, tx, ty, sqrt((x - (a * x0 - b * y0 + tx)) ** 2 + (y - (b * x0 + a * y0 + ty)) ** 2) AS e FROM m JOIN {out}_t USING (frame))"""
+
+
+ROBUST_SQL = f"""{M},
+pairs AS (SELECT i.frame, i.point_id AS p, j.point_id AS q, (j.x0 - i.x0) AS dx, (j.y0 - i.y0) AS dy, (j.x - i.x) AS ux, (j.y - i.y) AS uy, i.x0 AS ix, i.y0 AS iy, i.x AS iu, i.y AS iv FROM m i JOIN m j ON i.frame = j.frame AND i.point_id < j.point_id),
+fits AS (SELECT *, (dx * ux + dy * uy) / (dx * dx + dy * dy) AS a, (dx * uy - dy * ux) / (dx * dx + dy * dy) AS b FROM pairs WHERE dx * dx + dy * dy > 0),
+errs AS (SELECT f.frame, f.p, f.q, sqrt((m.x - (iu + a * (m.x0 - ix) - b * (m.y0 - iy))) ** 2 + (m.y - (iv + b * (m.x0 - ix) + a * (m.y0 - iy))) ** 2) AS e, m.point_id FROM fits f JOIN m USING (frame)),
+scored AS (SELECT frame, p, q, count(*) AS n, round(quantile_cont(e, 0.5), 9) AS med FROM errs WHERE e <= 10 GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, med, p, q) AS r FROM scored),
+keep0 AS (SELECT m.* FROM best b JOIN errs e ON e.frame = b.frame AND e.p = b.p AND e.q = b.q AND e.e <= 10 JOIN m ON m.frame = e.frame AND m.point_id = e.point_id WHERE b.r = 1),
+{_refit_sql("fit1", "keep0")}, keep1 AS (SELECT * EXCLUDE (a, b, tx, ty, e) FROM fit1 WHERE e <= 10), few AS (SELECT frame FROM fit1 GROUP BY 1 HAVING count(*) FILTER (e <= 10) < 2),
+keep AS (SELECT * FROM keep1 WHERE frame NOT IN (SELECT frame FROM few) UNION ALL SELECT * FROM keep0 WHERE frame IN (SELECT frame FROM few)),
+{_refit_sql("fit2", "keep")}, sums AS (SELECT f.frame, count(*) AS n, count(k.point_id) AS n_inliers, any_value(a) AS a, any_value(b) AS b, any_value(f.tx) AS tx, any_value(f.ty) AS ty, sqrt(avg(e * e) FILTER (k.point_id IS NOT NULL)) AS rmse,
+  (max(k.x0) - min(k.x0)) * (max(k.y0) - min(k.y0)) / 5000.0::DOUBLE AS cover FROM fit2 f LEFT JOIN keep k ON k.frame = f.frame AND k.point_id = f.point_id GROUP BY 1)"""
+
+query(f"""{ROBUST_SQL} SELECT frame, n, n_inliers, round(n_inliers::DOUBLE / n, 6) AS inlier_ratio, round(rmse, 6) AS fit_rmse, round(tx, 6) + 0.0::DOUBLE AS tx, round(ty, 6) + 0.0::DOUBLE AS ty, round(atan2(b, a), 6) + 0.0::DOUBLE AS rotation,
+       round(sqrt(a * a + b * b), 6) AS scale, 0.0::DOUBLE AS shear, round(greatest(least(cover, 1), 0), 6) AS coverage FROM sums""")(_robust("similarity"))
+for _model in ("affine", "homography"):
+    query()(_robust(_model))
+
+
+GATE = {"least_inlier_ratio": 0.5, "most_rmse": 7.0, "most_shift": 5.0}
+
+
+def _decomposed(spark, sf_dir):
+    t = A.tracks(spark, sf_dir)
+    return geometry.decompose_tracks(t, A.reference_points(t), "similarity", 10.0, 100.0, 50.0, tries=TRIES, **GATE)
+
+
+@query(f"""{ROBUST_SQL}, g AS (SELECT frame, n, n_inliers, n_inliers::DOUBLE / n AS ir, rmse, greatest(least(cover, 1), 0) AS coverage, tx, ty, atan2(b, a) AS rot FROM sums),
+i AS (SELECT *, list_filter([CASE WHEN n < 10 THEN 'insufficient_tracks' END, CASE WHEN n_inliers < 5 THEN 'insufficient_inliers' END, CASE WHEN ir < 0.5 THEN 'low_inlier_ratio' END, CASE WHEN rmse > 7 THEN 'high_fit_rmse' END], lambda z: z IS NOT NULL) AS inv FROM g),
+p AS (SELECT *, last_value(CASE WHEN len(inv) = 0 THEN tx END IGNORE NULLS) OVER w AS ptx, last_value(CASE WHEN len(inv) = 0 THEN ty END IGNORE NULLS) OVER w AS pty, last_value(CASE WHEN len(inv) = 0 THEN rot END IGNORE NULLS) OVER w AS prot
+      FROM i WINDOW w AS (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, list_filter([CASE WHEN coverage < 0.08 THEN 'poor_spatial_coverage' END, CASE WHEN sqrt((tx - ptx) ** 2 + (ty - pty) ** 2) > 5 THEN 'translation_jump' END,
+      CASE WHEN abs(rot - prot) > {radians(3.0)!r} THEN 'rotation_jump' END], lambda z: z IS NOT NULL) AS deg FROM p)
+SELECT frame, n_inliers, CASE WHEN len(inv) > 0 THEN 'INVALID' WHEN len(deg) > 0 THEN 'DEGRADED' ELSE 'GOOD' END AS quality, coalesce(array_to_string(list_concat(inv, deg), '|'), '') AS reasons FROM d""")
+def decompose_tracks(spark, sf_dir):
+    return _decomposed(spark, sf_dir)[0].select("frame", "n_inliers", "quality", "reasons")
+
+
+@query(f"""{ROBUST_SQL} SELECT f.frame, f.point_id, round(f.x - (a * f.x0 - b * f.y0 + tx), 6) + 0.0::DOUBLE AS rx, round(f.y - (b * f.x0 + a * f.y0 + ty), 6) + 0.0::DOUBLE AS ry, round(e, 6) AS residual, k.point_id IS NOT NULL AS inlier
+FROM fit2 f LEFT JOIN keep k ON k.frame = f.frame AND k.point_id = f.point_id""")
+def decomposed_residuals(spark, sf_dir):
+    return rounded(_decomposed(spark, sf_dir)[1], ["rx", "ry", "residual"]).select("frame", "point_id", "rx", "ry", "residual", "inlier")
 
 
 @query(f"WITH {A.TRACKS} SELECT frame, point_id, x BETWEEN -5 AND 5 AND y BETWEEN -5 AND 5 AS inside FROM tracks")
@@ -172,11 +221,11 @@ def millimetres(spark, sf_dir):
     return rounded(features.to_millimetres(t, ["x", "y"]), ["x_mm", "y_mm"]).select("frame", "point_id", "x_mm", "y_mm")
 
 
-@query(f"""WITH {A.TRACKS}, r AS (SELECT frame, point_id, floor(x / 10.0) AS cx, floor(y / 10.0) AS cy, round(x * x + y * y, 6) AS response FROM tracks WHERE frame < 50),
+@query(f"""WITH {A.TRACKS}, r AS (SELECT frame, point_id, floor(x / 10.0) AS cx, floor(y / 10.0) AS cy, round(x * x + y * y, 6) AS response FROM tracks),
 k AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY response DESC, frame * 32 + point_id) AS rank FROM r)
 SELECT frame * 32 + point_id AS point_id, cx::BIGINT AS cell_x, cy::BIGINT AS cell_y, rank::INT AS rank FROM k WHERE rank <= 3""")
 def points_per_cell(spark, sf_dir):
-    t = A.tracks(spark, sf_dir).where("frame < 50").withColumns({"response": F.round(F.col("x") * F.col("x") + F.col("y") * F.col("y"), 6), "point_id": F.col("frame") * 32 + F.col("point_id")})
+    t = A.tracks(spark, sf_dir).withColumns({"response": F.round(F.col("x") * F.col("x") + F.col("y") * F.col("y"), 6), "point_id": F.col("frame") * 32 + F.col("point_id")})
     return geometry.per_cell_top(t, 10.0, 3).select("point_id", "cell_x", "cell_y", "rank")
 
 
@@ -215,3 +264,49 @@ def tracking_errors(spark, sf_dir):
     t = A.tracks(spark, sf_dir)
     truth = A.reference_points(t).select("point_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
     return rounded(rounded(generators.tracking_errors(t, truth, ("point_id",)), ["rmse", "p95", "max"]), ["hidden_share"], 9)
+
+
+def _steps(v: str, w: str) -> str:
+    return f"({v} - lag({v}) {w}) / nullif(t - lag(t) {w}, 0)"
+
+
+RW = "OVER (PARTITION BY record_id ORDER BY seq)"
+BANDS = (("common_energy_0p3_1_hz", 0.3, 1.0), ("common_energy_1_3_hz", 1.0, 3.0), ("common_energy_3_8_hz", 3.0, 8.0))
+DIGITS = {"effective_fps": 6, "timestamp_rms_jitter_s": 9, "active_object_fraction": 9, "mean_visibility": 9}
+
+
+@query(f"""{M}, {SIM}, {RES},
+fr AS (SELECT frame, sqrt(avg(residual * residual)) AS fit_rmse, avg((residual <= 12)::INT) AS inlier_ratio FROM rs GROUP BY 1),
+co AS (SELECT frame // 50 AS record_id, frame % 50 AS seq, (frame % 50) / 30.0::DOUBLE AS t, tx AS x, ty AS y, inlier_ratio, fit_rmse, CASE WHEN fit_rmse > 14 THEN 'INVALID' ELSE 'GOOD' END AS quality FROM sim JOIN fr USING (frame)),
+d0 AS (SELECT *, t - lag(t) {RW} AS dt, {_steps('x', RW)} AS vx, {_steps('y', RW)} AS vy FROM co),
+d1 AS (SELECT *, 2 * (vx - lag(vx) {RW}) / nullif(dt + lag(dt) {RW}, 0) AS ax, 2 * (vy - lag(vy) {RW}) / nullif(dt + lag(dt) {RW}, 0) AS ay FROM d0),
+d2 AS (SELECT *, sqrt(x * x + y * y) AS m, sqrt(vx * vx + vy * vy) AS v, sqrt(ax * ax + ay * ay) AS a FROM d1), d3 AS (SELECT *, max(a) OVER (PARTITION BY record_id) AS pa, count(*) OVER (PARTITION BY record_id) AS n FROM d2),
+nd AS (SELECT record_id, quantile_cont(dt, 0.5) AS md FROM d3 GROUP BY 1),
+sm AS (SELECT record_id, min(t) AS window_start, max(t) AS window_end, count(*) AS sample_count, 1 / md AS effective_fps, sqrt(avg((dt - md) ** 2)) AS timestamp_rms_jitter_s, sum(greatest(round_even(dt / md, 0) - 1, 0)) AS estimated_missing_frames, max(m) AS common_peak_displacement_px,
+  sqrt(avg(m * m)) AS common_rms_displacement_px, max(v) AS common_peak_velocity_px_s, max(a) AS common_peak_acceleration_px_s2, sqrt(avg(a * a)) AS common_rms_acceleration_px_s2, count(CASE WHEN a >= 0.1 * pa THEN 1 END) * md AS strong_motion_duration_s,
+  avg(inlier_ratio) AS mean_inlier_ratio, avg(fit_rmse) AS mean_fit_rmse_px, string_agg(DISTINCT quality, '|' ORDER BY quality) AS quality_flags FROM d3 JOIN nd USING (record_id) GROUP BY record_id, md),
+tm AS (SELECT record_id, n, k, x * cos(2 * 3.141592653589793::DOUBLE * k * seq / n) AS c, -x * sin(2 * 3.141592653589793::DOUBLE * k * seq / n) AS d FROM d3, range(0, 26) r(k) WHERE k <= n // 2 AND n >= 4),
+pw AS (SELECT record_id, n, k, k / (n * md) AS hz, sum(c) ** 2 + sum(d) ** 2 AS power FROM tm JOIN nd USING (record_id) WHERE k > 0 GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(sqrt(power), 6) DESC, k) AS r FROM pw),
+sp AS (SELECT record_id, max(CASE WHEN r = 1 THEN hz END) AS common_dominant_frequency_hz, {", ".join(f"sum(CASE WHEN hz >= {a} AND hz < {b} THEN power / (n * n) ELSE 0 END) AS {c}" for c, a, b in BANDS)} FROM rk GROUP BY 1),
+al AS (SELECT t.frame // 50 AS record_id, t.frame, t.point_id, t.visible, residual AS r FROM tracks t LEFT JOIN rs ON rs.frame = t.frame AND rs.point_id = t.point_id),
+md2 AS (SELECT record_id, greatest(quantile_cont(r, 0.5), 1e-6) AS middle, sqrt(avg(r * r)) AS residual_rms_px, max(r) AS residual_peak_px FROM al GROUP BY 1),
+ac AS (SELECT record_id, frame, avg(coalesce((r > 3 * middle)::INT, 0)) AS active, sum(visible::INT) AS shown, count(*) AS n FROM al JOIN md2 USING (record_id) GROUP BY 1, 2),
+ag AS (SELECT record_id, avg(active) AS active_object_fraction, sum(shown) / sum(n) AS mean_visibility, avg(shown) AS mean_active_track_count FROM ac GROUP BY 1),
+ea AS (SELECT record_id, point_id, sqrt(avg(r * r)) AS rms FROM al GROUP BY 1, 2), sd AS (SELECT record_id, quantile_cont(rms, 0.5) AS residual_median_point_rms_px, quantile_cont(rms, 0.95) AS residual_p95_point_rms_px, stddev_pop(rms) AS residual_point_dispersion_px FROM ea GROUP BY 1)
+SELECT record_id, '{features.VERSION}' AS feature_version, 'EVENT_END_CAUSAL_AGGREGATE_NOT_RUNNING' AS feature_availability, sample_count::INT AS sample_count, estimated_missing_frames::INT AS estimated_missing_frames, quality_flags, 'backward' AS derivative_method, 1 AS causal,
+  {", ".join(f"round({c}, {DIGITS.get(c, 4)}) + 0.0::DOUBLE AS {c}" for c in features.RECORD_FEATURES if c not in ("feature_version", "feature_availability", "sample_count", "estimated_missing_frames", "quality_flags", "derivative_method", "causal"))}
+FROM sm JOIN sp USING (record_id) JOIN md2 USING (record_id) JOIN ag USING (record_id) JOIN sd USING (record_id)""")
+def record_features(spark, sf_dir):
+    """Every 50 frames as a record of 30 frames a second."""
+    t, points = _points(spark, sf_dir)
+    fits = geometry.fit_similarity(points)
+    res = geometry.residuals(points, fits)
+    place = {"record_id": F.floor(F.col("frame") / 50), "seq": F.col("frame") % 50}
+    per = res.groupBy("frame").agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("fit_rmse"), F.avg((F.col("residual") <= 12).cast("int")).alias("inlier_ratio"))
+    common = fits.join(per, "frame").withColumns(place | {"x": F.col("tx"), "y": F.col("ty"), "quality": F.when(F.col("fit_rmse") > 14, "INVALID").otherwise("GOOD")}).withColumn("t", F.col("seq") / 30.0)
+    every = t.join(res, ["frame", "point_id"], "left").withColumns(place)
+    f = features.record_features(common, every, causal=True, derivatives="backward")
+    number = [c for c, kind in f.dtypes if kind == "double"]
+    for digits in sorted({DIGITS.get(c, 4) for c in number}):
+        f = rounded(f, [c for c in number if DIGITS.get(c, 4) == digits], digits)
+    return f

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import tidy
@@ -89,18 +90,36 @@ def ewma_filter(spark, sf_dir):
     return rounded(filters.smoothed(A.signal(spark, sf_dir), 0.2), ["smooth"]).select("record_id", "seq", "smooth")
 
 
-def _sos_sql(low: float, high: float) -> str:
-    sections = filters.butterworth_bandpass(low, high, RATE)
-    n = len(sections)
+def _determinant(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    return "(" + " ".join(f"{'+' if j % 2 == 0 else '-'} {head} * {_determinant([[x for k, x in enumerate(r) if k != j] for r in rows[1:]])}" for j, head in enumerate(rows[0])) + ")"
+
+
+def _cubic(k: int) -> str:
+    """Coefficient k of a cubic's normal equations in m0 .. m6 and y0 .. y3."""
+    whole = [[f"m{i + j}" for j in range(4)] for i in range(4)]
+    return f"{_determinant([[f'y{i}' if j == k else x for j, x in enumerate(r)] for i, r in enumerate(whole)])} / nullif({_determinant(whole)}, 0)"
+
+
+@query(f"""
+WITH {A.SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n FROM signal),
+e AS (SELECT record_id, seq, i, t, least(n, greatest(0, i - 4) + 9) AS e FROM n), w AS (SELECT *, greatest(0, e - 9) AS s FROM e WHERE e - greatest(0, e - 9) >= 4),
+f AS (SELECT w.record_id, w.seq, w.t, g.t AS gt, g.x AS v, max(g.t) OVER (PARTITION BY w.record_id, w.seq) - min(g.t) OVER (PARTITION BY w.record_id, w.seq) AS s FROM w JOIN signal g ON g.record_id = w.record_id AND g.i >= w.s AND g.i < w.e),
+u AS (SELECT record_id, seq, s, (gt - t) / nullif(s, 0) AS u, v FROM f),
+m AS (SELECT record_id, seq, s, {", ".join(f"sum(u ** {k}) AS m{k}" for k in range(7))}, {", ".join(f"sum(u ** {k} * v) AS y{k}" for k in range(4))} FROM u GROUP BY 1, 2, 3)
+SELECT record_id, seq, round({_cubic(1)} / s, 5) + 0.0::DOUBLE AS velocity, round(2 * {_cubic(2)} / (s * s), 7) + 0.0::DOUBLE AS acceleration FROM m""")
+def centred_polynomial(spark, sf_dir):
+    d = derivatives.local_polynomial(A.signal(spark, sf_dir), order=3, centred=True)
+    return d.select("record_id", "seq", tidy(F.col("velocity"), 5).alias("velocity"), tidy(F.col("acceleration"), 7).alias("acceleration"))
 
-    def step(v: str, state: list[tuple[str, str]]) -> tuple[str, str]:
-        """Nested selects, one for each section."""
-        cols, inner = [f"y{j}" for j in range(n)], "g"
-        return ", ".join(cols), inner
 
+def _sos_sql(low: float, high: float, steady: bool = False, select: str = "SELECT record_id, seq, round(filtered, 6) + 0.0::DOUBLE AS filtered FROM f") -> str:
+    sections = filters.butterworth_bandpass(low, high, RATE)
+    n = len(sections)
     lit = lambda x: f"({float(x)!r})::DOUBLE"
-    ctes = []
-    zero = ", ".join(f"0.0::DOUBLE AS p{j}, 0.0::DOUBLE AS q{j}" for j in range(n))
+    held = filters.steady_state(sections) if steady else np.zeros((n, 2))
+    zero = ", ".join(f"{lit(held[j, 0])} * x AS p{j}, {lit(held[j, 1])} * x AS q{j}" for j in range(n))
 
     def chain(source: str) -> str:
         """y0 .. yn of one sample, then the states after it."""
@@ -108,13 +127,13 @@ def _sos_sql(low: float, high: float) -> str:
         for j in range(1, n):
             text = f"(SELECT *, {lit(sections[j][0])} * y{j - 1} + p{j} AS y{j} FROM {text})"
         states = ", ".join(f"{lit(s[1])} * {'x' if j == 0 else f'y{j - 1}'} - {lit(s[4])} * y{j} + q{j} AS np{j}, {lit(s[2])} * {'x' if j == 0 else f'y{j - 1}'} - {lit(s[5])} * y{j} AS nq{j}" for j, s in enumerate(sections))
-        return f"SELECT record_id, i, seq, y{n - 1} AS filtered, {states} FROM {text}"
+        return f"SELECT record_id, i, seq, t, y{n - 1} AS filtered, {states} FROM {text}"
 
     before = ", ".join(f"f.np{j} AS p{j}, f.nq{j} AS q{j}" for j in range(n))
     return f"""WITH RECURSIVE {A.SIGNAL}, f AS (
-  {chain(f"(SELECT record_id, i, seq, x, {zero} FROM signal WHERE i = 0)")}
-  UNION ALL {chain(f"(SELECT g.record_id, g.i, g.seq, g.x, {before} FROM f JOIN signal g ON g.record_id = f.record_id AND g.i = f.i + 1)")})
-SELECT record_id, seq, round(filtered, 6) + 0.0::DOUBLE AS filtered FROM f{"".join(ctes)}"""
+  {chain(f"(SELECT record_id, i, seq, t, x, {zero} FROM signal WHERE i = 0)")}
+  UNION ALL {chain(f"(SELECT g.record_id, g.i, g.seq, g.t, g.x, {before} FROM f JOIN signal g ON g.record_id = f.record_id AND g.i = f.i + 1)")})
+{select}"""
 
 
 @query(_sos_sql(0.05, 0.4))
@@ -127,7 +146,7 @@ def sos_bandpass_zero_phase(spark, sf_dir):
     return rounded(filters.bandpass(A.signal(spark, sf_dir), 0.05, 0.4, RATE, "zero_phase"), ["filtered"]).select("record_id", "seq", "filtered")
 
 
-@query()
+@query(_sos_sql(0.05, 0.4, steady=True))
 def sos_bandpass_steady(spark, sf_dir):
     return rounded(filters.bandpass(A.signal(spark, sf_dir), 0.05, 0.4, RATE, "steady"), ["filtered"]).select("record_id", "seq", "filtered")
 
@@ -159,9 +178,24 @@ def resample_linear(spark, sf_dir):
     return rounded(timebase.resample(A.signal(spark, sf_dir), 20000.0), ["x"]).select("record_id", "k", "x")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {A.SIGNAL}, s AS (
+  SELECT record_id, -1::BIGINT AS i, NULL::BIGINT AS seq, NULL::DOUBLE AS t, 0::BIGINT AS n, false AS emit FROM signal WHERE i = 0
+  UNION ALL SELECT g.record_id, g.i, g.seq, g.t, s.n + (g.t + 500 >= s.n * 50000.0::DOUBLE)::INT, g.t + 500 >= s.n * 50000.0::DOUBLE FROM s JOIN signal g ON g.record_id = s.record_id AND g.i = s.i + 1)
+SELECT record_id, round(t, 6) AS t, seq, n - 1 AS emitted, round((n - 1) * 50000.0::DOUBLE, 6) AS "at" FROM s WHERE emit""")
 def decimated_capture(spark, sf_dir):
-    return timebase.decimate(A.signal(spark, sf_dir), 50000.0)
+    return rounded(timebase.decimate(A.signal(spark, sf_dir), 50000.0, 1000.0), ["t", "at"])
+
+
+@query(f"""
+WITH {A.SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n, t - lag(t) {W} AS dt FROM signal), z AS (SELECT *, CASE WHEN n <= 16 THEN 1 ELSE ceil((n - 16) / 8.0)::BIGINT + 1 END AS blocks FROM n),
+st AS (SELECT record_id, coalesce(quantile_cont(dt, 0.5), 0) AS step FROM n GROUP BY 1),
+b AS (SELECT record_id, seq, t, i, unnest(range(greatest(0, ceil((i - 15) / 8.0))::BIGINT, least(floor(i / 8.0)::BIGINT, blocks - 1) + 1)) AS block FROM z),
+p AS (SELECT record_id, seq, t + k * step AS t, i + k - (blocks - 1) * 8 AS place, blocks - 1 AS block FROM (SELECT z.*, step, unnest(range(1, (blocks - 1) * 8 + 16 - n + 1)) AS k FROM z JOIN st USING (record_id) WHERE i = n - 1))
+SELECT record_id, seq, round(t, 4) AS t, block, i - block * 8 AS place, false AS padded FROM b UNION ALL SELECT record_id, seq, round(t, 4), block, place, true FROM p""")
+def padded_blocks(spark, sf_dir):
+    b = timebase.padded_blocks(A.signal(spark, sf_dir), 16, 8)
+    return rounded(b, ["t"], 4).select("record_id", "seq", "t", "block", F.col("place").cast("long").alias("place"), "padded")
 
 
 DFT = """n AS (SELECT record_id, count(*) AS n FROM signal GROUP BY 1 HAVING count(*) >= 4),
@@ -282,7 +316,7 @@ def sinusoid_fit(spark, sf_dir):
     return rounded(spectral.sinusoid_fit(A.signal(spark, sf_dir), F.col("i") * 0.1), ["amplitude", "phase", "offset"])
 
 
-@query()
+@query(f"""WITH {A.SIGNAL} SELECT record_id, b::INT AS iteration, count(*) AS n, round(avg(x), 4) + 0.0::DOUBLE AS mean, round(stddev_pop(x), 4) + 0.0::DOUBLE AS deviation FROM signal, range(0, 3) r(b) GROUP BY 1, 2""")
 def phase_surrogates(spark, sf_dir):
     s = spectral.surrogates(A.signal(spark, sf_dir), 3)
     return s.groupBy("record_id", "iteration").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("x"), 4).alias("mean"), tidy(F.stddev_pop("x"), 4).alias("deviation"))
@@ -330,6 +364,33 @@ def preferred_domain(spark, sf_dir):
     return rounded(alignment.preferred_domain(one("x"), one("y")), ["acceleration_correlation", "displacement_correlation"])
 
 
+@query(f"""
+WITH {A.SIGNAL}, {ALIGN}, dm AS (SELECT *, 'acceleration' AS domain FROM grid WHERE channel = 0 AND sensor_channel = 0 UNION ALL SELECT *, 'displacement' FROM grid WHERE channel = 1 AND sensor_channel = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(abs(corr), 9) DESC, domain, k) AS r FROM dm)
+SELECT record_id, domain, "offset", round(abs(corr), 6) AS correlation, 0 AS channel, 0 AS sensor_channel, CASE WHEN corr >= 0 THEN 1 ELSE -1 END AS polarity, n AS overlap FROM r WHERE r = 1""")
+def maximum_domain(spark, sf_dir):
+    visual, sensor = _sides(spark, sf_dir)
+    grids = {name: alignment.alignment_grid(visual, sensor, OFFSETS, [c], [c]) for name, c in (("acceleration", "x"), ("displacement", "y"))}
+    return rounded(alignment.maximum_domain(grids), ["correlation"])
+
+
+@query(f"""
+WITH RECURSIVE {A.SIGNAL}, s AS (
+  SELECT record_id, i, seq, t, x, x AS smooth FROM signal WHERE i = 0
+  UNION ALL SELECT g.record_id, g.i, g.seq, g.t, g.x, s.smooth + 0.5::DOUBLE * (g.x - s.smooth) FROM s JOIN signal g ON g.record_id = s.record_id AND g.i = s.i + 1),
+p AS (SELECT record_id, max(abs(x)) AS rv, max(abs(smooth)) AS cv, arg_max(t, (abs(x), -i)) AS rt, arg_max(t, (abs(smooth), -i)) AS ct, sqrt(avg((smooth - x) ** 2)) AS rmse FROM s GROUP BY 1),
+st AS (SELECT record_id, quantile_cont(dt, 0.5) AS step FROM (SELECT record_id, t - lag(t) {W} AS dt FROM signal) GROUP BY 1),
+c AS (SELECT record_id, i, x - avg(x) OVER (PARTITION BY record_id) AS x, smooth - avg(smooth) OVER (PARTITION BY record_id) AS y FROM s),
+l AS (SELECT a.record_id, b.i - a.i AS lag, sum(a.x * b.y) AS score FROM c a JOIN c b ON a.record_id = b.record_id AND b.i - a.i BETWEEN -8 AND 8 GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(score, 6) DESC, lag) AS r FROM l)
+SELECT record_id, round((cv - rv) / greatest(rv, 1e-12), 6) + 0.0::DOUBLE AS amplitude_bias, round(rmse, 6) AS rmse, lag::INT AS lag_samples, round(lag * step, 4) + 0.0::DOUBLE AS lag, round(ct - rt, 4) + 0.0::DOUBLE AS peak_timing_error,
+       round(cv - rv, 6) + 0.0::DOUBLE AS peak_error, round(rv, 6) AS reference_peak, round(cv, 6) AS candidate_peak FROM p JOIN st USING (record_id) JOIN lr USING (record_id) WHERE r = 1""")
+def causal_comparison(spark, sf_dir):
+    s = A.signal(spark, sf_dir)
+    both = s.join(filters.smoothed(s, 0.5).select("record_id", "seq", "smooth"), ["record_id", "seq"])
+    d = derivatives.compare_signals(both, "x", "smooth", 8)
+    return rounded(rounded(d, ["lag", "peak_timing_error"], 4), ["amplitude_bias", "rmse", "peak_error", "reference_peak", "candidate_peak"])
+
+
 @query(f"""
 WITH {A.SIGNAL}, v AS (SELECT record_id, min(t) AS a, max(t) AS b FROM signal WHERE seq % 2 = 0 GROUP BY 1), s AS (SELECT record_id, min(t) AS a, max(t) AS b FROM signal WHERE seq % 2 = 1 GROUP BY 1)
 SELECT record_id, round(s.a - v.a, 6) + 0.0::DOUBLE AS offset_min, round(s.b - v.b, 6) + 0.0::DOUBLE AS offset_max, s.b - s.a >= v.b - v.a AS contained FROM v JOIN s USING (record_id)""")
@@ -339,7 +400,7 @@ def containment_range(spark, sf_dir):
 
 
 NULLS = """nn AS (SELECT record_id, i, x, y, count(*) OVER (PARTITION BY record_id) AS n FROM signal),
-sh AS (SELECT record_id, n, i, y, b, floor(greatest(1, ceil(0.05 * n)) + b * (n - 2 * greatest(1, ceil(0.05 * n))) / 19)::BIGINT AS s FROM nn, range(0, 19) r(b) WHERE n >= 10),
+sh AS (SELECT record_id, n, i, y, b, floor(greatest(1, ceil(0.05 * n)) + b * (n - 2 * greatest(1, ceil(0.05 * n))) / 199)::BIGINT AS s FROM nn, range(0, 199) r(b) WHERE n >= 10),
 nc AS (SELECT m.record_id, m.b, abs(covar_pop(o.x, m.y) / nullif(stddev_pop(o.x) * stddev_pop(m.y), 0)) AS null_corr FROM sh m JOIN nn o ON o.record_id = m.record_id AND o.i = (m.i + m.s) % m.n GROUP BY 1, 2),
 ob AS (SELECT record_id, abs(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)) AS observed FROM signal GROUP BY 1),
 pv AS (SELECT record_id, observed, (1 + coalesce(sum((round(null_corr, 9) >= round(observed, 9))::INT), 0))::DOUBLE / (count(*) + 1) AS p_value FROM ob JOIN nc USING (record_id) GROUP BY 1, 2)"""
@@ -347,14 +408,14 @@ pv AS (SELECT record_id, observed, (1 + coalesce(sum((round(null_corr, 9) >= rou
 
 @query(f"WITH {A.SIGNAL}, {NULLS} SELECT record_id, round(observed, 6) AS observed, round(p_value, 9) AS p_value FROM pv")
 def null_circular_shift(spark, sf_dir):
-    return rounded(rounded(alignment.null_p_values(A.signal(spark, sf_dir), 19), ["observed"]), ["p_value"], 9)
+    return rounded(rounded(alignment.null_p_values(A.signal(spark, sf_dir), 199), ["observed"]), ["p_value"], 9)
 
 
 @query(f"""
 WITH {A.SIGNAL}, {NULLS}, r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY round(p_value, 9), record_id) AS rk FROM pv)
 SELECT record_id, round(p_value, 9) AS p_value, round(least(1.0, min(round(p_value, 9) * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS q_value FROM r""")
 def bh_qvalues(spark, sf_dir):
-    p = rounded(alignment.null_p_values(A.signal(spark, sf_dir), 19), ["p_value"], 9)
+    p = rounded(alignment.null_p_values(A.signal(spark, sf_dir), 199), ["p_value"], 9)
     return rounded(alignment.bh_q_values(p), ["q_value"], 9).select("record_id", "p_value", "q_value")
 
 
@@ -363,7 +424,7 @@ def surrogate_null_test(spark, sf_dir):
     visual, sensor = _sides(spark, sf_dir)
     pack = lambda df, a, b: df.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "x", "y"))).alias("r")).select("record_id", F.col("r.t").alias(a), F.array("r.x", "r.y").alias(b))
     pairs = pack(visual, "t", "v").join(pack(sensor, "st", "sv"), "record_id").where("size(t) >= 10 AND size(st) >= 2")
-    return rounded(alignment.null_test(pairs, 20, OFFSETS), ["observed", "p_value"])
+    return rounded(alignment.null_test(pairs, 1000, OFFSETS), ["observed", "p_value"])
 
 
 @query(f"""
@@ -394,7 +455,12 @@ def queue_slope(spark, sf_dir):
     return rounded(audit.slope(A.signal(spark, sf_dir), "x", ["record_id"], ["t", "seq"]), ["slope"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {A.SIGNAL}, s AS (
+  SELECT record_id, -1::BIGINT AS i, 0.0::DOUBLE AS free, 0 AS accepted, 0 AS rejected, 0 AS deepest FROM signal WHERE i = 0
+  UNION ALL SELECT record_id, i, CASE WHEN waiting < 2 THEN greatest(free, t) + 40000.0::DOUBLE ELSE free END, accepted + (waiting < 2)::INT, rejected + (waiting >= 2)::INT, greatest(deepest, CASE WHEN waiting < 2 THEN waiting + 1 ELSE waiting END)
+  FROM (SELECT g.record_id, g.i, g.t, free, accepted, rejected, deepest, ceil(greatest(free - g.t, 0) / 40000.0::DOUBLE)::INT AS waiting FROM s JOIN signal g ON g.record_id = s.record_id AND g.i = s.i + 1))
+SELECT record_id, arg_max(accepted, i) AS accepted, arg_max(rejected, i) AS rejected, arg_max(deepest, i) AS deepest FROM s GROUP BY 1""")
 def bounded_queue(spark, sf_dir):
     return audit.bounded_queue(A.signal(spark, sf_dir), 2, 40000.0)
 
@@ -433,8 +499,34 @@ def out_of_order_samples(spark, sf_dir):
     return rounded(timebase.monotonic_violations(A.signal(spark, sf_dir)).select("record_id", "seq", "t", "before"), ["t", "before"])
 
 
-@query()
+ONLINE = f"""SELECT record_id, i AS seq, round(t, 6) + 0.0::DOUBLE AS t, round(filtered, 6) + 0.0::DOUBLE AS filtered, round(velocity, 6) + 0.0::DOUBLE AS velocity, round(acceleration, 6) + 0.0::DOUBLE AS acceleration,
+  round(coalesce(max(abs(acceleration)) OVER (PARTITION BY record_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0), 6) AS running_peak, i + 1 AS samples_seen, CASE WHEN i >= 2 THEN 'READY' ELSE 'WARMUP_' || (i + 1) || '_OF_3' END AS startup_state, false AS rejected
+FROM (SELECT *, 2 * (velocity - lag(velocity) {W}) / (dt + lag(dt) {W}) AS acceleration FROM (SELECT *, t - lag(t) {W} AS dt, (filtered - lag(filtered) {W}) / (t - lag(t) {W}) AS velocity FROM f))"""
+
+
+@query(_sos_sql(0.05, 0.4, steady=True, select=ONLINE))
 def online_signal(spark, sf_dir):
     s = A.signal(spark, sf_dir)
     out = online.online_signal(s.withColumn("seq", F.col("i").cast("long")))
     return rounded(out, ["t", "filtered", "velocity", "acceleration", "running_peak"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_quantity * 1000, 4) AS queue_wait, round(l_tax * 1000, 4) AS tracker_compute, round((l_quantity + l_tax) * 1000, 4) AS capture_to_tracker_end, round((l_quantity + l_tax + l_discount) * 1000, 4) AS capture_to_pga, round(l_discount * 1000, 4) AS pga_ms
+FROM lineitem""")
+def latency_decomposition(spark, sf_dir):
+    i = A.table(spark, sf_dir, "lineitem")
+    q, x, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    blocks = i.withColumns({"capture": F.lit(0.0), "enqueue": F.lit(0.0), "tracker_start": q, "tracker_end": q + x, "motion_end": q + x, "signal_end": q + x, "pga_end": q + x + d, "write_end": q + x + d})
+    parts = ["queue_wait", "tracker_compute", "capture_to_tracker_end", "capture_to_pga", "pga_ms"]
+    return rounded(audit.latencies(blocks), parts, 4).select("l_orderkey", "l_linenumber", *parts)
+
+
+@query(f"""
+WITH {A.SIGNAL}, {JUMPS}, e AS (SELECT record_id, abs(x - (2 * x1 - x2)) / 100 AS ratio FROM j WHERE kind = 'purchase' AND i >= 2 AND i + 1 < n),
+g AS (SELECT s.record_id, count(ratio) AS events, quantile_cont(ratio, 0.95) AS p95 FROM (SELECT DISTINCT record_id FROM signal) s LEFT JOIN e USING (record_id) GROUP BY 1)
+SELECT record_id, CASE WHEN p95 IS NULL THEN 'NOT_MEASURED' WHEN p95 > 3 THEN 'FAIL_REVIEW_REQUIRED' WHEN events < 2 THEN 'NOT_EVALUABLE_SINGLE_EVENT_BELOW_THRESHOLD' ELSE 'PASS_P95_RATIO_LE_3' END AS verdict, 'reseed' AS criterion FROM g""")
+def run_verdicts(spark, sf_dir):
+    s = A.signal(spark, sf_dir)
+    jumps = reseed.at_events(reseed.innovations(s), s.where("kind = 'purchase'")).withColumn("spike_ratio", F.col("jump") / 100)
+    return audit.verdict_table(s.select("record_id").distinct(), ("reseed", audit.reseed_status(jumps, "record_id"), "status"), key="record_id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,15 +16,30 @@ SENSOR = "t double, ew double, ns double, ud double"
 
 
 def read_sensor_text(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated sensor files with a header line: path, t, ew, ns, ud. Short and non-numeric lines are passed over; a byte-order mark does not matter."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "^﻿", ""), "\t").alias("f")).where(F.size("f") >= 4)
+    """Tab-separated sensor files with a header line: path, seq (order of lines in a file), t, ew, ns, ud. Short and non-numeric lines are passed over; a byte-order mark does not matter."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("seq"), F.split(F.regexp_replace("value", "^﻿", ""), "\t").alias("f")).where(F.size("f") >= 4)
     cols = [F.expr(f"try_cast(trim(f[{j}]) AS double)").alias(n) for j, n in enumerate(("t", "ew", "ns", "ud"))]
-    return lines.select("path", *cols).where("t IS NOT NULL AND ew IS NOT NULL AND ns IS NOT NULL AND ud IS NOT NULL")
+    return lines.select("path", "seq", *cols).where("t IS NOT NULL AND ew IS NOT NULL AND ns IS NOT NULL AND ud IS NOT NULL")
+
 
+def checked_sensors(df: DataFrame, key: str = "path") -> DataFrame:
+    """Sensor samples as they are; an error if a file has fewer than two or a time that is not after the one before."""
+    w = W.partitionBy(key)
+    few, falls = F.count(F.lit(1)).over(w) < 2, F.col("t") <= F.lag("t").over(w.orderBy("seq"))
+    reason = F.when(few, F.concat(F.lit("no usable samples: "), F.col(key).cast("string"))).when(falls, F.concat(F.lit("times do not rise: "), F.col(key).cast("string")))
+    return df.withColumn("t", F.when(reason.isNotNull(), F.raise_error(reason).cast("double")).otherwise(F.col("t")))
 
-def read_all_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column text."""
-    return spark.read.csv(path, header=True, inferSchema=False)
+
+def read_all_strings(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
+    """CSV with a header, every column text: of several paths the first that exists; none gives an empty table of ``columns``."""
+    for path in paths:
+        try:
+            return spark.read.csv(path, header=True, inferSchema=False)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns or []) or "none string")
 
 
 def read_events(spark: SparkSession, path: str, fields: str = "event string, frame_index long, reseed_id long") -> DataFrame:
@@ -105,3 +124,45 @@ def check_blocks(window: int, step: int, future: tuple[int, int]) -> None:
     """A block of ``window`` samples that finalizes ``step`` sees [window - step, window - 1] ahead; anything else is a mistake."""
     if not 0 < step <= window or tuple(future) != (window - step, window - 1):
         raise ValueError(f"future context must be [{window - step}, {window - 1}]")
+
+
+class ConfigError(ValueError):
+    """A configuration that is incomplete or contradicts itself."""
+
+
+#: The sections of a configuration.
+SECTIONS = ("video", "tracker", "motion", "signal", "runtime", "scale", "pga")
+
+
+def checked_config(config: dict) -> dict:
+    """The configuration as it is, if its sections are there and agree with each other."""
+    if not isinstance(config, dict):
+        raise ConfigError("a configuration is a mapping")
+    if missing := sorted(set(SECTIONS) - set(config)):
+        raise ConfigError(f"missing sections: {', '.join(missing)}")
+    tracker, runtime = config["tracker"], config["runtime"]
+    width, step = int(tracker["window_len"]), int(tracker["step"])
+    if width < 2 or not 0 < step <= width:
+        raise ConfigError("tracker.step must be in [1, window_len], window_len at least 2")
+    if (future := tracker.get("source_timestamp_future_context_frames")) is not None:
+        try:
+            check_blocks(width, step, tuple(int(x) for x in future))
+        except ValueError as e:
+            raise ConfigError(f"tracker.source_timestamp_future_context_frames: {e}") from e
+    for section, name in ((tracker, "num_points"), (runtime, "target_fps"), (runtime, "max_queue_blocks")):
+        if not float(section[name]) > 0:
+            raise ConfigError(f"{name} must be positive")
+    low, high = map(float, config["signal"]["bandpass_hz"])
+    if not 0 <= low < high:
+        raise ConfigError("signal.bandpass_hz must rise from 0 or more")
+    return config
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A checked configuration from a JSON file on any file system that Spark reads."""
+    return checked_config(json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())))  # one small file
+
+
+def config_sha256(config: dict) -> str:
+    """The SHA-256 of the configuration as JSON in order of name."""
+    return hashlib.sha256(json.dumps(config, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

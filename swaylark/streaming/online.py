@@ -89,6 +89,89 @@ def online_signal(stream: DataFrame, low: float = 0.05, high: float = 0.4, rate:
     return stream.select("record_id", "seq", "t", "x").groupBy("record_id").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+MOTION = (
+    "record_id long, seq long, timestamp double, filtered_common_x double, filtered_common_y double, common_velocity_x double, common_velocity_y double, common_acceleration_x double, common_acceleration_y double, "
+    "local_motion_rms double, local_velocity_rms double, local_acceleration_rms double, quality_state string, derivative_method string, startup_state string, samples_seen int, retained_history_samples int, filter_state_bytes int, reseed_id int, reseed_boundary boolean, rejected boolean"
+)
+
+
+class OnlineMotion:
+    """A record's common motion (x, y) and local motion of its points, all channels filtered and differenced side by side."""
+
+    def __init__(self, sections: np.ndarray, required: int = 3):
+        self.sections, self.required = sections, required
+        self.filter: np.ndarray | None = None  # section, two numbers, channel
+        self.history: list[tuple[float, np.ndarray]] = []  # the last three times and filtered values
+        self.seen, self.reseed = 0, None
+
+    def dump(self) -> str:
+        return json.dumps([None if self.filter is None else self.filter.tolist(), [(t, v.tolist()) for t, v in self.history], self.seen, self.reseed])
+
+    @classmethod
+    def load(cls, sections: np.ndarray, text: str, required: int = 3) -> OnlineMotion:
+        new = cls(sections, required)
+        kept, history, new.seen, new.reseed = json.loads(text)
+        new.filter, new.history = None if kept is None else np.array(kept), [(t, np.array(v)) for t, v in history]
+        return new
+
+    def update(self, t: float, common: list[float], local: list[list[float]], reseed: int) -> tuple | None:
+        """The row's numbers, or None for a sample that is refused: late, not finite, or of another number of points."""
+        values = np.array([*common, *(x for p in local for x in p)], float)
+        late = bool(self.history) and t <= self.history[-1][0]
+        if late or not local or not np.isfinite(values).all() or (self.filter is not None and self.filter.shape[2] != len(values)):
+            return None
+        if self.filter is None:
+            self.filter = steady_state(self.sections)[:, :, None] * values
+        for (b0, b1, b2, _, a1, a2), state in zip(self.sections, self.filter, strict=True):
+            out = b0 * values + state[0]
+            state[0], state[1] = b1 * values - a1 * out + state[1], b2 * values - a2 * out
+            values = out
+        self.history = [*self.history[-2:], (t, values)]
+        self.seen += 1
+        none = np.full(len(values), np.nan)
+        velocity = acceleration = none
+        steps = [((v1 - v0) / (t1 - t0), t1 - t0) for (t0, v0), (t1, v1) in zip(self.history, self.history[1:], strict=False)]
+        if steps:
+            velocity = steps[-1][0]
+        if len(steps) == 2:
+            acceleration = 2 * (steps[1][0] - steps[0][0]) / (steps[0][1] + steps[1][1])
+        rms = lambda v: float(np.sqrt(np.mean(np.sum(v[2:].reshape(-1, 2) ** 2, axis=1))))
+        boundary, self.reseed = self.reseed is not None and reseed != self.reseed, reseed
+        startup = "READY" if self.seen >= self.required else f"WARMUP_{self.seen}_OF_{self.required}"
+        return *values[:2], *velocity[:2], *acceleration[:2], rms(values), rms(velocity), rms(acceleration), startup, self.seen, len(self.history), self.filter.nbytes, reseed, boundary
+
+
+def _move(held: OnlineMotion, key: int, rows: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for r in rows.sort_values("seq").itertuples():
+        got = held.update(float(r.t), [r.x, r.y], [list(p) for p in r.local], int(r.reseed_id))
+        numbers = (None,) * 9 if got is None else got[:9]
+        startup, seen, kept, size, reseed, boundary = (None, held.seen, len(held.history), 0, int(r.reseed_id), False) if got is None else got[9:]
+        out.append((key, r.seq, r.t, *numbers, r.quality, "backward_finite_difference", startup, seen, kept, size, reseed, boundary, got is None))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in MOTION.split(", ")])
+
+
+def online_motion(stream: DataFrame, low: float = 0.05, high: float = 0.4, rate: float = 1.0) -> DataFrame:
+    """A stream (or table) of record_id, seq, t, x, y, local (array of [x, y] by point), quality, reseed_id as MOTION rows.
+
+    A sample that is late, not finite or of another number of points than the record's first is given back as
+    rejected and leaves the state as it was. A new source is a new record_id, which begins anew.
+    """
+    sections = butterworth_bandpass(low, high, rate)
+    columns = ["record_id", "seq", "t", "x", "y", "local", "quality", "reseed_id"]
+    if not stream.isStreaming:
+        return stream.select(*columns).groupBy("record_id").applyInPandas(lambda rows: _move(OnlineMotion(sections), int(rows["record_id"].iloc[0]), rows), MOTION)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = OnlineMotion.load(sections, state.get[0]) if state.exists else OnlineMotion(sections)
+        rows = pd.concat(list(batches))
+        if len(rows):
+            yield _move(held, int(key[0]), rows)
+        state.update((held.dump(),))
+
+    return stream.select(*columns).groupBy("record_id").applyInPandasWithState(update, MOTION, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def fan_out(folder: str):
     """A foreachBatch sink that writes a micro-batch's signals and rejects to their own tables."""
 

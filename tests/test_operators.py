@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from swaylark.operators import alignment, audit, derivatives, features, filters, generators, geometry, models, quality, reseed, sets, spectral, timebase
+from swaylark.operators import alignment, audit, derivatives, features, filters, generators, geometry, models, quality, ranges, reseed, sets, spectral, timebase
 from swaylark.sources import records
-from swaylark.streaming import online
+from swaylark.streaming import guard, online
 
 
 def series(spark, values, times=None, record=1):
@@ -83,12 +84,11 @@ def test_butterworth_edges_and_zero_phase():
     assert gain(0.3) == pytest.approx(2**-0.5, rel=1e-6) and gain(8) == pytest.approx(2**-0.5, rel=1e-6) and gain(1.5) == pytest.approx(1, rel=1e-3)
     t = np.arange(300) / 30
     clean = np.sin(2 * np.pi * 2 * t)
-    y = filters.zero_phase(s, clean + 0.5 * np.sin(2 * np.pi * 12 * t))
+    (y,) = filters.zero_phase(s, [clean + 0.5 * np.sin(2 * np.pi * 12 * t)])
     assert np.corrcoef(y, clean)[0, 1] > 0.98
     with pytest.raises(ValueError):
         filters.butterworth_bandpass(8, 0.3, 30)
-    with pytest.raises(ValueError):
-        filters.zero_phase(s, np.zeros(27))
+    assert filters.zero_phase(s, [np.zeros(27)]) == [None]
     held, _ = filters.run_sections(s, np.full(50, 4.0), filters.steady_state(s) * 4.0)
     assert np.abs(held).max() < 1e-9
 
@@ -135,12 +135,87 @@ def test_fits_of_coincident_points_have_no_scale(spark):
     assert geometry.robust_motion(same, "similarity").first()["n_inliers"] == 0
 
 
-@pytest.mark.parametrize("model", ["translation", "similarity", "affine", "homography"])
-def test_exact_fits(model):
+MODELS = {"translation": [[1, 0, 3], [0, 1, -2], [0, 0, 1]], "similarity": [[1, -0.1, 3], [0.1, 1, -2], [0, 0, 1]], "affine": [[1.1, 0.2, 3], [0.1, 0.9, -2], [0, 0, 1]], "homography": [[1.1, 0.2, 3], [0.1, 0.9, -2], [1e-4, 2e-4, 1]]}
+
+
+def moved(m, a):
+    out = np.c_[a, np.ones(len(a))] @ np.array(m).T
+    return out[:, :2] / out[:, 2:]
+
+
+def design(model, a, b):
+    x, y, o, z = a[:, 0], a[:, 1], np.ones(len(a)), np.zeros(len(a))
+    if model == "similarity":
+        return np.r_[np.c_[x, -y, o, z], np.c_[y, x, z, o]], np.r_[b[:, 0], b[:, 1]]
+    return np.r_[np.c_[x, y, o, z, z, z], np.c_[z, z, z, x, y, o]], np.r_[b[:, 0], b[:, 1]]
+
+
+def plain_fit(model, a, b):
+    if model == "translation":
+        return np.array([[1, 0, (b - a)[:, 0].mean()], [0, 1, (b - a)[:, 1].mean()], [0, 0, 1]])
+    if model == "homography":
+        rows = [r for (x, y), (u, v) in zip(a, b, strict=True) for r in ([-x, -y, -1, 0, 0, 0, u * x, u * y, u], [0, 0, 0, -x, -y, -1, v * x, v * y, v])]
+        h = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
+        return h / h[2, 2]
+    got = np.linalg.lstsq(*design(model, a, b), rcond=None)[0]
+    return np.array([[got[0], -got[1], got[2]], [got[1], got[0], got[3]], [0, 0, 1]]) if model == "similarity" else np.vstack([got.reshape(2, 3), [0, 0, 1]])
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_weighted_fits(model):
     rng = np.random.default_rng(5)
     a = rng.uniform(0, 100, (12, 2))
-    m = {"translation": [[1, 0, 3], [0, 1, -2], [0, 0, 1]], "similarity": [[1, -0.1, 3], [0.1, 1, -2], [0, 0, 1]], "affine": [[1.1, 0.2, 3], [0.1, 0.9, -2], [0, 0, 1]], "homography": [[1.1, 0.2, 3], [0.1, 0.9, -2], [1e-4, 2e-4, 1]]}[model]
-    assert geometry.fit_matrix(model, a, geometry.move(np.array(m), a)) == pytest.approx(np.array(m), abs=1e-6)
+    b = moved(MODELS[model], a)
+    w = (rng.random((6, 12)) < 0.7).astype(float)
+    w[0], w[5] = 1, 0
+    m, condition = geometry.weighted_fits(model, a, b, w)
+    assert m[0] == pytest.approx(np.array(MODELS[model]), abs=1e-6) and np.isnan(m[5]).any()
+    noisy = b + rng.normal(0, 0.5, b.shape)
+    m, condition = geometry.weighted_fits(model, a, noisy, w)
+    for k in range(5):
+        at = w[k] > 0
+        assert m[k] == pytest.approx(plain_fit(model, a[at], noisy[at]), abs=1e-5)
+        if model in ("similarity", "affine"):
+            assert condition[k] == pytest.approx(np.linalg.cond(design(model, a[at], noisy[at])[0]), rel=1e-6)
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_consensus_against_every_subset(model):
+    from itertools import combinations
+
+    k = geometry.LEAST_POINTS[model]
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        a = rng.uniform(0, 100, (9, 2))
+        b = moved(MODELS[model], a) + rng.normal(0, 0.3, a.shape)
+        b[:3] += rng.uniform(5, 20, (3, 2))
+        best = None
+        for sub in combinations(range(9), k):
+            e = np.linalg.norm(moved(plain_fit(model, a[list(sub)], b[list(sub)]), a) - b, axis=1)
+            near = e <= 1.5
+            if near.sum() >= k and (best is None or (near.sum(), -round(np.median(e[near]), 9)) > best[0]):
+                best = (near.sum(), -round(np.median(e[near]), 9)), near
+        keep = best[1]
+        m = plain_fit(model, a[keep], b[keep])
+        again = np.linalg.norm(moved(m, a) - b, axis=1) <= 1.5
+        if again.sum() >= k and (again != keep).any():
+            keep, m = again, plain_fit(model, a[again], b[again])
+        got, inliers, _ = geometry.consensus(model, a, b, 1.5, 200)
+        assert (inliers == keep).all() and got == pytest.approx(m, abs=1e-5)
+    drawn = geometry.least_subsets(30, k, 100, 3)
+    assert len(drawn) == (30 if k == 1 else 100) and (drawn.sum(1) == k).all() and len({tuple(x) for x in drawn}) > 25
+
+
+def test_decomposition_leaves_the_local_motion(spark):
+    points = grid_points(spark)
+    tracks = points.select("frame", "point_id", "x", "y", F.lit(True).alias("visible"))
+    tracks = tracks.unionByName(tracks.where("point_id < 1").withColumn("frame", F.lit(1).cast("long")))
+    frames, left = geometry.decompose_tracks(tracks, points.select("point_id", "x0", "y0"), threshold=0.5, width=200.0, height=100.0)
+    got = {r["frame"]: (r["quality"], r["reasons"], r["n_inliers"]) for r in frames.collect()}
+    assert got == {0: ("GOOD", "", 32), 1: ("INVALID", "transform_fit_failed", 0)}
+    for r in left.where("frame = 0").collect():
+        assert r["residual"] == pytest.approx(5.0 if r["point_id"] >= 32 else 0.0, abs=1e-6) and r["inlier"] == (r["point_id"] < 32)
+    assert left.where("frame = 1").first()["residual"] is None
 
 
 def test_gate_compares_with_the_last_sound_frame(spark):
@@ -283,3 +358,259 @@ def test_late_samples_are_rejected_not_dropped(spark):
     assert [x["rejected"] for x in r] == [False, False, True]
     s = online.OnlineSignal(filters.butterworth_bandpass(0.05, 0.4, 1.0))
     assert s.update(0.0, float("nan")) is None and json.loads(s.dump())[6] == 0
+
+
+def test_last_before_over_the_whole_table(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), float(i) if rng.random() < 0.2 else None) for i in rng.permutation(200)]
+    got = {r["t"]: r["out"] for r in ranges.last_before(spark.createDataFrame(rows, "t long, v double"), "v", "out", "t").collect()}
+    held = None
+    for t, v in sorted(rows):
+        assert got[t] == held
+        held = v if v is not None else held
+
+
+def test_average_ranks_against_pandas(spark):
+    rng = np.random.default_rng(12)
+    df = pd.DataFrame({"g": rng.integers(0, 3, 300), "v": rng.integers(0, 40, 300) / 4.0, "k": range(300)})
+    for keys in (None, ["g"]):
+        got = models.average_ranks(spark.createDataFrame(df), "v", "r", keys).toPandas().set_index("k")["r"].sort_index()
+        want = (df.groupby("g")["v"] if keys else df["v"]).rank()
+        assert np.allclose(got.to_numpy(), want.to_numpy())
+
+
+def test_q_values_against_the_definition(spark):
+    p = np.random.default_rng(13).random(150) ** 3
+    got = {r["record_id"]: r["q_value"] for r in alignment.bh_q_values(spark.createDataFrame(list(enumerate(map(float, p))), "record_id long, p_value double")).collect()}
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * 150 / np.arange(1, 151))[::-1])[::-1]
+    assert all(got[int(i)] == pytest.approx(min(1, x)) for i, x in zip(order, q, strict=True))
+
+
+def huber(x, y, alpha=1.0, rounds=30, k=1.345):
+    mean, sd = x.mean(0), x.std(0)
+    z = np.c_[np.ones(len(x)), (x - mean) / sd]
+    solve = lambda w: np.linalg.solve(z.T @ (z * w[:, None]) + np.diag([0.0] + [alpha] * x.shape[1]), z.T @ (w * y))
+    beta = solve(np.ones(len(y)))
+    for _ in range(rounds):
+        r = y - z @ beta
+        spread = max(1.4826 * np.median(np.abs(r - np.median(r))), 1e-12)
+        new = solve(np.minimum(1, k * spread / np.maximum(np.abs(r), 1e-12)))
+        done, beta = np.abs(new - beta).max() < 1e-8, new
+        if done:
+            break
+    return lambda q: np.exp(np.c_[np.ones(len(q)), (q - mean) / sd] @ beta)
+
+
+def test_cross_validated_huber_against_numpy(spark):
+    df = models.group_folds(regression(spark, True).withColumn("side", F.when(F.col("record_id") % 4 == 0, "b").otherwise("a")), 5)
+    got = models.cross_validated(df, "huber", ["f1", "f2", "f3"], 5, by=["side"]).toPandas()
+    for (side, fold), part in got.groupby(["side", "fold"]):
+        rest = got[(got.side == side) & (got.fold != fold)]
+        f = huber(rest[["f1", "f2", "f3"]].to_numpy(), np.log(rest["target"].to_numpy()))
+        assert np.allclose(part["predicted"], f(part[["f1", "f2", "f3"]].to_numpy()), rtol=1e-5)
+
+
+def test_inputs_of_another_version_are_refused(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1)], "feature_version string, causal int")
+    assert models.checked_inputs(df, "a") == "PASS" and models.checked_inputs(df.withColumn("causal", F.lit(0)), "a") == "FAIL"
+    with pytest.raises(ValueError):
+        models.checked_inputs(df, "b")
+
+
+def test_picked_points(spark):
+    good = spark.createDataFrame([(1.0, 2.0), (0.0, 0.0)], "x double, y double")
+    assert features.checked_points(good, 10, 10, 2).count() == 2
+    for bad in ((10.0, 1.0), (1.0, -0.1), (float("nan"), 1.0), (None, 1.0)):
+        with pytest.raises(Exception, match="outside|finite"):
+            features.checked_points(spark.createDataFrame([bad], "x double, y double"), 10, 10).collect()
+    with pytest.raises(ValueError):
+        features.checked_points(good, 10, 10, 3)
+
+
+def test_decimation_against_a_loop(spark):
+    rng = np.random.default_rng(14)
+    t = np.cumsum(rng.choice([0.03, 0.04, 0.3], 80, p=[0.5, 0.4, 0.1]))
+    got = [(r["seq"], r["emitted"]) for r in timebase.decimate(series(spark, [0] * 80, t), 0.1, 0.04).orderBy("emitted").collect()]
+    want, n = [], 0
+    for i, x in enumerate(t):
+        if x + 0.02 >= n * 0.1:
+            want.append((i, n))
+            n += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 9, 10, 11])
+def test_padded_blocks_leave_no_sample_out(spark, n):
+    rows = timebase.padded_blocks(series(spark, [0] * n, [0.5 * k for k in range(n)]), 4, 2).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r["block"], []).append((r["place"], r["padded"], r["i"], r["t"]))
+    assert {i for b in blocks.values() for _, p, i, _ in b if not p} == set(range(n))
+    for k, b in blocks.items():
+        assert sorted(x[0] for x in b) == [0, 1, 2, 3] and all(t == pytest.approx(0.5 * (k * 2 + place)) or n == 1 for place, _, _, t in b)
+
+
+def test_centred_cubic_at_the_ends(spark):
+    rng = np.random.default_rng(15)
+    t = np.cumsum(rng.uniform(0.02, 0.05, 15))
+    x = rng.normal(size=15)
+    d = derivatives.local_polynomial(series(spark, x, t), order=3, centred=True).orderBy("seq").collect()
+    for i, r in enumerate(d):
+        end = min(15, max(0, i - 4) + 9)
+        c = np.polynomial.polynomial.polyfit(t[end - 9 : end] - t[i], x[end - 9 : end], 3)
+        assert r["velocity"] == pytest.approx(c[1], rel=1e-4, abs=1e-3) and r["acceleration"] == pytest.approx(2 * c[2], rel=1e-3, abs=1e-1)
+
+
+def test_zero_phase_of_many_records_at_once(spark):
+    rng = np.random.default_rng(16)
+    parts = {k: rng.normal(size=n) for k, n in ((1, 40), (2, 27), (3, 90))}
+    df = None
+    for k, x in parts.items():
+        df = series(spark, x, record=k) if df is None else df.unionByName(series(spark, x, record=k))
+    s = filters.butterworth_bandpass(0.05, 0.4, 1.0)
+    zi = filters.steady_state(s)
+    for name, f in (("filtered", lambda d: filters.bandpass(d, 0.05, 0.4, 1.0, "zero_phase")), ("displacement", lambda d: filters.acceleration_to_displacement(d, 0.05, 0.4, 1.0))):
+        got = f(df).orderBy("record_id", "seq").toPandas()
+        for k, x in parts.items():
+            own = got[got.record_id == k][name].to_numpy()
+            if len(x) <= 27:
+                assert np.isnan(own).all()
+                continue
+
+            def smooth(v):
+                long = np.concatenate([2 * v[0] - v[27:0:-1], v, 2 * v[-1] - v[-2:-29:-1]])
+                ahead, _ = filters.run_sections(s, long, zi * long[0])
+                return filters.run_sections(s, ahead[::-1], zi * ahead[-1])[0][::-1][27:-27]
+
+            flat = lambda v: v - np.polyval(np.polyfit(np.arange(len(v)), v, 1), np.arange(len(v)))
+            total = lambda v: np.concatenate([[0], np.cumsum((v[1:] + v[:-1]) / 2)])
+            want = smooth(x) if name == "filtered" else smooth(flat(total(flat(total(smooth(flat(x)))))))
+            assert own == pytest.approx(want)
+
+
+@pytest.mark.parametrize("method", ["phase", "shift"])
+def test_null_test_repeats_the_search(spark, method):
+    rng = np.random.default_rng(17)
+    st, t = np.arange(300) / 10, np.arange(60) / 10 + 8
+    sensor = np.convolve(rng.normal(size=300), np.ones(5) / 5, "same")
+    planted = np.interp(t + 0.5, st, sensor)
+    noise = rng.normal(size=60)
+    rows = [(k, t.tolist(), [v.tolist()], st.tolist(), [sensor.tolist()]) for k, v in ((1, planted), (2, noise))]
+    df = spark.createDataFrame(rows, "record_id long, t array<double>, v array<array<double>>, st array<double>, sv array<array<double>>")
+    offsets = [k * 0.1 for k in range(-10, 11)]
+    got = {r["record_id"]: r for r in alignment.null_test(df, 99, offsets, method=method).collect()}
+    assert got[1]["observed"] == pytest.approx(1.0) and got[1]["offset"] == pytest.approx(0.5)
+    assert got[1]["p_value"] == pytest.approx(0.01) if method == "phase" else got[1]["p_value"] < 0.15  # a turn by less than the offsets searched is undone
+    best = max(abs(np.corrcoef(noise, np.interp(t + o, st, sensor))[0, 1]) for o in offsets)
+    assert got[2]["observed"] == pytest.approx(best) and got[2]["p_value"] > 0.05
+    with pytest.raises(ValueError):
+        alignment.null_test(df, 9, offsets, method="other")
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 9.0), (3, 1.0)], "run long, spike_ratio double")
+    got = {(r["run"], r["criterion"]): r["verdict"] for r in audit.verdict_table(spark.range(1, 5).withColumnRenamed("id", "run"), ("reseed", audit.reseed_status(df, "run"), "status")).collect()}
+    assert list(got.values()) and got[1, "reseed"] == "PASS_P95_RATIO_LE_3" and got[2, "reseed"] == "FAIL_REVIEW_REQUIRED" and got[3, "reseed"] == "NOT_EVALUABLE_SINGLE_EVENT_BELOW_THRESHOLD" and got[4, "reseed"] == "NOT_MEASURED"
+
+
+def test_a_failing_stream_leaves_an_event(spark, tmp_path):
+    import time
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    audit_log = guard.RunAudit()
+    spark.streams.addListener(audit_log)
+    try:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        bad = stream.select(F.when(F.col("id") >= 0, F.raise_error(F.lit("no such thing"))).alias("x"))
+        good = stream.writeStream.queryName("good").format("noop").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+        good.awaitTermination(60)
+        q = bad.writeStream.queryName("bad").format("noop").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="no such thing"):
+            q.awaitTermination(60)
+        for _ in range(100):
+            if audit_log.events and audit_log.timing:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(audit_log)
+    (event,) = audit_log.event_rows(spark).collect()
+    assert event["worker"] == "bad" and event["action"] == "stop_without_output_claim" and audit_log.timing_rows(spark).where("worker = 'good'").agg(F.sum("rows")).first()[0] == 5
+    audit_log.write(spark, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log/events")).count() == 1
+
+
+def test_sensor_files_are_checked(spark, tmp_path):
+    for name, lines in (("good", ["0\t1\t2\t3", "1\t1\t2\t3"]), ("short", ["0\t1\t2\t3"]), ("falls", ["1\t1\t2\t3", "0\t1\t2\t3"])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(["t\tew\tns\tud", *lines]) + "\n")
+        s = records.checked_sensors(records.read_sensor_text(spark, str(tmp_path / f"{name}.txt")))
+        if name == "good":
+            assert [r["t"] for r in s.orderBy("seq").collect()] == [0, 1]
+        else:
+            with pytest.raises(Exception, match="no usable|do not rise"):
+                s.collect()
+    (tmp_path / "b.csv").write_text("k\n1\n")
+    assert records.read_all_strings(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv")).count() == 1
+    assert records.read_all_strings(spark, str(tmp_path / "a.csv"), columns=["k"]).columns == ["k"]
+
+
+def test_configurations(spark, tmp_path):
+    good = {"video": {}, "motion": {}, "scale": {}, "pga": {}, "tracker": {"window_len": 16, "step": 8, "num_points": 5, "source_timestamp_future_context_frames": [8, 15]}, "signal": {"bandpass_hz": [0.3, 8]}, "runtime": {"target_fps": 30, "max_queue_blocks": 4}}
+    (tmp_path / "c.json").write_text(json.dumps(good))
+    assert records.read_config(spark, str(tmp_path / "c.json")) == good and records.config_sha256(good) == records.config_sha256(json.loads(json.dumps(good, sort_keys=True)))
+    for path, value in (("tracker.step", 17), ("tracker.window_len", 1), ("tracker.source_timestamp_future_context_frames", [7, 15]), ("tracker.num_points", 0), ("runtime.target_fps", 0), ("signal.bandpass_hz", [8, 3])):
+        bad = json.loads(json.dumps(good))
+        section, name = path.split(".")
+        bad[section][name] = value
+        with pytest.raises(records.ConfigError):
+            records.checked_config(bad)
+    with pytest.raises(records.ConfigError, match="pga"):
+        records.checked_config({k: v for k, v in good.items() if k != "pga"})
+
+
+def test_batches_of_the_same_points_are_one(spark):
+    part = lambda ids, f, r: spark.createDataFrame([(f, i, r) for i in ids], "frame long, point_id long, reseed_id long")
+    both = sets.concatenated_tracks([part([1, 2], 0, 3), part([1, 2], 1, 5)])
+    assert both.count() == 4 and {r["reseed_id"] for r in both.collect()} == {5}
+    with pytest.raises(ValueError):
+        sets.concatenated_tracks([part([1, 2], 0, 3), part([1, 3], 1, 5)])
+
+
+@pytest.mark.parametrize("scene", generators.SCENES)
+def test_scenes_decompose_to_what_they_were_made_of(spark, scene):
+    truth = generators.scene_tracks(spark, scene, seconds=0.5, columns=5, rows=4)
+    reference = truth.where("frame = 0").select("point_id", "x0", "y0")
+    frames, _ = geometry.decompose_tracks(truth.select("frame", "point_id", "x", "y", "visible"), reference, threshold=0.2, width=320.0, height=240.0, tries=200, least_tracks=5, least_coverage=0.01)
+    true = truth.groupBy("frame").agg(F.first("rotation").alias("true_rotation"))
+    name = lambda d: d.withColumn("case_id", F.lit(scene))
+    r = generators.case_metrics(name(truth), name(truth), name(frames.join(true, "frame"))).first()
+    assert r["frames"] == 15 and r["points"] == 20 and r["point_rmse_px"] == 0 and r["track_survival_ratio"] == 1
+    assert r["rotation_rmse_deg"] < (1e-6 if "local" not in scene and scene != "degraded" else 0.2) and r["motion_good_fraction"] == 1
+    with pytest.raises(ValueError):
+        generators.scene_tracks(spark, "other")
+
+
+def test_online_motion_is_causal_and_streams(spark, tmp_path):
+    rng = np.random.default_rng(18)
+    rows = [(1, k, float(k), *map(float, rng.normal(size=2)), rng.normal(size=(4, 2)).tolist(), "GOOD", k // 10) for k in range(25)]
+    schema = "record_id long, seq long, t double, x double, y double, local array<array<double>>, quality string, reseed_id long"
+    df = spark.createDataFrame(rows, schema)
+    want = online.online_motion(df).orderBy("seq").collect()
+    assert [r["reseed_boundary"] for r in want] == [k in (10, 20) for k in range(25)] and want[1]["startup_state"] == "WARMUP_2_OF_3" and want[5]["retained_history_samples"] == 3
+    one = online.online_signal(df).orderBy("seq").collect()
+    for a, b in zip(want, one, strict=True):
+        assert a["filtered_common_x"] == pytest.approx(b["filtered"])
+        if b["acceleration"] is not None:
+            assert a["common_acceleration_x"] == pytest.approx(b["acceleration"])
+    changed = [(*r[:3], r[3] + 1000 * (r[1] >= 20), *r[4:]) for r in rows]
+    again = online.online_motion(spark.createDataFrame(changed, schema)).orderBy("seq").collect()
+    assert [str(tuple(r)) for r in again[:20]] == [str(tuple(r)) for r in want[:20]]
+    odd = [(1, 0, 0.0, 0.0, 0.0, [[0.0, 0.0]], "GOOD", 0), (1, 1, 0.0, 0.0, 0.0, [[0.0, 0.0]], "GOOD", 0), (1, 2, 2.0, 0.0, 0.0, [[0.0, 0.0]] * 2, "GOOD", 0), (1, 3, 3.0, 0.0, float("nan"), [[0.0, 0.0]], "GOOD", 0)]
+    assert [r["rejected"] for r in online.online_motion(spark.createDataFrame(odd, schema)).orderBy("seq").collect()] == [False, True, True, True]
+    for k in range(2):
+        df.where((F.col("seq") >= 13) == F.lit(bool(k))).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = online.online_motion(stream).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(online.fan_out(str(tmp_path / "out"))).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out/online_signal")).orderBy("seq").collect()
+    assert [str(tuple(r)) for r in got] == [str(tuple(r)) for r in want]

@@ -48,9 +48,31 @@ def test_query_agrees_with_sql(spark, con, name):
     assert all(same(x, y) for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
 
 
-@pytest.mark.parametrize("name", ["sos_bandpass_zero_phase", "decimated_capture", "bounded_queue", "online_signal", "robust_similarity", "spaced_points", "cv_ridge"])
-def test_other_queries_have_rows(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+def test_spaced_points_against_a_loop(spark):
+    from pyspark.sql import functions as F
+
+    from swaylark.sources import adapters
+
+    t = adapters.tracks(spark, SF).withColumn("r", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), 6)).toPandas()
+    want = set()
+    for frame, rows in t.groupby("frame"):
+        kept = []
+        for r in rows.sort_values(["r", "point_id"], ascending=[False, True]).itertuples():
+            if all(math.hypot(r.x - a, r.y - b) >= 5 for a, b in kept):
+                kept.append((r.x, r.y))
+                want.add((frame, r.point_id))
+    assert {tuple(r) for r in entry.queries()["spaced_points"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["robust_affine", "robust_homography"])
+def test_robust_fits_agree_with_at_least_as_many_points_as_the_plain_ones(spark, name):
+    got = entry.queries()[name](spark, SF).toPandas().set_index("frame")
+    assert len(got) == 500 and got.n.between(27, 28).all() and (got.n_inliers >= 4).all() and (got.fit_rmse <= 10).mean() > 0.6
+
+
+def test_surrogate_null_test_has_whole_draws(spark):
+    got = entry.queries()["surrogate_null_test"](spark, SF).toPandas()
+    assert len(got) and got.p_value.between(1 / 1001, 1).all() and got.observed.between(0, 1).all()
 
 
 def test_entry(spark):
