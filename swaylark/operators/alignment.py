@@ -104,7 +104,7 @@ def null_p_values(df: DataFrame, shifts: int, key: str = "record_id", digits: in
 
 def bh_q_values(df: DataFrame, p: str = "p_value", key: str = "record_id") -> DataFrame:
     """Adds q_value by Benjamini and Hochberg over all rows; ranks go by ranges of p."""
-    placed = df.withColumns({"_part": F.coalesce(F.least(F.floor(F.col(p) * ranges.MOST_RANGES), F.lit(ranges.MOST_RANGES - 1)), F.lit(-1)), "_one": F.lit(1).cast("long")})
+    placed = df.withColumns({"_part": ranges.range_of(F.col(p)), "_one": F.lit(1).cast("long")})
     ranked = ranges.running_sum(placed, "_one", "_rank", [F.col(p), F.col(key)])
     total = df.agg(F.count(F.lit(1)).alias("_m"))
     raw = ranked.crossJoin(F.broadcast(total)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))  # total is one row

@@ -253,14 +253,10 @@ def checked_inputs(df: DataFrame, version: str, version_column: str = "feature_v
     return "PASS" if seen[causal_column] in (["1"], ["true"]) else "FAIL"
 
 
-def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None, edges: list[float] | None = None) -> DataFrame:
-    """Adds the average rank of each value among ``keys``.
-
-    Counts by value first; the running count over distinct values goes by ranges between ``edges``.
-    """
+def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds the average rank of each value among ``keys``. Counts by value first; the running count over distinct values goes by ranges."""
     keys = keys or []
-    edges = ranges.bounds(df, value)[0] if edges is None else edges
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_part", ranges.range_of(F.col(value), edges))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_part", ranges.range_of(F.col(value)))
     ranked = ranges.running_sum(counts, "_c", "_upto", [F.col(value)], keys)
     return df.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*keys, value])
 
@@ -272,8 +268,7 @@ def metrics(df: DataFrame, keys: list[str] | None = None, truth: str = "target",
     safe = F.greatest(e, F.lit(TINY))
     factor = F.greatest(safe / t, t / safe)
     pearson = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    edges = ranges.bounds(df, truth, estimate)
-    ranked = average_ranks(average_ranks(df, truth, "_rt", keys, edges[0]), estimate, "_re", keys, edges[1])
+    ranked = average_ranks(average_ranks(df, truth, "_rt", keys), estimate, "_re", keys)
     aggs = [
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e - t)).alias("mae"), F.sqrt(F.avg((e - t) * (e - t))).alias("rmse"),
         F.avg(F.abs(F.ln(safe) - F.ln(t))).alias("log_mae"), F.percentile(factor, F.lit(0.5)).alias("median_factor"),
