@@ -10,6 +10,7 @@ import json
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashed_integer, ratio
@@ -19,16 +20,13 @@ TINY = 1e-12
 
 
 def group_folds(df: DataFrame, folds: int, group: str = "grp", seed: int = 7) -> DataFrame:
-    """Adds fold: groups in order of a hash of seed and name, dealt into near equal runs; a group is never split."""
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
-    groups = df.select(group).distinct().withColumns({"_mark": mark, "_one": F.lit(1).cast("long"), "_part": F.conv(F.substring(mark, 1, 2), 16, 10).cast("int")})
-    placed = ranges.running_sum(groups, "_one", "_place", [F.col("_mark")])
-    total = groups.agg(F.count(F.lit(1)).alias("_n"))
-    less = F.floor(F.col("_n") / folds)
-    longer = (F.col("_n") % folds) * (less + 1)  # groups in the runs that have one more
-    at = F.col("_place") - 1
-    fold = F.when(at < longer, F.floor(at / (less + 1))).otherwise(F.col("_n") % folds + F.floor(F.try_divide(at - longer, less)))
-    dealt = placed.crossJoin(F.broadcast(total)).select(group, fold.cast("int").alias("fold"))  # total is one row
+    """Adds fold: groups in order of a hash of seed and name, dealt into near equal runs; a group is never split.
+
+    One task numbers the groups, a row each: going by ranges would read the rows of ``df`` three times.
+    """
+    groups = df.select(group).distinct()
+    order = W.partitionBy(F.lit(0)).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))))
+    dealt = groups.withColumn("fold", F.ntile(folds).over(order) - 1)
     return df.join(dealt, group)
 
 
@@ -254,10 +252,17 @@ def checked_inputs(df: DataFrame, version: str, version_column: str = "feature_v
 
 
 def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds the average rank of each value among ``keys``. Counts by value first; the running count over distinct values goes by ranges."""
+    """Adds the average rank of each value among ``keys``.
+
+    Counts by value first. Within keys the running count is a window over the distinct values of each; over the
+    whole table it goes by ranges, which reads the rows once more but leaves no task with all values.
+    """
     keys = keys or []
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_part", ranges.range_of(F.col(value)))
-    ranked = ranges.running_sum(counts, "_c", "_upto", [F.col(value)], keys)
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    if keys:
+        ranked = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        ranked = ranges.running_sum(counts.withColumn("_part", ranges.range_of(F.col(value))), "_c", "_upto", [F.col(value)])
     return df.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*keys, value])
 
 
