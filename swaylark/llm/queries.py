@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, simhash, suffix_dedup, tokens, toxicity
+from . import align_tokens, centroids, chat, decontaminate, exact_dedup, langid, line_dedup, mixing, pieces, simhash, suffix_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.aligned_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_piece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_exact_dedup, op2_suffix_dedup, op3_decontamination, op4_simhash, op5_chat_format, op6_language_id, op7_token_files, op8_line_dedup, op9_source_mixing, op10_toxicity, pipeline]
+    named = [op1_exact_dedup, op2_suffix_dedup, op3_decontamination, op4_simhash, op5_chat_format, op6_language_id, op7_token_files, op8_line_dedup, op9_source_mixing, op10_toxicity, op11_token_alignment, op12_piece_digests, op13_centroids, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -117,5 +129,31 @@ FROM (SELECT *, unnest(range(0, c)) AS k FROM counted)
 """
 
 
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """All rounds written out, one after the other."""
+    parts = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS cluster, q AS c FROM (SELECT q, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+        SELECT vec_id, any_value(q) AS q, min({{'d': d, 'k': cluster}}) AS best
+        FROM (SELECT vec_id, q, cluster, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r})
+        GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+        SELECT c.cluster, coalesce(n.c, c.c) AS c
+        FROM c{r} c LEFT JOIN (
+          SELECT cluster, list(m ORDER BY i) AS c
+          FROM (SELECT cluster, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+                FROM (SELECT best.k AS cluster, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i)
+          GROUP BY cluster) n ON n.cluster = c.cluster)""")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, a.best.k AS cluster, a.best.d AS distance, sum(a.best.d) OVER (PARTITION BY a.best.k)::BIGINT AS cluster_inertia,
+           sum(a.best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.best.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op5_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op5_chat_format": CHAT_SQL, "op9_source_mixing": MIXING_SQL, "op13_centroids": _centroid_sql()}
