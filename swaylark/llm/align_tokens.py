@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,15 +34,19 @@ from .idtools import Kept, Strings
 from .tokens import pack, tokenizer_path, unpack
 
 #: Bytes of text in a block, but for a single longer text.
-BLOCK = 16 << 20
-#: Offsets that are counted at once.
-SPAN = 1 << 22
+BLOCK = 8 << 20
+#: Bytes of text that are laid end to end, and offsets that are counted at once.
+PART = 2 << 20
+SPAN = 1 << 20
 #: Characters that may be white space to some table of characters but not to all, and these with those that are to all.
 HALF = "\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
 BLANK = "\t\n\r " + HALF
 WORD = re.compile(f"[{BLANK}]*[^{BLANK}]+(?:[{HALF}][{BLANK}]*[^{BLANK}]*)*|[{BLANK}]+")
 #: Bits of B's id in a pair.
 CODE_BITS = 32
+#: Characters whose kind (letter, number, white space) is the same in every table of characters; and how words are cut into pieces. Fixed value: the pattern of byte-level tokenizers.
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteModel:
@@ -67,7 +72,26 @@ class ByteModel:
         self.size = max(by_id) + 1
         self.strings = Strings([bytes(bytes_of.get(c, 0) for c in by_id.get(i, "")) for i in range(self.size)])
         self.cut = bool(before.get("use_regex"))
-        self.kept = Kept(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        plain = self._ranked(spec) if self.cut else None
+
+        def encode(words: list[str]) -> list[list[int]]:
+            odd = [x for x in words if plain is None or not PLAIN.fullmatch(x)]
+            found = dict(zip(odd, (e.ids for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+            return [found[x] if x in found else plain.encode_ordinary(x) for x in words]
+
+        self.kept = Kept(encode)
+
+    def _ranked(self, spec: dict):
+        """An encoder of plain words by the same vocabulary, which is quicker to call; None unless each merge is the next id, so that merges come in the order of ids."""
+        import tiktoken
+
+        vocab, merges = spec["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
+        base = len(vocab) - len(merges) - sum(x["id"] in vocab.values() for x in spec.get("added_tokens", []))
+        if spec["model"].get("ignore_merges") or [vocab.get("".join(x)) for x in merges] != list(range(base, base + len(merges))):
+            return None
+        added = {x["id"] for x in spec.get("added_tokens", [])}
+        tokens = {self.strings.pool[a : a + n].tobytes(): i for i, (a, n) in enumerate(zip(self.strings.starts.tolist(), self.strings.sizes.tolist(), strict=True)) if i not in added}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.kept([WORD.findall(x) if self.cut else [x] for x in texts])
@@ -121,9 +145,9 @@ class Aligned:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs of ids that are linked, and how many documents hold each."""
-        codes, place = np.unique(self.codes, return_inverse=True)
+        place, codes = pd.factorize(self.codes)
         doc = np.repeat(np.arange(len(self.n_a)), np.diff(self.upto_links))
-        return codes, np.bincount(np.unique(doc * max(len(codes), 1) + place) % max(len(codes), 1), minlength=len(codes))
+        return codes, np.bincount(pd.unique(doc * max(len(codes), 1) + place) % max(len(codes), 1), minlength=len(codes))
 
     def written(self, width_a, width_b) -> tuple[np.ndarray, np.ndarray]:
         """Each document's groups as text, end to end, and where each document's ends."""
@@ -178,7 +202,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, model: str, key: str = "doc_
     schema = pa.schema([("block", pa.int64()), ("keys", lists), ("n_a", lists), ("n_b", lists), ("parts", lists), ("a", pa.binary()), ("b", pa.binary()), ("pairs", lists), ("held", lists)])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, task = byte_model_of(tokenizer), pieces.model_of(model), TaskContext.get().partitionId()
+        first, second, task = byte_model_of(tokenizer), pieces.library_model_of(model), TaskContext.get().partitionId()
         count, size, held = 0, 0, []
 
         def block():
@@ -189,7 +213,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str, model: str, key: str = "doc_
             return C.batch_of(schema, [task << 32 | count], [sum(keys, [])], [join(n_a)], [join(n_b)], [[len(x) for x in keys]], [pack(join(a))], [pack(join(b))], [pairs], [many])
 
         for batch in batches:
-            for i, j in C.blocks(batch, "text"):
+            for i, j in C.blocks(batch, "text", PART):
                 part = batch.slice(i, j - i)
                 found = _encoded(C.values(part, "text"), first, second)
                 held.append((C.values(part, "key"), *found, *_aligned(*found, first, second).pairs()))
@@ -227,7 +251,7 @@ def aligned_groups(docs: DataFrame, tokenizer: str | None = None, model: str | N
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
 
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
-        first, second = byte_model_of(tokenizer), pieces.model_of(model)
+        first, second = byte_model_of(tokenizer), pieces.library_model_of(model)
         codes, n, best = (right.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("pair", "n", "best"))
         order = np.argsort(codes)
         codes, n, best = codes[order], n[order], best[order]

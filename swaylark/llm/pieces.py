@@ -77,11 +77,7 @@ class PieceModel:
         self.strings = Strings(strings)
         self.spaced = np.array([p.type == kinds.NORMAL and p.piece.startswith(SPACE) for p in spec.pieces])
         self.steps: dict[str, list[tuple[float, str, str]]] = {}
-        for piece in self.scores:
-            parts, steps = self.merged(piece)
-            if len(parts) == 1:  # others never come out
-                self.steps[piece] = steps
-        self.goto, self.fail, self.found = automaton({x: self.ids[x] for x in self.steps})
+        self.goto: list[dict[str, int]] | None = None  # the automaton, made when it is first asked for
         self.pieces = [p.piece for p in spec.pieces]
         self.lengths = [len(x) for x in self.pieces]
         self.pairs: dict[int, bool] = {}
@@ -89,6 +85,13 @@ class PieceModel:
         self.unit = None if any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.scores) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.kept = Kept(lambda units: [self.tokens(x) for x in units])
 
+    def _prepare(self) -> None:
+        for piece in self.scores:
+            parts, steps = self.merged(piece)
+            if len(parts) == 1:  # others never come out
+                self.steps[piece] = steps
+        self.goto, self.fail, self.found = automaton({x: self.ids[x] for x in self.steps})
+
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The parts of ``text`` once nothing joins any more; and of each merge the score, the last and the first part after it."""
         parts, steps = list(text), []
@@ -127,6 +130,8 @@ class PieceModel:
 
     def tokens(self, text: str) -> list[int]:
         """The ids of a text whose spaces are marked already. A character without a piece counts as the token of its code point, from ``size`` on."""
+        if self.goto is None:
+            self._prepare()
         table, pairs, lengths, size = self.table, self.pairs, self.lengths, self.size
         goto, fail, found = self.goto, self.fail, self.found
         n = len(text)
@@ -195,6 +200,17 @@ class PieceModel:
             out.append(self._decode_odd(ids[i:j]) if odd else text)
         return out
 
+    def through(self, library) -> PieceModel:
+        """Takes the ids of new words from the library's processor instead, for users that need no more than the ids."""
+        own = self.tokens
+
+        def encode(units: list[str]) -> list[list[int]]:
+            found = library.encode([x[1:].replace(SPACE, " ") for x in units], num_threads=1)
+            return [y or own(x) for x, y in zip(units, found, strict=True)]  # the library puts a mark before what is not empty
+
+        self.kept.encode = encode
+        return self
+
     def _decode_odd(self, ids: np.ndarray) -> bytes:
         """As ``decode``, for ids that hold marks or bytes that make no characters."""
         out, run, spaced = bytearray(), bytearray(), False
@@ -265,6 +281,14 @@ def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@lru_cache(maxsize=1)
+def library_model_of(path: str) -> PieceModel:
+    """One for each Python worker, that takes new words' ids from the library."""
+    from sentencepiece import SentencePieceProcessor
+
+    return PieceModel(path).through(SentencePieceProcessor(model_file=path))
+
+
 @lru_cache(maxsize=2)
 def decimals_of(n: int) -> Decimals:
     return Decimals(n)
