@@ -34,7 +34,7 @@ from .idtools import Kept, Strings
 from .tokens import pack, tokenizer_path, unpack
 
 #: Bytes of text in a block, but for a single longer text.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes of text that are laid end to end, and offsets that are counted at once.
 PART = 2 << 20
 SPAN = 1 << 20
@@ -252,6 +252,8 @@ def aligned_groups(docs: DataFrame, tokenizer: str | None = None, model: str | N
 
     def counted(left: pa.Table, right: pa.Table) -> pa.Table:
         first, second = byte_model_of(tokenizer), pieces.library_model_of(model)
+        first.kept.forget()  # nothing is encoded any more
+        second.kept.forget()
         codes, n, best = (right.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("pair", "n", "best"))
         order = np.argsort(codes)
         codes, n, best = codes[order], n[order], best[order]

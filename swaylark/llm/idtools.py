@@ -15,11 +15,11 @@ class Kept:
     two calls, so results never depend on what is kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000, most_ids: int = 1 << 23):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000, most_ids: int = 1 << 22):
         self.encode, self.most, self.most_ids = encode, most, most_ids
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.starts, self.sizes, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.pool = np.zeros(1 << 14, np.int32)
@@ -42,7 +42,7 @@ class Kept:
     def __call__(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all lists of strings end to end, and the number of each list."""
         if len(self.places) > self.most or self.filled > self.most_ids:
-            self._forget()
+            self.forget()
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(counts.sum())
         at = np.fromiter(map(self.places.get, chain.from_iterable(lists), repeat(-1)), np.int64, total)
