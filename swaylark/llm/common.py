@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,33 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
-#: Paths that this process has made in the shared folder, and the tables that are staged there.
-MADE: list[str] = []
-STAGED: dict[int, tuple[DataFrame, str]] = {}
+#: Where each staged table lies, and the scope that is open in this thread.
+PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+OPEN: ContextVar[Scope | None] = ContextVar("open", default=None)
+
+
+class Scope:
+    """What one call stages, in its own thread: at its end that goes, but for what is kept, which the scope around it has from then on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self.kept = spark, [], []
+
+    def keep(self, *paths: str) -> None:
+        self.kept += paths
+
+    def keep_all(self) -> None:
+        self.kept = self.made
+
+    def __enter__(self) -> Scope:
+        self.around = OPEN.get()
+        OPEN.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        OPEN.set(self.around)
+        remove(self.spark, [x for x in self.made if x not in self.kept])
+        if self.around:
+            self.around.made += self.kept
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,8 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if scope := OPEN.get():
+        scope.made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -40,14 +68,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in MADE:
-            MADE.remove(path)
+    if scope := OPEN.get():
+        scope.made[:] = [x for x in scope.made if x not in paths]
 
 
 def unstage(*tables: DataFrame) -> None:
     """Delete the files of tables from ``staged`` that nothing reads any more."""
     for df in tables:
-        if (path := STAGED.pop(id(df), (None, None))[1]) is not None:
+        if (path := PATHS.pop(df, None)) is not None:
             remove(df.sparkSession, [path])
 
 
@@ -56,7 +84,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    STAGED[id(table)] = (table, path)
+    PATHS[table] = path
     return table
 
 

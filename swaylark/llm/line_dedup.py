@@ -2,12 +2,17 @@
 
 Each line has a hash; a rolling hash over the last few lines ends a chunk where it meets a fixed pattern, so
 that lines put in or left out move the boundaries near them only. Chunks of several lines that occur more
-than once in all documents are removed but for their first occurrence (the least id, then place). Occurrences
-are grouped by the chunks' bytes, combined within each task first; only what repeats is joined back.
+than once in all documents are removed but for their first occurrence (the least id, then place).
 
-Chunks alone miss repeated passages in which no whole chunk falls. With ``pairs`` every two adjacent lines are
-units too, by their SHA-256, so that of each run of two or more lines that occurs elsewhere all copies but the
-first go. What is removed is the union of both.
+Chunks are nested: under the coarse ones lie, with ``pairs``, those of the finest level, every two adjacent lines (a
+rolling hash of two lines that ends a chunk everywhere), so that a repeated passage that no coarse chunk falls into whole is
+found too: of each run of two or more lines that occurs elsewhere all copies but the first go. No coarser level
+can promise that, as the boundaries of a chunk of two lines would hang on lines outside the run.
+
+No chunk is looked at that holds a line that occurs once. So lines are counted first, by hash, and a document's
+chunks are those whose every line is repeated. They are grouped by their bytes, combined within each task first;
+only what repeats is joined back. A row is known by its id and 128 bits of its text's hash, so rows that share an id, or have none, keep
+their own lines.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,15 +38,22 @@ MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bytes of chunks that a task combines before it hands them on.
 COMBINE = 24 << 20
-#: Places from here on are those of pairs: this and the first line's number.
+#: Places from here on are those of the finest level: this and the first line's number.
 PAIR = 1 << 30
+#: What tells rows apart.
+ROW = ["doc", "k1", "k2"]
+ROW_TYPE = "doc long, k1 long, k2 long"
+
+
+def line_hashes(lines: list[bytes]) -> list[int]:
+    return [xxhash.xxh64_intdigest(x) for x in lines]
 
 
 def chunks(text: bytes) -> list[tuple[int, int, int]]:
     """(first byte, byte after, lines) of each chunk; a line's break belongs to it."""
     lines = text.split(b"\n")
     out, start, at, count = [], 0, 0, 0
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
+    hashes = line_hashes(lines)
     last = len(lines) - 1
     out_factor = pow(MULTIPLIER, WINDOW, 1 << 64)
     rolling = 0
@@ -61,15 +74,23 @@ def _trimmed(chunk: bytes) -> bytes:
     return chunk[:-1] if chunk.endswith(b"\n") else chunk
 
 
-def units(text: bytes, pairs: bool) -> Iterator[tuple[int, bytes | None, bytes | None]]:
-    """(place, chunk, none) of each chunk of several lines, then (place, none, SHA-256) of each two adjacent lines."""
-    for place, (a, b, lines) in enumerate(chunks(text)):
-        if lines >= LEAST_LINES:
-            yield place, _trimmed(text[a:b]), None
+def units(text: bytes, pairs: bool, common: set[int]) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of each chunk of several lines, then of each two adjacent lines, if the numbers of all its lines are in ``common``."""
+    first = 0
+    for place, (a, b, n) in enumerate(chunks(text)):
+        if n >= LEAST_LINES and all(i in common for i in range(first, first + n)):
+            yield place, _trimmed(text[a:b])
+        first += n
     if pairs:
         lines = text.split(b"\n")
-        for i in range(len(lines) - 1):
-            yield PAIR + i, None, hashlib.sha256(lines[i] + b"\n" + lines[i + 1]).digest()
+        for i in sorted(common):
+            if i + 1 in common:
+                yield PAIR + i, lines[i] + b"\n" + lines[i + 1]
+
+
+def digest(place: int, unit: bytes) -> bytes:
+    """SHA-256 of a unit and its level: a coarse chunk of two lines and the finest one at its place are two units."""
+    return hashlib.sha256((b"fine" if place >= PAIR else b"coarse") + unit).digest()
 
 
 def lines_gone(lines: list[bytes], found: list[tuple[int, int, int]], gone: set[int]) -> set[int]:
@@ -87,70 +108,115 @@ def lines_gone(lines: list[bytes], found: list[tuple[int, int, int]], gone: set[
     return out
 
 
-def _many(docs: DataFrame, pairs: bool) -> DataFrame:
-    """Each task's distinct units: the chunks' bytes or the pairs' SHA-256, occurrences, and the first of them."""
-    schema = pa.schema([("sha", pa.binary()), ("chunk", pa.binary()), ("doc", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
+def _repeated_lines(texts: DataFrame) -> DataFrame:
+    """ROW and ``common``, the numbers of the lines whose hash occurs more than once in all texts, of rows in which two such lines are adjacent."""
+    counts, places = pa.schema([("h", pa.int64()), ("n", pa.int64())]), pa.schema([("doc", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32()))])
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for t in C.values(batch, "body"):
+            yield np.array(line_hashes(t.split(b"\n")), np.uint64).view(np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.concatenate(list(hashes(batch))), return_counts=True)
+            yield C.batch_of(counts, h, n)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of, at = [], [], []
+            for i, h in enumerate(hashes(batch)):
+                if len(h) >= LEAST_LINES:
+                    own, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+                    rows.append(np.full(len(own), i))
+                    of.append(own)
+                    at += np.split(np.argsort(inverse, kind="stable").astype(np.int32), np.cumsum(n)[:-1])
+            if rows:
+                keys = batch.select(ROW).take(pa.array(np.concatenate(rows)))
+                yield C.batch_of(places, *keys.columns, np.concatenate(of), pa.array(at, pa.list_(pa.int32())))
+
+    bodies = texts.where(F.contains("body", F.lit(b"\n")))  # a text of one line has no chunk
+    common = bodies.select("body").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # by shuffle at any size
+    seen = bodies.mapInArrow(placed, f"{ROW_TYPE}, h long, at array<int>").hint("merge").join(common, "h")
+    flags = seen.groupBy(*ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("common"))
+    return flags.where(F.exists(F.arrays_zip("common", F.slice("common", 2, F.greatest(F.size("common"), F.lit(1))).alias("next")), lambda x: x["next"] - x["common"] == 1))
+
+
+def _many(marked: DataFrame, pairs: bool) -> DataFrame:
+    """Each task's distinct units by their bytes, occurrences, and the first of them."""
+    schema = pa.schema([("sha", pa.binary()), ("chunk", pa.binary()), ("doc", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
         found = list(held.items())
         for i in range(0, len(found), 4096):
             part = found[i : i + 4096]
-            yield C.batch_of(schema, [sha or hashlib.sha256(x).digest()[:16] for (x, sha), _ in part], [x for (x, _), _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part])
+            firsts = [v[0] for _, v in part]
+            yield C.batch_of(schema, [digest(v[0][3], x) for (_, x), v in part], [x for (_, x), _ in part], *([f[k] for f in firsts] for k in range(4)), [v[1] for _, v in part])
+
+    def order(at: tuple) -> tuple:
+        return at[0] is None, at[0] or 0, *at[1:]
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple[bool, bytes], list] = {}
         size = 0
         for batch in batches:
-            for doc, text in zip(C.values(batch, "doc"), C.values(batch, "body"), strict=True):
-                for place, *unit in units(text, pairs):
-                    if (got := held.get(unit := tuple(unit))) is None:
-                        held[unit] = [doc, place, 1]
-                        size += len(unit[0] or unit[1] or b"")
+            for *row, text, common in zip(*(C.values(batch, x) for x in (*ROW, "body", "common")), strict=True):
+                for place, unit in units(text, pairs, set(common)):
+                    at, level = (*row, place), (place >= PAIR, unit)
+                    if (got := held.get(level)) is None:
+                        held[level] = [at, 1]
+                        size += len(unit)
                     else:
-                        got[2] += 1
-                        if (doc is None, doc or 0, place) < (got[0] is None, got[0] or 0, got[1]):
-                            got[:2] = doc, place
+                        got[1] += 1
+                        if order(at) < order(got[0]):
+                            got[0] = at
             if size > COMBINE:
                 yield from flush(held)
                 held, size = {}, 0
         yield from flush(held)
 
-    return docs.mapInArrow(combined, "sha binary, chunk binary, doc long, place int, n long")
+    return marked.mapInArrow(combined, f"sha binary, chunk binary, {ROW_TYPE}, place int, n long")
 
 
 def _repeated(many: DataFrame) -> DataFrame:
-    """Units that occur more than once, chunks by their bytes: sha, and the first occurrence."""
-    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "place")).alias("first")
-    return many.groupBy("sha", "chunk").agg(F.sum("n").alias("n"), first).where("n > 1").select("sha", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
+    """Units that occur more than once, by their bytes: sha, and the first occurrence."""
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), *ROW, "place")).alias("first")
+    return many.groupBy("sha", "chunk").agg(F.sum("n").alias("n"), first).where("n > 1").select("sha", *(F.col(f"first.{x}").alias(f"first_{x}") for x in (*ROW, "place")))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", pairs: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_removed (lines), n_chunks_removed, text (what stays).
 
-    With ``pairs`` every two adjacent lines are looked at besides the chunks. A line's first occurrence of all
-    then stays always, and of equal lines in a row two. n_chunks_removed counts chunks that repeat as a whole.
-    Null texts count as empty, which is one line; they stay empty. Rows that repeat an id and a text hold
-    their chunks at the same place of the same id, so both keep a first occurrence. Null ids come last. Empty
-    tables give no rows.
+    With ``pairs`` chunks have a finest level, every two adjacent lines. A line's first occurrence of all
+    then stays always, and of equal lines in a row two. n_chunks_removed counts coarse chunks that repeat as a whole.
+    Null texts count as empty, which is one line; they stay empty. Rows that share an id, or have none, are rows of
+    their own; those that share an id and a text hold their chunks at the same place, so both keep a first
+    occurrence. Null ids come last. Columns may have any names. Empty tables give no rows.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    texts = docs.select(F.col(key).cast("long").alias("doc"), C.body(text).alias("body"))
-    repeated = C.staged(_repeated(_many(texts, pairs)), "line-repeats")
-    schema = pa.schema([("doc", pa.int64()), ("place", pa.int32()), ("sha", pa.binary())])
+    texts = docs.select(F.col(key).cast("long").alias("doc"), C.body(text).alias("body")).withColumns({"k1": F.xxhash64("body"), "k2": F.xxhash64(F.lit(1), "body")})
+    out_schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64()), ("text", pa.string())])
+
+    def on_row(table: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        named = other.toDF(*(f"_{c}" for c in other.columns)).hint("merge")  # by shuffle at any size
+        return table.join(named, (table["k1"] == named["_k1"]) & (table["k2"] == named["_k2"]) & table["doc"].eqNullSafe(named["_doc"]), how)
+
+    marked = C.staged(on_row(texts, _repeated_lines(texts), "inner").select(*ROW, "body", F.col("_common").alias("common")), "line-marked")
+    repeated = C.staged(_repeated(_many(marked, pairs)), "line-repeats")
+    schema = pa.schema([("doc", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int32()), ("sha", pa.binary())])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, place, sha or hashlib.sha256(chunk).digest()[:16]) for doc, t in zip(C.values(batch, "doc"), C.values(batch, "body"), strict=True) for place, chunk, sha in units(t, pairs)]
+            rows = [(*row, place, digest(place, unit)) for *row, t, common in zip(*(C.values(batch, x) for x in (*ROW, "body", "common")), strict=True) for place, unit in units(t, pairs, set(common))]
             if rows:
                 yield C.batch_of(schema, *map(list, zip(*rows, strict=True)))
 
-    seen = texts.mapInArrow(occurrences, "doc long, place int, sha binary")
-    later = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("place") == F.col("first_place")))
-    gone = C.staged(seen.join(repeated, "sha").where(later).select("doc", "place"), "line-gone")
-    places = gone.groupBy("doc").agg(F.array_sort(F.collect_set("place")).alias("places")).select(F.col("doc").alias("_doc"), "places").hint("merge")  # by shuffle at any size
-    joined = texts.join(places, texts["doc"].eqNullSafe(places["_doc"]), "left").select("doc", "body", "places")
-    out_schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_chunks_removed", pa.int64()), ("text", pa.string())])
+    seen = marked.mapInArrow(occurrences, f"{ROW_TYPE}, place int, sha binary")
+    later = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("k1") == F.col("first_k1")) & (F.col("k2") == F.col("first_k2")) & (F.col("place") == F.col("first_place")))
+    places = C.staged(seen.join(repeated, "sha").where(later).groupBy(*ROW).agg(F.array_sort(F.collect_set("place")).alias("places")), "line-gone")
+    C.unstage(marked, repeated)
+    joined = on_row(texts, places, "left").select("doc", "body", F.col("_places").alias("places"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
