@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from swaylark.llm import decontaminate, mixing, simhash, tokens, toxicity
-from swaylark.llm.common import MADE, remove, scratch
+from swaylark.llm.common import Scope, remove, scratch
 from swaylark.llm.queries import held_out
 
 #: Words of a shingle, bits of 64 in which candidates differ at most, and the Jaccard similarity of near duplicates.
@@ -57,15 +57,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again. What a stage has staged goes once its result is written."""
-    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        made = len(MADE)
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            staged = MADE[made:]
+        with Scope(spark) as scope:
+            docs = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                scope.keep_all()
+                break
             path = scratch(spark, f"pipeline-{name}")
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            remove(spark, [*staged, *read])
-            read = [path]
+            scope.keep(path)
+        if read:
+            remove(spark, [read])
+        docs, read = spark.read.parquet(path), path
     return docs
