@@ -8,8 +8,9 @@ string can begin with; those whose k-gram occurs in no other place are alone and
 The suffixes that are left go, as bytes, to buckets between splitters that are sampled from leading tokens (24
 bytes). A bucket sorts them by multikey quicksort, tokens of eight bytes one after the other, onwards from the
 anchor and, a second time, backwards; neighbours' common lengths then say which suffixes agree in any number of
-bytes on both sides, and a string occurs twice if it lies in what two suffixes have in common. Suffixes of one
-k-gram have one leading token, so no run of equal ones crosses a bucket's boundary.
+bytes on both sides, and a string occurs twice if it lies in what two suffixes have in common. A leading token that
+many suffixes share (indentation, a rule of dashes) spans several buckets, among which its suffixes are dealt by their whole k-gram. Suffixes of one
+k-gram are in one bucket, so no run of equal ones crosses a boundary.
 
 A k-gram with more than MOST different surroundings would fill a bucket. Every string of its own is a key there: its leading 8
 bytes and a 16-byte BLAKE2b digest of all of it. Keys are dealt by the same splitters and, where one leading token
@@ -329,12 +330,12 @@ def _scan(docs: DataFrame, length: int, unit: int) -> DataFrame:
 
 
 def _splitters(scanned: DataFrame, n_buckets: int) -> np.ndarray:
-    """Leading tokens between which buckets lie, of a bounded sample."""
-    sampled = scanned.select(F.explode("sample").alias("lead"))
+    """Leading tokens between which buckets lie, of a bounded sample, in order; one that many suffixes share is there more than once."""
+    sampled = scanned.select("sha", F.posexplode("sample").alias("number", "lead")).dropDuplicates(["sha", "number"])  # copies of a text count once
     n = sampled.count()
-    chosen = sampled.where(F.abs(F.xxhash64("lead") % 1_000_003) < F.lit(1_000_003.0 * SAMPLES / max(n, 1))).distinct().limit(4 * SAMPLES).toArrow().column("lead").to_pylist()
+    chosen = sampled.where(F.abs(F.xxhash64("sha", "number") % 1_000_003) < F.lit(1_000_003.0 * SAMPLES / max(n, 1))).select("lead").limit(4 * SAMPLES).toArrow().column("lead").to_pylist()
     leads = np.sort(np.array(chosen, f"S{LEAD}")) if chosen else np.zeros(0, f"S{LEAD}")
-    return np.unique(leads[np.arange(1, n_buckets) * len(leads) // n_buckets]) if len(leads) else leads
+    return leads[np.arange(1, n_buckets) * len(leads) // n_buckets] if len(leads) else leads
 
 
 def bucket_of(lead: np.ndarray, rest: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -378,7 +379,8 @@ def _dealt(texts: DataFrame, length: int, unit: int, splitters: np.ndarray, subs
             head = at[reps]
             lo, hi = scanner.around(head)
             lead = np.ascontiguousarray(scanner.bytes_at(head, 0, min(LEAD, k))).view(f"S{min(LEAD, k)}").ravel()
-            place = np.searchsorted(splitters, lead, "right").astype(np.int64) * subs + (mixed(scanner.grams[head]) % np.uint64(subs)).astype(np.int64)
+            further = mixed(scanner.grams[head])  # the same for all suffixes of one k-gram
+            place = bucket_of(lead, further, splitters) * subs + (further % np.uint64(subs)).astype(np.int64)
             for p, i in _by_place(place):
                 around = np.concatenate([scanner.data[x:y] for x, y in zip(lo[i].tolist(), hi[i].tolist(), strict=True)])
                 blobs.append((p, packed(around, (head - lo)[i].astype(np.int32), (hi - head)[i].astype(np.int32), many[i])))
