@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import correlation
 from . import ranges
-from .spectral import phase_surrogate
+from .spectral import phase_surrogates
 
 #: Samples that must overlap, and the share of the record.
 LEAST_OVERLAP, LEAST_SHARE = 10, 0.25
@@ -111,54 +111,108 @@ def bh_q_values(df: DataFrame, p: str = "p_value", key: str = "record_id") -> Da
     return ranges.least_from(raw, "_raw", "_least", "_rank").withColumn("q_value", F.least(F.lit(1.0), "_least")).select(*df.columns, "q_value")
 
 
-def search(t: np.ndarray, v: np.ndarray, st: np.ndarray, sv: np.ndarray, offsets: np.ndarray) -> tuple[float, float]:
-    """Greatest |corr| of any column of v with any of sv over the offsets, and its offset."""
-    best, where = 0.0, 0.0
-    for o in offsets:
-        inside = (t + o >= st[0]) & (t + o <= st[-1])
-        if inside.sum() < max(LEAST_OVERLAP, int(LEAST_SHARE * len(t))):
+def offset_grid(span: tuple[float, float] | float, step: float) -> np.ndarray:
+    """Offsets from the first of ``span`` to the last (or from minus ``span`` to plus), ``step`` apart."""
+    low, high = (-span, span) if np.isscalar(span) else span
+    return np.arange(low, high + step / 2, step) if step > 0 and high >= low else np.zeros(0)
+
+
+def natural_step(t: np.ndarray, st: np.ndarray) -> float:
+    """The lesser of the two series' median steps; 0 if neither has one."""
+    steps = [float(np.median(np.diff(x))) for x in (t, st) if len(x) > 1]
+    return min(steps, default=0.0)
+
+
+def searched(t: np.ndarray, v: np.ndarray, st: np.ndarray, series: list[np.ndarray], offsets: np.ndarray, groups: list[tuple[list[int], list[int]]] | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest |corr| of a visual channel (columns of ``v``) with a sensor channel over all offsets, and its offset, for many versions of the sensor at once.
+
+    ``series``: of each sensor channel an array with a row for each of its times ``st`` and a column for each version; the offset is that of
+    version 0. ``groups`` pairs channels that belong together (all with all otherwise). Interpolation at an offset
+    is the same two rows and weights for all versions, so an offset costs one product of matrices a pair.
+    """
+    count = series[0].shape[1]
+    best, where = np.full(count, least), 0.0
+    total, finite = len(t), np.isfinite(v)
+    pairs = groups or [(list(range(v.shape[1])), list(range(len(series))))]
+    for offset in offsets:
+        inside = np.flatnonzero((t + offset >= st[0]) & (t + offset <= st[-1]))
+        if len(inside) < max(LEAST_OVERLAP, int(LEAST_SHARE * total)):
             continue
-        for s in sv.T:
-            at = np.interp(t[inside] + o, st, s)
-            for c in v[inside].T:
-                if c.std() > 0 and at.std() > 0:
-                    r = abs(float(np.mean((c - c.mean()) * (at - at.mean())) / (c.std() * at.std())))
-                    if r > best:
-                        best, where = r, float(o)
+        after = np.clip(np.searchsorted(st, t[inside] + offset, "right"), 1, len(st) - 1)
+        share = ((t[inside] + offset - st[after - 1]) / (st[after] - st[after - 1]))[:, None]
+        for visual, sensor in pairs:
+            for d in sensor:
+                at = series[d][after - 1] * (1 - share) + series[d][after] * share
+                for c in visual:
+                    rows = finite[inside, c]
+                    if rows.sum() < LEAST_OVERLAP:
+                        continue
+                    one = v[inside, c][rows]
+                    one = one - one.mean()
+                    other = at if rows.all() else at[rows]
+                    other = other - other.mean(0)
+                    spread = np.sqrt((one * one).sum() * (other * other).sum(0))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        r = np.abs(one @ other) / spread
+                    r = np.where(spread > 1e-12 * len(one), r, 0.0)
+                    if r[0] > best[0]:
+                        where = float(offset)
+                    best = np.fmax(best, r)
     return best, where
 
 
-def null_test(pairs: DataFrame, iterations: int, offsets: list[float], seed: int = 0, key: str = "record_id", method: str = "phase") -> DataFrame:
-    """Surrogates that repeat the whole search: key, observed, offset, p_value.
+def null_test(pairs: DataFrame, iterations: int, offsets: list[float] | None = None, seed: int = 0, key: str = "record_id", method: str = "phase", span: float | None = None, groups: list[tuple[list[int], list[int]]] | None = None, block: int = 250) -> DataFrame:
+    """Surrogates of the sensor that repeat the whole search: key, observed, offset, p_value = (1 + those at least as great) / (1 + iterations).
 
-    ``method``: ``phase`` draws the record's phases anew, ``shift`` turns the sensor's samples round by a twentieth or more.
+    ``method``: ``phase`` draws the phases of each of the sensor's channels anew, ``shift`` turns all its samples round by a twentieth or
+    more. ``pairs``: key, t, v (array of series), st, sv (array of series), a row per record, times increasing. Offsets are
+    ``offsets`` or, without them, each record's own grid in steps of the lesser of its median steps: between minus and plus ``span`` or,
+    without it, where the sensor covers the whole record (records longer than their sensor have no such offset, and no row).
 
-    ``pairs``: key, t, v (array of series), st, sv (array of series), a row per record. Records and blocks of
-    iterations are exploded, so that tasks share one record's work.
+    A task has one record and ``block`` iterations, searched side by side as columns of one matrix; a draw is seeded by record and
+    iteration, so results do not depend on blocks. Without iterations this is the search alone. Samples that are null or not finite are left out of correlations; a
+    sensor sample with one goes.
     """
     if method not in ("phase", "shift"):
         raise ValueError(f"unknown method {method}")
-    grid, block = np.asarray(offsets, float), 25
+    most = 1 << 22  # numbers in a matrix of versions
+
+    def versions(sv: np.ndarray, salt: int, first: int, n: int) -> list[np.ndarray]:
+        rngs = [np.random.default_rng([seed, salt, it]) for it in range(first, first + n)]
+        if not n:
+            return [x[:, None] for x in sv.T]
+        if method == "shift":
+            least = max(1, round(0.05 * len(sv)))
+            by = np.array([int(rng.integers(least, max(least + 1, len(sv)))) for rng in rngs], np.int64)
+            at = (np.arange(len(sv))[:, None] - by) % len(sv)
+            return [np.column_stack([x, x[at]]) for x in sv.T]
+        turns = np.stack([rng.random((sv.shape[1], len(sv) // 2 + 1)) for rng in rngs])
+        return [np.column_stack([x, phase_surrogates(x, turns[:, c]).T]) for c, x in enumerate(sv.T)]
 
     def kernel(batches):
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                t, v, st, sv = np.asarray(r.t), np.stack(r.v).T, np.asarray(r.st), np.stack(r.sv).T
-                observed, where = search(t, v, st, sv, grid)
-                hits = 0
-                for it in range(r.first, r.first + r.n):
-                    rng = np.random.default_rng([seed, int(r.salt), it])
-                    if method == "shift":
-                        least = max(1, round(0.05 * len(sv)))
-                        hits += search(t, v, st, np.roll(sv, int(rng.integers(least, max(least + 1, len(sv)))), axis=0), grid)[0] >= observed
-                    else:
-                        hits += search(t, np.stack([phase_surrogate(c, rng) for c in v.T]).T, st, sv, grid)[0] >= observed
-                out.append((getattr(r, key), observed, where, hits, r.n))
+                t, v, st, sv = np.asarray(r.t, float), np.stack([np.asarray(x, float) for x in r.v]).T, np.asarray(r.st, float), np.stack([np.asarray(x, float) for x in r.sv]).T
+                good = np.isfinite(sv).all(1) & np.isfinite(st)
+                st, sv = st[good], sv[good]
+                if len(st) < 2 or not len(t):
+                    continue
+                grid = np.asarray(offsets, float) if offsets is not None else offset_grid((st[0] - t[0], st[-1] - t[-1]) if span is None else span, natural_step(t, st))
+                if not len(grid):
+                    continue
+                hits, done, many = 0, 0, max(1, most // len(sv))
+                while done < r.n or not r.n:
+                    n = min(many, r.n - done)
+                    found, where = searched(t, v, st, versions(sv, int(r.salt), r.first + done, n), grid, groups)
+                    hits, done = hits + int((found[1:] >= found[0]).sum()), done + n
+                    if not r.n:
+                        break
+                out.append((getattr(r, key), float(found[0]), where, hits, r.n))
             yield pd.DataFrame(out, columns=[key, "observed", "offset", "hits", "n"])
 
-    firsts = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(min(block, iterations - a)).alias("n")) for a in range(0, iterations, block)])).alias("p")
+    firsts = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(min(block, iterations - a)).alias("n")) for a in range(0, max(1, iterations), block)])).alias("p")
     kind = dict(pairs.dtypes)[key]
     work = pairs.select("*", F.pmod(F.xxhash64(key), F.lit(1 << 31)).alias("salt"), firsts).select(*pairs.columns, "salt", "p.*").repartition(F.col(key), F.col("first"))
     got = work.mapInPandas(kernel, f"{key} {kind}, observed double, offset double, hits long, n long")
-    return got.groupBy(key, "observed", "offset").agg(((1 + F.sum("hits")) / (1 + F.sum("n"))).alias("p_value"))
+    return got.groupBy(key).agg(F.max("observed").alias("observed"), F.min("offset").alias("offset"), ((1 + F.sum("hits")) / (1 + F.sum("n"))).alias("p_value"))

@@ -7,13 +7,15 @@ all less the fold's own: one aggregate gives the parameters of every fold.
 from __future__ import annotations
 
 import json
+from hashlib import md5
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hashed_integer, ratio
+from ..functions import ratio
 from . import ranges
 
 TINY = 1e-12
@@ -296,17 +298,105 @@ def confusion(df: DataFrame, edges: list[float], truth: str = "target", estimate
     return cells.join(F.broadcast(counts), ["true_bin", "estimated_bin"], "left").select("true_bin", "estimated_bin", F.coalesce("n", F.lit(0)).alias("n"))  # k squared rows
 
 
-def bootstrap_mae(df: DataFrame, draws: int, seed: int = 0, truth: str = "target", estimate: str = "predicted", key: str = "record_id", by: list[str] | None = None) -> DataFrame:
-    """2.5th, 50th and 97.5th percentile of the MAE over resamples, of each group of ``by``.
-
-    A resample repeats each row by a Poisson number of mean 1 drawn from a hash of seed, row and draw, which
-    needs no shuffle of rows: draws are summed side by side in one pass.
+#: Draws that one digest gives, of 16 bits each.
+PER_DIGEST = 8
+#: The cumulative Poisson distribution of mean 1.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
+METRICS = ["n", "mae", "rmse", "log_mae", "median_factor", "within_1p5", "within_2", "pearson", "spearman"]
+
+
+def resampled_counts(keys: list, first: int, draws: int, seed: int) -> np.ndarray:
+    """How often each row is in each of the draws from ``first`` on (a multiple of PER_DIGEST): a Poisson number of mean 1 from 16 bits of an MD5 of seed, row and draw // PER_DIGEST."""
+    blocks = range(first // PER_DIGEST, -(-(first + draws) // PER_DIGEST))
+    digests = b"".join(md5(f"{seed}|{k}|{b}".encode()).digest() for k in keys for b in blocks)
+    u = np.frombuffer(digests, ">u2").reshape(len(keys), -1)[:, :draws] / 65536.0
+    return np.searchsorted(POISSON, u, "right").astype(np.uint8)
+
+
+def _weighted_correlation(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each column of ``w``; x and y are columns or matrices like w. NaN where one does not vary."""
+    total = w.sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, y = x - (w * x).sum(0) / total, y - (w * y).sum(0) / total
+        spread = np.sqrt((w * x * x).sum(0)) * np.sqrt((w * y * y).sum(0))
+        return np.where(spread > 1e-9, (w * x * y).sum(0) / spread, np.nan)
+
+
+def _weighted_ranks(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Average rank of each row's value in each column's resample."""
+    values, place = np.unique(x, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    sums = np.add.reduceat(w[order].astype(np.int64), np.searchsorted(place[order], np.arange(len(values))), axis=0)
+    return (np.cumsum(sums, 0) - (sums - 1) / 2)[place]
+
+
+def resampled_metrics(target: np.ndarray, predicted: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    """All metrics of each column's resample, as ``metrics`` has them of the rows."""
+    total = w.sum(0, dtype=np.int64)
+    safe = np.maximum(predicted, TINY)
+    factor = np.maximum(safe / target, target / safe)
+    order = np.argsort(factor, kind="stable")
+    upto = np.cumsum(w[order], 0, dtype=np.int64)
+    sides = [factor[order][np.minimum((upto <= k).sum(0), len(factor) - 1)] for k in ((total - 1) // 2, total // 2)]
+    t, e, w = target[:, None], predicted[:, None], w.astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = lambda x: x @ w / total
+        out = {
+            "n": total.astype(float), "mae": mean(np.abs(predicted - target)), "rmse": np.sqrt(mean((predicted - target) ** 2)), "log_mae": mean(np.abs(np.log(safe) - np.log(target))),
+            "median_factor": (sides[0] + sides[1]) / 2, "within_1p5": mean(factor <= 1.5), "within_2": mean(factor <= 2.0),
+            "pearson": _weighted_correlation(w, t, e), "spearman": _weighted_correlation(w, _weighted_ranks(w, target), _weighted_ranks(w, predicted)),
+        }
+    return {k: np.where(total > 0, v, np.nan) for k, v in out.items()}
+
+
+def bootstrap(df: DataFrame, draws: int, seed: int = 0, truth: str = "target", estimate: str = "predicted", key: str = "record_id", by: list[str] | None = None, block: int = 80) -> DataFrame:
+    """2.5th, 50th and 97.5th percentile of every metric over resamples of the rows, of each group of ``by``: metric, lower_95, median, upper_95.
+
+    A resample repeats each row by a Poisson number of mean 1 drawn from a hash of seed, row and draw. ``block`` draws (a multiple of PER_DIGEST) are
+    a task's, side by side as columns of weights, which ranks and medians take as they are: no row is repeated. Draws in which a metric is undefined are
+    left out of its percentiles. A task holds three values of each of a group's rows (records, not samples), and
+    as few draws at once as keep its matrices small. Rows whose truth is not positive or whose estimate is null or not finite are left out.
     """
-    # The cumulative Poisson distribution of mean 1.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
+    by, most = by or [], 1 << 21
+    if block % PER_DIGEST:
+        raise ValueError("a block of draws is whole digests")
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        first, n = int(rows["_first"].iloc[0]), int(rows["_n"].iloc[0])
+        keys, target, predicted = rows["_key"].tolist(), rows["_t"].to_numpy(float), rows["_e"].to_numpy(float)
+        many, parts = max(PER_DIGEST, most // len(rows) // PER_DIGEST * PER_DIGEST), []
+        for a in range(first, first + n, many):
+            size = min(many, first + n - a)
+            found = resampled_metrics(target, predicted, resampled_counts(keys, a, size, seed))
+            parts += [pd.DataFrame({"draw": np.arange(a, a + size), "metric": name, "value": v}) for name, v in found.items()]
+        out = pd.concat(parts)
+        return out.assign(**{c: rows[c].iloc[0] for c in by})[[*by, "draw", "metric", "value"]]
+
+    good = df.where((F.col(truth) > 0) & F.col(estimate).isNotNull() & ~F.isnan(estimate) & (F.abs(F.col(estimate)) < float("inf")))
+    starts = F.explode(F.array(*[F.struct(F.lit(a).alias("_first"), F.lit(min(block, draws - a)).alias("_n")) for a in range(0, draws, block)])).alias("p")
+    work = good.select(*by, F.col(key).cast("string").alias("_key"), F.col(truth).cast("double").alias("_t"), F.col(estimate).cast("double").alias("_e"), starts).select(*by, "_key", "_t", "_e", "p.*")
+    kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in by)
+    values = work.groupBy(*by, "_first").applyInPandas(kernel, f"{kinds}draw long, metric string, value double").where(~F.isnan("value"))
+    return values.groupBy(*by, "metric").agg(*[F.percentile("value", F.lit(p)).alias(n) for n, p in (("lower_95", 0.025), ("median", 0.5), ("upper_95", 0.975))])  # a value a draw
+
+
+def bootstrap_mae(df: DataFrame, draws: int, seed: int = 0, truth: str = "target", estimate: str = "predicted", key: str = "record_id", by: list[str] | None = None) -> DataFrame:
+    """The interval of the MAE alone, as ``bootstrap`` has it. One pass over the rows: each task sums its rows' weights and weighted errors for all draws, and only these sums are shuffled."""
     by = by or []
-    drawn = df.select(*by, key, F.abs(F.col(estimate) - F.col(truth)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    u = hashed_integer(F.lit(seed), F.col(key), F.col("b")) / F.lit(float(1 << 32))
-    count = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
-    sums = drawn.withColumn("c", count).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("c") * F.col("e")), F.sum("c")).alias("mae"))
-    return sums.groupBy(*by).agg(*[F.percentile("mae", F.lit(p)).alias(n) for n, p in (("lower_95", 0.025), ("median", 0.5), ("upper_95", 0.975))])
+
+    def kernel(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for rows in batches:
+            for group, part in rows.groupby(by, dropna=False) if by else [((), rows)]:
+                held = sums.setdefault(group if isinstance(group, tuple) else (group,), np.zeros((2, draws)))
+                for a in range(0, len(part), 4096):
+                    some = part.iloc[a : a + 4096]
+                    w = resampled_counts(some["_key"].tolist(), 0, draws, seed)
+                    held += np.stack([w.sum(0), some["_e"].to_numpy(float) @ w])
+        for group, held in sums.items():
+            yield pd.DataFrame({**dict(zip(by, group, strict=True)), "draw": np.arange(draws), "w": held[0], "e": held[1]})
+
+    kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in by)
+    rows = df.select(*by, F.col(key).cast("string").alias("_key"), F.abs(F.col(estimate) - F.col(truth)).cast("double").alias("_e")).where("_e IS NOT NULL AND NOT isnan(_e)")
+    sums = rows.mapInPandas(kernel, f"{kinds}draw long, w double, e double").groupBy(*by, "draw").agg(F.try_divide(F.sum("e"), F.sum("w")).alias("mae"))
+    return sums.groupBy(*by).agg(*[F.percentile("mae", F.lit(p)).alias(n) for n, p in (("lower_95", 0.025), ("median", 0.5), ("upper_95", 0.975))])  # a value a draw

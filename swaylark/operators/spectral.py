@@ -85,14 +85,21 @@ def sinusoid_fit(df: DataFrame, cycles: Column, value: str = "x", key: str = "re
     return sums.select(key, F.sqrt(a * a + b * b).alias("amplitude"), F.atan2(b, a).alias("phase"), ((g("x") - a * g("s") - b * g("c")) / g("n")).alias("offset"))
 
 
-def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A series with the same amplitudes and random phases; mean and, for even lengths, the highest frequency stay."""
-    f = np.fft.rfft(x)
-    turned = np.abs(f) * np.exp(2j * np.pi * rng.random(len(f)))
-    turned[0] = f[0]
+def phase_surrogates(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Series with the amplitudes of ``x`` and other phases, a row for each row of ``turns`` (one number from 0 to 1 for each of its len(x) // 2 + 1 frequencies).
+
+    The spectrum is turned by unit phasors, which are 1 at frequency 0 and, for even lengths, at the highest, so these two stay.
+    """
+    phasors = np.exp(2j * np.pi * turns)
+    phasors[:, 0] = 1
     if len(x) % 2 == 0:
-        turned[-1] = f[-1]
-    return np.fft.irfft(turned, len(x))
+        phasors[:, -1] = 1
+    return np.fft.irfft(np.fft.rfft(x) * phasors, len(x), axis=1)
+
+
+def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One series with the amplitudes of ``x`` and random phases."""
+    return phase_surrogates(x, rng.random((1, len(x) // 2 + 1)))[0]
 
 
 def surrogates(df: DataFrame, count: int, seed: int = 0, value: str = "x", key: str = "record_id") -> DataFrame:

@@ -81,10 +81,12 @@ def finalized(blocks: DataFrame, hop: int, width: int, key: str = "record_id") -
     return marked.where((F.col("place") < hop) | (F.col("block") == F.col("_last"))).drop("_last").withColumn("reseed_id", F.floor(F.col("block") / 64))
 
 
-def padded_blocks(df: DataFrame, width: int, hop: int, key: str = "record_id") -> DataFrame:
+def padded_blocks(df: DataFrame, width: int, hop: int, key: str = "record_id", tail_step: float | None = None) -> DataFrame:
     """As ``hopping_blocks``, with one more block for samples after the last full one, filled up by repeats of the last sample.
 
-    Adds padded; a repeat's time goes on by the record's median step. A record shorter than a block has one block.
+    Adds padded; a repeat's time goes on by the record's median step or, with ``tail_step``, by that of the samples in the block
+    that is filled up (by ``tail_step`` itself where it has one sample), which is what a stream can know. A record shorter
+    than a block has one block.
     """
     i, n = F.col("i"), F.col("_n")
     sized = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key)))
@@ -92,7 +94,8 @@ def padded_blocks(df: DataFrame, width: int, hop: int, key: str = "record_id") -
     first, last = F.greatest(F.lit(0), F.ceil((i - width + 1) / hop)), F.least(F.floor(i / hop), blocks - 1)
     rows = sized.where(first <= last).withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     rows = rows.withColumns({"place": F.col("i") - F.col("block") * hop, "padded": F.lit(False)}).drop("_n")
-    nominal = with_steps(df, key).groupBy(key).agg(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(0.0)).alias("_step"))
+    steps = with_steps(df, key) if tail_step is None else with_steps(sized.where(i >= (blocks - 1) * hop).drop("_n"), key)
+    nominal = steps.groupBy(key).agg(F.coalesce(F.percentile("dt", F.lit(0.5)), F.lit(float(tail_step or 0.0))).alias("_step"))
     ends = sized.where(i == n - 1).withColumns({"block": (blocks - 1).cast("long")}).join(nominal, key)
     short = (F.col("block") * hop + width - n).cast("long")
     repeats = ends.where(short > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), short)))

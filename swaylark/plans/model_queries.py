@@ -107,17 +107,41 @@ def confusion_matrix(spark, sf_dir):
     return models.confusion(models.single_coefficient(_folded(spark, sf_dir)), EDGES)
 
 
-STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]
+#: The draws of a row: eight numbers of 16 bits from each digest, as Poisson counts of mean 1.
+DRAWS = f"""dg AS (SELECT target, predicted, b8, md5('0|' || record_id || '|' || b8) AS h FROM p, range(0, 250) r(b8)),
+du AS (SELECT target, predicted, b8 * 8 + k AS draw, ('0x' || substr(h, 4 * k + 1, 4))::BIGINT / 65536.0::DOUBLE AS u FROM dg, range(0, 8) r(k)),
+dw AS (SELECT target, predicted, draw, {" + ".join(f"(u >= {x})::INT" for x in models.POISSON)} AS c FROM du WHERE u >= {models.POISSON[0]})"""
 
 
-@query(f"""{FOLDED}, {SINGLE}, d AS (SELECT b, abs(predicted - target) AS e, ('0x' || substr(md5('0|' || record_id || '|' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(0, 2000) r(b)),
-w AS (SELECT b, e, len(list_filter({STEPS}::DOUBLE[], lambda s: s <= u)) AS c FROM d), m AS (SELECT b, sum(c * e) / sum(c) AS mae FROM w GROUP BY 1)
+@query(f"""{FOLDED}, {SINGLE}, {DRAWS}, m AS (SELECT draw, sum(c * abs(predicted - target)) / sum(c) AS mae FROM dw GROUP BY 1)
 SELECT round(quantile_cont(mae, 0.025), 3) AS lower_95, round(quantile_cont(mae, 0.5), 3) AS median, round(quantile_cont(mae, 0.975), 3) AS upper_95 FROM m""")
 def bootstrap_ci(spark, sf_dir):
     p = models.single_coefficient(_folded(spark, sf_dir))
     return rounded(models.bootstrap_mae(p, 2000), ["lower_95", "median", "upper_95"], 3)
 
 
+#: All metrics of each draw. Ranks are those of the resample, in which a row is there c times; the median is that of such copies.
+RESAMPLED = """dr AS (SELECT *, greatest(predicted, 1e-12) AS safe, greatest(greatest(predicted, 1e-12) / target, target / greatest(predicted, 1e-12)) AS factor,
+  sum(c) OVER (PARTITION BY draw ORDER BY target) - (sum(c) OVER (PARTITION BY draw, target) - 1) / 2.0::DOUBLE AS rt,
+  sum(c) OVER (PARTITION BY draw ORDER BY predicted) - (sum(c) OVER (PARTITION BY draw, predicted) - 1) / 2.0::DOUBLE AS re FROM dw),
+df AS (SELECT *, sum(c) OVER (PARTITION BY draw ORDER BY factor) AS upto, sum(c) OVER (PARTITION BY draw) AS total FROM dr),
+dm AS (SELECT draw, avg(target) AS mt, avg(predicted) AS mp, sum(c) AS w FROM dw GROUP BY 1),
+dt AS (SELECT draw, any_value(w)::DOUBLE AS n, sum(c * abs(predicted - target)) / any_value(w) AS mae, sqrt(sum(c * (predicted - target) ** 2) / any_value(w)) AS rmse, sum(c * abs(ln(safe) - ln(target))) / any_value(w) AS log_mae,
+  (min(factor) FILTER (upto > (total - 1) // 2) + min(factor) FILTER (upto > total // 2)) / 2 AS median_factor,
+  sum(c * (factor <= 1.5)::INT) / any_value(w) AS within_1p5, sum(c * (factor <= 2.0)::INT) / any_value(w) AS within_2,
+  (sum(c * (target - mt) * (predicted - mp)) - sum(c * (target - mt)) * sum(c * (predicted - mp)) / any_value(w))
+    / sqrt((sum(c * (target - mt) ** 2) - sum(c * (target - mt)) ** 2 / any_value(w)) * (sum(c * (predicted - mp) ** 2) - sum(c * (predicted - mp)) ** 2 / any_value(w))) AS pearson,
+  sum(c * (rt - (w + 1) / 2.0) * (re - (w + 1) / 2.0)) / sqrt(sum(c * (rt - (w + 1) / 2.0) ** 2) * sum(c * (re - (w + 1) / 2.0) ** 2)) AS spearman
+  FROM df JOIN dm USING (draw) GROUP BY 1)"""
+
+
+@query(f"""{FOLDED}, {SINGLE}, {DRAWS}, {RESAMPLED}, l AS (UNPIVOT (SELECT * EXCLUDE (draw) FROM dt) ON COLUMNS(*) INTO NAME metric VALUE v)
+SELECT metric, round(quantile_cont(v, 0.025), 3) AS lower_95, round(quantile_cont(v, 0.5), 3) AS median, round(quantile_cont(v, 0.975), 3) AS upper_95 FROM l GROUP BY 1""")
+def bootstrap_metrics(spark, sf_dir):
+    p = models.single_coefficient(_folded(spark, sf_dir))
+    return rounded(models.bootstrap(p, 2000), ["lower_95", "median", "upper_95"], 3)
+
+
 def _rows(spark, sf_dir):
     f = A.feature_rows(spark, sf_dir)
     return f.withColumns({

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy
@@ -316,10 +319,20 @@ def sinusoid_fit(spark, sf_dir):
     return rounded(spectral.sinusoid_fit(A.signal(spark, sf_dir), F.col("i") * 0.1), ["amplitude", "phase", "offset"])
 
 
-@query(f"""WITH {A.SIGNAL} SELECT record_id, b::INT AS iteration, count(*) AS n, round(avg(x), 4) + 0.0::DOUBLE AS mean, round(stddev_pop(x), 4) + 0.0::DOUBLE AS deviation FROM signal, range(0, 3) r(b) GROUP BY 1, 2""")
+#: Values of two decimals have means that lie on a rounding edge; this moves them off it.
+EDGE = 3.1e-6
+BINS = (1, 2, 3)
+_SIZES = ", ".join(f"round(sqrt(sum(x * cos(2 * pi() * {k} * i / n)) ** 2 + sum(x * sin(2 * pi() * {k} * i / n)) ** 2) / any_value(n) + {EDGE}, 4) AS amplitude{k}" for k in BINS)
+
+
+@query(f"""WITH {A.SIGNAL}, s AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n FROM signal)
+SELECT record_id, b::INT AS iteration, any_value(n) AS n, round(avg(x) + {EDGE}, 4) AS mean, round(stddev_pop(x) + {EDGE}, 4) AS deviation, {_SIZES} FROM s, range(0, 3) r(b) GROUP BY 1, 2""")
 def phase_surrogates(spark, sf_dir):
-    s = spectral.surrogates(A.signal(spark, sf_dir), 3)
-    return s.groupBy("record_id", "iteration").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("x"), 4).alias("mean"), tidy(F.stddev_pop("x"), 4).alias("deviation"))
+    s = spectral.surrogates(A.signal(spark, sf_dir), 3).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("record_id", "iteration")))
+    turn = lambda k: 2 * math.pi * k * F.col("i") / F.col("n")
+    size = lambda k: F.sqrt(F.sum(F.col("x") * F.cos(turn(k))) ** 2 + F.sum(F.col("x") * F.sin(turn(k))) ** 2) / F.any_value("n")
+    out = {"mean": F.avg("x"), "deviation": F.stddev_pop("x")} | {f"amplitude{k}": size(k) for k in BINS}
+    return s.groupBy("record_id", "iteration").agg(F.any_value("n").alias("n"), *[tidy(v + EDGE, 4).alias(k) for k, v in out.items()])
 
 
 OFFSETS = [-43200.0, -21600.0, 0.0, 21600.0, 43200.0]
@@ -419,12 +432,40 @@ def bh_qvalues(spark, sf_dir):
     return rounded(alignment.bh_q_values(p), ["q_value"], 9).select("record_id", "p_value", "q_value")
 
 
-@query()
-def surrogate_null_test(spark, sf_dir):
+def _series(spark, sf_dir):
     visual, sensor = _sides(spark, sf_dir)
     pack = lambda df, a, b: df.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "x", "y"))).alias("r")).select("record_id", F.col("r.t").alias(a), F.array("r.x", "r.y").alias(b))
-    pairs = pack(visual, "t", "v").join(pack(sensor, "st", "sv"), "record_id").where("size(t) >= 10 AND size(st) >= 2")
-    return rounded(alignment.null_test(pairs, 1000, OFFSETS), ["observed", "p_value"])
+    return pack(visual, "t", "v").join(pack(sensor, "st", "sv"), "record_id").where("size(t) >= 10 AND size(st) >= 2")
+
+
+@query()
+def surrogate_null_test(spark, sf_dir):
+    return rounded(alignment.null_test(_series(spark, sf_dir), 1000, OFFSETS), ["observed", "p_value"])
+
+
+SERIES = "big AS (SELECT record_id FROM signal GROUP BY 1 HAVING count(*) FILTER (seq % 2 = 0) >= 10 AND count(*) FILTER (seq % 2 = 1) >= 2)"
+
+
+@query(f"""
+WITH {A.SIGNAL}, {ALIGN}, {SERIES}, top AS (SELECT record_id, max(abs(corr)) AS c FROM grid GROUP BY 1)
+SELECT record_id, round(coalesce(c, 0), 6) AS observed FROM big LEFT JOIN top USING (record_id)""")
+def null_test_observed(spark, sf_dir):
+    return rounded(alignment.null_test(_series(spark, sf_dir), 1000, OFFSETS).select("record_id", "observed"), ["observed"])
+
+
+SPAN = 43200.0
+OWN = f"""st AS (SELECT record_id, quantile_cont(dt, 0.5) AS step FROM (SELECT record_id, t - lag(t) OVER (PARTITION BY record_id ORDER BY t, seq) AS dt FROM (SELECT record_id, t, seq FROM signal WHERE seq % 2 = 0)) GROUP BY 1
+  UNION ALL SELECT record_id, quantile_cont(dt, 0.5) FROM (SELECT record_id, t - lag(t) OVER (PARTITION BY record_id ORDER BY t, seq) AS dt FROM (SELECT record_id, t, seq FROM signal WHERE seq % 2 = 1)) GROUP BY 1),
+steps AS (SELECT record_id, min(step) AS step FROM st JOIN big USING (record_id) GROUP BY 1),
+ow AS (SELECT record_id, k, -{SPAN} + k * step AS "offset" FROM (SELECT record_id, step, unnest(range(0, ceil((2 * {SPAN} + step / 2) / step)::BIGINT)) AS k FROM steps WHERE step > 0))"""
+
+
+@query(f"""
+WITH {A.SIGNAL}, {SERIES}, {OWN}, {ALIGN.replace(ALIGN[ALIGN.index("o AS ("):ALIGN.index("q AS (")], "").replace("FROM vis, o)", "FROM vis JOIN ow USING (record_id))")},
+top AS (SELECT record_id, max(abs(corr)) AS c FROM grid GROUP BY 1)
+SELECT record_id, round(coalesce(c, 0), 6) AS observed FROM steps LEFT JOIN top USING (record_id) WHERE step > 0""")
+def own_grid_search(spark, sf_dir):
+    return rounded(alignment.null_test(_series(spark, sf_dir), 0, span=SPAN).select("record_id", "observed"), ["observed"])
 
 
 @query(f"""
@@ -511,6 +552,38 @@ def online_signal(spark, sf_dir):
     return rounded(out, ["t", "filtered", "velocity", "acceleration", "running_peak"])
 
 
+def _dot(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b})"
+
+
+#: Powers of the time in the window made orthogonal one after the other, which stays exact where samples lie close together.
+_LESS = "list_transform(list_zip({}), lambda p: p[1] - {})"
+
+
+@query(f"""
+WITH {A.SIGNAL}, w AS (SELECT record_id, i, t, x, list(t) OVER v AS ts, list(x) OVER v AS y FROM signal WINDOW v AS (PARTITION BY record_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)),
+u1 AS (SELECT *, list_transform(ts, lambda z: (z - t) / nullif(t - ts[1], 0)) AS u FROM w WHERE len(ts) >= 4),
+u2 AS (SELECT record_id, i, u, y, list_transform(u, lambda z: z * z) AS uu, list_transform(u, lambda z: z * z * z) AS uuu, list_avg(u) AS m FROM u1),
+u3 AS (SELECT *, list_transform(u, lambda z: z - m) AS v1, list_avg(uu) AS a FROM u2),
+u4 AS (SELECT *, {_dot("uu", "v1")} / {_dot("v1", "v1")} AS b FROM u3),
+u5 AS (SELECT *, {_LESS.format("uu, v1", "a - b * p[2]")} AS v2, list_avg(uuu) AS c, {_dot("uuu", "v1")} / {_dot("v1", "v1")} AS d FROM u4),
+u6 AS (SELECT *, {_LESS.format("uuu, v1", "c - d * p[2]")} AS r3 FROM u5),
+u7 AS (SELECT *, {_dot("r3", "v2")} / {_dot("v2", "v2")} AS e FROM u6),
+u8 AS (SELECT *, {_LESS.format("r3, v2", "e * p[2]")} AS v3 FROM u7),
+u9 AS (SELECT *, {", ".join(f"{_dot('y', f'v{k}')} / {_dot(f'v{k}', f'v{k}')} AS g{k}" for k in (1, 2, 3))} FROM u8),
+d AS (SELECT record_id, i, g1 - b * g2 + (e * b - d) * g3 AS turn, 2 * (g2 - e * g3) AS bend FROM u9)
+SELECT w.record_id, w.i AS seq, round(w.x, 6) AS filtered, round(sign(d.turn) * ln(1 + abs(d.turn)), 5) + 0.0::DOUBLE AS log_velocity, round(sign(d.bend) * ln(1 + abs(d.bend)), 5) + 0.0::DOUBLE AS log_acceleration,
+       w.i + 1 AS samples_seen, CASE WHEN w.i >= 3 THEN 'READY' ELSE 'WARMUP_' || (w.i + 1) || '_OF_4' END AS startup_state
+FROM w LEFT JOIN d USING (record_id, i)""")
+def online_polynomial(spark, sf_dir):
+    """Velocity and acceleration in units of their window's length, as logarithms, as they span many orders of magnitude."""
+    s = A.signal(spark, sf_dir).withColumn("seq", F.col("i").cast("long"))
+    out = online.online_signal(s, low=None, method=online.POLYNOMIAL, window=9, order=3)
+    span = F.col("t") - F.first("t").over(Window.partitionBy("record_id").orderBy("seq").rowsBetween(-8, 0))
+    logged = lambda v: tidy(F.signum(v) * F.log1p(F.abs(v)), 5)
+    return out.select("record_id", "seq", tidy(F.col("filtered"), 6).alias("filtered"), logged(F.col("velocity") * span).alias("log_velocity"), logged(F.col("acceleration") * span * span).alias("log_acceleration"), "samples_seen", "startup_state")
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, round(l_quantity * 1000, 4) AS queue_wait, round(l_tax * 1000, 4) AS tracker_compute, round((l_quantity + l_tax) * 1000, 4) AS capture_to_tracker_end, round((l_quantity + l_tax + l_discount) * 1000, 4) AS capture_to_pga, round(l_discount * 1000, 4) AS pga_ms
 FROM lineitem""")
