@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import correlation
+from ..sources.staging import staged
 from . import ranges
 from .spectral import phase_surrogates
 
@@ -103,12 +104,12 @@ def null_p_values(df: DataFrame, shifts: int, key: str = "record_id", digits: in
 
 
 def bh_q_values(df: DataFrame, p: str = "p_value", key: str = "record_id") -> DataFrame:
-    """Adds q_value by Benjamini and Hochberg over all rows; ranks go by ranges of p."""
-    placed = df.withColumns({"_part": ranges.range_of(F.col(p)), "_one": F.lit(1).cast("long")})
-    ranked = ranges.running_sum(placed, "_one", "_rank", [F.col(p), F.col(key)])
-    total = df.agg(F.count(F.lit(1)).alias("_m"))
-    raw = ranked.crossJoin(F.broadcast(total)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))  # total is one row
-    return ranges.least_from(raw, "_raw", "_least", "_rank").withColumn("q_value", F.least(F.lit(1.0), "_least")).select(*df.columns, "q_value")
+    """Adds q_value by Benjamini and Hochberg over all rows, which are in order of p and key in ranges. The rows are staged, as ranges read them several times."""
+    rows = staged(df, "p-values")
+    total = rows.count()
+    order = ranges.Order(rows, p, tie=key)
+    raw = order.with_position(rows, "_at").withColumn("_raw", F.col(p) * total / (F.col("_at") + 1))
+    return order.with_least_from(raw, "_raw", "_least").withColumn("q_value", F.least(F.lit(1.0), "_least")).select(*df.columns, "q_value")
 
 
 def offset_grid(span: tuple[float, float] | float, step: float) -> np.ndarray:

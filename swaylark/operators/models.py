@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..sources.staging import staged
 from . import ranges
 
 TINY = 1e-12
@@ -46,11 +47,18 @@ def _others(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None)
     return joined.select(*by, "fold", *[(F.col(f"_{k}") - F.col(k)).alias(k) for k in sums])
 
 
+def fold_medians(df: DataFrame, folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
+    """Per fold (of a group): the median target of the other folds."""
+    by = by or []
+    rows = train_rows(df.select(*by, "fold", target).withColumn("_id", F.monotonically_increasing_id()), folds)
+    rows = staged(rows.select(*by, F.col("test_fold").alias("fold"), target, "_id"), "fold-targets")
+    return ranges.quantiles(rows, target, {"middle": 0.5}, [*by, "fold"], "_id")
+
+
 def median_baseline(df: DataFrame, folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
     """Adds predicted: the median target of the other folds."""
     by = by or []
-    medians = train_rows(df, folds).groupBy(*by, "test_fold").agg(F.percentile(target, F.lit(0.5)).alias("predicted"))
-    return df.join(F.broadcast(medians.withColumnRenamed("test_fold", "fold")), [*by, "fold"])  # a row per fold
+    return df.join(fold_medians(df, folds, target, by).withColumnRenamed("middle", "predicted"), [*by, "fold"])  # a row per fold
 
 
 def single_coefficient(df: DataFrame, feature: str = "f1", target: str = "target", by: list[str] | None = None) -> DataFrame:
@@ -201,11 +209,8 @@ def from_json(text: str) -> dict:
     return json.loads(text)
 
 
-def cross_validated(df: DataFrame, algorithm: str, features: list[str], folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
-    """Adds predicted by a model of the other folds, within each group of ``by``.
-
-    Closed forms come from sums by fold: those of the others are the whole's less the fold's own.
-    """
+def fold_models(df: DataFrame, algorithms: list[str], features: list[str], folds: int, target: str = "target", by: list[str] | None = None) -> dict[str, dict[tuple, dict]]:
+    """By algorithm and fold (of a group): a model of the other folds. Closed forms of all algorithms come from one aggregate: sums by fold, those of the others being the whole's less the fold's own."""
     by = by or []
     sums = gram(df.where(F.col(target) > 0).withColumn("_y", F.ln(target)), features, "_y", [*by, "fold"])
     others = {}
@@ -213,36 +218,69 @@ def cross_validated(df: DataFrame, algorithm: str, features: list[str], folds: i
         rest = [v for other, v in sums.items() if other[:-1] == name[:-1] and other[-1] != name[-1]]
         if rest:
             others[name] = tuple(sum(x[i] for x in rest) for i in range(3))
-    if algorithm == "huber":
-        found = group_models(train_rows(df, folds), algorithm, features, [*by, "test_fold"], target, sums=others)
-    else:
-        found = group_models(df, algorithm, features, [*by, "fold"], target, sums=others)
+    out = {}
+    for algorithm in algorithms:
+        if algorithm == "huber":
+            out[algorithm] = group_models(train_rows(df, folds), algorithm, features, [*by, "test_fold"], target, sums=others)
+        else:
+            out[algorithm] = group_models(df, algorithm, features, [*by, "fold"], target, sums=others)
+    return out
+
+
+def cross_validated(df: DataFrame, algorithm: str, features: list[str], folds: int, target: str = "target", by: list[str] | None = None) -> DataFrame:
+    """Adds predicted by a model of the other folds, within each group of ``by``."""
+    by = by or []
+    found = fold_models(df, [algorithm], features, folds, target, by)[algorithm]
     kinds = dict(df.dtypes)
     names = [[f"_{x}{i}" for i in range(len(features) + (x == "b"))] for x in "bms"]
     table = [(*name, *m["beta"], *[m["scale"][f][0] for f in features], *[m["scale"][f][1] for f in features]) for name, m in found.items()]
     kept = df.sparkSession.createDataFrame(table, ", ".join([f"{x} {kinds[x]}" for x in [*by, "fold"]] + [f"{x} double" for x in sum(names, [])]))
     line = _line(*names, features)
-    return df.join(F.broadcast(kept), [*by, "fold"], "left").withColumn("predicted", F.greatest(F.exp(line), F.lit(0.0))).drop(*sum(names, []))  # a row per fold
+    return df.join(kept, [*by, "fold"], "left").withColumn("predicted", F.greatest(F.exp(line), F.lit(0.0))).drop(*sum(names, []))  # a row per fold
+
+
+def _single_coefficients(rows: DataFrame, feature: str, target: str, by: list[str]) -> dict[tuple, float]:
+    """Per group and fold: the line through the origin of the other folds. A row a fold comes to the driver."""
+    x, y = F.col(feature), F.col(target)
+    own = {tuple(r[c] for c in [*by, "fold"]): (r["xy"] or 0.0, r["xx"] or 0.0) for r in rows.groupBy(*by, "fold").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx")).collect()}
+    out = {}
+    for name in own:
+        rest = [v for other, v in own.items() if other[:-1] == name[:-1] and other != name]
+        out[name] = sum(v[0] for v in rest) / max(sum(v[1] for v in rest), TINY)
+    return out
 
 
 def subset_predictions(df: DataFrame, subsets: dict[str, str], features: list[str], folds: int, single: str, target: str = "target", algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
     """Long: subset, algorithm, and the row with predicted, for rows whose flag of the subset is true. ``subsets``: flag column by name.
 
-    A row is exploded by its subsets once; every algorithm's parameters are a row per subset and fold.
+    A row is exploded by its subsets once, and these rows are staged, as every algorithm reads them. The parameters of all
+    algorithms are one wide row per subset and fold, so that predictions are one projection of the rows.
     """
     labels = F.filter(F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in subsets.items()]), lambda x: x.isNotNull())
-    rows = df.withColumn("subset", F.explode(labels)).withColumn("fold", F.col("fold").cast("int"))
-    out = None
-    for algorithm in algorithms:
-        if algorithm == "median":
-            part = median_baseline(rows, folds, target, ["subset"])
-        elif algorithm == "single_coefficient":
-            part = single_coefficient(rows, single, target, ["subset"])
-        else:
-            part = cross_validated(rows, algorithm, features, folds, target, ["subset"])
-        part = part.select(*rows.columns, "predicted", F.lit(algorithm).alias("algorithm"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = staged(df.withColumn("subset", F.explode(labels)).withColumn("fold", F.col("fold").cast("int")), "subset-rows")
+    wide: dict[tuple, dict[str, float]] = {}
+    lines = {}
+    linear = [a for a in algorithms if a not in ("median", "single_coefficient")]
+    if linear:
+        found = fold_models(rows, linear, features, folds, target, ["subset"])
+        names = {a: [[f"_{a}_{x}{i}" for i in range(len(features) + (x == "b"))] for x in "bms"] for a in linear}
+        for a in linear:
+            lines[a] = F.greatest(F.exp(_line(*names[a], features)), F.lit(0.0))
+            for at, m in found[a].items():
+                values = [*m["beta"], *[m["scale"][f][0] for f in features], *[m["scale"][f][1] for f in features]]
+                wide.setdefault(at, {}).update(zip(sum(names[a], []), map(float, values), strict=True))
+    if "single_coefficient" in algorithms:
+        for at, v in _single_coefficients(rows, single, target, ["subset"]).items():
+            wide.setdefault(at, {})["_coefficient"] = float(v)
+        lines["single_coefficient"] = F.greatest(F.col("_coefficient") * F.col(single), F.lit(0.0))
+    if "median" in algorithms:
+        for r in fold_medians(rows, folds, target, ["subset"]).collect():  # a row a fold
+            wide.setdefault((r["subset"], r["fold"]), {})["_middle"] = float(r["middle"])
+        lines["median"] = F.col("_middle")
+    columns = sorted({c for x in wide.values() for c in x} | ({"_coefficient"} if "single_coefficient" in algorithms else set()) | ({"_middle"} if "median" in algorithms else set()) | {c for a in linear for c in sum(names[a], [])})
+    table = df.sparkSession.createDataFrame([(*at, *[x.get(c) for c in columns]) for at, x in wide.items()], ", ".join(["subset string", "fold int", *[f"{c} double" for c in columns]]))
+    predicted = F.explode(F.array(*[F.struct(lines[a].alias("predicted"), F.lit(a).alias("algorithm")) for a in algorithms])).alias("_p")
+    return rows.join(table, ["subset", "fold"], "left").select(*rows.columns, predicted).select(*rows.columns, "_p.*")
 
 
 def checked_inputs(df: DataFrame, version: str, version_column: str = "feature_version", causal_column: str = "causal") -> str:
@@ -254,35 +292,40 @@ def checked_inputs(df: DataFrame, version: str, version_column: str = "feature_v
 
 
 def average_ranks(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds the average rank of each value among ``keys``.
-
-    Counts by value first. Within keys the running count is a window over the distinct values of each; over the
-    whole table it goes by ranges, which reads the rows once more but leaves no task with all values.
-    """
-    keys = keys or []
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    if keys:
-        ranked = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-    else:
-        ranked = ranges.running_sum(counts.withColumn("_part", ranges.range_of(F.col(value))), "_c", "_upto", [F.col(value)])
-    return df.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*keys, value])
+    """Adds the average rank of each value among ``keys``. The rows are staged with a number each, as ranges read them several times; that number tells ties apart."""
+    rows = staged(df.withColumn("_tie", F.monotonically_increasing_id()), "ranked")
+    return ranges.Order(rows, value, keys, "_tie").with_average_rank(rows, out).drop("_tie")
 
 
 def metrics(df: DataFrame, keys: list[str] | None = None, truth: str = "target", estimate: str = "predicted") -> DataFrame:
-    """MAE, RMSE, log MAE, median factor, shares within 1.5 and 2 times, Pearson and Spearman, over all rows or by ``keys``. Truth must be positive."""
+    """MAE, RMSE, log MAE, median factor, shares within 1.5 and 2 times, Pearson and Spearman, over all rows or by ``keys``. Truth must be positive.
+
+    The scored rows are staged once; ranks of truth and estimate and the places of factors are a shuffle by range each.
+    """
     keys = keys or []
     t, e = F.col(truth), F.col(estimate)
     safe = F.greatest(e, F.lit(TINY))
-    factor = F.greatest(safe / t, t / safe)
+    rows = df.select(*keys, truth, estimate, F.greatest(safe / t, t / safe).alias("_factor"))
+    rows = staged(rows.withColumn("_tie", F.monotonically_increasing_id()), "scored")
     pearson = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    ranked = average_ranks(average_ranks(df, truth, "_rt", keys), estimate, "_re", keys)
+    truths, estimates = (ranges.Order(rows, c, keys, "_tie") for c in (truth, estimate))
+    ranked = estimates.with_average_rank(truths.with_average_rank(rows, "_rt"), "_re")
     aggs = [
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e - t)).alias("mae"), F.sqrt(F.avg((e - t) * (e - t))).alias("rmse"),
-        F.avg(F.abs(F.ln(safe) - F.ln(t))).alias("log_mae"), F.percentile(factor, F.lit(0.5)).alias("median_factor"),
-        F.avg((factor <= 1.5).cast("int")).alias("within_1p5"), F.avg((factor <= 2.0).cast("int")).alias("within_2"),
+        F.avg(F.abs(F.ln(safe) - F.ln(t))).alias("log_mae"),
+        F.avg((F.col("_factor") <= 1.5).cast("int")).alias("within_1p5"), F.avg((F.col("_factor") <= 2.0).cast("int")).alias("within_2"),
         pearson(t, e).alias("pearson"), pearson(F.col("_rt"), F.col("_re")).alias("spearman"),
     ]
-    return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
+    middle = ranges.quantiles(rows, "_factor", {"median_factor": 0.5}, keys, "_tie")
+    names = [*keys, "n", "mae", "rmse", "log_mae", "median_factor", "within_1p5", "within_2", "pearson", "spearman"]
+    if not keys:
+        return ranked.agg(*aggs).crossJoin(F.broadcast(middle)).select(*names)  # one row
+    other = middle.toDF(*[f"_{k}" for k in keys], "median_factor")
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = one if same is None else same & one
+    return ranked.groupBy(*keys).agg(*aggs).join(other, same, "left").select(*names)
 
 
 def binned(value: Column, edges: list[float]) -> Column:
