@@ -13,10 +13,11 @@ LONGEST = 20
 STRIDE = 64
 
 
-def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Code lengths of least total size with none over ``longest`` (package-merge); 0 for ids that do not occur."""
+def code_lengths(counts: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Code lengths of least total size with none over ``longest`` (package-merge; LONGEST, or what more ids need, if it is not given); 0 for ids that do not occur."""
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
+    longest = longest or max(LONGEST, int(len(used)).bit_length() + 1)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths

@@ -26,8 +26,6 @@ STEPS = 260
 BATCH = 160
 #: A place past the end of a text: its update gate keeps the state as it is.
 PAD = 256
-#: Languages that are learned: the most frequent ones. A bound of the classifier; texts of others get one of these.
-MOST_LANGUAGES = 256
 
 
 @dataclass
@@ -203,7 +201,7 @@ class Reader:
         for a in range(0, total, self.most):
             s, e = starts[a : a + self.most], ends[a : a + self.most]
             real = s + step < e
-            p = self.logits(np.where(real, padded[s + step], PAD).astype(np.int64))
+            p = self.logits(np.where(real, padded[s + step].astype(np.int64), PAD))
             p -= p.max(1, keepdims=True)
             np.exp(p, out=p)
             p *= (real / p.sum(1))[:, None]
@@ -217,15 +215,15 @@ def _uniform(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Network | None:
-    """From rows whose language is not null: about ``sample`` documents of each of the ``most`` most frequent languages, those whose ids hash least.
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int | None = None) -> Network | None:
+    """From rows whose language is not null: about ``sample`` documents of each language, those whose ids hash least; with ``most`` of the most frequent languages only.
 
     Two windows of each, at places drawn from its length, come to the driver. Null and empty texts teach nothing;
     rows that repeat an id are chosen alike. None without any language.
     """
     C.small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most or (1 << 31) - 1).collect()}
     if not counts:
         return None
     languages = sorted(counts)

@@ -18,6 +18,8 @@ BROADCAST_SOURCES = 10_000
 DIGITS = 13
 #: A larger mean is drawn as the sum of draws of equal means up to this, for exp(-mean) is 0 beyond 745.
 LARGEST_MEAN = 500.0
+#: Copies of a document that are exploded at once.
+RUN = 4096
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -64,19 +66,24 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
 
     The draw depends on seed and id only, so it holds on any cluster and after any retry. Rows that repeat an
     id are repeated alike; a null id draws as the word null. Null sources are one source. Texts are not
-    looked at: null, empty and very long ones pass as they are. An empty table stays empty. Names that begin
-    with an underscore are ours: _source, _draws, _steps, _u, _count, _copy, _order. With ``with_order`` the columns
-    copy_no (from 0) and order_key, by which the result is sorted, follow.
+    looked at: null, empty and very long ones pass as they are. An empty table stays empty. Columns may have any
+    names. With ``with_order`` the columns copy_no (from 0) and order_key, by which the result is sorted,
+    follow; where ``docs`` has columns of these names ours have an underscore more.
     """
     rates = source_rates(docs, source, weights, temperature, size)
     small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = rates.select("_source", F.col("draws").alias("_draws"), F.col("steps").alias("_steps"))
-    names = docs.columns
-    joined = docs.join(F.broadcast(rates) if small else rates, docs[source].eqNullSafe(rates["_source"]), "inner")
-    drawn = joined.withColumn("_u", uniform(seed, F.col(key)))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[source].alias("_of"), docs[key].alias("_id"))
+    joined = rows.join(F.broadcast(rates) if small else rates, rows["_of"].eqNullSafe(rates["_source"]), "inner")
+    drawn = joined.withColumn("_u", uniform(seed, F.col("_id")))
     reached = lambda u: F.size(F.filter("_steps", lambda x: x <= u))
-    further = F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda held, k: held + reached(uniform(seed, F.col(key), k)))
+    further = F.aggregate(F.sequence(F.lit(1), F.col("_draws") - 1), F.lit(0), lambda held, k: held + reached(uniform(seed, F.col("_id"), k)))
     count = reached(F.col("_u")) + F.when(F.col("_draws") > 1, further).otherwise(0)
-    out = drawn.withColumn("_count", count).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    out = out.withColumn("_order", uniform(seed + 1, F.col(key), F.col("_copy"))).orderBy("_order", key, "_copy")
-    return out.select(*names, F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key")) if with_order else out.select(*names)
+    # in runs of RUN copies, so that no array has an entry for each copy of a document that is repeated very often
+    runs = drawn.withColumn("_count", count).where("_count > 0").withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_count") - 1, F.lit(RUN))))
+    out = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run"), F.least(F.col("_count"), F.col("_run") + RUN) - 1)))
+    out = out.withColumn("_order", uniform(seed + 1, F.col("_id"), F.col("_copy"))).orderBy("_order", "_id", "_copy")
+    if not with_order:
+        return out.select("_row.*")
+    free = lambda name: free(name + "_") if name in docs.columns else name
+    return out.select("_row.*", F.col("_copy").alias(free("copy_no")), F.col("_order").alias(free("order_key")))

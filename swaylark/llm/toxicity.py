@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased, digits and white space folded; byte n-grams of words and across them are hashed to
+Texts are lower-cased, digits and white space folded; n-grams of characters, of words and across them, are hashed to
 buckets. A feature is 1 where the text has the bucket, times the bucket's log ratio of smoothed document
 shares in toxic and other texts; buckets of small ratios are left out. A logistic regression on a bounded sample of labelled texts learns one
 weight per bucket; the log-count ratios count all labelled texts. Applying it is one table lookup per n-gram.
@@ -29,8 +29,15 @@ LEAST_RATIO = 0.3
 THRESHOLD = 0.7
 
 
+def characters(data: np.ndarray) -> np.ndarray:
+    """The code points of a text's UTF-8 bytes in lower case, digits as 0 and white space as a space."""
+    text = data.tobytes()
+    x = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32) if not text.isascii() else FOLD[data]
+    return np.where(x < 128, FOLD[np.minimum(x, 127)], x) if x.dtype == np.uint32 else x
+
+
 def _folded() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
+    table = np.arange(128, dtype=np.uint8)
     table[65:91] += 32
     table[48:58] = 48
     table[[9, 10, 11, 12, 13]] = 32
@@ -41,8 +48,8 @@ FOLD = _folded()
 
 
 def grams(data: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> list[tuple[int, np.ndarray]]:
-    """By order: the bucket of the n-gram that begins at each byte. An order's n-grams have hashes of their own."""
-    x = FOLD[data].astype(np.uint32)
+    """By order: the bucket of the n-gram that begins at each character of the text's bytes. An order's n-grams have hashes of their own."""
+    x = characters(data).astype(np.uint32)
     out = []
     for n in orders:
         if len(x) < n:
