@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import norm, ratio
+from ..sources.staging import staged, unstage
 from .ranges import last_before
 
 #: Points that a model needs.
@@ -328,3 +329,61 @@ def spaced(points: DataFrame, least: float, group: str, strength: str = "respons
 
     kinds = dict(points.dtypes)
     return points.select(group, "point_id", "x", "y", strength).groupBy(group).applyInPandas(kernel, f"{group} {kinds[group]}, point_id {kinds['point_id']}")
+
+
+def selected_points(points: DataFrame, least: float, group: str, cell: float | None = None, quota: int | None = None, target: int | None = None, strength: str = "response") -> DataFrame:
+    """Points that a greedy choice keeps, the strongest first: group, point_id, order (from 1), complete.
+
+    A point is kept if it is ``least`` or more from every kept one of its group and, with ``cell`` and ``quota``, if fewer than
+    ``quota`` of its square cell are kept; the first ``target`` kept ones of a group are returned, and complete says whether there
+    are as many. Of equal strength the lesser point_id comes first.
+
+    The choice goes by rounds over all groups at once. Points lie in squares so small that two of one square are always too near; a
+    square's strongest undecided point is kept once no stronger undecided point is too near and its cell's quota cannot be
+    filled by stronger ones; what a kept point rules out goes. A point meets the one candidate of each of 25 squares, so work is
+    linear in the points of a round, however they crowd, and the strongest point of all is always decided.
+    """
+    side = least / 1.4143
+    undecided = points.select(group, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(strength).alias("s"))
+    undecided = undecided.withColumns({"u": F.floor(F.col("x") / side), "v": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / cell) if cell else F.lit(0).cast("long"), "cy": F.floor(F.col("y") / cell) if cell else F.lit(0).cast("long")})
+    state = staged(undecided.withColumns({"state": F.lit(0), "round": F.lit(0)}), "points")
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])).alias("d")
+    square = [group, "u", "v"]
+    ahead = lambda one, two: (F.col(f"{one}s") > F.col(f"{two}s")) | ((F.col(f"{one}s") == F.col(f"{two}s")) & (F.col(f"{one}point_id") < F.col(f"{two}point_id")))
+
+    def around(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        """Each of ``rows`` with the centres (one a square, columns c_) that are too near it, itself left out."""
+        spread = rows.select(*rows.columns, near).withColumns({"_u": F.col("u") + F.col("d.a"), "_v": F.col("v") + F.col("d.b")}).drop("d")
+        named = centres.select(*[F.col(c).alias(f"c_{c}") for c in (group, "point_id", "x", "y", "s", "u", "v")])
+        hit = spread.join(named, (F.col(group) == F.col(f"c_{group}")) & (F.col("_u") == F.col("c_u")) & (F.col("_v") == F.col("c_v")) & (F.col("point_id") != F.col("c_point_id")))
+        return hit.where(F.hypot(F.col("x") - F.col("c_x"), F.col("y") - F.col("c_y")) < least)
+
+    number = 0
+    while True:
+        number += 1
+        order = [F.col("s").desc(), "point_id"]
+        if quota:
+            w = W.partitionBy(group, "cx", "cy").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            alive = state.where("state >= 0").withColumns({"full": F.coalesce(F.sum("state").over(w), F.lit(0)), "ahead": F.count(F.lit(1)).over(w)})
+        else:
+            alive = state.where("state >= 0").withColumns({"full": F.lit(0), "ahead": F.lit(-1)})
+        limit = quota or 1
+        open_ = alive.where((F.col("state") == 0) & (F.col("full") < limit))
+        first = open_.withColumn("r", F.row_number().over(W.partitionBy(*square).orderBy(*order))).where("r = 1").drop("r")
+        blocked = around(open_, first).where(ahead("", "c_")).select(F.col(f"c_{group}").alias(group), F.col("c_point_id").alias("point_id")).distinct()
+        kept = staged(first.where(F.col("ahead") < limit).join(blocked, [group, "point_id"], "left_anti").select(*[c for c in state.columns]), "kept")
+        if not kept.count():
+            # every open point waits for a quota: those that can no longer be in it have gone, so none is left
+            break
+        gone = around(open_, kept).select(group, "point_id").distinct().withColumn("now", F.lit(-1))
+        marks = gone.unionByName(kept.select(group, "point_id", F.lit(1).alias("now")))
+        full = alive.where((F.col("state") == 0) & (F.col("full") >= limit)).select(group, "point_id", F.lit(-1).alias("now"))
+        marks = marks.unionByName(full).groupBy(group, "point_id").agg(F.max("now").alias("now"))
+        after = state.where("state >= 0").join(marks, [group, "point_id"], "left").withColumns({"state": F.coalesce("now", "state"), "round": F.when(F.col("now") == 1, number).otherwise(F.col("round"))}).drop("now").where("state >= 0")
+        last, state = state, staged(after, "points")
+        unstage(last, kept)
+    chosen = state.where("state = 1")
+    ranked = chosen.withColumn("order", F.row_number().over(W.partitionBy(group).orderBy(F.col("s").desc(), "point_id")))
+    if target:
+        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(group))).where(F.col("order") <= target)
+    return ranked.select(group, "point_id", "order", (F.col("_n") >= target).alias("complete") if target else F.lit(True).alias("complete"))

@@ -328,6 +328,19 @@ def metrics(df: DataFrame, keys: list[str] | None = None, truth: str = "target",
     return ranked.groupBy(*keys).agg(*aggs).join(other, same, "left").select(*names)
 
 
+def group_report(df: DataFrame, columns: list[str], keys: list[str] | None = None, truth: str = "target", estimate: str = "predicted") -> DataFrame:
+    """``metrics`` for every value of each of ``columns`` that ``df`` has: keys, column, value (as text), and the metrics.
+
+    A row is laid out once for each column, so that all groupings are one set of groups and share every pass; ranks are
+    those within a group.
+    """
+    present, keys = [c for c in columns if c in df.columns], keys or []
+    if not present:
+        raise ValueError(f"none of the columns {columns} is there")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in present])).alias("_g")
+    return metrics(df.select(*keys, truth, estimate, both).select(*keys, "_g.*", truth, estimate), [*keys, "column", "value"], truth, estimate)
+
+
 def binned(value: Column, edges: list[float]) -> Column:
     """Place of the value among edges: how many of the inner edges it reaches."""
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges[1:-1]]), lambda x: x <= value))

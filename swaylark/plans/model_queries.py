@@ -100,6 +100,14 @@ def metrics_by_group(spark, sf_dir):
     return rounded(rounded(m, ["mae", "rmse"], 3), METRIC_COLUMNS)
 
 
+@query(f"""{FOLDED}, {SINGLE}, q AS (SELECT 'grp' AS "column", grp::VARCHAR AS "value", target, predicted FROM p UNION ALL SELECT 'fold', fold::VARCHAR, target, predicted FROM p
+  UNION ALL SELECT 'target_bin', len(list_filter({EDGES[1:-1]}::DOUBLE[], lambda e: e <= target))::VARCHAR, target, predicted FROM p), {_metrics_sql('q', '"column", "value"')}""")
+def group_report(spark, sf_dir):
+    p = models.single_coefficient(_folded(spark, sf_dir)).withColumn("target_bin", models.binned(F.col("target"), EDGES))
+    m = models.group_report(p, ["grp", "fold", "target_bin", "site"])
+    return rounded(rounded(m, ["mae", "rmse"], 3), METRIC_COLUMNS)
+
+
 @query(f"""{FOLDED}, {SINGLE}, b AS (SELECT len(list_filter({EDGES[1:-1]}::DOUBLE[], lambda e: e <= target)) AS a, len(list_filter({EDGES[1:-1]}::DOUBLE[], lambda e: e <= predicted)) AS b FROM p),
 k AS (SELECT i.i AS a, j.j AS b FROM range(0, 5) i(i), range(0, 5) j(j))
 SELECT k.a::INT AS true_bin, k.b::INT AS estimated_bin, count(b.a) AS n FROM k LEFT JOIN b ON b.a = k.a AND b.b = k.b GROUP BY 1, 2""")

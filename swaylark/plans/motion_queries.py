@@ -7,7 +7,7 @@ from math import radians
 from pyspark.sql import functions as F
 
 from ..functions import norm, tidy, wrapped
-from ..operators import features, generators, geometry
+from ..operators import features, generators, geometry, reseed
 from ..sources import adapters as A
 from .registry import query
 from .signal_queries import rounded
@@ -229,12 +229,58 @@ def points_per_cell(spark, sf_dir):
     return geometry.per_cell_top(t, 10.0, 3).select("point_id", "cell_x", "cell_y", "rank")
 
 
-@query()
+#: Runs of 50 frames as records; a replaced point at every frame of one label.
+RESEEDS = f"""WITH {A.TRACKS}, m AS (SELECT frame // 50 AS record_id, frame % 50 AS i, (frame % 50) / 30.0::DOUBLE AS t, avg(x) AS tx, avg(y) AS ty, atan2(sum(y), sum(x)) AS rotation FROM tracks GROUP BY frame),
+a AS (SELECT vec_id // 50 AS record_id, vec_id % 50 AS i, sqrt((embedding[1]::DOUBLE * 100) ** 2 + (embedding[2]::DOUBLE * 100) ** 2) AS size, 'Q' || label AS quality, label = 3 AS hit, vec_id FROM embeddings),
+j AS (SELECT m.*, size, quality, hit, vec_id FROM m JOIN a USING (record_id, i)),
+l AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n, t - lag(t) OVER w AS dt, lag(t) OVER w AS t1, lag(t, 2) OVER w AS t2, lag(tx) OVER w AS x1, lag(tx, 2) OVER w AS x2, lag(ty) OVER w AS y1, lag(ty, 2) OVER w AS y2, lag(rotation) OVER w AS r1, lag(rotation, 2) OVER w AS r2, lag(quality) OVER w AS q1
+      FROM j WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+r AS (SELECT record_id, greatest(3, coalesce(round_even(0.5 / quantile_cont(dt, 0.5), 0), 3))::BIGINT AS radius FROM l GROUP BY 1),
+e AS (SELECT l.*, radius FROM l JOIN r USING (record_id) WHERE hit AND i >= 2 AND i + 1 < n),
+b AS (SELECT e.vec_id, quantile_cont(o.size, 0.5) AS baseline FROM e JOIN l o ON o.record_id = e.record_id AND o.i BETWEEN e.i - radius AND e.i + radius GROUP BY 1),
+p AS (SELECT e.vec_id, sqrt((a.x - (2 * b.x - c.x)) ** 2 + (a.y - (2 * b.y - c.y)) ** 2) AS jump FROM e JOIN tracks a ON a.frame = e.vec_id JOIN tracks b ON b.frame = e.vec_id - 1 AND b.point_id = a.point_id JOIN tracks c ON c.frame = e.vec_id - 2 AND c.point_id = a.point_id),
+g AS (SELECT vec_id, avg(jump) AS mean, quantile_cont(jump, 0.95) AS p95 FROM p GROUP BY 1)"""
+
+
+@query(f"""{RESEEDS} SELECT record_id, vec_id AS reseed_id, i AS frame_id, round(t, 6) AS "timestamp", round(mean, 6) AS point_position_jump_mean_px, round(p95, 6) AS point_position_jump_p95_px,
+  round(sqrt((tx - (2 * x1 - x2)) ** 2 + (ty - (2 * y1 - y2)) ** 2), 6) AS common_translation_jump_px, round(degrees(abs(rotation - (2 * r1 - r2))), 6) AS common_rotation_jump_deg,
+  round(sqrt(((tx - x1) / (t - t1) - (x1 - x2) / (t1 - t2)) ** 2 + ((ty - y1) / (t - t1) - (y1 - y2) / (t1 - t2)) ** 2), 5) AS velocity_jump, round(size, 6) AS acceleration_spike, round(size / greatest(baseline, 1e-12), 6) AS acceleration_spike_ratio, q1 AS quality_before, quality AS quality_after
+FROM e JOIN b USING (vec_id) JOIN g USING (vec_id)""")
+def reseed_report(spark, sf_dir):
+    frame = lambda c: [F.floor(F.col(c) / 50).alias("record_id"), (F.col(c) % 50).alias("i")]
+    tracks = A.tracks(spark, sf_dir)
+    shifts = tracks.groupBy("frame").agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"), F.atan2(F.sum("y"), F.sum("x")).alias("rotation"))
+    at = A.table(spark, sf_dir, "embeddings")
+    sizes = at.select(F.col("vec_id").alias("frame"), *[(F.col("embedding")[k].cast("double") * 100).alias(c) for k, c in ((0, "ax"), (1, "ay"))], F.concat(F.lit("Q"), "label").alias("quality"))
+    motion = shifts.join(sizes, "frame").withColumn("t", F.col("frame") % 50 / F.lit(30.0)).select(*frame("frame"), "t", "tx", "ty", "rotation", "ax", "ay", "quality")
+    events = at.where("label = 3").select(*frame("vec_id"), F.col("vec_id").alias("reseed_id"))
+    rows = reseed.reseed_rows(motion, tracks.select(*frame("frame"), "point_id", "x", "y"), events)
+    names = ["timestamp", "point_position_jump_mean_px", "point_position_jump_p95_px", "common_translation_jump_px", "common_rotation_jump_deg", "acceleration_spike", "acceleration_spike_ratio"]
+    return rounded(rounded(rows, names), ["velocity_jump"], 5)
+
+
+def _greedy_sql(near: float, quota: str) -> str:
+    """Point after point of a frame, the strongest first, is kept or not by those kept before it."""
+    return f"""WITH RECURSIVE {A.TRACKS}, o AS (SELECT frame, point_id, x, y, floor(x / 10) AS cx, floor(y / 10) AS cy, row_number() OVER (PARTITION BY frame ORDER BY round(sqrt(x * x + y * y), 6) DESC, point_id) AS k FROM tracks),
+g AS (SELECT DISTINCT frame, 0::BIGINT AS k, []::STRUCT(p BIGINT, x DOUBLE, y DOUBLE, cx DOUBLE, cy DOUBLE)[] AS kept FROM o UNION ALL
+  SELECT o.frame, o.k, CASE WHEN len(list_filter(kept, lambda z: sqrt((z.x - o.x) ** 2 + (z.y - o.y) ** 2) < {near})) = 0{quota} THEN list_append(kept, struct_pack(p := o.point_id, x := o.x, y := o.y, cx := o.cx, cy := o.cy)) ELSE kept END
+  FROM g JOIN o ON o.frame = g.frame AND o.k = g.k + 1),
+w AS (SELECT frame, kept FROM g WHERE k = 32)"""
+
+
+@query(f"{_greedy_sql(5.0, '')} SELECT frame, unnest(kept).p AS point_id FROM w")
 def spaced_points(spark, sf_dir):
     t = A.tracks(spark, sf_dir).withColumn("response", F.round(norm(F.col("x"), F.col("y")), 6))
     return geometry.spaced(t, 5.0, "frame")
 
 
+@query(f"""{_greedy_sql(3.0, ' AND len(list_filter(kept, lambda z: z.cx = o.cx AND z.cy = o.cy)) < 4')}
+SELECT frame, kept[i].p AS point_id, i::INT AS "order", len(kept) >= 8 AS complete FROM (SELECT frame, kept, unnest(range(1, least(len(kept), 8) + 1)) AS i FROM w)""")
+def chosen_points(spark, sf_dir):
+    t = A.tracks(spark, sf_dir).withColumn("response", F.round(norm(F.col("x"), F.col("y")), 6))
+    return geometry.selected_points(t, 3.0, "frame", cell=10.0, quota=4, target=8)
+
+
 @query(f"""WITH {A.TRACKS} SELECT frame, point_id, round(atan2(sin(x), cos(x)), 6) + 0.0::DOUBLE AS angle FROM tracks""")
 def wrapped_angles(spark, sf_dir):
     return A.tracks(spark, sf_dir).select("frame", "point_id", tidy(wrapped(F.col("x"))).alias("angle"))
