@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,18 +13,25 @@ from ..functions import PI, ratio
 
 
 def dft(df: DataFrame, value: str = "x", key: str = "record_id") -> DataFrame:
-    """Per record and frequency k from 0 to n / 2: n, re, im, power. Needs i, the sample's place.
+    """Per record and frequency k from 0 to n / 2: n, k, re, im, power. Needs i, the sample's place.
 
-    Each sample makes its term of every frequency, which are summed: n squared terms of a record of n samples.
-    Records with a missing value or of fewer than four samples have none.
+    One FFT a record, whose samples are a task's. Records with a missing value or of fewer than four samples have none.
     """
-    w = W.partitionBy(key)
-    x = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    sized = df.select(key, "i", x.alias("v"), F.count(F.lit(1)).over(w).alias("n"), F.count(x).over(w).alias("known")).where("n >= 4 AND n = known")
-    terms = sized.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2))))
-    angle = 2 * PI * F.col("k") * F.col("i") / F.col("n")
-    sums = terms.groupBy(key, "n", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(-F.col("v") * F.sin(angle)).alias("im"))
-    return sums.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    schema = pa.schema([(key, pa.null()), ("n", pa.int64()), ("k", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])
+
+    def kernel(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        x = rows.column("v").to_numpy()
+        fields = [rows.schema.field(key), *list(schema)[1:]]
+        if len(x) < 4 or not np.isfinite(x).all():
+            return pa.schema(fields).empty_table()
+        f = np.fft.rfft(x)
+        name = pa.repeat(rows.column(key)[0], len(f)) if rows.column(key)[0].is_valid else pa.nulls(len(f), fields[0].type)
+        return pa.Table.from_arrays([name, pa.array(np.full(len(f), len(x))), pa.array(np.arange(len(f))), pa.array(f.real), pa.array(f.imag)], schema=pa.schema(fields))
+
+    samples = df.select(key, "i", F.col(value).cast("double").alias("v"))
+    spectra = samples.groupBy(key).applyInArrow(kernel, f"{key} {dict(df.dtypes)[key]}, n long, k long, re double, im double")
+    return spectra.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
 
 
 def dominant_frequency(spectrum: DataFrame, rate: float, key: str = "record_id", digits: int = 6) -> DataFrame:

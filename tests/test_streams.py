@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swaylark.operators import derivatives, timebase
-from swaylark.streaming import blocks, online
+from swaylark.streaming import blocks, guard, online
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -131,3 +131,68 @@ def test_idle_records_are_forgotten(spark, tmp_path):
     rows = [[(k, 0, 0.0, 1.0, at(k)) for k in range(6)], [(9, 0, 0.0, 1.0, at(5000))], [(9, 1, 1.0, 1.0, at(5001))]]
     out, left = played(spark, rows, schema, tmp_path, lambda s: online.online_signal(s, event_time="ts", idle=20.0), watermark="ts")
     assert out.count() == 8 and left == 1
+
+
+def test_an_audit_writes_what_it_observes_as_it_comes(spark, tmp_path):
+    import time
+
+    audit = guard.RunAudit(spark, str(tmp_path / "audit"))
+    spark.streams.addListener(audit)
+    try:
+        rows = [[(1, 0, 1.0, 1.0), (1, 1, 2.0, 2.0)], [(1, 2, 2.0, 9.0), (1, 3, 5.0, 3.0)], [(1, 4, float("nan"), 3.0)]]
+        schema = "record_id long, seq long, t double, x double"
+        for k, part in enumerate(rows):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        out = guard.observed(online.online_signal(guard.observed(stream, "in")), "out", rejected="rejected")
+        q = out.writeStream.queryName("signals").format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        for _ in range(200):
+            if audit.manifest_rows(spark).count():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(audit)
+    seen = audit.queue_rows(spark).where("worker = 'signals'")
+    assert [tuple(r) for r in seen.where("name = 'out'").orderBy("batch_id").select("rows", "rejected").collect()] == [(2, 0), (2, 1), (1, 1)]
+    assert [tuple(r) for r in seen.where("name = 'in' AND batch_id < 2").orderBy("batch_id").select("first_t", "last_t").collect()] == [(1.0, 2.0), (2.0, 5.0)]
+    (run,) = audit.manifest_rows(spark).collect()
+    assert (run["worker"], run["batches"], run["rows"], run["rejected"], run["status"]) == ("signals", 3, 5, 2, "COMPLETED")
+    assert audit.timing_rows(spark).count() == 3 and audit.event_rows(spark).count() == 0 and not audit.timing
+    with pytest.raises(ValueError):
+        guard.RunAudit(folder="x")
+
+
+def test_a_playlist_as_stream_is_the_table_across_loops(spark, tmp_path):
+    import json
+    import time
+
+    from swaylark.sources import playlist
+
+    rng = np.random.default_rng(9)
+    paths = []
+    for k, n in enumerate((40, 25, 1)):
+        pd.DataFrame({"seq": range(n), "t": np.cumsum(rng.uniform(0.5, 1.5, n)), "x": rng.normal(size=n)}).to_parquet(tmp_path / f"{k}.parquet")
+        paths.append(str(tmp_path / f"{k}.parquet"))
+    playlist.register(spark)
+    schema = playlist.playlist_schema("seq long, t double, x double")
+    options = {"items": json.dumps(paths), "loops": "3"}
+    table = spark.read.format("playlist").schema(schema).options(**options).load()
+    assert table.count() == 3 * 66 and table.where("boundary").count() == 9 and table.select("record_id").distinct().count() == 9
+    assert table.groupBy("record_id").agg(F.max("place").alias("m"), F.count(F.lit(1)).alias("n")).where("m + 1 <> n").count() == 0
+    want = online.online_signal(table).orderBy("record_id", "seq").collect()
+    stream = spark.readStream.format("playlist").schema(schema).options(**options, start=str(time.time() + 1), rate="60").load()
+    q = online.online_signal(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            if q.exception() or sum(p["numInputRows"] for p in q.recentProgress) >= 3 * 66:
+                break
+            time.sleep(0.5)
+        q.processAllAvailable()
+        assert sum(p["numInputRows"] > 0 for p in q.recentProgress) > 1  # several micro-batches, cut anywhere
+    finally:
+        q.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("record_id", "seq").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and sum(r["samples_seen"] == 1 for r in got) == 9  # every boundary begins anew
+    with pytest.raises(Exception, match="playlist has items"):
+        spark.read.format("playlist").schema(schema).options(items="[]").load().count()
