@@ -77,7 +77,8 @@ class BallTree:
 
     def settled(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Balls that go to one centroid as a whole, and those centroids; then positions of vectors that were measured, and theirs. Of equally near centroids the first counts."""
-        balls, whose, near = np.zeros(1, np.int64), [], np.ones((1, len(centroids)), bool)
+        balls, whose, near = np.zeros(1, np.int64), [], np.zeros((1, len(centroids)), bool)
+        near[0, np.unique(centroids, axis=0, return_index=True)[1]] = True  # of equal centroids only the first can be nearest
         whole, rest = [], []
         targets = centroids.astype(np.float64)
         while len(balls):
