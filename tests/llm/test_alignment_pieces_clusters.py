@@ -229,8 +229,8 @@ def test_trees_settle_as_distances_do(seed):
     n, sums = tree.totals(centres)
     assert (n == np.bincount(labels, minlength=len(centres))).all() and all((sums[c] == vectors[labels == c].sum(0)).all() for c in range(len(centres)))
     balls = tree.settled(centres)[0]
-    if size == 64:  # in few dimensions a ball may be as near to two centroids, and is then measured
-        assert (tree.last - tree.first)[balls].sum() >= 200
+    if size == 64:  # most copies share balls of their own; in few dimensions a ball may be as near to two centroids, and is then measured
+        assert (tree.last - tree.first)[balls].sum() >= 100
     if size == 64 and seed == 2:
         far = np.array([[0] * 64, [10000] * 64])
         assert len(tree.settled(far)[2]) < 900
