@@ -304,6 +304,12 @@ def unfinished_records(spark, sf_dir):
     return records.unfinished(A.table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def orders_without_returns(spark, sf_dir):
+    done = A.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return records.unfinished(A.table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
 @query("""SELECT DISTINCT record_id, status, coalesce(attempt_utc, 'legacy') AS attempt_utc FROM (
 SELECT user_id AS record_id, event_type AS status, NULL AS attempt_utc FROM events UNION ALL SELECT user_id, event_type, CASE WHEN user_id % 2 = 0 THEN 'now' END FROM events)""")
 def failure_history(spark, sf_dir):

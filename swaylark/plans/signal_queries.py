@@ -540,6 +540,16 @@ def out_of_order_samples(spark, sf_dir):
     return rounded(timebase.monotonic_violations(A.signal(spark, sf_dir)).select("record_id", "seq", "t", "before"), ["t", "before"])
 
 
+@query("""
+WITH o AS (SELECT o_custkey AS record_id, o_orderkey AS seq, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS t FROM orders),
+b AS (SELECT *, max(t) OVER (PARTITION BY record_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
+SELECT record_id, seq, t, before FROM b WHERE t <= before""")
+def orders_out_of_date_order(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("seq"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double").alias("t"))
+    return timebase.monotonic_violations(rows).select("record_id", "seq", "t", "before")
+
+
 ONLINE = f"""SELECT record_id, i AS seq, round(t, 6) + 0.0::DOUBLE AS t, round(filtered, 6) + 0.0::DOUBLE AS filtered, round(velocity, 6) + 0.0::DOUBLE AS velocity, round(acceleration, 6) + 0.0::DOUBLE AS acceleration,
   round(coalesce(max(abs(acceleration)) OVER (PARTITION BY record_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0), 6) AS running_peak, i + 1 AS samples_seen, CASE WHEN i >= 2 THEN 'READY' ELSE 'WARMUP_' || (i + 1) || '_OF_3' END AS startup_state, false AS rejected
 FROM (SELECT *, 2 * (velocity - lag(velocity) {W}) / (dt + lag(dt) {W}) AS acceleration FROM (SELECT *, t - lag(t) {W} AS dt, (filtered - lag(filtered) {W}) / (t - lag(t) {W}) AS velocity FROM f))"""
