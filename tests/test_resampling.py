@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,24 @@ def test_bootstrap_intervals(spark):
     assert (alone["lower_95"], alone["upper_95"]) == pytest.approx((got["a", "mae"]["lower_95"], got["a", "mae"]["upper_95"]))
     with pytest.raises(ValueError):
         models.bootstrap(df, 10, block=9)
+
+
+def test_each_draw_of_the_mae_interval_has_a_digest_of_its_own(spark):
+    """Draws that share a digest have 16 bits each, which no count over 7 comes from."""
+    keys = list(range(300))
+    w = models.resampled_counts(keys, 0, 2000, 0, per_digest=1)
+    for k, b in ((0, 0), (7, 10), (299, 1999)):
+        u = int(md5(f"0|{k}|{b}".encode()).hexdigest()[:8], 16) / 2**32
+        assert w[k, b] == sum(u >= x for x in models.POISSON_32)
+    assert w.max() > 7 >= models.resampled_counts(keys, 0, 2000, 0).max()
+    rng = np.random.default_rng(3)
+    t, e = rng.uniform(1, 9, 300), rng.uniform(0, 9, 300)
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, x, y in zip(keys, t, e, strict=True)], "record_id long, target double, predicted double")
+    mae = (np.abs(e - t) @ w) / w.sum(0)
+    assert tuple(models.bootstrap_mae(df, 2000, per_digest=1).first()) == pytest.approx(tuple(np.percentile(mae, [2.5, 50, 97.5])))
+
+
+def test_digests_side_by_side_are_md5():
+    heads, tails = [b"x" * n for n in (0, 1, 3, 49, 51, 52, 55, 60)], [b"", b"1", b"1999"]
+    got = models.md5_pairs(heads, tails)
+    assert all(got[i, j].tobytes() == md5(x + y).digest() for i, x in enumerate(heads) for j, y in enumerate(tails))
