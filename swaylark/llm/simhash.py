@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -297,6 +298,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def blocks_of(node: np.ndarray) -> np.ndarray:
+    """A hash of each node, by whose remainder it has a block."""
+    return (node.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(33)).astype(np.int64)
+
+
 def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarray]], distance: int, most: int) -> DataFrame:
     """Each node (fp, node, region) under all partition values in a ball around its own, with radii of its own choice.
 
@@ -311,7 +317,7 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
         for batch in batches:
             fps, node, region = (np.asarray(batch.column(k)) for k in range(3))
             fps = fps.view(np.uint64)
-            block_of = (node.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(33)).astype(np.int64)
+            block_of = blocks_of(node)
             values = [part_values(fps, g) for g in groups]
             costs = np.full((len(groups), distance + 2, len(fps)), np.inf)
             costs[:, 0] = 0
@@ -331,9 +337,18 @@ def _balls(nodes: DataFrame, groups: list[list[int]], counts: list[list[np.ndarr
                     other = np.arange(len(near)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                     own = block_of[who] % of
                     place = near | i << 60 | np.minimum(own, other) << 46 | np.maximum(own, other) << 32
-                    yield pa.RecordBatch.from_pydict({"place": pa.array(place), "fp": pa.array(fps[who].view(np.int64)), "node": pa.array(node[who]), "region": pa.array(region[who])})
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(place), "fp": pa.array(fps[who].view(np.int64)), "node": pa.array(node[who]), "region": pa.array(region[who]), "radius": pa.array(np.full(len(who), r, np.int8))})
+
+    return nodes.select("fp", "node", "region").mapInArrow(dealt, "place long, fp long, node long, region long, radius byte")
 
-    return nodes.select("fp", "node", "region").mapInArrow(dealt, "place long, fp long, node long, region long")
+
+def _middle(one: np.ndarray, two: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Of the values in both balls the one on the way from ``one``, at its radius or at ``two`` if that is nearer: lowest bits go first."""
+    left, flips = one ^ two, np.zeros_like(one)
+    for k in range(int(radius.max(initial=0))):
+        flips |= np.where(radius > k, left & -left, 0)
+        left &= left - 1
+    return one ^ flips
 
 
 def near_rows(fps: np.ndarray, regions: np.ndarray, rows: np.ndarray, distance: int) -> np.ndarray:
@@ -381,26 +396,40 @@ def meetings(fps: np.ndarray, regions: np.ndarray, distance: int, dense: int = D
             yield own[i + a], own[j], False
 
 
-def candidates(distinct: DataFrame, distance: int, parts: int = 4, most: int = MOST, dense: int = DENSE) -> DataFrame:
+def cut(distinct: DataFrame, parts: int = 4) -> tuple[list[list[int]], int]:
+    """The bits of each of so many partitions (none for fewer than two fingerprints), and how many fingerprints there are."""
+    products, n = bit_products(distinct)
+    return (group_bits(products, n, parts) if n > 1 else []), n
+
+
+def candidates(distinct: DataFrame, distance: int, parts: int = 4, most: int = MOST, dense: int = DENSE, groups: tuple[list[list[int]], int] | None = None) -> DataFrame:
     """Pairs (u, v, crowd) of nodes whose fingerprints are within ``distance`` bits and whose regions differ.
 
     ``distinct`` has fp, a long node (its fp where it is missing) and a region (its node where it is missing). All pairs
     are there but those of crowds, groups with more than ``dense`` pairs for each member where they meet: of a crowd only
-    enough pairs to make it one region.
+    enough pairs to make it one region. ``groups``: what ``cut`` gives, if that is known.
     """
-    products, n = bit_products(distinct)
+    groups, n = groups or cut(distinct, parts)
     if n < 2:
         return distinct.sparkSession.createDataFrame([], "u long, v long, crowd boolean")
     if distance + 1 > 5 * parts or (distance + 1 - parts) % 2:
         raise ValueError("the partitions' radii cannot sum to this distance")
-    groups = group_bits(products, n, parts)
     counts = [[coded(c) for c in ball_counts(h, 3)] for h in histograms(distinct, groups)]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         known = Sets()  # what this task has made one region
 
-        def pairs(place: np.ndarray, fps: np.ndarray, node: np.ndarray, region: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def own_place(at: int, one: tuple, two: tuple, radius: np.ndarray) -> np.ndarray:
+            """Which pairs are told of at this place, one of those of a partition where they meet. Each of a pair: fingerprints and nodes."""
+            part, value, low, high = at >> 60, at & 0xFFFFFFFF, at >> 46 & 0x3FFF, at >> 32 & 0x3FFF
+            told = _middle(part_values(one[0], groups[part]), part_values(two[0], groups[part]), radius) == value
+            if low != high:  # those of one block are told of where it is alone
+                blocks = 1 + int(decoded(counts[part][2][np.array([value])])[0] // most)
+                told &= blocks_of(one[1]) % blocks != blocks_of(two[1]) % blocks
+            return told
+
+        def pairs(place: np.ndarray, fps: np.ndarray, node: np.ndarray, region: np.ndarray, radius: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             ends = np.append(starts[1:], len(place))
             out, size = [], 0
@@ -414,6 +443,10 @@ def candidates(distinct: DataFrame, distance: int, parts: int = 4, most: int = M
                     if crowd:
                         new = [known.join(x, y) for x, y in zip(region[a:b][i].tolist(), region[a:b][j].tolist(), strict=True)]
                         i, j = i[new], j[new]
+                    else:
+                        u, v = a + i, a + j
+                        told = own_place(int(place[a]), (fps[u].view(np.uint64), node[u]), (fps[v].view(np.uint64), node[v]), radius[u])
+                        i, j = i[told], j[told]
                     out.append((node[a:b][i], node[a:b][j], np.full(len(i), crowd)))
                     size += len(i)
                     if size > 1 << 18:
@@ -439,6 +472,47 @@ def candidates(distinct: DataFrame, distance: int, parts: int = 4, most: int = M
     return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("crowd").alias("crowd"))
 
 
+def crowds(nodes: DataFrame, names: list[str], groups: list[list[list[int]]], distance: int, dense: int = 1, chunk: int = 512) -> DataFrame:
+    """Links (u, v) that make regions of nodes that crowd under one value of a partition (``groups``) of one of their fingerprints (``names``).
+
+    Each node is under its own values alone, a row for each, and is compared with at most ``chunk`` neighbours in order of
+    fingerprints, so rows and work grow in proportion however large a group is. What this misses ``candidates`` finds; what it
+    finds is there no list of pairs.
+    """
+    if not all(groups):
+        return nodes.sparkSession.createDataFrame([], "u long, v long")
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in enumerate(groups):
+                fps = np.asarray(batch.column(k + 1)).view(np.uint64)
+                for i, group in enumerate(own):
+                    yield pa.RecordBatch.from_pydict({"place": pa.array(part_values(fps, group) | (k * len(own) + i) << 32), "fp": batch.column(k + 1), "node": batch.column(0)})
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Sets()
+        for batch in batches:
+            place, fps, node = (np.asarray(batch.column(k)) for k in range(3))
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            u, v = [], []
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(place)], strict=True):
+                for a in range(x, y, chunk):
+                    some = node[a : min(a + chunk, y)]
+                    if len(some) <= 2 * dense + 1:
+                        continue  # too few for so many pairs
+                    for i, j, crowd in meetings(fps[a : a + len(some)].view(np.uint64), some, distance, dense):
+                        new = [crowd and known.join(p, q) for p, q in zip(some[i].tolist(), some[j].tolist(), strict=True)]
+                        u.append(some[i][new])
+                        v.append(some[j][new])
+            if u:
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+
+    dealt = nodes.select("node", *names).mapInArrow(valued, "place long, fp long, node long")
+    n_tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(names) // 100_000)
+    ordered = dealt.repartitionByRange(n_tasks, "place", "fp", "node").sortWithinPartitions("place", "fp", "node")
+    return ordered.mapInArrow(crowded, "u long, v long")
+
+
 class Compared:
     """Sets of shingle hashes side by side: how many any two have in common, from one bit for each hash that occurs twice."""
 
@@ -563,19 +637,16 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         prints = C.staged(several_prints(docs, key, text, words), "simhash-prints")
         nodes = C.staged(prints.groupBy("sha", *names).agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
         bodies = docs.select(F.col(key).cast("long").alias("id"), C.body(text).alias("body"))
-        placed, crowds, pairs = nodes.withColumn("region", F.col("node")), None, None
-        for name in names:
-            close = C.staged(candidates(placed.withColumnRenamed(name, "fp"), distance), "simhash-candidates")
-            pairs = close.where("not crowd") if pairs is None else pairs.unionAll(close.where("not crowd"))
-            if crowds is None:  # what meets in a region is not looked for by the other fingerprints
-                crowds = close.where("crowd")
-                regions = components(crowds).select("node", F.col("root").alias("region"))
-                placed = C.staged(nodes.join(regions.hint("merge"), "node", "left").withColumn("region", F.coalesce("region", "node")), "simhash-placed")
-            else:
-                crowds = crowds.unionAll(close.where("crowd"))
+        cuts = [cut(nodes.withColumnRenamed(name, "fp")) for name in names]
+        met = C.staged(crowds(nodes, names, [x for x, _ in cuts], distance), "simhash-crowds")
+        regions = components(met).select("node", F.col("root").alias("region"))  # what meets in a region is not looked for
+        placed = C.staged(nodes.join(regions.hint("merge"), "node", "left").withColumn("region", F.coalesce("region", "node")), "simhash-placed")
+        close = [C.staged(candidates(placed.withColumnRenamed(name, "fp"), distance, groups=x), "simhash-candidates") for name, x in zip(names, cuts, strict=True)]
+        pairs = reduce(DataFrame.unionAll, [x.where("not crowd") for x in close])
+        crowded = reduce(DataFrame.unionAll, [x.where("crowd").select("u", "v") for x in close], met)
         links = similar(pairs.select("u", "v").distinct(), bodies, words, least)
-        if not crowds.isEmpty():
-            regions = C.staged(components(crowds), "simhash-regions")
+        if not crowded.isEmpty():
+            regions = C.staged(components(crowded), "simhash-regions")
             links = links.unionAll(region_links(regions, nodes, bodies, words, distance, least, names))
         found = components(links)
         rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -14,6 +14,8 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from swaylark.llm import align_tokens, centroids, idtools, pieces, queries
+from swaylark.llm import simhash
+from swaylark.llm.components import Sets
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -269,3 +271,40 @@ def test_staged_tables_of_two_threads_stay_apart(spark):
     for path in (gone_a, gone_b):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_near_copies_are_regions_before_pairs_are_listed(spark):
+    """Pairs that come out grow with the members of a group of near copies, not with its square, and each is told of once a partition."""
+    told = {}
+    for n in (200, 800):
+        rng = np.random.default_rng(n)
+        flips = (np.uint64(1) << rng.integers(0, 64, (n, 4)).astype(np.uint64)) * (rng.random((n, 4)) < 0.7)
+        one = np.uint64(0x0F1E2D3C4B5A6978) ^ np.bitwise_xor.reduce(flips.astype(np.uint64), axis=1)
+        fps = np.unique(np.concatenate([one, rng.integers(0, 1 << 63, 300).astype(np.uint64)])).view(np.int64)
+        nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps)], "node long, fp0 long")
+        plain = nodes.withColumnRenamed("fp0", "fp")
+        groups = simhash.cut(plain)
+        links = simhash.crowds(nodes, ["fp0"], [groups[0]], 11).collect()
+        assert links and len(links) <= 4 * len(fps)
+        sets = Sets()
+        for u, v in links:
+            sets.join(u, v)
+        region = {i: sets.find(i) for i in range(len(fps))}
+        placed = nodes.withColumnRenamed("fp0", "fp").join(spark.createDataFrame(list(region.items()), "node long, region long"), "node")
+        got = simhash.candidates(placed, 11, groups=groups).collect()
+        told[n] = len(links) + len(got)
+        for u, v, _ in got:
+            sets.join(u, v)
+        close = [(i, j) for i in range(len(fps)) for j in range(i) if ((int(fps[i]) ^ int(fps[j])) & (1 << 64) - 1).bit_count() <= 11]
+        assert all(sets.find(i) == sets.find(j) for i, j in close)  # no link is lost
+    assert told[800] < 5 * told[200]
+
+
+def test_two_balls_have_one_middle():
+    rng = np.random.default_rng(4)
+    one, two = rng.integers(0, 1 << 16, 4000), rng.integers(0, 1 << 16, 4000)
+    two = np.where(rng.random(4000) < 0.9, one ^ (1 << rng.integers(0, 16, 4000)) ^ (1 << rng.integers(0, 16, 4000)) ^ (1 << rng.integers(0, 16, 4000)), two)
+    r, s = rng.integers(0, 3, 4000), rng.integers(0, 3, 4000)
+    middle = simhash._middle(one, two, r)
+    inside = (np.bitwise_count(middle ^ one) <= r) & (np.bitwise_count(middle ^ two) <= s)
+    assert (inside == (np.bitwise_count(one ^ two) <= r + s)).all()
