@@ -12,9 +12,9 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,23 @@ KEPT_PIECES = 400_000
 SHARD = 128 << 20
 #: Letters for which composition changes nothing and lower case is a letter for a letter, in lower case.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
-#: What texts of such letters and ASCII alone do not have; and the pieces of such texts in lower case, by the pattern below.
+#: What texts of such letters and ASCII alone do not have.
 ODD = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
-PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\t-\r {LETTERS}0-9]+")
+#: The same for bytes of Latin-1: white space 0, letters 1, digits 2, others 3; lower case; and the letters of a contraction by its first two.
+KINDS = np.array([0 if re.match("[\t-\r ]", chr(b)) else 1 if re.match(f"[{LETTERS}]", chr(b)) else 2 if chr(b) in "0123456789" else 3 for b in range(256)], np.uint8)
+LOWER = bytes(ord(chr(b).lower()) for b in range(256))
+CONTRACTIONS = np.zeros((256, 256), np.int64)
+CONTRACTIONS[[ord(x) for x in "stmd"]] = 1
+CONTRACTIONS[[ord(x) for x in "rvl"], [ord(x) for x in "eel"]] = 2
+#: The letters that stand for bytes in the vocabulary (itself, if it can be seen); what differs from Latin-1 in them.
+SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+BYTES = [chr(b) if b in SEEN else chr(256 + b - sum(x < b for x in SEEN)) for b in range(256)]
+SPELLED = {chr(b): "".join(BYTES[x] for x in chr(b).encode()) for b in range(256)}
+UNUSUAL = re.compile("[^ -~]")
+#: Pieces of fewer bytes go by two words, their bytes and their length in the topmost; pieces that the tokenizer has at once.
+LONG, RUN = 16, 256
+MASKS = [np.array([(1 << 8 * min(max(n - first, 0), most)) - 1 for n in range(LONG + 1)], np.uint64) for first, most in ((0, 8), (8, 7))]
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: White space of str.split that the tokenizer keeps, and what white space is to both.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -58,11 +72,89 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+class PieceTable:
+    """Pieces of up to LONG - 1 bytes by two 64-bit words that hold their bytes and their length, so equal words are equal pieces.
+
+    An open-addressing table in numpy: all pieces of a call are looked up at once. Its numbers are places in the arrays of PieceEncoder.
+    """
+
+    def __init__(self):
+        self.slots = np.full(1 << 14, -1, np.int32)
+        self.held, self.keys, self.numbers = 0, np.zeros((2, 1 << 12), np.uint64), np.zeros(1 << 12, np.int32)
+
+    def _slots_of(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[0] ^ (keys[1] * MIX[0])) * MIX[1]
+        mixed ^= mixed >> np.uint64(32)
+        return (mixed * MIX[0] >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each piece, or -1."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        slots, left = self._slots_of(keys), None
+        while left is None or len(left):
+            at = self.slots[slots]
+            seen = np.maximum(at, 0)
+            same = (at >= 0) & (self.keys[0][seen] == keys[0]) & (self.keys[1][seen] == keys[1])
+            out[np.flatnonzero(same) if left is None else left[same]] = self.numbers[seen[same]]
+            on = np.flatnonzero((at >= 0) & ~same)
+            left, keys, slots = on if left is None else left[on], keys[:, on], slots[on] + 1 & len(self.slots) - 1
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Pieces that are not in the table, each once."""
+        n, m = self.held, keys.shape[1]
+        if n + m > len(self.numbers):
+            self.keys = np.concatenate([self.keys[:, :n], np.zeros((2, n + 2 * m), np.uint64)], 1)
+            self.numbers = np.concatenate([self.numbers[:n], np.zeros(n + 2 * m, np.int32)])
+        self.keys[:, n : n + m], self.numbers[n : n + m], self.held = keys, numbers, n + m
+        first = n
+        if 3 * self.held > len(self.slots):
+            self.slots, first = np.full(1 << (4 * self.held).bit_length(), -1, np.int32), 0
+        left = np.arange(first, self.held)
+        slots = self._slots_of(self.keys[:, left])
+        while len(left):
+            free = self.slots[slots] < 0
+            self.slots[slots[free]] = left[free]
+            on = self.slots[slots] != left  # taken, or another of these went there
+            left, slots = left[on], slots[on] + 1 & len(self.slots) - 1
+
+    def kept(self, stays: np.ndarray, places: np.ndarray) -> PieceTable:
+        """A table of the pieces whose place stays, with their new places."""
+        out, on = PieceTable(), np.flatnonzero(stays[self.numbers[: self.held]])
+        out.add(self.keys[:, on], places[self.numbers[on]])
+        return out
+
+
+def cut(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of lower-case Latin-1 text start, and their numbers of bytes: what PATTERN finds, for all texts at once.
+
+    Pieces are runs of one kind, single digits, and an apostrophe that begins a run with the letters of CONTRACTIONS after it.
+    """
+    kinds = KINDS[raw]
+    breaks = np.empty(len(raw), bool)
+    breaks[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=breaks[1:])
+    breaks |= kinds == 2
+    marks = np.flatnonzero((raw == ord("'")) & breaks)
+    if len(marks):
+        after = np.concatenate([raw, np.zeros(3, np.uint8)])
+        size = CONTRACTIONS[after[marks + 1], after[marks + 2]]
+        marks, size = marks[size > 0], size[size > 0]
+        breaks[marks + 1] = False
+        rest = marks + 1 + size
+        breaks[rest[rest < len(raw)]] = True
+    starts = np.flatnonzero(breaks)
+    sizes = np.diff(starts, append=len(raw))
+    words = kinds[starts] > 0
+    return starts[words], sizes[words]
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer that never joins its pieces, so the ids of each piece are kept.
 
-    Texts of ASCII and common Latin letters are cut by the tokenizer's own pattern; others into words at white
-    space, which the tokenizer encodes itself.
+    Texts of ASCII and common Latin letters are cut as the tokenizer's own pattern cuts them, a byte for a letter, and
+    their pieces looked up side by side; others go as words at white space, which the tokenizer cuts itself. The
+    tokenizer encodes each piece or word that is new.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -71,69 +163,120 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.bare = None  # the same model for pieces that are cut and in lower case already
+        self.bare = None  # the same model for pieces that are cut, in lower case and in the letters that stand for bytes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        suffix, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        if kinds == NORMALIZERS and split.get("pattern", {}).get("Regex") == PATTERN:
-            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        whole = suffix and all(x in vocab and x + suffix in vocab for x in BYTES)  # so each piece's last id, and no other, has the suffix
+        if kinds == NORMALIZERS and split.get("pattern", {}).get("Regex") == PATTERN and whole:
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
             self.bare = Tokenizer.from_str(json.dumps(spec))
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
         self.turn = 0
-        self.places: dict[str, int] = {}
+        self.table, self.places, self.known = PieceTable(), {}, 0
         self.starts, self.sizes, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.pool = np.zeros(1 << 14, np.uint32)
         self.filled = 0
 
     def _trim(self) -> None:
         """Only pieces met in the later turns stay, about half."""
-        pieces = list(self.places)
-        n = len(pieces)
-        keep = np.flatnonzero(self.met[:n] > np.median(self.met[:n]))
+        n = self.known
+        stays = self.met[:n] > np.median(self.met[:n])
+        keep, places = np.flatnonzero(stays), np.cumsum(stays) - 1
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes)
         self.pool = self.pool[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        self.filled, self.starts, self.sizes, self.met = len(self.pool), ends - sizes, sizes, self.met[keep]
-        self.places = {pieces[i]: j for j, i in enumerate(keep.tolist())}
+        self.filled, self.starts, self.sizes, self.met, self.known = len(self.pool), ends - sizes, sizes, self.met[keep], len(keep)
+        self.places = {x: int(places[i]) for x, i in self.places.items() if stays[i]}
+        self.table = self.table.kept(stays, places)
 
-    def _learn(self, pieces: list[str], encoder) -> None:
-        found = [e.ids for e in encoder.encode_batch_fast(pieces, add_special_tokens=False)]
-        n, m = len(self.places), len(pieces)
+    def _learn(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep ids of new pieces; their places."""
+        n, m = self.known, len(sizes)
         if n + m > len(self.starts):
             self.starts, self.sizes, self.met = (np.concatenate([x[:n], np.zeros(2 * m + n, np.int64)]) for x in (self.starts, self.sizes, self.met))
-        self.places.update(zip(pieces, range(n, n + m), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, m)
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         if self.filled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.filled], np.zeros(2 * len(flat) + self.filled, np.uint32)])
         self.sizes[n : n + m] = sizes
         self.starts[n : n + m] = self.filled + np.cumsum(sizes) - sizes
         self.pool[self.filled : self.filled + len(flat)] = flat
-        self.filled += len(flat)
+        self.filled, self.known = self.filled + len(flat), n + m
+        return np.arange(n, n + m)
+
+    def _words(self, words: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The places of words by their strings."""
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
+            self.places.update(zip(new, self._learn(*encode(new)).tolist(), strict=True))
+            at[missing] = [self.places[words[i]] for i in missing.tolist()]
+        return at
 
-    def _placed(self, pieces: list[str], encoder) -> np.ndarray:
-        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def _by_word(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _by_piece(self, pieces: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that stand end to end with a space after each, and each one's number of ids."""
+        bounds = [0, *ends[RUN - 1 : -1 : RUN].tolist(), int(ends[-1])]
+        runs = [UNUSUAL.sub(lambda x: SPELLED[x[0]], pieces[a:b]) for a, b in pairwise(bounds)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(runs, add_special_tokens=False)])
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _long(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._by_piece("".join(f"{x} " for x in pieces), np.cumsum([len(x) + 1 for x in pieces]))
+
+    def _pieces(self, text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of the pieces of a text."""
+        padded = np.frombuffer(text + bytes(LONG), np.uint8)
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # eight bytes from each place
+        short = np.minimum(sizes, LONG)
+        keys = np.stack([words[starts] & MASKS[0][short], words[starts + 8] & MASKS[1][short] | short.astype(np.uint64) << np.uint64(56)])
+        at = self.table.find(keys)
+        long = np.flatnonzero(sizes >= LONG)
+        if len(long):
+            at[long] = self._words([text[a : a + n].decode("latin-1") for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)], self._long)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = [pieces[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)), encoder)
-            at[missing] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+            order = missing[np.lexsort(keys[:, missing])]
+            heads = np.append(True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(0))
+            new = order[heads]
+            ends = np.cumsum(sizes[new] + 1)
+            laid = padded[np.repeat(starts[new] + sizes[new] + 1 - ends, sizes[new] + 1) + np.arange(int(ends[-1]))]
+            laid[ends - 1] = ord(" ")
+            numbers = self._learn(*self._by_piece(laid.tobytes().decode("latin-1"), ends))
+            self.table.add(keys[:, new], numbers)
+            at[order] = numbers[np.cumsum(heads) - 1]
         return at
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id; and each one's number of ids."""
         self.turn += 1
-        if len(self.places) > KEPT_PIECES:
+        if self.known > KEPT_PIECES:
             self._trim()
         plain = np.array([self.bare is not None and not ODD.search(x) and not any(y in x for y in self.special) for x in texts], bool)
-        lists = [PIECES.findall(x.lower()) if p else words_of(x) for x, p in zip(texts, plain.tolist(), strict=True)]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        counts = np.zeros(len(texts), np.int64)
+        parts = {}
+        if plain.any():
+            text = "\n".join([x for x, p in zip(texts, plain.tolist(), strict=True) if p]).encode("latin-1").translate(LOWER)
+            starts, sizes = cut(np.frombuffer(text, np.uint8))
+            ends = np.cumsum([len(x) + 1 for x, p in zip(texts, plain.tolist(), strict=True) if p])
+            counts[plain] = np.diff(np.searchsorted(starts, ends), prepend=0)
+            parts[True] = self._pieces(text, starts, sizes)
+        if not plain.all():
+            lists = [words_of(x) for x, p in zip(texts, plain.tolist(), strict=True) if not p]
+            counts[~plain] = [len(x) for x in lists]
+            parts[False] = self._words(list(chain.from_iterable(lists)), self._by_word)
         at = np.empty(int(counts.sum()), np.int64)
         of = np.repeat(plain, counts)
-        for kind, encoder in ((True, self.bare), (False, self.tokenizer)):
-            if (plain == kind).any():
-                at[of == kind] = self._placed(list(chain.from_iterable(x for x, p in zip(lists, plain.tolist(), strict=True) if p == kind)), encoder)
+        for kind, places in parts.items():
+            at[of == kind] = places
         self.met[at] = self.turn
         sizes, starts = self.sizes[at], self.starts[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])

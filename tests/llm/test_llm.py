@@ -650,6 +650,42 @@ def test_pieces_after_forgetting(monkeypatch):
     assert len(encoder.places) < 2000
 
 
+def test_new_pieces_go_to_the_tokenizer_in_runs():
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.given = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    rng = np.random.default_rng(15)
+    kinds = ["'s", "'t", "'re", "'v", "'ll", "''", "\x00", "\x00\x00", "\x1c", "\t", " ", "\n", "7", "\u00df", "\u00c9t", "a" * 15, "a" * 16, "-" * 40, "x", "Y", ".", "</w>"]
+    texts = ["", *("".join(rng.choice(kinds, rng.integers(1, 12))) for _ in range(3000))]
+    t, encoder = Tokenizer.from_file(tokens.tokenizer_path()), tokens.PieceEncoder(tokens.tokenizer_path(), 1)
+    encoder.bare = Counting(encoder.bare)
+    for _ in range(2):  # met for the first time, and known
+        flat, sizes = encoder(texts)
+        ends = np.cumsum(sizes)
+        for x, end, n in zip(texts, ends, sizes, strict=True):
+            assert flat[end - n : end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+    assert encoder.known > 400 and encoder.bare.given < encoder.known / 20
+
+
+def test_piece_table_tells_keys_of_one_slot_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "MIX", np.zeros(2, np.uint64))  # every key starts at slot 0
+    table = tokens.PieceTable()
+    keys = np.stack([np.arange(300, dtype=np.uint64) // np.uint64(7), np.arange(300, dtype=np.uint64) % np.uint64(7)])
+    table.add(keys[:, :100], np.arange(100))
+    table.add(keys[:, 100:200], np.arange(100, 200))
+    assert table.find(keys).tolist() == [*range(200), *[-1] * 100]
+    stays = np.arange(200) % 3 == 0
+    left = table.kept(stays, np.cumsum(stays) - 1)
+    assert left.find(keys).tolist() == [i // 3 if i < 200 and i % 3 == 0 else -1 for i in range(300)]
+
+
 # 8
 
 
