@@ -47,8 +47,8 @@ SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
 BYTES = [chr(b) if b in SEEN else chr(256 + b - sum(x < b for x in SEEN)) for b in range(256)]
 SPELLED = {chr(b): "".join(BYTES[x] for x in chr(b).encode()) for b in range(256)}
 UNUSUAL = re.compile("[^ -~]")
-#: Pieces of fewer bytes go by two words, their bytes and their length in the topmost; pieces that the tokenizer has at once.
-LONG, RUN = 16, 256
+#: Pieces of fewer bytes go by two words, their bytes and their length in the topmost; pieces that the tokenizer has at once; pieces looked up side by side.
+LONG, RUN, SIDE = 16, 256, 1 << 18
 MASKS = [np.array([(1 << 8 * min(max(n - first, 0), most)) - 1 for n in range(LONG + 1)], np.uint64) for first, most in ((0, 8), (8, 7))]
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: White space of str.split that the tokenizer keeps, and what white space is to both.
@@ -233,8 +233,8 @@ class PieceEncoder:
         return self._by_piece("".join(f"{x} " for x in pieces), np.cumsum([len(x) + 1 for x in pieces]))
 
     def _pieces(self, text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The places of the pieces of a text."""
-        padded = np.frombuffer(text + bytes(LONG), np.uint8)
+        """The places of pieces of a text that has LONG bytes after it."""
+        padded = np.frombuffer(text, np.uint8)
         words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # eight bytes from each place
         short = np.minimum(sizes, LONG)
         keys = np.stack([words[starts] & MASKS[0][short], words[starts + 8] & MASKS[1][short] | short.astype(np.uint64) << np.uint64(56)])
@@ -264,11 +264,11 @@ class PieceEncoder:
         counts = np.zeros(len(texts), np.int64)
         parts = {}
         if plain.any():
-            text = "\n".join([x for x, p in zip(texts, plain.tolist(), strict=True) if p]).encode("latin-1").translate(LOWER)
-            starts, sizes = cut(np.frombuffer(text, np.uint8))
+            text = "\n".join([x for x, p in zip(texts, plain.tolist(), strict=True) if p]).encode("latin-1").translate(LOWER) + bytes(LONG)
+            starts, sizes = cut(np.frombuffer(text, np.uint8, len(text) - LONG))
             ends = np.cumsum([len(x) + 1 for x, p in zip(texts, plain.tolist(), strict=True) if p])
             counts[plain] = np.diff(np.searchsorted(starts, ends), prepend=0)
-            parts[True] = self._pieces(text, starts, sizes)
+            parts[True] = np.concatenate([self._pieces(text, starts[i : i + SIDE], sizes[i : i + SIDE]) for i in range(0, max(1, len(starts)), SIDE)])
         if not plain.all():
             lists = [words_of(x) for x, p in zip(texts, plain.tolist(), strict=True) if not p]
             counts[~plain] = [len(x) for x in lists]

@@ -650,7 +650,7 @@ def test_pieces_after_forgetting(monkeypatch):
     assert len(encoder.places) < 2000
 
 
-def test_new_pieces_go_to_the_tokenizer_in_runs():
+def test_new_pieces_go_to_the_tokenizer_in_runs(monkeypatch):
     from tokenizers import Tokenizer
 
     class Counting:
@@ -666,7 +666,8 @@ def test_new_pieces_go_to_the_tokenizer_in_runs():
     texts = ["", *("".join(rng.choice(kinds, rng.integers(1, 12))) for _ in range(3000))]
     t, encoder = Tokenizer.from_file(tokens.tokenizer_path()), tokens.PieceEncoder(tokens.tokenizer_path(), 1)
     encoder.bare = Counting(encoder.bare)
-    for _ in range(2):  # met for the first time, and known
+    for side in (tokens.SIDE, 7):  # met for the first time, and known
+        monkeypatch.setattr(tokens, "SIDE", side)
         flat, sizes = encoder(texts)
         ends = np.cumsum(sizes)
         for x, end, n in zip(texts, ends, sizes, strict=True):
