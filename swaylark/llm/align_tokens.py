@@ -1,7 +1,7 @@
 """Which tokens of two tokenizers cover each other.
 
-Both encode the same bytes, a space and the text. All texts of an Arrow batch are laid end to end, so that a
-token's end is one byte offset in the batch; ends of A and of B are counted by offset (a bincount each), and
+Both encode the same bytes, a space and the text. Texts of an Arrow batch are laid end to end, part by part, so that
+a token's end is one byte offset in the part; ends of A and of B are counted by offset (a bincount each), and
 where both occur is a cut between groups. Prefix sums of the counts say which group a token is in and which
 tokens meet between two neighbouring ends, and differences at the documents' ends give each document's part.
 
@@ -35,8 +35,8 @@ from .tokens import pack, tokenizer_path, unpack
 
 #: Bytes of text in a block, but for a single longer text.
 BLOCK = 4 << 20
-#: Bytes of text that are laid end to end, and offsets that are counted at once.
-PART = 2 << 20
+#: Bytes of text that are laid end to end, as a worker's memory grows with them, and offsets that are counted at once.
+PART = 1 << 19
 SPAN = 1 << 20
 #: Characters that may be white space to some table of characters but not to all, and these with those that are to all.
 HALF = "\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"

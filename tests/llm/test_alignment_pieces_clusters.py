@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from swaylark.llm import align_tokens, centroids, idtools, pieces, queries
+from swaylark.llm import common as C
 from swaylark.llm import simhash
 from swaylark.llm.components import Sets
 
@@ -172,6 +175,24 @@ def test_alignment_in_many_blocks_and_spans(spark, texts, monkeypatch):
         assert (getattr(whole, name) == getattr(parts, name)).all()
 
 
+def test_a_batch_is_aligned_in_parts_that_hold_little_memory(texts):
+    a, b = align_tokens.byte_model_of(public_tokenizers.path("byte_bpe_50k.json")), pieces.library_model_of(pieces.model_path())
+    long = " ".join(x for _, x in texts if x)
+    batch = pa.record_batch({"text": [long[i : i + 5000] for i in range(0, len(long), 5000)] * (1 + (3 << 20) // len(long))})
+    whole = C.values(batch, "text")
+    want = align_tokens._encoded(whole, a, b)  # and no word is new any more
+    held = Counter(dict(zip(*map(np.ndarray.tolist, align_tokens._aligned(*want, a, b).pairs()), strict=True)))
+    got, found = [], Counter()
+    tracemalloc.start()
+    for i, j in C.blocks(batch, "text", align_tokens.PART):
+        got.append(align_tokens._encoded(C.values(batch.slice(i, j - i), "text"), a, b))
+        found.update(dict(zip(*map(np.ndarray.tolist, align_tokens._aligned(*got[-1], a, b).pairs()), strict=True)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [np.concatenate(x).tolist() for x in zip(*got, strict=True)] == [x.tolist() for x in want] and found == held
+    assert most < 64 << 20, f"{most >> 20} MB at once"
+
+
 def test_words_are_cut_where_the_byte_tokenizer_cuts():
     rng, path = random.Random(9), public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, own = Tokenizer.from_file(path), align_tokens.ByteModel(path)
