@@ -331,21 +331,16 @@ def spaced(points: DataFrame, least: float, group: str, strength: str = "respons
     return points.select(group, "point_id", "x", "y", strength).groupBy(group).applyInPandas(kernel, f"{group} {kinds[group]}, point_id {kinds['point_id']}")
 
 
-def selected_points(points: DataFrame, least: float, group: str, cell: float | None = None, quota: int | None = None, target: int | None = None, strength: str = "response") -> DataFrame:
-    """Points that a greedy choice keeps, the strongest first: group, point_id, order (from 1), complete.
-
-    A point is kept if it is ``least`` or more from every kept one of its group and, with ``cell`` and ``quota``, if fewer than
-    ``quota`` of its square cell are kept; the first ``target`` kept ones of a group are returned, and complete says whether there
-    are as many. Of equal strength the lesser point_id comes first.
+def _chosen_by_rounds(undecided: DataFrame, least: float, group: str, quota: int | None) -> DataFrame:
+    """The points that ``selected_points`` keeps, of groups of any size, by rounds over all groups at once.
 
-    The choice goes by rounds over all groups at once. Points lie in squares so small that two of one square are always too near; a
+    Points lie in squares so small that two of one square are always too near; a
     square's strongest undecided point is kept once no stronger undecided point is too near and its cell's quota cannot be
     filled by stronger ones; what a kept point rules out goes. A point meets the one candidate of each of 25 squares, so work is
     linear in the points of a round, however they crowd, and the strongest point of all is always decided.
     """
     side = least / 1.4143
-    undecided = points.select(group, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(strength).alias("s"))
-    undecided = undecided.withColumns({"u": F.floor(F.col("x") / side), "v": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / cell) if cell else F.lit(0).cast("long"), "cy": F.floor(F.col("y") / cell) if cell else F.lit(0).cast("long")})
+    undecided = undecided.withColumns({"u": F.floor(F.col("x") / side), "v": F.floor(F.col("y") / side)})
     state = staged(undecided.withColumns({"state": F.lit(0), "round": F.lit(0)}), "points")
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])).alias("d")
     square = [group, "u", "v"]
@@ -382,8 +377,70 @@ def selected_points(points: DataFrame, least: float, group: str, cell: float | N
         after = state.where("state >= 0").join(marks, [group, "point_id"], "left").withColumns({"state": F.coalesce("now", "state"), "round": F.when(F.col("now") == 1, number).otherwise(F.col("round"))}).drop("now").where("state >= 0")
         last, state = state, staged(after, "points")
         unstage(last, kept)
-    chosen = state.where("state = 1")
+    return state.where("state = 1")
+
+
+def _cells(*columns: pa.Array) -> np.ndarray:
+    """A number for each row, the same for equal rows; null is a value."""
+    parts = [np.asarray(c.fill_null(0)) for c in columns] + [np.asarray(c.is_null()) for c in columns]
+    return np.unique(np.stack(parts, 1), axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _chosen_by_group(undecided: DataFrame, least: float, group: str, quota: int | None, target: int | None) -> DataFrame:
+    """The points that ``selected_points`` keeps, in their order, a group's points being one row for a numpy kernel: group, point_id, order, complete."""
+    kinds = dict(undecided.dtypes)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = np.asarray(lists.offsets)
+            x, y = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+            cells = _cells(lists.values.field("cx"), lists.values.field("cy")) if quota and len(x) else None
+            at, places, chosen, whole = [], [], [], []
+            for g, (i, j) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                left, kept, filled = np.ones(j - i, bool), [], {}
+                px, py = x[i:j], y[i:j]
+                while left.any() and (not target or len(kept) < target):
+                    k = int(left.argmax())
+                    kept.append(k)
+                    with np.errstate(invalid="ignore"):
+                        left &= ~(np.hypot(px - px[k], py - py[k]) < least)
+                    left[k] = False
+                    if quota:
+                        c = cells[i + k]
+                        filled[c] = filled.get(c, 0) + 1
+                        if filled[c] >= quota:
+                            left &= cells[i:j] != c
+                at += [g] * len(kept)
+                places += [i + k for k in kept]
+                chosen += range(1, len(kept) + 1)
+                whole += [not target or len(kept) >= target] * len(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), lists.values.field("point_id").take(pa.array(places, pa.int64())), pa.array(chosen, pa.int32()), pa.array(whole, pa.bool_())], names=[group, "point_id", "order", "complete"])
+
+    order = [F.col("s").isNull().alias("a"), (~F.isnan(F.col("s").cast("double"))).alias("b"), (-F.col("s")).alias("c")]  # the strongest first, NaN above all, null last
+    rows = undecided.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, "point_id", "x", "y", "cx", "cy"))).alias("points"))
+    return rows.mapInArrow(kernel, f"{group} {kinds[group]}, point_id {kinds['point_id']}, order int, complete boolean")
+
+
+def selected_points(points: DataFrame, least: float, group: str, cell: float | None = None, quota: int | None = None, target: int | None = None, strength: str = "response", whole: int = 2048) -> DataFrame:
+    """Points that a greedy choice keeps, the strongest first: group, point_id, order (from 1), complete.
+
+    A point is kept if it is ``least`` or more from every kept one of its group and, with ``cell`` and ``quota``, if fewer than
+    ``quota`` of its square cell are kept; the first ``target`` kept ones of a group are returned, and complete says whether there
+    are as many. Of equal strength the lesser point_id comes first.
+
+    Groups of up to ``whole`` points are chosen from by themselves, each in a task; larger ones go by rounds over all their points.
+    """
+    undecided = points.select(group, "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(strength).alias("s"))
+    undecided = undecided.withColumns({"cx": F.floor(F.col("x") / cell) if cell else F.lit(0).cast("long"), "cy": F.floor(F.col("y") / cell) if cell else F.lit(0).cast("long")})
+    large = staged(undecided.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select(group), "large-groups")
+    if large.isEmpty():
+        unstage(large)
+        return _chosen_by_group(undecided, least, group, quota, target)
+    small = _chosen_by_group(undecided.join(large, group, "left_anti"), least, group, quota, target)
+    chosen = _chosen_by_rounds(undecided.join(large, group, "left_semi"), least, group, quota)
     ranked = chosen.withColumn("order", F.row_number().over(W.partitionBy(group).orderBy(F.col("s").desc(), "point_id")))
     if target:
         ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(group))).where(F.col("order") <= target)
-    return ranked.select(group, "point_id", "order", (F.col("_n") >= target).alias("complete") if target else F.lit(True).alias("complete"))
+    ranked = ranked.select(group, "point_id", "order", (F.col("_n") >= target).alias("complete") if target else F.lit(True).alias("complete"))
+    return small.unionByName(ranked)

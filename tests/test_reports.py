@@ -75,6 +75,21 @@ def test_chosen_points_are_those_of_the_greedy_loop(spark, options):
         assert all(r["complete"] == (len(want) == options.get("target", len(want))) for r in mine)
 
 
+@pytest.mark.parametrize("options", [{}, {"cell": 20.0, "quota": 2}, {"cell": 15.0, "quota": 1, "target": 6}])
+def test_small_groups_are_chosen_in_one_pass_and_large_ones_by_rounds(spark, options, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, *map(float, np.round(rng.uniform(0, 60, 2) if i % 3 else rng.normal(20, 2, 2), 2)), float(rng.integers(0, 12))) for g in range(3) for i in range((20, 40, 90)[g])]
+    df = spark.createDataFrame(rows, "frame long, point_id long, x double, y double, response double")
+    made, real = [], geometry.staged
+    monkeypatch.setattr(geometry, "staged", lambda d, name: made.append(name) or real(d, name))
+    once = sorted(map(tuple, geometry.selected_points(df, 6.0, "frame", **options).collect()))
+    assert made == ["large-groups"]  # no rounds: their plans fill the driver
+    for whole in (0, 40):
+        assert sorted(map(tuple, geometry.selected_points(df, 6.0, "frame", whole=whole, **options).collect())) == once
+    for g in range(3):
+        assert [p for f, p, *_ in sorted(once, key=lambda r: (r[0], r[2])) if f == g] == greedy([r[1:] for r in rows if r[0] == g], 6.0, **options)
+
+
 def test_configurations_tell_all_faults_and_may_be_yaml(spark, tmp_path):
     good = {"video": {}, "motion": {}, "scale": {}, "pga": {}, "tracker": {"window_len": 16, "step": 8, "num_points": 5}, "signal": {"bandpass_hz": [0.3, 8]}, "runtime": {"target_fps": 30, "max_queue_blocks": 4}}
     assert records.config_faults(good) == [] and records.config_faults([]) != []
