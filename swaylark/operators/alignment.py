@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,23 +87,77 @@ def containment(visual: DataFrame, sensor: DataFrame, key: str = "record_id") ->
     return v.join(s, key).select(key, (F.col("s0") - F.col("v0")).alias("offset_min"), (F.col("s1") - F.col("v1")).alias("offset_max"), ((F.col("s1") - F.col("s0")) >= (F.col("v1") - F.col("v0"))).alias("contained"))
 
 
+def _shifted_correlations(x: pa.Array, y: pa.Array, shifts: int) -> tuple[float | None, np.ndarray, np.ndarray]:
+    """|corr| of two series as they stand, and of y turned round by each shift against x (and which of these are defined).
+
+    As with SQL's aggregates, a pair with a null does not count, a deviation is over all values of its own series, and where one is 0 there is none.
+    """
+    n, known = len(x), [np.asarray(c.is_valid()) for c in (x, y)]
+    series, spread = [], 1.0
+    for c, have in zip((x, y), known, strict=True):
+        v = c.to_numpy(zero_copy_only=False).astype(float)
+        there = v[have]
+        flat = not len(there) or there.min() == there.max()
+        with np.errstate(invalid="ignore"):
+            series.append(np.where(have, v - (there[0] if flat and len(there) else there.mean() if len(there) else 0.0), 0.0))
+        spread = spread * (0.0 if flat else there.std())
+    least = max(1.0, float(np.ceil(0.05 * n)))
+    by = np.floor(least + np.arange(shifts) * (n - 2 * least) / shifts).astype(np.int64)
+    starts = np.concatenate([[0], (n - by) % n]) % n  # the first is the series as it stands
+    if spread == 0:
+        return None, np.zeros(shifts), np.zeros(shifts, bool)
+    turned = [np.lib.stride_tricks.sliding_window_view(np.concatenate([c, c]), n) for c in (series[1], known[1].astype(float))]
+    whole, step, both = known[0].all() and known[1].all(), max(1, (1 << 20) // n), []
+    for k in range(0, len(starts), step):
+        part = turned[0][starts[k : k + step]]
+        if whole:
+            both.append(np.stack([part @ series[0] / n, np.full(len(part), float(n))]))
+            continue
+        there = turned[1][starts[k : k + step]]
+        m = there @ known[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both.append(np.stack([(part @ series[0] - (there @ series[0]) * (part @ known[0]) / m) / m, m]))
+    covariance, m = np.concatenate(both, 1)
+    with np.errstate(invalid="ignore"):
+        found = np.abs(covariance / spread)
+    return (float(found[0]) if m[0] else None), found[1:], m[1:] > 0
+
+
+def _shift_null(df: DataFrame, shifts: int, key: str, digits: int, each: bool) -> DataFrame:
+    """Per record of ten samples or more: observed, and how many shifts are at least as great (to ``digits``), or with ``each`` all their values.
+
+    A record's samples are one row for a numpy kernel, as a shift needs them all; shifts are rows of a matrix, as many at once as keep it small.
+    """
+    kind = dict(df.dtypes)[key]
+    packed = df.select(key, F.struct(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("s")).where(F.col(key).isNotNull())
+    rows = packed.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s")).where("size(s) >= 10")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = lambda v: np.floor(v * 10.0**digits + 0.5)
+        for batch in batches:
+            lists, observed, rest = batch.column(1), [], []
+            offsets = np.asarray(lists.offsets)
+            x, y = lists.values.field("x"), lists.values.field("y")
+            for i, j in zip(offsets, offsets[1:], strict=False):
+                now, found, there = _shifted_correlations(x[i:j], y[i:j], shifts)
+                observed.append(now)
+                if each:
+                    rest.append([v if ok else None for v, ok in zip(found.tolist(), there.tolist(), strict=True)])
+                else:  # NaN is greatest
+                    rest.append(0 if now is None else int((there & (np.isnan(found) | (near(found) >= near(now)))).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(observed, pa.float64()), pa.array(rest, pa.list_(pa.float64()) if each else pa.int64())], names=[key, "observed", "rest"])
+
+    return rows.mapInArrow(kernel, f"{key} {kind}, observed double, rest {'array<double>' if each else 'long'}")
+
+
 def circular_shifts(df: DataFrame, shifts: int, key: str = "record_id") -> DataFrame:
-    """Null distribution by circular shifts of y against x: record, shift number, |corr|. Needs i. Shifts are spread evenly from a twentieth of the record on."""
-    n = F.count(F.lit(1)).over(W.partitionBy(key))
-    s = df.select(key, "i", "x", "y", n.alias("n")).where("n >= 10")
-    least = F.greatest(F.lit(1.0), F.ceil(0.05 * F.col("n")))
-    by = F.floor(least + F.col("b") * (F.col("n") - 2 * least) / shifts)
-    moved = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))).select(key, "b", F.pmod(F.col("i") + by, F.col("n")).cast("long").alias("i"), F.col("y").alias("ys"))
-    j = moved.join(s.select(key, F.col("i").cast("long").alias("i"), "x"), [key, "i"])
-    return j.groupBy(key, "b").agg(F.abs(correlation(F.col("x"), F.col("ys"))).alias("null_corr"))
+    """Null distribution by circular shifts of y against x: record, shift number, |corr|. Needs i, a sample's place from 0. Shifts are spread evenly from a twentieth of the record on."""
+    return _shift_null(df, shifts, key, 9, True).select(key, F.posexplode("rest").alias("b", "null_corr"))
 
 
 def null_p_values(df: DataFrame, shifts: int, key: str = "record_id", digits: int = 9) -> DataFrame:
     """Per record: observed |corr| of x and y and p = (1 + shifts at least as great) / (shifts + 1)."""
-    observed = df.groupBy(key).agg(F.abs(correlation(F.col("x"), F.col("y"))).alias("observed"))
-    j = observed.join(circular_shifts(df, shifts, key), key)
-    greater = F.sum((F.round("null_corr", digits) >= F.round("observed", digits)).cast("int"))
-    return j.groupBy(key, "observed").agg(((1 + F.coalesce(greater, F.lit(0))) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return _shift_null(df, shifts, key, digits, False).select(key, "observed", ((1 + F.col("rest")) / F.lit(shifts + 1)).alias("p_value"))
 
 
 def bh_q_values(df: DataFrame, p: str = "p_value", key: str = "record_id") -> DataFrame:

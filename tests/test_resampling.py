@@ -59,6 +59,27 @@ def test_results_do_not_depend_on_blocks_and_own_grids_step_by_the_lesser_median
     assert alignment.null_test(df.limit(0), 10).count() == 0
 
 
+def test_circular_shifts_against_a_loop_and_without_a_row_for_each_sample_and_shift(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, i, *(None if g == 2 and rng.random() < 0.2 else float(v) for v in rng.normal(size=2))) for g, n in ((1, 33), (2, 40), (3, 9), (4, 12)) for i in range(n)]
+    rows = [(g, i, 1.0, y) if g == 4 else (g, i, x, y) for g, i, x, y in rows]  # one that does not vary
+    df = spark.createDataFrame(rows, "record_id long, i int, x double, y double")
+    got = {r["record_id"]: r for r in alignment.null_p_values(df, 19).collect()}
+    assert set(got) == {1, 2, 4} and got[4]["observed"] is None and got[4]["p_value"] == 1 / 20
+    shifted = {(r["record_id"], r["b"]): r["null_corr"] for r in alignment.circular_shifts(df, 19).collect()}
+    for g in (1, 2):
+        x, y = (np.array([np.nan if r[c] is None else r[c] for r in rows if r[0] == g]) for c in (2, 3))
+        n, least = len(x), max(1, np.ceil(0.05 * len(x)))
+        def corr(ys):
+            both = ~np.isnan(x * ys)  # noqa: B023
+            return abs(np.cov(x[both], ys[both], bias=True)[0, 1]) / (np.nanstd(x) * np.nanstd(ys))  # noqa: B023
+        null = [corr(np.roll(y, int(least + b * (n - 2 * least) // 19))) for b in range(19)]
+        assert [shifted[g, b] for b in range(19)] == pytest.approx(null) and got[g]["observed"] == pytest.approx(corr(y))
+        assert got[g]["p_value"] == (1 + sum(v >= corr(y) for v in null)) / 20
+    plan = alignment.null_p_values(df, 19)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("n", [30, 31])
 def test_phase_surrogates_keep_the_power_spectrum(n):
     rng = np.random.default_rng(n)
