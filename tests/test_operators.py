@@ -402,6 +402,24 @@ def huber(x, y, alpha=1.0, rounds=30, k=1.345):
     return lambda q: np.exp(np.c_[np.ones(len(q)), (q - mean) / sd] @ beta)
 
 
+@pytest.mark.parametrize("few", [8, 1 << 15])
+def test_huber_rows_are_not_repeated_for_each_fold_and_medians_are_cut_down_exactly(spark, monkeypatch, few):
+    rng = np.random.default_rng(12)
+    n = 120
+    x = np.round(rng.uniform(1, 9, (n, 3)), 1)
+    y = np.exp(0.3 * x[:, 0] - 0.1 * x[:, 1] + 3 + rng.normal(0, 0.3, n) + (np.arange(n) % 20 == 0))
+    y[:12], x[:12] = 50.0, 4.0  # many equal residuals
+    fold = np.arange(n) % 3
+    df = spark.createDataFrame([(i, int(f), *map(float, a), float(b)) for i, (f, a, b) in enumerate(zip(fold, x, y, strict=True))], "record_id long, fold int, f1 double, f2 double, f3 double, target double")
+    monkeypatch.setattr(models, "BINS", 64)
+    monkeypatch.setattr(models, "FEW", few)
+    monkeypatch.setattr(models, "train_rows", None)
+    got = models.cross_validated(df, "huber", ["f1", "f2", "f3"], 3).toPandas().set_index("record_id")["predicted"].sort_index()
+    for f in range(3):
+        fitted = huber(x[fold != f], np.log(y[fold != f]))
+        assert got[fold == f].to_numpy() == pytest.approx(fitted(x[fold == f]), rel=1e-6)
+
+
 def test_cross_validated_huber_against_numpy(spark):
     df = models.group_folds(regression(spark, True).withColumn("side", F.when(F.col("record_id") % 4 == 0, "b").otherwise("a")), 5)
     got = models.cross_validated(df, "huber", ["f1", "f2", "f3"], 5, by=["side"]).toPandas()
