@@ -7,6 +7,7 @@ points at once in numpy.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb, radians
@@ -160,7 +161,14 @@ def weighted_fits(model: str, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tu
         x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
         one, zero = np.ones(len(a)), np.zeros(len(a))
         rows = np.stack([np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 1)], 1)
-        _, values, vectors = np.linalg.svd((w[:, :, None, None] * rows).reshape(len(w), -1, 9), full_matrices=True)
+        used = np.count_nonzero(w, axis=1)
+        if len(w) and used.min() == used.max() and 0 < used[0] < len(a):  # points without weight are rows of zeros
+            at = np.argsort(w == 0, axis=1, kind="stable")[:, : used[0]]
+            system = (np.take_along_axis(w, at, 1)[:, :, None, None] * rows[at]).reshape(len(w), -1, 9)
+        else:
+            system = (w[:, :, None, None] * rows).reshape(len(w), -1, 9)
+        _, values, vectors = np.linalg.svd(system, full_matrices=system.shape[1] < 9)
+        values = np.pad(values, ((0, 0), (0, min(2 * len(a), 9) - values.shape[1])))
         h, least = vectors[:, -1].reshape(-1, 3, 3), values[:, min(values.shape[1], 9) - 1]
         sound = (np.abs(h[:, 2, 2]) > np.finfo(float).eps) & (n >= LEAST_POINTS[model])
         out[sound] = h[sound] / h[sound][:, 2:, 2:]
@@ -197,6 +205,22 @@ def weighted_fits(model: str, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tu
         return out, np.sqrt(values[:, -1] / np.maximum(values[:, 0], 1e-300))
 
 
+def exact_homographies(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each row of zeros and four ones: the homography that takes its four points of a to b. Where these eight equations hardly fix it, as ``weighted_fits`` has it."""
+    at = np.nonzero(w)[1].reshape(len(w), 4)
+    (x, y), (u, v) = a[at].transpose(2, 0, 1), b[at].transpose(2, 0, 1)
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    system = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], -1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], -1)], 1)
+    out = np.full((len(w), 9), np.inf)
+    with contextlib.suppress(np.linalg.LinAlgError):
+        out = np.c_[np.linalg.solve(system, np.concatenate([u, v], 1)[..., None])[..., 0], np.ones(len(w))]
+    with np.errstate(invalid="ignore"):
+        loose = ~(np.abs(out).max(1) < 1e8)
+    if loose.any():
+        out[loose] = weighted_fits("homography", a, b, w[loose])[0].reshape(-1, 9)
+    return out.reshape(-1, 3, 3)
+
+
 def distances(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far from b the points a end under each of the matrices (B x N)."""
     to = np.c_[a, np.ones(len(a))] @ m.transpose(0, 2, 1)
@@ -231,7 +255,8 @@ def consensus(model: str, a: np.ndarray, b: np.ndarray, threshold: float = 1.5,
         return None
     keep = np.ones(n, bool)
     if n > k:
-        m, _ = weighted_fits(model, a, b, least_subsets(n, k, tries, seed))
+        w = least_subsets(n, k, tries, seed)
+        m = exact_homographies(a, b, w) if model == "homography" else weighted_fits(model, a, b, w)[0]
         error = distances(m, a, b)
         near = error <= threshold  # NaN is not
         count = near.sum(1)

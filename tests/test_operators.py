@@ -179,6 +179,28 @@ def test_weighted_fits(model):
             assert condition[k] == pytest.approx(np.linalg.cond(design(model, a[at], noisy[at])[0]), rel=1e-6)
 
 
+def test_homographies_of_subsets_solve_for_their_own_points_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 100, (28, 2))
+    b = moved(MODELS["homography"], a) + rng.normal(0, 0.3, a.shape)
+    sizes, real = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda m, full_matrices=True: sizes.append((m.shape[1:], full_matrices)) or real(m, full_matrices=full_matrices))
+    w = geometry.least_subsets(28, 4, 50, 1)
+    m, condition = geometry.weighted_fits("homography", a, b, w)
+    again, same = geometry.weighted_fits("homography", a, b, np.vstack([w, np.ones((1, 28))]))  # of several sizes: all rows
+    assert sizes == [((8, 9), True), ((56, 9), False)]
+    assert m == pytest.approx(again[:50], rel=1e-5, abs=1e-7) and condition.shape == (50,) and same.shape == (51,)
+    del sizes[:]
+    assert geometry.exact_homographies(a, b, w) == pytest.approx(m, rel=1e-5, abs=1e-7) and not sizes  # no decomposition for a subset
+    a[:4, 1] = a[:4, 0]  # four on a line, which fix nothing
+    loose = geometry.exact_homographies(a, b, np.vstack([w, np.arange(28) < 4]))
+    assert loose[:50][w[:, :4].sum(1) == 0] == pytest.approx(m[w[:, :4].sum(1) == 0], rel=1e-5, abs=1e-7)
+    a = rng.uniform(0, 100, (28, 2))
+    m, _ = geometry.weighted_fits("homography", a, b, w)
+    for k in range(3):
+        assert m[k] == pytest.approx(plain_fit("homography", a[w[k] > 0], b[w[k] > 0]), rel=1e-4, abs=1e-5)
+
+
 @pytest.mark.parametrize("model", MODELS)
 def test_consensus_against_every_subset(model):
     from itertools import combinations
