@@ -201,15 +201,19 @@ def searched(t: np.ndarray, v: np.ndarray, st: np.ndarray, series: list[np.ndarr
         for visual, sensor in pairs:
             for d in sensor:
                 at = series[d][after - 1] * (1 - share) + series[d][after] * share
+                centred = at - at.mean(0)
+                size = np.einsum("ij,ij->j", centred, centred)
                 for c in visual:
                     rows = finite[inside, c]
                     if rows.sum() < LEAST_OVERLAP:
                         continue
                     one = v[inside, c][rows]
                     one = one - one.mean()
-                    other = at if rows.all() else at[rows]
-                    other = other - other.mean(0)
-                    spread = np.sqrt((one * one).sum() * (other * other).sum(0))
+                    other, squares = centred, size
+                    if not rows.all():
+                        other = at[rows] - at[rows].mean(0)
+                        squares = np.einsum("ij,ij->j", other, other)
+                    spread = np.sqrt((one * one).sum() * squares)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         r = np.abs(one @ other) / spread
                     r = np.where(spread > 1e-12 * len(one), r, 0.0)
@@ -219,7 +223,56 @@ def searched(t: np.ndarray, v: np.ndarray, st: np.ndarray, series: list[np.ndarr
     return best, where
 
 
-def null_test(pairs: DataFrame, iterations: int, offsets: list[float] | None = None, seed: int = 0, key: str = "record_id", method: str = "phase", span: float | None = None, groups: list[tuple[list[int], list[int]]] | None = None, block: int = 250) -> DataFrame:
+def uniform_draws(seed: int, salt: int, first: int, n: int, count: int) -> np.ndarray:
+    """What ``np.random.default_rng([seed, salt, it]).random(count)`` gives, a row for each of n iterations ``it`` from ``first`` on.
+
+    Generators are seeded (SeedSequence) and stepped (PCG64) side by side, as making one costs more than a short record's search.
+    """
+    if max(seed, salt, first + n) >> 32:
+        return np.stack([np.random.default_rng([seed, salt, it]).random(count) for it in range(first, first + n)]) if n else np.zeros((0, count))
+    low32, shift = 0xFFFFFFFF, np.uint32(16)
+    const = [0x43B0D7E5]
+
+    def hashed(v: np.ndarray, factor: int) -> np.ndarray:
+        v = v ^ np.uint32(const[0])
+        const[0] = const[0] * factor & low32
+        v = v * np.uint32(const[0])
+        return v ^ v >> shift
+
+    pool = [hashed(np.full(n, x, np.uint32) if np.isscalar(x) else x, 0x931E8875) for x in (seed, salt, np.arange(first, first + n, dtype=np.uint32), 0)]
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                mixed = np.uint32(0xCA01F9DD) * pool[j] - np.uint32(0x4973F715) * hashed(pool[i], 0x931E8875)
+                pool[j] = mixed ^ mixed >> shift
+    const[0] = 0x8B51F9DD
+    words = [hashed(pool[i % 4], 0x58F38DED).astype(np.uint64) for i in range(8)]
+    half, one = np.uint64(32), np.uint64(1)
+    (sh, sl), (ih, il) = [[words[k] | words[k + 1] << half for k in (i, i + 2)] for i in (0, 4)]
+    ih, il = ih << one | il >> np.uint64(63), il << one | one
+    mh, ml = np.uint64(2549297995355413924), np.uint64(4865540595714422341)
+    m1, m0, cut = ml >> half, ml & np.uint64(low32), np.uint64(low32)
+
+    def added(ah: np.ndarray, al: np.ndarray, bh: np.ndarray, bl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = al + bl
+        return ah + bh + (low < al), low
+
+    def stepped(h: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a1, a0 = low >> half, low & cut
+        p, q = a0 * m1, a1 * m0
+        carry = ((a0 * m0 >> half) + (p & cut) + (q & cut)) >> half
+        return added(a1 * m1 + (p >> half) + (q >> half) + carry + h * ml + low * mh, low * ml, ih, il)
+
+    h, low = stepped(*added(ih, il, sh, sl))
+    out = np.empty((n, count))
+    for k in range(count):
+        h, low = stepped(h, low)
+        turn, v = h >> np.uint64(58), h ^ low
+        out[:, k] = ((v >> turn | v << (np.uint64(64) - turn & np.uint64(63))) >> np.uint64(11)) * 2.0**-53
+    return out
+
+
+def null_test(pairs: DataFrame, iterations: int, offsets: list[float] | None = None, seed: int = 0, key: str = "record_id", method: str = "phase", span: float | None = None, groups: list[tuple[list[int], list[int]]] | None = None, block: int = 1000) -> DataFrame:
     """Surrogates of the sensor that repeat the whole search: key, observed, offset, p_value = (1 + those at least as great) / (1 + iterations).
 
     ``method``: ``phase`` draws the phases of each of the sensor's channels anew, ``shift`` turns all its samples round by a twentieth or
@@ -236,15 +289,15 @@ def null_test(pairs: DataFrame, iterations: int, offsets: list[float] | None = N
     most = 1 << 22  # numbers in a matrix of versions
 
     def versions(sv: np.ndarray, salt: int, first: int, n: int) -> list[np.ndarray]:
-        rngs = [np.random.default_rng([seed, salt, it]) for it in range(first, first + n)]
         if not n:
             return [x[:, None] for x in sv.T]
         if method == "shift":
+            rngs = [np.random.default_rng([seed, salt, it]) for it in range(first, first + n)]
             least = max(1, round(0.05 * len(sv)))
             by = np.array([int(rng.integers(least, max(least + 1, len(sv)))) for rng in rngs], np.int64)
             at = (np.arange(len(sv))[:, None] - by) % len(sv)
             return [np.column_stack([x, x[at]]) for x in sv.T]
-        turns = np.stack([rng.random((sv.shape[1], len(sv) // 2 + 1)) for rng in rngs])
+        turns = uniform_draws(seed, salt, first, n, sv.shape[1] * (len(sv) // 2 + 1)).reshape(n, sv.shape[1], -1)
         return [np.column_stack([x, phase_surrogates(x, turns[:, c]).T]) for c, x in enumerate(sv.T)]
 
     def kernel(batches):

@@ -80,6 +80,20 @@ def test_circular_shifts_against_a_loop_and_without_a_row_for_each_sample_and_sh
     assert "Generate" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("seed, salt", [(0, 0), (3, 1 << 30), ((1 << 32) - 1, 12345), (1 << 40, 7)])
+def test_draws_side_by_side_are_those_of_numpys_generators(seed, salt):
+    for first, n in ((0, 50), (999, 3), (5, 0)):
+        want = [np.random.default_rng([seed, salt, it]).random(37).tolist() for it in range(first, first + n)]
+        assert alignment.uniform_draws(seed, salt, first, n, 37).tolist() == want
+
+
+def test_no_generator_is_made_for_each_iteration(monkeypatch):
+    """Making 1000 of them takes longer than the search of a short record."""
+    calls = []
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: calls.append(a))
+    assert alignment.uniform_draws(0, 5, 0, 1000, 34).shape == (1000, 34) and not calls
+
+
 @pytest.mark.parametrize("n", [30, 31])
 def test_phase_surrogates_keep_the_power_spectrum(n):
     rng = np.random.default_rng(n)
